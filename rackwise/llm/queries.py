@@ -10,9 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rackwise.llm.bpe import op5_bpe
+from rackwise.llm.quality import op3_quality
 from rackwise.llm.simhash import op8_simhash
 from rackwise.llm.token_counts import op1_token_counts
 from rackwise.llm.token_files import op10_token_files
+from rackwise.llm.toxicity import op6_toxicity
 
 _SHIPPED: set[str] = set()
 
@@ -40,7 +42,7 @@ def _shipping(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op5_bpe, op8_simhash, op10_token_files]
+    found = [op1_token_counts, op3_quality, op5_bpe, op6_toxicity, op8_simhash, op10_token_files]
     return {q.__name__: _shipping(q) for q in found}
 
 
