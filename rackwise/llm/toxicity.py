@@ -1,6 +1,6 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
-Terms are 5-byte grams of lower-case words with a space at each end, chosen for their association with the label in a sample of
+Terms are 5-byte grams and beginnings (up to 12 bytes) of lower-case words with a space at each end, chosen for their association with the label in a sample of
 at most SAMPLE labelled rows (the smallest hashes of doc_id); an Aho-Corasick automaton counts them in every text. Document
 frequencies cover all documents. The sample's rows are the examples. They lie in blocks, and per term each block has its
 largest weight: a block is opened only while the sum of these bounds can still beat the K-th best cosine, so the K nearest
@@ -25,11 +25,12 @@ from pyspark.sql import functions as F
 from rackwise.llm.common import blocks, id_text, stored, table
 
 SAMPLE = 12_000
-TERMS = 1024
+TERMS = 2048
 LEAST_DOCS = 3
 #: Log-likelihood ratio against no association that a term needs: above the logarithm of the number of grams there are to choose from.
 EVIDENCE = 17.0
 GRAM = 5
+LONGEST = 12
 K = 15
 BLOCK = 32
 THRESHOLD = 0.7
@@ -43,6 +44,7 @@ def grams(text: bytes) -> set[bytes]:
     for w in set(text.translate(FOLD).split()):
         w = b" " + w + b" "
         found.update([w[i : i + GRAM] for i in range(max(1, len(w) - GRAM + 1))])
+        found.update([w[:n] for n in range(GRAM + 1, min(len(w), LONGEST) + 1)])
     return found
 
 
