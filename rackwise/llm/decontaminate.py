@@ -31,9 +31,9 @@ from rackwise.llm.toxicity import FOLD
 RANK = 128
 MORE = 16
 SIZES = (16, 32, 64)
-COMMON = 0.2
+COMMON = 0.05
 RAREST = 8
-MASS = 0.2
+MASS = 0.3
 NEAR = 0.5
 SAME = 0.8
 PARAPHRASE = 0.6
@@ -174,7 +174,10 @@ def latent_basis(found: DataFrame, passages: Passages, weight: np.ndarray, items
                 y = weighted[held].sum(axis=1) / norm[:, None]
                 row, column = np.nonzero(passages.latent[held])
                 t = held[row, column]
-                np.add.at(total, t, y[row] * (latent[t] / norm[row])[:, None])
+                order = np.argsort(t, kind="stable")
+                row, t = row[order], t[order]
+                first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+                total[t[first]] += np.add.reduceat(y[row] * (latent[t] / norm[row])[:, None], first, axis=0)
                 some = True
         return some
 

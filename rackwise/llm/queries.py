@@ -10,8 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rackwise.llm.bpe import op5_bpe
+from rackwise.llm.decontaminate import op7_decontaminate
+from rackwise.llm.html_text import op2_html
+from rackwise.llm.katz import op4_katz
 from rackwise.llm.quality import op3_quality
 from rackwise.llm.simhash import op8_simhash
+from rackwise.llm.substring import op9_substring
 from rackwise.llm.token_counts import op1_token_counts
 from rackwise.llm.token_files import op10_token_files
 from rackwise.llm.toxicity import op6_toxicity
@@ -42,7 +46,7 @@ def _shipping(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op3_quality, op5_bpe, op6_toxicity, op8_simhash, op10_token_files]
+    found = [op1_token_counts, op2_html, op3_quality, op4_katz, op5_bpe, op6_toxicity, op7_decontaminate, op8_simhash, op9_substring, op10_token_files]
     return {q.__name__: _shipping(q) for q in found}
 
 

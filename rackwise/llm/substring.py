@@ -88,15 +88,18 @@ def anchored(words: np.ndarray, edges: np.ndarray, window: int = WINDOW) -> tupl
     return gram[p], context, begin, count
 
 
-def in_blocks(docs: DataFrame) -> DataFrame:
-    """(block, place, doc_id, text binary): documents in numbered blocks, the same each time they are read."""
+def in_blocks(docs: DataFrame, others: tuple[str, ...] = ()) -> DataFrame:
+    """(block, place, doc_id, text binary, others): documents in numbered blocks, the same each time they are read."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         for k, (part, texts) in enumerate(blocks(batches, most=BLOCK)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), task << 32 | k)), pa.array(np.arange(len(texts), dtype=np.int32)), part.column("doc_id"), pa.array(texts, pa.binary())], ["block", "place", "doc_id", "text"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(texts), task << 32 | k)), pa.array(np.arange(len(texts), dtype=np.int32)), part.column("doc_id"), pa.array(texts, pa.binary()), *map(part.column, others)], ["block", "place", "doc_id", "text", *others]
+            )
 
-    return id_text(docs).mapInArrow(run, "block long, place int, doc_id long, text binary")
+    return rows.mapInArrow(run, "block long, place int, doc_id long, text binary" + "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in others))
 
 
 def contexts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -159,8 +162,9 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return plain.unionByName(searched)
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_removed, text, kept string): the kept words joined by one space."""
+def substring_dedup(docs: DataFrame, window: int = WINDOW, others: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept, text, others) for each row of docs; kept: the kept words joined by one space.
+    `others` names further columns to pass on."""
 
     def finish(texts: pa.Table, runs: pa.Table) -> pa.Table:
         texts = texts.sort_by("place")
@@ -174,10 +178,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         gone = np.cumsum(change)[:-1] > 0
         removed = np.add.reduceat(np.append(gone, False).astype(np.int64), edge[:-1]) * (size > 0) if len(words) else size
         kept = [b" ".join(w if not r else [x for x, g in zip(w, gone[a:b].tolist()) if not g]) for w, r, a, b in zip(words, removed.tolist(), edge[:-1].tolist(), edge[1:].tolist())]
-        return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array(size), "n_removed": pa.array(removed), "kept": pa.array(kept, pa.binary()).cast(pa.string()), "text": texts.column("text").cast(pa.string())})
+        return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array(size), "n_removed": pa.array(removed), "kept": pa.array(kept, pa.binary()).cast(pa.string()), "text": texts.column("text").cast(pa.string()), **{c: texts.column(c) for c in others}})
 
     runs = repeated_runs(docs, window)
-    return in_blocks(docs).groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept string, text string")
+    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in others)
+    return in_blocks(docs, others).groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept string, text string" + kinds)
 
 
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

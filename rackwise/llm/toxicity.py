@@ -197,11 +197,22 @@ def calibration(index: Index, found: list[tuple[list[int], list[int]]], ids: lis
     return [p[2] for p in pools], [(p[0] + 0.1) / (p[1] + 0.2) for p in pools], (sum(none) + 0.1) / (len(none) + 1)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted, evidence array of nearest examples' ids) for each row of docs(doc_id, text)."""
-    spark = docs.sparkSession
+class Scorer:
+    def __init__(self, terms: list[bytes], index: Index, steps: list[float], shares: list[float], none: float) -> None:
+        self.terms, self.index, self.steps, self.shares, self.none = terms, index, steps, shares, none
+
+    def score(self, terms: list[int], counts: list[int]) -> tuple[float, list[int]]:
+        """(calibrated score, ids of the nearest examples) of a text's term counts."""
+        at, cosine = self.index.nearest(terms, counts) if terms else ((), ())
+        if not len(at):
+            return self.none, []
+        return self.shares[min(int(np.searchsorted(self.steps, self.index.vote(at, cosine))), len(self.shares) - 1)], self.index.ids[at].tolist()
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Scorer, DataFrame]:
+    """The scorer, and the term counts of every row of docs(doc_id, text)."""
     sample = stored(labelled_sample(docs, labels))
-    chosen = stored(id_text(docs).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]))
+    chosen = stored(id_text(docs).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]))  # at most SAMPLE rows
     terms = choose_terms(chosen)
     found = stored(term_counts(docs, terms))
     n = found.count()
@@ -210,27 +221,38 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = term_counts(chosen, terms).join(chosen.select("doc_id", "toxic"), "doc_id").orderBy("doc_id").collect()  # at most SAMPLE rows of short arrays
     ids, ys, vectors = [r.doc_id for r in rows], [r.toxic for r in rows], [(r.terms, r.counts) for r in rows]
     index = Index(ids, ys, vectors, idf)
-    steps, shares, none = calibration(index, vectors, ids, ys)
-    sent = spark.sparkContext.broadcast((index, steps, shares, none))
+    return Scorer(terms, index, *calibration(index, vectors, ids, ys)), found
+
+
+def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, held_out, score, predicted, evidence array of nearest examples' ids) for each row of docs(doc_id, text)."""
+    scorer, found = fit(docs, labels)
+    sent = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, steps, shares, none = sent.value
+        scorer = sent.value
         for batch in batches:
-            scores, evidence = [], []
-            for t, c in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist()):
-                at, cosine = index.nearest(t, c) if t else ((), ())
-                if len(at):
-                    scores.append(shares[min(int(np.searchsorted(steps, index.vote(at, cosine))), len(shares) - 1)])
-                    evidence.append(index.ids[at].tolist())
-                else:
-                    scores.append(none)
-                    evidence.append([])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
+            got = [scorer.score(t, c) for t, c in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s for s, _ in got], pa.float64()), pa.array([e for _, e in got], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
 
     scored = found.mapInArrow(run, "doc_id long, score double, evidence array<long>")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, with all columns, whose score is below THRESHOLD. Nothing is shuffled."""
+    scorer, _ = fit(docs, labels)
+    sent = docs.sparkSession.sparkContext.broadcast(scorer)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = sent.value
+        matcher = Matcher(scorer.terms)
+        for part, texts in blocks(batches):
+            yield part.filter(pa.array([scorer.score(*matcher.counts(t or b""))[0] < THRESHOLD for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted")
