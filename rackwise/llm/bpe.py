@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rackwise.llm.common import blocks, id_text, table
-from rackwise.llm.pretokens import BYTE_LEVEL, KEPT, USUAL, file_of, finders
+from rackwise.llm.pretokens import BYTE_LEVEL, USUAL, file_of, finders
 
 TOKENIZER = "byte_bpe_50k.json"
-PAIRS_KEPT = 2_000_000
+#: Words and pairs of tokens that a worker remembers; when there are more, it starts anew.
+WORDS_KEPT = 400_000
+PAIRS_KEPT = 600_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -128,7 +130,7 @@ class TrieBpe:
                 if s in text:
                     parts = [p for x in parts for p in ([x] if isinstance(x, int) else [y for z in x.split(s) for y in (z, self.specials[s])][:-1])]
             split.append([x if isinstance(x, int) else self.pieces(x) for x in parts])
-        if len(self.known) > KEPT:
+        if len(self.known) > WORDS_KEPT:
             self.known.clear()
         fresh = {w for parts in split for x in parts if not isinstance(x, int) for w in x} - self.known.keys()
         self.encode_words(fresh)
