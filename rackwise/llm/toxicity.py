@@ -129,18 +129,19 @@ class Index:
         self.ids = np.array([ids[k] for k in order], np.int64)
         self.labels = np.array([labels[k] for k in order], float)
         self.n_blocks = -(-len(order) // BLOCK)
-        postings: dict[int, list[tuple[int, float]]] = {}
-        for n, k in enumerate(order):
-            for t, w in zip(rows[k][0].tolist(), rows[k][1].tolist()):
-                postings.setdefault(t, []).append((n, w))
-        self.postings: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
-        self.bounds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for t, entries in postings.items():
-            at, w = np.array([n for n, _ in entries]), np.array([x for _, x in entries])
-            block, first = np.unique(at // BLOCK, return_index=True)
-            self.bounds[t] = block, np.maximum.reduceat(w, first)
-            edge = [*first.tolist(), len(at)]
-            self.postings[t] = {int(b): (at[i:j] % BLOCK, w[i:j]) for b, i, j in zip(block, edge, edge[1:])}
+        #: Per block: its terms, and for each of them the weights of the block's examples. Per term: its blocks and their largest weights.
+        self.lists: list[tuple[np.ndarray, np.ndarray]] = []
+        most: dict[int, list[tuple[int, float]]] = {}
+        for b in range(self.n_blocks):
+            members = [rows[k] for k in order[b * BLOCK : (b + 1) * BLOCK]]
+            terms = np.unique(np.concatenate([t for t, _ in members]))
+            weights = np.zeros((len(terms), len(members)))
+            for n, (t, w) in enumerate(members):
+                weights[np.searchsorted(terms, t), n] = w
+            self.lists.append((terms, weights))
+            for t, w in zip(terms.tolist(), weights.max(1).tolist()):
+                most.setdefault(t, []).append((b, w))
+        self.bounds = {t: (np.array([b for b, _ in entries]), np.array([w for _, w in entries])) for t, entries in most.items()}
 
     def unit(self, terms: list[int], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
         t = np.array(terms, np.int64)
@@ -155,16 +156,17 @@ class Index:
             if x in self.bounds:
                 block, most = self.bounds[x]
                 bound[block] += q * most
+        query = np.zeros(len(self.idf))
+        query[t] = w
         places, cosines, worst = np.zeros(0, np.int64), np.zeros(0), 0.0
         for b in np.argsort(-bound, kind="stable").tolist():
             if bound[b] <= 0 or (len(places) == k and bound[b] < worst - 1e-12):
                 break
-            got = np.zeros(BLOCK)
-            for x, q in zip(t.tolist(), w.tolist()):
-                entry = self.postings.get(x, {}).get(b)
-                if entry:
-                    got[entry[0]] += q * entry[1]
-            hit = np.flatnonzero(got)
+            listed, weights = self.lists[b]
+            got = query[listed] @ weights
+            hit = np.flatnonzero(got > max(0.0, worst - 1e-12) if len(places) == k else got > 0)
+            if not len(hit):
+                continue
             places, cosines = np.concatenate((places, hit + b * BLOCK)), np.concatenate((cosines, got[hit]))
             keep = np.lexsort((places, -np.round(cosines, 12)))[:k]
             places, cosines = places[keep], cosines[keep]
