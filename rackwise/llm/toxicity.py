@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rackwise.llm.common import blocks, id_text, stored, table
+from rackwise.llm.common import blocks, id_text, partitions, stored, table
 
 SAMPLE = 12_000
 TERMS = 2048
@@ -214,7 +214,8 @@ class Scorer:
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Scorer, DataFrame]:
     """The scorer, and the term counts of every row of docs(doc_id, text)."""
     sample = stored(labelled_sample(docs, labels))
-    chosen = stored(id_text(docs).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]))  # at most SAMPLE rows
+    # At most SAMPLE rows, dealt over tasks so that none holds all their grams.
+    chosen = stored(id_text(docs).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).repartition(partitions(docs.sparkSession), "doc_id"))
     terms = choose_terms(chosen)
     found = stored(term_counts(docs, terms))
     n = found.count()
