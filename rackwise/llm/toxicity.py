@@ -32,6 +32,8 @@ EVIDENCE = 17.0
 GRAM = 5
 LONGEST = 12
 K = 15
+#: Scores of term counts that a worker remembers, for copies and texts with few terms; when there are more, it starts anew.
+SCORES_KEPT = 20_000
 BLOCK = 32
 THRESHOLD = 0.7
 
@@ -202,8 +204,17 @@ def calibration(index: Index, found: list[tuple[list[int], list[int]]], ids: lis
 class Scorer:
     def __init__(self, terms: list[bytes], index: Index, steps: list[float], shares: list[float], none: float) -> None:
         self.terms, self.index, self.steps, self.shares, self.none = terms, index, steps, shares, none
+        self.known: dict[tuple, tuple[float, list[int]]] = {}
 
     def score(self, terms: list[int], counts: list[int]) -> tuple[float, list[int]]:
+        key = tuple(terms), tuple(counts)
+        if key not in self.known:
+            if len(self.known) >= SCORES_KEPT:
+                self.known.clear()
+            self.known[key] = self.fresh_score(terms, counts)
+        return self.known[key]
+
+    def fresh_score(self, terms: list[int], counts: list[int]) -> tuple[float, list[int]]:
         """(calibrated score, ids of the nearest examples) of a text's term counts."""
         at, cosine = self.index.nearest(terms, counts) if terms else ((), ())
         if not len(at):
