@@ -28,6 +28,8 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Words and pairs of tokens that a worker remembers; when there are more, it starts anew.
 WORDS_KEPT = 400_000
 PAIRS_KEPT = 600_000
+#: Bytes of text that are cut into pre-tokens at a time: a pre-token takes many times its own length.
+AT_A_TIME = 2 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -90,7 +92,6 @@ class TrieBpe:
         ids, follows, longest, packed, known = self.ids, self.follows, self.longest, self.packed, self.known
         if len(follows) > PAIRS_KEPT:
             follows.clear()
-        last = np.zeros(0)
         last, before = [0], b""
         for word, name in sorted((w.encode(), w) for w in words):
             n, most = 0, min(len(word), len(before))
@@ -155,7 +156,7 @@ def encode_documents(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(tokenizer)
-        for part, texts in blocks(batches, as_bytes=False):
+        for part, texts in blocks(batches, most=AT_A_TIME, as_bytes=False):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(bpe.encode(texts), pa.binary())], ["doc_id", "text", "ids"])
 
     return id_text(docs).mapInArrow(run, "doc_id long, text string, ids binary")
@@ -178,7 +179,7 @@ def round_trip(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(tokenizer)
-        for part, texts in blocks(batches, as_bytes=False):
+        for part, texts in blocks(batches, most=AT_A_TIME, as_bytes=False):
             encoded = bpe.encode(texts)
             decoded = [bpe.decode(x).decode("utf-8", "replace").encode() for x in encoded]
             yield pa.RecordBatch.from_arrays(
