@@ -32,6 +32,8 @@ EVIDENCE = 17.0
 GRAM = 5
 LONGEST = 12
 K = 15
+#: Weight of no toxicity in each vote: neighbours that are all distant can't make a vote as large as close ones do.
+PRIOR = 5.0
 #: Scores of term counts that a worker remembers, for copies and texts with few terms; when there are more, it starts anew.
 SCORES_KEPT = 20_000
 BLOCK = 32
@@ -177,7 +179,7 @@ class Index:
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
         weight = cosines / (1.05 - np.minimum(cosines, 1))
-        return float((weight * self.labels[places]).sum() / weight.sum())
+        return float((weight * self.labels[places]).sum() / (weight.sum() + PRIOR))
 
 
 def calibration(index: Index, found: list[tuple[list[int], list[int]]], ids: list[int], labels: list[int]) -> tuple[list[float], list[float], float]:
@@ -226,7 +228,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Scorer, DataFrame]:
     """The scorer, and the term counts of every row of docs(doc_id, text)."""
     sample = stored(labelled_sample(docs, labels))
     # At most SAMPLE rows, dealt over tasks so that none holds all their grams.
-    chosen = stored(id_text(docs).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).repartition(partitions(docs.sparkSession), "doc_id"))
+    # Equal texts are one example, with the label that most of them have: copies would crowd out other terms and neighbours.
+    chosen = id_text(docs).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    chosen = chosen.groupBy("text").agg(F.min("doc_id").alias("doc_id"), (F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
+    chosen = stored(chosen.repartition(partitions(docs.sparkSession), "doc_id"))
     terms = choose_terms(chosen)
     found = stored(term_counts(docs, terms))
     n = found.count()
