@@ -26,8 +26,8 @@ from rackwise.llm.pretokens import BYTE_LEVEL, USUAL, file_of, finders
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Words and pairs of tokens that a worker remembers; when there are more, it starts anew.
-WORDS_KEPT = 400_000
-PAIRS_KEPT = 600_000
+WORDS_KEPT = 200_000
+PAIRS_KEPT = 200_000
 #: Bytes of text that are cut into pre-tokens at a time: a pre-token takes many times its own length.
 AT_A_TIME = 2 << 20
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,19 +50,33 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def give_back() -> None:
+    """Returns freed memory of Arrow and the C library to the system: workers live on between tasks of all kinds."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = BLOCK_BYTES, as_bytes: bool = True) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of the batches with about `most` bytes in `column` (one row at least), with that column as a list."""
+    """Slices of the batches with about `most` bytes in `column` (one row at least), with that column as a list. Only one
+    slice at a time is held as Python objects."""
+
+    def listed(values: pa.Array) -> list:
+        return (values.cast(pa.binary()) if as_bytes and not pa.types.is_binary(values.type) else values).to_pylist()
+
     for batch in batches:
         values = batch.column(column)
-        values = (values.cast(pa.binary()) if as_bytes and not pa.types.is_binary(values.type) else values).to_pylist()
         start = held = 0
-        for i, v in enumerate(values):
-            if held and held + len(v or "") > most:
-                yield batch.slice(start, i - start), values[start:i]
+        for i, size in enumerate(pc.fill_null(pc.binary_length(values), 0).to_pylist()):
+            if held and held + size > most:
+                yield batch.slice(start, i - start), listed(values[start:i])
                 start, held = i, 0
-            held += len(v or "")
-        if start < len(values):
-            yield batch.slice(start), values[start:]
+            held += size
+        if start < batch.num_rows:
+            yield batch.slice(start), listed(values[start:])
+        del batch, values
+    give_back()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -28,6 +28,8 @@ from rackwise.llm.fm_index import FmIndex
 WINDOW = 35
 GRAM = 8
 BLOCK = 2 << 20
+#: Hashes of words that a worker remembers; when there are more, it starts anew.
+WORDS_KEPT = 100_000
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 
@@ -45,7 +47,7 @@ _WORDS = _Hashes()
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words, first word of each text and one past the last)."""
-    if len(_WORDS) > 1_000_000:
+    if len(_WORDS) > WORDS_KEPT:
         _WORDS.clear()
     parts = [np.fromiter(map(_WORDS.__getitem__, ws), np.uint64, len(ws)) for ws in (t.split() for t in texts)]
     return np.concatenate(parts) if parts else np.empty(0, np.uint64), np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
@@ -110,6 +112,7 @@ def contexts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for k, (_, texts) in enumerate(blocks(batches, most=BLOCK)):
             anchor, context, at, n = anchored(*word_hashes(texts), window)
             yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), pa.array(np.full(len(at), task << 32 | k)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int16))], ["anchor", "context", "block", "at", "n"])
+        _WORDS.clear()
 
     return id_text(docs).mapInArrow(run, "anchor long, context long, block long, at int, n short")
 
