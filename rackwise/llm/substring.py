@@ -6,8 +6,8 @@ context of at most 62 words. Contexts are first counted by hash: those found twi
 different contexts, one of each goes to the anchor's shard; a compressed FM-index of the shard's contexts then answers backward
 searches from every window end of the contexts that were found once, and windows that occur twice or more are reported.
 
-Hashes of words, grams and contexts have 64 bits. Blocks of documents are read three times: rows that come from a shuffle are to be stored
-first. Nulls: a null text has no words; a null doc_id and repeated rows are kept, one result row for each.
+Hashes of words, grams and contexts have 64 bits. Documents are dealt into blocks once and stored with their block and place: where Arrow
+batches end depends on the columns sent, so dealing them anew could give other blocks. Nulls: a null text has no words; a null doc_id and repeated rows are kept, one result row for each.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rackwise.llm.common import blocks, id_text, partitions, stored, table
+from rackwise.llm.common import blocks, partitions, stored, table
 from rackwise.llm.fm_index import FmIndex
 
 WINDOW = 35
@@ -91,39 +91,44 @@ def anchored(words: np.ndarray, edges: np.ndarray, window: int = WINDOW) -> tupl
 
 
 def in_blocks(docs: DataFrame, others: tuple[str, ...] = ()) -> DataFrame:
-    """(block, place, doc_id, text binary, others): documents in numbered blocks, the same each time they are read."""
+    """(block, place, first, doc_id, text binary, others): documents in numbered blocks; first: words of the block before the
+    document. To be stored, not read twice."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         for k, (part, texts) in enumerate(blocks(batches, most=BLOCK)):
+            size = np.fromiter((len(t.split()) for t in texts), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(texts), task << 32 | k)), pa.array(np.arange(len(texts), dtype=np.int32)), part.column("doc_id"), pa.array(texts, pa.binary()), *map(part.column, others)], ["block", "place", "doc_id", "text", *others]
+                [pa.array(np.full(len(texts), task << 32 | k)), pa.array(np.arange(len(texts), dtype=np.int32)), pa.array((np.cumsum(size) - size).astype(np.int32)), part.column("doc_id"), pa.array(texts, pa.binary()), *map(part.column, others)],
+                ["block", "place", "first", "doc_id", "text", *others],
             )
 
-    return rows.mapInArrow(run, "block long, place int, doc_id long, text binary" + "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in others))
+    return rows.mapInArrow(run, "block long, place int, first int, doc_id long, text binary" + "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in others))
 
 
-def contexts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(anchor, context, block, at, n): runs of n windows from word `at` of the block."""
+def contexts(texts: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(anchor, context, block, at, n): runs of n windows from word `at` of the block; texts: in_blocks, stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        for k, (_, texts) in enumerate(blocks(batches, most=BLOCK)):
-            anchor, context, at, n = anchored(*word_hashes(texts), window)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), pa.array(np.full(len(at), task << 32 | k)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int16))], ["anchor", "context", "block", "at", "n"])
+        for part, texts in blocks(batches, most=BLOCK):
+            words, edges = word_hashes(texts)
+            anchor, context, at, n = anchored(words, edges, window)
+            doc = np.searchsorted(edges, at, "right") - 1
+            block, first = part.column("block").to_numpy()[doc], part.column("first").to_numpy()[doc]
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), pa.array(block), pa.array((at - edges[doc] + first).astype(np.int32)), pa.array(n.astype(np.int16))], ["anchor", "context", "block", "at", "n"])
         _WORDS.clear()
 
-    return id_text(docs).mapInArrow(run, "anchor long, context long, block long, at int, n short")
+    return texts.select("block", "first", "text").mapInArrow(run, "anchor long, context long, block long, at int, n short")
 
 
 def _ordered(t: pa.Table) -> list[bytes]:
     return t.sort_by("place").column("text").to_pylist()
 
 
-def repeated_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(block, at, n): runs of windows that occur again."""
-    found = stored(contexts(docs, window))
+def repeated_runs(texts: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(block, at, n): runs of windows that occur again in texts (in_blocks, stored)."""
+    found = stored(contexts(texts, window))
     each = found.groupBy("anchor", "context").agg(F.count("*").alias("m"), F.min(F.struct("block", "at", "n")).alias("one"))
     shared = each.groupBy("anchor").agg(F.count("*").alias("k"), F.sum("m").alias("t")).filter("t > 1")
     each = stored(each.join(shared, "anchor").select("anchor", "context", "m", "k", "one"))
@@ -140,9 +145,8 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             }
         )
 
-    texts = in_blocks(docs)
     sent = texts.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(words_of, "shard_key long, asks boolean, block long, at int, words binary")
-    shards = partitions(docs.sparkSession)
+    shards = partitions(texts.sparkSession)
 
     def search(t: pa.Table) -> pa.Table:
         parts = [np.frombuffer(w, np.uint64) for w in t.column("words").to_pylist()]
@@ -183,9 +187,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, others: tuple[str, ..
         kept = [b" ".join(w if not r else [x for x, g in zip(w, gone[a:b].tolist()) if not g]) for w, r, a, b in zip(words, removed.tolist(), edge[:-1].tolist(), edge[1:].tolist())]
         return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array(size), "n_removed": pa.array(removed), "kept": pa.array(kept, pa.binary()).cast(pa.string()), "text": texts.column("text").cast(pa.string()), **{c: texts.column(c) for c in others}})
 
-    runs = repeated_runs(docs, window)
+    dealt = stored(in_blocks(docs, others))
+    runs = repeated_runs(dealt, window)
     kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in others)
-    return in_blocks(docs, others).groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept string, text string" + kinds)
+    return dealt.groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept string, text string" + kinds)
 
 
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,6 +124,22 @@ def test_substring(docs, none):
     assert substring.substring_dedup(none).count() == 0
 
 
+def test_substring_blocks_do_not_depend_on_the_columns(spark, monkeypatch, tmp_path):
+    r = random.Random(8)
+    texts = [" ".join(f"v{r.randrange(10**6)}" for _ in range(100)) for _ in range(400)]
+    for k in range(0, 400, 40):
+        texts[k] = texts[k + 7] = " ".join([texts[k], texts[k + 7][:300]])
+    spark.createDataFrame([(k, t, "x" * 500, "s" * 500, len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/d")
+    monkeypatch.setattr(substring, "BLOCK", 9000)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 10))
+    try:
+        got = substring.substring_dedup(spark.read.parquet(f"{tmp_path}/d"), others=("lang", "source", "n_chars")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert {r.doc_id for r in got if r.n_removed} == {k + j for k in range(0, 400, 40) for j in (0, 7)}
+    assert all(r.n_removed in (0, r.n_words) for r in got) and all(r.text == texts[r.doc_id] for r in got)
+
+
 def test_katz_is_normalised_and_learns(docs, none):
     got = katz.scores(docs, F.col("doc_id") % 3 == 1).collect()
     assert len(got) == len(ROWS) and all(np.isfinite(r.score) and r.score <= 0 for r in got)
