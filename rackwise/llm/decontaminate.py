@@ -3,13 +3,17 @@
 Documents are read once into the numbers of benchmark words (0: any other). TF-IDF weights come from the document frequencies of
 those words over all documents; words in over COMMON of the documents carry no latent weight unless they are among an item's
 RAREST. Passages are windows of 16, 32 and 64 words, each a quarter further on. A window whose benchmark words
-hold less than MASS of its squared weight can't come near any item and is passed over.
+hold less than MASS of its squared weight is not embedded.
 
 A randomised SVD of the TF-IDF passages (all remaining windows and the items) is found in two distributed passes: the range of
 A'A over a random start, and the small Gram matrix in that range; what reaches the driver is bounded by the benchmark's words. Windows and items with a
-latent cosine of NEAR or more are candidates, without a limit on their number. A candidate is reported if the longest common
-subsequence of the item and the words around the window holds SAME of the item's words, or PARAPHRASE of them and the item's
-answer (its last sentence) likewise.
+latent cosine of NEAR or more are candidates, without a limit on their number. Weights grow with the number of documents and a cosine
+may miss what the last check would accept, so candidates also come from exact counts: for items of LEAST words or more, each stretch of
+twice the item's length, half a length further on, that holds PARAPHRASE of the item's words. As a common subsequence is no longer than the
+words in common, every passage of up to one and a half times the item's length that the last check accepts is found.
+
+A candidate is reported if the longest common subsequence of the item and the words around the window (or in the stretch) holds SAME of the
+item's words, or PARAPHRASE of them and the item's answer (its last sentence) likewise.
 
 Items are taken CHUNK at a time, so what is broadcast is bounded. Nulls: null texts and items are empty and match nothing; a null doc_id
 is reported as null. Repeated rows give repeated results; items with the same text are reported each.
@@ -37,6 +41,8 @@ MASS = 0.3
 NEAR = 0.5
 SAME = 0.8
 PARAPHRASE = 0.6
+#: Words of the shortest items that are looked for by counts: shorter ones are anywhere by chance.
+LEAST = 4
 CHUNK = 5_000
 TERM_BLOCKS = 16
 SEED = 5
@@ -126,6 +132,41 @@ class Passages:
                 yield ids, starts[keep], size, np.sqrt(whole[keep])
 
 
+class Stretches:
+    """Items by their words, to find the stretches of a document that hold PARAPHRASE of an item's words."""
+
+    def __init__(self, items: list[np.ndarray], terms: int) -> None:
+        self.own = [np.unique(i, return_counts=True) for i in items]
+        self.length = np.array([len(i) for i in items], np.int64)
+        self.need = np.where(self.length >= LEAST, np.ceil(PARAPHRASE * self.length - 1e-9), np.inf)
+        term = np.concatenate([t for t, _ in self.own])
+        order = np.argsort(term, kind="stable")
+        self.item = np.repeat(np.arange(len(items)), [len(t) for t, _ in self.own])[order]
+        self.times = np.concatenate([n for _, n in self.own])[order]
+        self.edge = np.searchsorted(term[order], np.arange(terms + 1))
+        self.place = np.full(terms, -1, np.int64)
+
+    def within(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, low, high): all stretches with enough of an item's words."""
+        own = np.unique(ids).astype(np.int64)
+        own = own[own > 0]
+        begin, n = self.edge[own], self.edge[own + 1] - self.edge[own]
+        at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        held = np.bincount(self.item[at], self.times[at], minlength=len(self.need))
+        for i in np.flatnonzero(held >= self.need).tolist():
+            terms, times = self.own[i]
+            step = -(-int(self.length[i]) // 2)
+            self.place[terms] = np.arange(len(terms))
+            place = self.place[ids]
+            self.place[terms] = -1
+            at = np.flatnonzero(place >= 0)
+            cells = len(ids) // step + 1
+            count = np.bincount(at // step * len(terms) + place[at], minlength=(cells + 3) * len(terms)).reshape(cells + 3, len(terms))
+            both = np.minimum(count[:-3] + count[1:-2] + count[2:-1] + count[3:], times).sum(axis=1)
+            for k in np.flatnonzero(both >= self.need[i]).tolist():
+                yield i, k * step, (k + 4) * step
+
+
 def _terms(ids: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     """The windows' terms, a row each, 0 beyond the document."""
     at = starts[:, None] + np.arange(size)
@@ -248,10 +289,20 @@ def _chunk_pairs(docs: DataFrame, rows: list, rank: int) -> DataFrame:
     where = np.array([i for i, own in enumerate(ids) if len(own)])
     points = np.array([embed[ids[i]].sum(axis=0) for i in where])
     points /= np.maximum(np.linalg.norm(points, axis=1), 1e-12)[:, None]
-    sent = spark.sparkContext.broadcast((passages, embed, points, where, ids, answers, [r.item_id for r in rows]))
+    point_of = {int(i): p for p, i in enumerate(where)}
+    sent = spark.sparkContext.broadcast((passages, embed, points, where, ids, answers, [r.item_id for r in rows], Stretches(ids, len(weight)), point_of))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages, embed, points, where, items, answers, item_ids = sent.value
+        passages, embed, points, where, items, answers, item_ids, stretches, point_of = sent.value
+
+        def judge(best: dict, i: int, around: np.ndarray, cosine: float) -> None:
+            share = common_subsequence(items[i], around) / len(items[i])
+            if share < PARAPHRASE:
+                return
+            answer = common_subsequence(answers[i], around) >= SAME * len(answers[i])
+            if share >= SAME or answer:
+                best[i] = max(best.get(i, (0.0, 0.0, False)), (share, cosine, bool(answer)))
+
         for batch in batches:
             hits = []
             for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
@@ -269,13 +320,12 @@ def _chunk_pairs(docs: DataFrame, rows: list, rank: int) -> DataFrame:
                         if (i, low // 16) in tried and i in best:
                             continue
                         tried.add((i, low // 16))
-                        around = ids[low:high]
-                        share = common_subsequence(item, around) / len(item)
-                        if share < PARAPHRASE:
-                            continue
-                        answer = common_subsequence(answers[i], around) >= SAME * len(answers[i])
-                        if share >= SAME or answer:
-                            best[i] = max(best.get(i, (0.0, 0.0, False)), (share, float(cosine[w, p]), bool(answer)))
+                        judge(best, i, ids[low:high], float(cosine[w, p]))
+                ids = np.frombuffer(raw or b"", passages.kind)
+                for i, low, high in stretches.within(ids):
+                    if i not in best:
+                        z = embed[ids[low:high]].sum(axis=0)
+                        judge(best, i, ids[low:high], float(z @ points[point_of[i]] / max(float(np.linalg.norm(z)), 1e-12)))
                 hits += [(doc, item_ids[i], c, s, a) for i, (s, c, a) in sorted(best.items())]
             names = [c.split()[0] for c in PAIRS.split(", ")]
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]

@@ -192,3 +192,25 @@ def test_decontamination(spark, none):
     got = decontaminate.contaminated_pairs(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(k, k) for k in range(8)}
     assert decontaminate.contaminated_pairs(none, bench).count() == 0
+
+
+def test_decontamination_recall(spark):
+    """Paraphrases that the last check accepts."""
+    r = random.Random(21)
+    words = [f"q{k}" for k in range(3000)]
+    draw = lambda n: [words[min(int(r.paretovariate(0.6)), 3000) - 1] for _ in range(n)]
+    items = [draw(n) for n in [15, 20, 30, 38, 59] * 8]
+    rows, want = [], set()
+    for i, item in enumerate(items):
+        text = [w if r.random() > 0.3 else f"new{r.randrange(10**6)}" for w in item]
+        share = decontaminate.common_subsequence(*(np.array([hash(w) for w in x]) for x in (item, text))) / len(item)
+        if share < 0.8 and not (share >= 0.6 and text[-5:] == item[-5:]):
+            continue
+        around = [f"o{r.randrange(10**6)}" for _ in range(80)]
+        want.add((i, i))
+        rows.append((i, " ".join(around[:33] + text + around[33:])))
+    rows += [(1000 + k, " ".join(draw(100))) for k in range(200)]
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated_pairs(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    print("recall", len(want & got), len(want))
+    assert want and want <= got
