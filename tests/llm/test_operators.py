@@ -214,3 +214,18 @@ def test_decontamination_recall(spark):
     got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated_pairs(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
     print("recall", len(want & got), len(want))
     assert want and want <= got
+
+
+def test_decontamination_of_short_items(spark):
+    """Items of 4 to 12 words, word for word, are found however many documents there are."""
+    r = random.Random(22)
+    words = [f"q{k}" for k in range(3000)]
+    draw = lambda n: [words[min(int(r.paretovariate(0.6)), 3000) - 1] for _ in range(n)]
+    items = [draw(n) for n in [4, 6, 8, 10, 12] * 4]
+    rows = [(i, " ".join([f"o{r.randrange(10**6)}" for _ in range(40)] + item + [f"o{r.randrange(10**6)}" for _ in range(40)])) for i, item in enumerate(items)]
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    for more in (0, 3000):
+        docs = rows + [(1000 + k, f"z{k} z{k + 1}") for k in range(more)]
+        got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated_pairs(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+        print("found", len(got & {(i, i) for i in range(20)}), "with", more)
+        assert {(i, i) for i in range(20)} <= got
