@@ -5,6 +5,9 @@ what is seen there (tag; words of class, id and role; a block's length, links an
 child. Both are smoothed frequencies counted on labelled pages. Sum-product messages go up from the leaves and down from the root once; blocks
 of text whose marginal of content is at least one half are the page's text.
 
+<head> and </head> may be left out: neither makes a node. Scripts, styles, titles and text areas without an end run to the end of the page, as in browsers;
+other silent elements without an end, or closed in themselves, are only a tag.
+
 Inline tags and <br> don't end a block; white space inside a block becomes one space; blocks are joined by one line break. Scripts,
 styles, comments and form controls have no text. Nulls: a null html is empty, with empty text; null ids and urls and repeated
 rows are kept, one result row for each.
@@ -28,15 +31,18 @@ from rackwise.llm.html_pages import labelled_pages
 SKELETON, CONTENT, BOILERPLATE = range(3)
 
 #: HTML's tags by their part in a page's text.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr object canvas math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = "script|style|noscript|template|svg|iframe|textarea|select|object|head|canvas|math"
+SILENT = frozenset("script style title textarea noscript template svg iframe select annotation annotation-xml".split())
+TO_THE_END = frozenset("script style title textarea".split())
+OF_HEAD = frozenset("base basefont bgsound link meta".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 ITEMS = {"li": ("li", ("ul", "ol")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 AGAINST = frozenset("ad ads adv advert advertisement banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright disqus footer form header login masthead menu modal nav navbar navigation newsletter notice popup promo recommended related replies reply search share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget".split())
 FOR = frozenset("article body content entry main post story text".split())
 
-TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<({SILENT})\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<()({'|'.join(sorted(SILENT))})(?=[\s/>])([^>]*)>", re.S | re.I)
+END = {t: re.compile(rf"</{t}\s*>", re.I) for t in SILENT}
 NAMED = re.compile(r"""\b(class|id|role|data-l)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 PART = re.compile(r"[a-z]+")
 
@@ -101,22 +107,42 @@ def parse(page: str) -> Tree:
             if open_tags[k][0] in within:
                 return
 
-    for m in TOKEN.finditer(page):
+    unclosed: set[str] = set()
+    in_head = False
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             put(page[at : m.start()])
         at = m.end()
-        if not m[3]:
-            if m[1] and m[1].lower() != "head":
-                run.append(" ")
+        ends, tag, attributes = m.groups()[:3] if m[2] else m.groups()[3:]
+        if not tag:
+            continue
+        tag = tag.lower()
+        if tag in SILENT:
+            run.append(" ")
+            alone = attributes.endswith("/")
+            if ends or alone and tag not in TO_THE_END:
+                continue
+            end = None if tag in unclosed else END[tag].search(page, at)
+            if end:
+                at = end.end()
+            elif tag in TO_THE_END and not alone:
+                at = len(page)
+            else:
+                unclosed.add(tag)
+            continue
+        if tag == "head":
+            in_head = not ends
+            continue
+        in_head = in_head and tag in OF_HEAD
+        if in_head:
             continue
-        tag = m[3].lower()
         if tag in INLINE:
             if tag == "a":
-                in_link = 0 if m[2] else 1
+                in_link = 0 if ends else 1
             elif tag == "br":
                 run.append(" ")
             continue
-        if m[2]:
+        if ends:
             if tag == "p" and not any(t == "p" for t, _ in open_tags):
                 end_block()
             close((tag,))
@@ -131,9 +157,9 @@ def parse(page: str) -> Tree:
             names = names.split()
             for _ in names:
                 close(tuple(names), within)
-        names, mark = _names(m[4]) if m[4] else ("names=none", "")
+        names, mark = _names(attributes) if attributes else ("names=none", "")
         node = tree.add(open_tags[-1][1], ("tag=" + tag, names), mark)
-        if tag not in VOID and not m[4].endswith("/"):
+        if tag not in VOID and not attributes.endswith("/"):
             open_tags.append((tag, node))
     if at < len(page):
         put(page[at:])

@@ -229,3 +229,17 @@ def test_decontamination_of_short_items(spark):
         got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated_pairs(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
         print("found", len(got & {(i, i) for i in range(20)}), "with", more)
         assert {(i, i) for i in range(20)} <= got
+
+
+def test_html_without_head_end_and_alone():
+    model = html_text.Model(sum(map(html_text.evidence_counts, labelled_pages()), Counter()))
+    words = "Some words of the old road in winter, and more of them by the river."
+    article = f"<article><h1>Old road</h1><p>{words}</p>" + "<p>{}</p></article>"
+    want = f"Old road\n{words}\n"
+    assert model.text(f"<html><head><meta charset=x><title>x</title><body>{article.format(words)}</body></html>") == want + words
+    assert model.text(f"<html><head><title>x</title><style>p {{}}</style>{article.format(words)}") == want + words
+    for tag in ("<svg/>", "<svg>", "<iframe src='x'/>", "<select/>", "<select>", "<object data='x'/>", "<object>", "<canvas/>", "<canvas>", "<template>", "<noscript>"):
+        assert model.text(f"<html><head><title>x</title></head><body>{article.format(tag + words)}</body></html>") == want + words, tag
+    assert model.text(f"<html><body>{article.format(words + ' So <math><mi>a</mi><mo>=</mo><mn>2</mn></math> holds. <object>Shown</object> <canvas>here</canvas>.')}</body></html>") == want + words + " So a=2 holds. Shown here."
+    hidden = "<script>var a = '<p>no</p>'</script><select><option>no</select><svg><text>no</text></svg><style>no"
+    assert model.text(f"<html><body>{article.format(words + hidden)}") == want + words
