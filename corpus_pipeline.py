@@ -53,7 +53,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("simhash_near_dedup", drop_near_copies), ("substring_dedup", cut_repeats), ("benchmark_decontamination", drop_contaminated), ("bpe_round_trip", encode)]
 
-#: No stage but the last could be put into SQL; the tests hold each against a brute-force version.
+#: No stage but the last could be put into SQL; the tests cover the operators, not yet the stages and run().
 ORACLE_SQL = None
 
 
