@@ -12,13 +12,11 @@ BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(
 WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+"
 #: White space as the Unicode property has it (unlike \s in Python, without \x1c-\x1f).
 SPACE = r"\t-\r \x85\xa0  -     　"
-#: In texts of these characters only, the ranges below are all letters and numbers there are.
-USUAL = re.compile("[^\x00-ɏ‐-‧‰-⁔]")
+#: In texts of these characters only (none of this pattern), the ranges below are all letters and numbers there are, and str.split() cuts at SPACE.
+USUAL = re.compile("[^\x00-\x1b\x20-ɏ‐-‧‰-⁔]")
 LATIN = {"L": "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "N": "0-9\xb2\xb3\xb9\xbc-\xbe", "S": SPACE}
 WIDE = {"L": r"\p{L}", "N": r"\p{N}", "S": SPACE}
 
-#: Encodings of pre-tokens that a worker keeps; when there are more, it starts anew.
-KEPT = 1_200_000
 
 
 def finders(pattern: str):

@@ -33,41 +33,47 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(values)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.uint32)
-    at = np.arange(0, n, BLOCK)
+    lanes = np.arange(-(-n // BLOCK))
     wide = BLOCK + int(COUNTS[0])  # zeros after each block: whatever is left of it fits
-    need = np.zeros((len(at), wide), np.int8)
-    need.ravel()[np.arange(n) + np.arange(n) // BLOCK * int(COUNTS[0])] = _bit_lengths(values)
-    ahead = np.lib.stride_tricks.sliding_window_view(need.ravel(), int(COUNTS[0]))
-    cuts = np.append(0, COUNTS[:0:-1])
-    lanes, place_in, left = np.arange(len(at)), np.zeros(len(at), np.int64), np.minimum(n - at, BLOCK)
-    taken, owner, chosen, step = [], [], [], []
+    padded = np.zeros((len(lanes), wide), np.uint64)
+    whole = n // BLOCK
+    padded[:whole, :BLOCK] = values[: whole * BLOCK].reshape(whole, BLOCK)
+    padded[whole:, : n - whole * BLOCK] = values[whole * BLOCK :]
+    padded = padded.ravel()
+    # For each place the selector with the most values that all fit: the most bits among the next 1, 2, 3, ... values grow step by step.
+    most, span = _bit_lengths(padded), 1
+    selector = np.full(len(padded), ESCAPE, np.int8)
+    for s in range(len(COUNTS) - 1, -1, -1):
+        by = int(COUNTS[s]) - span
+        if by:
+            most = np.maximum(most, np.append(most[by:], np.zeros(by, np.int8)))
+            span += by
+        selector[most <= BITS[s]] = s
+    ahead = np.append(COUNTS, [1, 1])
+    place_in, left = np.zeros(len(lanes), np.int64), np.minimum(n - lanes * BLOCK, BLOCK)
+    taken = []
     while len(lanes):  # one word of each block at a time
-        most = np.maximum.accumulate(np.maximum.reduceat(ahead[lanes * wide + place_in], cuts, axis=1), axis=1)[:, ::-1]
-        fits = most <= BITS
-        s = np.where(fits.any(axis=1), fits.argmax(axis=1), ESCAPE)
-        k = np.minimum(np.append(COUNTS, [1, 1])[s], left)
-        taken.append(lanes * BLOCK + place_in)
-        owner.append(lanes)
-        chosen.append(s)
-        step.append(k)
+        at = lanes * wide + place_in
+        taken.append(at)
+        k = ahead[selector[at]]
         place_in, left = place_in + k, left - k
         on = left > 0
         lanes, place_in, left = lanes[on], place_in[on], left[on]
-    taken = np.concatenate(taken)
-    order = np.argsort(taken)
-    taken, owner, chosen, step = taken[order], *(np.concatenate(x)[order] for x in (owner, chosen, step))
-    size = 1 + (chosen == ESCAPE)
+    taken = np.sort(np.concatenate(taken))
+    chosen = selector[taken].astype(np.int64)
+    raw = chosen == ESCAPE
+    size = 1 + raw
     place = np.cumsum(size) - size
     words = np.zeros(int(size.sum()), np.uint64)
-    words[place] = chosen
     for s in range(len(COUNTS)):
         mine = np.flatnonzero(chosen == s)
-        for k in range(COUNTS[s]):
-            use = mine[k < step[mine]]
-            words[place[use]] |= values[taken[use] + k] << np.uint64(4 + k * BITS[s])
-    raw = chosen == ESCAPE
-    words[place[raw] + 1] = values[taken[raw]]
-    return words, place[np.searchsorted(owner, np.arange(owner[-1] + 1))].astype(np.uint32)
+        word, at = np.full(len(mine), s, np.uint64), taken[mine]
+        for k in range(COUNTS[s] if len(mine) else 0):
+            word |= padded[at + k] << np.uint64(4 + k * BITS[s])
+        words[place[mine]] = word
+    words[place[raw]] = ESCAPE
+    words[place[raw] + 1] = padded[taken[raw]]
+    return words, place[np.searchsorted(taken, np.arange(-(-n // BLOCK)) * wide)].astype(np.uint32)
 
 
 def decode(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:

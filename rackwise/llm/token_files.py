@@ -5,13 +5,14 @@ document is cut), each with the documents' ids and lengths, a table that ranks t
 ids get few bits), the first word of each block of 4,096 ids, and the words. Files are written and read by Spark, so they lie wherever Spark can write;
 a file's number and a segment's number give the order.
 
-Nulls: a null text is empty (only the end id). Null doc_ids come first. Rows with the same doc_id are in order of their text; the
-whole rows are kept, one result row for each.
+Nulls: a null text is empty (only the end id). Null doc_ids come first. Rows with the same doc_id are in order of
+their text's hash and kept, one result row for each. A text of any length is cut over segments; empty tables give empty files.
 """
 
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,53 +23,81 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rackwise.llm import simple8b
+from rackwise.llm.bpe import byte_alphabet
 from rackwise.llm.common import blocks, id_text, partitions, scratch_dir, table
-from rackwise.llm.pretokens import KEPT, USUAL, WORD_LEVEL, file_of, finders
+from rackwise.llm.pretokens import USUAL, WORD_LEVEL, file_of, finders
 
 TOKENIZER = "word_bpe_49k.json"
 END = 2
 SEGMENT = 1 << 22
+#: Distinct runs of text between white space that a worker remembers; when there are more, it starts anew.
+CHUNKS_KEPT = 800_000
 FILE = "file int, segment int, n_ids long, n_docs long, doc_ids binary, null_ids binary, lengths binary, ranked binary, starts binary, words binary"
 
 
+class _Chunks(dict):
+    """Numbers of the runs of text between white space, kept while they come again; `fresh` are those not encoded yet."""
+
+    def __init__(self) -> None:
+        self.fresh: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = n = len(self)
+        self.fresh.append(chunk)
+        return n
+
+
 class WordEncoder:
-    """The library's ids of whole texts. It encodes each distinct pre-token once: many at a time, apart by spaces, and cut
-    where a piece ends a word. Texts with special strings or uncommon characters go to the library whole."""
+    """The library's ids of whole texts. Each distinct run between white space is cut into pre-tokens once, and each distinct
+    pre-token of these goes once to the library's model. Texts with special strings or uncommon characters go to the library whole."""
 
     def __init__(self, name: str) -> None:
         self.library = Tokenizer.from_file(file_of(name))
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
         self.find, _ = finders(WORD_LEVEL)
-        vocabulary = self.library.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        for s, i in vocabulary.items():
-            self.ends[i] = s.endswith("</w>")
+        self.stand = {b: s for s, b in byte_alphabet().items()}
         self.specials = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 5000):
-            part = words[at : at + 5000]
-            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            edge = np.flatnonzero(self.ends[ids]) + 1
-            if len(edge) == len(part):
-                raw, edge = ids.tobytes(), (edge * 4).tolist()
-                self.known.update(zip(part, [raw[a:b] for a, b in zip([0, *edge], edge)]))
+        self.forget()
+
+    def forget(self) -> None:
+        self.chunks = _Chunks()
+        self.ids, self.sizes = array("I"), array("I")
+
+    def learn(self) -> None:
+        fresh, self.chunks.fresh = self.chunks.fresh, []
+        parts = [self.find(c) for c in fresh]
+        known: dict[str, list[int]] = {}
+        for pre in {p for ps in parts for p in ps}:
+            known[pre] = [t.id for t in self.model.tokenize(pre if pre.isascii() and pre.isprintable() else pre.encode().decode("latin-1").translate(self.stand))]
+        for ps in parts:
+            before = len(self.ids)
+            for p in ps:
+                self.ids.extend(known[p])
+            self.sizes.append(len(self.ids) - before)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.chunks) > CHUNKS_KEPT:
+            self.forget()
+        number, plain = self.chunks.__getitem__, []
+        for t in texts:
+            low = t.lower()
+            if USUAL.search(low) or any(s in t for s in self.specials):
+                plain.append(None)
             else:
-                self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, self.library.encode_batch(part, add_special_tokens=False)))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [None if USUAL.search(t) or any(s in t for s in self.specials) else self.find(t.lower()) for t in texts]
-        if len(self.known) > KEPT:
-            self.known.clear()
-        fresh: set[str] = set()
-        for words in plain:
-            if words:
-                fresh.update(words)
-        self.learn(sorted(fresh - self.known.keys()))
-        of = self.known.__getitem__
-        return [np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if words is None else b"".join(map(of, words)) for t, words in zip(texts, plain)]
+                chunks = low.split()
+                plain.append(np.fromiter(map(number, chunks), np.int64, len(chunks)))
+        self.learn()
+        pool, sizes = np.array(self.ids, "<u4"), np.array(self.sizes, np.int64)
+        first, out = np.cumsum(sizes) - sizes, []
+        for t, chunks in zip(texts, plain):
+            if chunks is None:
+                out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4"))
+                continue
+            n = sizes[chunks]
+            out.append(pool[np.repeat(first[chunks] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
+        return out
 
 
 _LOADED: dict[str, WordEncoder] = {}
@@ -99,13 +128,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, en
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, file = encoder(tokenizer), TaskContext.get().partitionId()
-        tail, held, size, segment = end.to_bytes(4, "little"), [], 0, 0
+        tail, held, size, segment = np.array([end], "<u4"), [], 0, 0
 
         def out() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(x for _, x, _ in held), "<u4")
+            ids = np.concatenate([x for _, x, _ in held])
             doc_ids = np.array([i or 0 for i, _, _ in held], "<i8").tobytes()
             # The length's top bit says that the document goes on in the next segment.
-            lengths = np.array([len(x) // 4 | on << 31 for _, x, on in held], "<u4").tobytes()
+            lengths = np.array([len(x) | on << 31 for _, x, on in held], "<u4").tobytes()
             nulls = np.packbits([i is None for i, _, _ in held]).tobytes()
             row = [file, segment, len(ids), len(held), doc_ids, nulls, lengths, *pack(ids)]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64()] + [pa.binary()] * 6
@@ -113,14 +142,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, en
 
         for part, texts in blocks(batches, as_bytes=False):
             for doc, ids in zip(part.column("doc_id").to_pylist(), encode.encode(texts)):
-                ids += tail
+                ids = np.concatenate((ids, tail))
                 at = 0
                 while True:
-                    take = min(len(ids) - at, 4 * segment_ids - size)
+                    take = min(len(ids) - at, segment_ids - size)
                     if take or at == len(ids):
                         held.append((doc, ids[at : at + take], at + take < len(ids)))
                     at, size = at + take, size + take
-                    if size == 4 * segment_ids:
+                    if size == segment_ids:
                         yield out()
                         held, size, segment = [], 0, segment + 1
                     if at == len(ids):
@@ -129,7 +158,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, en
             yield out()
 
     spark = docs.sparkSession
-    ranged = id_text(docs).repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows without an id or with the same one are dealt out by their text's hash, and equal ones by where they were read.
+    keyed = id_text(docs).withColumn("hash", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    ranged = keyed.repartitionByRange(partitions(spark), "doc_id", "hash", "row").sortWithinPartitions("doc_id", "hash", "row").select("doc_id", "text")
     ranged.mapInArrow(run, FILE).write.option("compression", "none").parquet(path)
     return spark.read.schema(FILE).parquet(path)
 

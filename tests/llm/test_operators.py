@@ -59,7 +59,7 @@ def test_token_counts(docs, none):
 def test_token_files(docs, none, tmp_path):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     at, want = 0, []
-    for i, text in sorted(((i, x or "") for i, x, *_ in ROWS), key=lambda r: (r[0] is not None, r)):
+    for i, text in sorted(((i, x or "") for i, x, *_ in ROWS), key=lambda r: (r[0] is not None, r[0])):
         ids = t.encode(text, add_special_tokens=False).ids + [2]
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
@@ -69,6 +69,25 @@ def test_token_files(docs, none, tmp_path):
     assert token_files.token_digests(token_files.write_token_files(none, f"file://{tmp_path}/none")).count() == 0
 
 
+def test_word_encoder_is_the_library():
+    """Every usual character, capitals whose small letters are beyond them, other scripts, and the special strings."""
+    e, r = token_files.encoder(token_files.TOKENIZER), random.Random(5)
+    odd = [chr(i) for i in [*range(0x250), *range(0x2000, 0x2060)]] + list("абвЖΣσς你好नमعK\u0345\u0301Åẞ😀") + ["<|endoftext|>", "<|startoftext|>", "'s", "'LL", "\n"]
+    texts = ["".join(r.choice(odd if r.random() < 0.5 else "abcXYZ 'ſ1.") for _ in range(r.randrange(30))) for _ in range(10_000)] + ["a" + c for c in odd] + [c + "b" for c in odd]
+    for t, got in zip(texts, e.encode(texts)):
+        assert got.tolist() == e.library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_token_ids_are_read_back(docs, tmp_path):
+    files = token_files.write_token_files(docs, f"file://{tmp_path}/f", segment_ids=50)
+    assert files.count() > 5 and files.agg(F.sum("n_ids")).first()[0] == token_files.read_token_ids(files).select(F.explode("ids")).count()
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = {}
+    for x in sorted(token_files.read_token_ids(files).filter("doc_id <> 5").collect(), key=lambda x: (x.file, x.segment, x.at)):
+        got[x.doc_id] = got.get(x.doc_id, []) + x.ids
+    assert got == {i: t.encode(x or "", add_special_tokens=False).ids + [2] for i, x, *_ in ROWS if i not in (5, None)}
+
+
 @pytest.mark.parametrize("high", [1, 2, 300, 50_000, 2**40, 2**63])
 def test_simple8b(high):
     for n in (0, 1, 4096, 4097, 9000):
