@@ -15,15 +15,20 @@ from pyspark.sql import functions as F
 #: Words are the runs of bytes outside \x20 and \x09-\x0D; bytes.split() splits at exactly those.
 BLOCK_BYTES = 8 << 20
 
+#: Lower-case A-Z; every other byte of ASCII that isn't a letter or digit is a space.
+FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The shared folder the cluster names in spark.checkpoint.dir; one of our own only where it is unset and all runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-checkpoints-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(root)
     return root

@@ -29,8 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rackwise.llm.common import blocks, id_text, stored, table
-from rackwise.llm.toxicity import FOLD
+from rackwise.llm.common import FOLD, blocks, id_text, stored, table
 
 RANK = 128
 MORE = 16

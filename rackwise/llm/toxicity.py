@@ -1,273 +1,360 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
-Terms are 5-byte grams and beginnings (up to 12 bytes) of lower-case words with a space at each end, chosen for their association with the label in a sample of
-at most SAMPLE labelled rows (the smallest hashes of doc_id); an Aho-Corasick automaton counts them in every text. Document
-frequencies cover all documents. The sample's rows are the examples. They lie in blocks, and per term each block has its
-largest weight: a block is opened only while the sum of these bounds can still beat the K-th best cosine, so the K nearest
-are exact. Votes are calibrated on the examples themselves, each left out of its own vote; texts without any term get the share
-of toxic examples among those without one.
-
-What is broadcast (terms, examples) is bounded by TERMS and SAMPLE. Nulls: a null text is empty and has no term; null
-labels are left out; a null doc_id is never held out and never an example. Repeated rows are kept, one result row for each.
+Terms are all words (runs of letters and digits, A-Z as a-z) of a sample of at most SAMPLE labelled rows (the smallest hashes of
+doc_id); the sample's rows are the examples. A term weighs (1 + ln count) * idf * relevance; document frequencies cover all documents, and
+relevance is 1, or more where even the lower confidence bound of a term's share of toxic examples is above the overall share. No term is
+left out, so a text that shares any word with an example has neighbours.
+
+Index: examples lie in blocks; each term's list has, per block, its largest weight. Words that many examples hold are kept as columns of a
+matrix, where a batch of texts is multiplied at once. A block is opened only if the sum of its bounds can still beat the K-th
+best cosine, so the K nearest are exact (cosines to six decimals; ties in the order of the index). Votes are weighted by the squared ratio
+of each cosine to the best one, and calibrated by isotonic regression on the examples, each left out of its own vote (a Spark job); texts
+without any known word get the share of toxic examples among those without neighbours.
+
+What is broadcast (vocabulary, examples) is bounded by SAMPLE texts. Nulls: a null text is empty and has no term; null labels are left
+out; a null doc_id is never held out and never an example. Of several texts with a labelled doc_id the least is the example; several labels of a doc_id count as
+their largest; equal texts are one example, toxic if half or more of their labels are. Without labels or examples every score is 0.1. Texts of any
+length are taken whole. Repeated rows are kept, one result row for each; columns with other names are never read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import uuid
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rackwise.llm.common import blocks, id_text, partitions, stored, table
+from rackwise.llm.common import FOLD, blocks, id_text, partitions, stored, table
 
 SAMPLE = 12_000
-TERMS = 2048
-LEAST_DOCS = 3
-#: Log-likelihood ratio against no association that a term needs: above the logarithm of the number of grams there are to choose from.
-EVIDENCE = 17.0
-GRAM = 5
-LONGEST = 12
 K = 15
-#: Weight of no toxicity in each vote: neighbours that are all distant can't make a vote as large as close ones do.
-PRIOR = 5.0
-#: Scores of term counts that a worker remembers, for copies and texts with few terms; when there are more, it starts anew.
-SCORES_KEPT = 20_000
+#: Weight of the log odds above the overall share in a term's relevance, and standard errors of the lower bound.
+RELEVANCE = 3.0
+ERRORS = 2.0
+#: Examples to a block of the index; terms of at least this share of the examples are columns of the matrix.
 BLOCK = 32
+COMMON = 0.03
+#: Texts that are multiplied at once, bytes of text cut into words at once, and results a worker remembers for copies.
+QUERIES = 64
+AT_A_TIME = 2 << 20
+SCORES_KEPT = 20_000
 THRESHOLD = 0.7
 
-#: Lower-case A-Z; every other byte of ASCII that isn't a letter or digit is a space.
-FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
-
-
-def grams(text: bytes) -> set[bytes]:
-    found: set[bytes] = set()
-    for w in set(text.translate(FOLD).split()):
-        w = b" " + w + b" "
-        found.update([w[i : i + GRAM] for i in range(max(1, len(w) - GRAM + 1))])
-        found.update([w[:n] for n in range(GRAM + 1, min(len(w), LONGEST) + 1)])
-    return found
-
 
 def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, toxic) of at most `sample` labelled rows that are not held out; the same rows each time."""
+def examples(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, text, toxic): distinct texts of at most `sample` labelled rows that are not held out; the same each time."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out())
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = id_text(docs).join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    return chosen.groupBy("text").agg(F.min("doc_id").alias("doc_id"), (F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
+
+
+class _Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def word_vectors(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(hashes of the words, rising; how often each occurs) of each text."""
+    number = _Numbers()
+    get, parts = number.__getitem__, []
+    for t in texts:
+        words = t.translate(FOLD).split()
+        parts.append(np.unique(np.fromiter(map(get, words), np.int64, len(words)), return_counts=True))
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, 11) for w in number), np.uint64, len(number))
+    out = []
+    for own, n in parts:
+        h = hashes[own]
+        order = np.argsort(h)
+        out.append((h[order], n[order]))
+    return out
+
+
+def known_terms(vocabulary: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The vectors with places in the vocabulary in place of hashes, without other words."""
+    out = []
+    for h, n in found:
+        at = np.searchsorted(vocabulary, h)
+        at[at == len(vocabulary)] = 0
+        mine = vocabulary[at] == h if len(vocabulary) else np.zeros(len(h), bool)
+        out.append((at[mine], n[mine]))
+    return out
+
+
+def example_vectors(chosen: DataFrame) -> DataFrame:
+    """(doc_id, toxic, hashes binary, counts binary) of examples(doc_id, text, toxic)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in blocks(batches, most=AT_A_TIME):
+            found = word_vectors(texts)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in found], pa.binary())], ["doc_id", "toxic", "hashes", "counts"])
 
-def choose_terms(examples: DataFrame, terms: int = TERMS) -> list[bytes]:
-    """The terms with the strongest association, from examples(text, toxic). Collected: at most `terms` rows."""
+    return chosen.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, hashes binary, counts binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, toxic, n = Counter(), Counter(), [0, 0]
-        for part, texts in blocks(batches):
-            for text, y in zip(texts, part.column("toxic").to_pylist()):
-                found = grams(text)
-                total.update(found)
-                n[0] += 1
-                if y:
-                    toxic.update(found)
-                    n[1] += 1
-        total[b""], toxic[b""] = n
-        keys = list(total)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([total[k] for k in keys], pa.int64()), pa.array([toxic[k] for k in keys], pa.int64())], ["term", "n", "a"])
-
-    counts = examples.select("text", "toxic").mapInArrow(run, "term binary, n long, a long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
-    counts = stored(counts.filter(f"a >= {LEAST_DOCS} OR length(term) = 0"))
-    whole = counts.filter("length(term) = 0").first()
-    if whole is None or not whole.a or whole.a == whole.n:
-        return []
-    share = whole.a / whole.n
-    rest = F.col("n") - F.col("a")
-    part = lambda k, p: F.when(k > 0, k * F.log(k / (F.col("n") * p))).otherwise(0.0)
-    best = counts.filter("length(term) > 0").filter(F.col("a") > F.col("n") * share).withColumn("evidence", part(F.col("a"), share) + part(rest, 1 - share)).filter(F.col("evidence") >= EVIDENCE)
-    return [bytes(r.term) for r in best.orderBy(F.desc("evidence"), "term").limit(terms).collect()]
-
-
-class Matcher:
-    def __init__(self, terms: list[bytes]) -> None:
-        self.automaton = ahocorasick.Automaton()
-        for i, t in enumerate(terms):
-            self.automaton.add_word(t.decode("latin-1"), i)
-        self.automaton.make_automaton()
-        self.some = bool(terms)
-
-    def counts(self, text: bytes) -> tuple[list[int], list[int]]:
-        """Terms of a text and how often each occurs."""
-        if not self.some or not text:
-            return [], []
-        found = Counter(i for _, i in self.automaton.iter(" " + text.translate(FOLD).decode("latin-1") + " "))
-        keys = sorted(found)
-        return keys, [found[k] for k in keys]
-
-
-def term_counts(docs: DataFrame, terms: list[bytes]) -> DataFrame:
-    """(doc_id, terms array, counts array) of every row."""
+
+def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
+    """Documents that hold each term, and documents in all. Each task sends its own terms once; at most the vocabulary comes back."""
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(terms)
-        for part, texts in blocks(batches):
-            found = [matcher.counts(t) for t in texts]
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([k for k, _ in found], kind), pa.array([c for _, c in found], kind)], ["doc_id", "terms", "counts"])
+        n = np.zeros(len(sent.value) + 1, np.int64)  # the last counts documents
+        for _, texts in blocks(batches, most=AT_A_TIME):
+            n[-1] += len(texts)
+            for at, _ in known_terms(sent.value, word_vectors(texts)):
+                n[at] += 1
+        some = np.flatnonzero(n)
+        for k in range(0, len(some), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(some[k : k + 50_000].astype(np.int32)), pa.array(n[some[k : k + 50_000]])], ["term", "n"])
+
+    got = id_text(docs).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(vocabulary) + 1, np.int64)
+    out[got.column("term").to_numpy()] = got.column("n").to_numpy()
+    return out[:-1], int(out[-1])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, terms array<int>, counts array<int>")
+
+def relevance(terms: np.ndarray, toxic: np.ndarray, n_terms: int, share: float) -> np.ndarray:
+    """1, and more for terms that toxic examples hold more often; terms and toxic: one entry for each example and term of it."""
+    if not 0 < share < 1:
+        return np.ones(n_terms)
+    n, a = np.bincount(terms, minlength=n_terms), np.bincount(terms[toxic], minlength=n_terms)
+    p = (a + share) / (n + 1)
+    low = np.clip(p - ERRORS * np.sqrt(p * (1 - p) / (n + 1)), 1e-9, 1 - 1e-9)
+    return 1 + RELEVANCE * np.maximum(0, np.log(low / (1 - low)) - np.log(share / (1 - share)))
+
+
+def _spans(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... n[0] numbers, then those of first[1], ..."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
 class Index:
-    """Block-max inverted index over unit TF-IDF vectors of the examples."""
-
-    def __init__(self, ids: list[int], labels: list[int], found: list[tuple[list[int], list[int]]], idf: np.ndarray) -> None:
-        self.idf = idf
-        rows = [self.unit(t, c) for t, c in found]
-        # Examples with the same heaviest term lie together, so that few blocks have large bounds for a query.
-        order = sorted((k for k in range(len(rows)) if len(rows[k][0])), key=lambda k: (int(rows[k][0][np.argmax(rows[k][1])]), ids[k]))
-        self.ids = np.array([ids[k] for k in order], np.int64)
-        self.labels = np.array([labels[k] for k in order], float)
-        self.n_blocks = -(-len(order) // BLOCK)
-        #: Per block: its terms, and for each of them the weights of the block's examples. Per term: its blocks and their largest weights.
-        self.lists: list[tuple[np.ndarray, np.ndarray]] = []
-        most: dict[int, list[tuple[int, float]]] = {}
-        for b in range(self.n_blocks):
-            members = [rows[k] for k in order[b * BLOCK : (b + 1) * BLOCK]]
-            terms = np.unique(np.concatenate([t for t, _ in members]))
-            weights = np.zeros((len(terms), len(members)))
-            for n, (t, w) in enumerate(members):
-                weights[np.searchsorted(terms, t), n] = w
-            self.lists.append((terms, weights))
-            for t, w in zip(terms.tolist(), weights.max(1).tolist()):
-                most.setdefault(t, []).append((b, w))
-        self.bounds = {t: (np.array([b for b, _ in entries]), np.array([w for _, w in entries])) for t, entries in most.items()}
-
-    def unit(self, terms: list[int], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array(terms, np.int64)
-        w = (1 + np.log(np.array(counts, float))) * self.idf[t] if len(t) else np.zeros(0)
-        return t, w / (np.sqrt((w * w).sum()) or 1)
-
-    def nearest(self, terms: list[int], counts: list[int], k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        """(places, cosines) of the k nearest examples with a positive cosine; ties by place. Exact."""
-        t, w = self.unit(terms, counts)
-        bound = np.zeros(self.n_blocks)
-        for x, q in zip(t.tolist(), w.tolist()):
-            if x in self.bounds:
-                block, most = self.bounds[x]
-                bound[block] += q * most
-        query = np.zeros(len(self.idf))
-        query[t] = w
-        places, cosines, worst = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(places) == k and bound[b] < worst - 1e-12):
-                break
-            listed, weights = self.lists[b]
-            got = query[listed] @ weights
-            hit = np.flatnonzero(got > max(0.0, worst - 1e-12) if len(places) == k else got > 0)
-            if not len(hit):
-                continue
-            places, cosines = np.concatenate((places, hit + b * BLOCK)), np.concatenate((cosines, got[hit]))
-            keep = np.lexsort((places, -np.round(cosines, 12)))[:k]
-            places, cosines = places[keep], cosines[keep]
-            worst = cosines[-1]
-        return places, cosines
+    """Block-max inverted index over unit vectors of the examples."""
+
+    def __init__(self, ids: list[int], labels: list[int], found: list[tuple[np.ndarray, np.ndarray]], weight: np.ndarray) -> None:
+        n, size = len(found), np.array([len(t) for t, _ in found])
+        t = np.concatenate([t for t, _ in found]).astype(np.int32)
+        row = np.repeat(np.arange(n, dtype=np.int32), size)
+        w = ((1 + np.log(np.concatenate([c for _, c in found]))) * weight[t]).astype(np.float32)
+        w /= np.sqrt(np.bincount(row, w * w, minlength=n)).astype(np.float32)[row]
+        # Examples with the same heaviest word, of those that several have, lie together: few blocks have large bounds for a text.
+        df = np.bincount(t, minlength=len(weight))
+        heaviest, last = np.full(n, -1), np.cumsum(size) - 1
+        heaviest[size > 0] = t[np.lexsort((np.where(df[t] >= max(2, n // 100), w, 0), row))[last[size > 0]]]
+        order = np.lexsort((ids, heaviest))
+        self.ids, self.labels = np.array(ids, np.int64)[order], np.array(labels, float)[order]
+        self.n, self.n_blocks, self.weight = n, -(-n // BLOCK), weight
+        place = np.empty(n, np.int32)
+        place[order] = np.arange(n, dtype=np.int32)
+        p = place[row]
+        dense = np.flatnonzero(df >= max(2, COMMON * n))
+        self.column = np.full(len(weight), -1, np.int32)
+        self.column[dense] = np.arange(len(dense))
+        self.matrix = np.zeros((self.n_blocks * BLOCK, len(dense)), np.float32)
+        own = self.column[t] >= 0
+        self.matrix[p[own], self.column[t[own]]] = w[own]
+        t, p, w = t[~own], p[~own], w[~own]
+        order = np.lexsort((p, t))
+        #: Lists: places and weights by term; for each term and block with any, the block, its largest weight and its slice of the lists.
+        t, self.place, self.value = t[order], p[order], w[order]
+        block = self.place // BLOCK
+        head = np.flatnonzero(np.concatenate((np.ones(min(1, len(t)), bool), (t[1:] != t[:-1]) | (block[1:] != block[:-1]))))
+        self.block, self.most = block[head], np.maximum.reduceat(self.value, head) if len(head) else self.value
+        self.slice = np.append(head, len(t)).astype(np.int32)
+        self.start = np.searchsorted(t[head], np.arange(len(weight) + 1)).astype(np.int32)
+
+    def unit(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(counts)) * self.weight[terms]
+        return w / (np.sqrt((w * w).sum()) or 1)
+
+    def nearest(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int = K) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text (places, cosines) of the k nearest examples with a positive cosine."""
+        query, rest = np.zeros((len(texts), self.matrix.shape[1]), np.float32), []
+        for i, (t, c) in enumerate(texts):
+            q, column = self.unit(t, c), self.column[t]
+            query[i, column[column >= 0]] = q[column >= 0]
+            rest.append((t[column < 0], q[column < 0]))
+        return [self._best(s, t, q, k) for s, (t, q) in zip(query @ self.matrix.T, rest)]
+
+    def _best(self, sums: np.ndarray, t: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        n = self.start[t + 1] - self.start[t]
+        at, q = _spans(self.start[t], n), np.repeat(q, n)
+        block = self.block[at]
+        upper = sums.reshape(-1, BLOCK).max(axis=1) + np.bincount(block, q * self.most[at], minlength=self.n_blocks)
+        cosine = sums.astype(np.float64)
+        k = min(k, len(cosine))
+
+        def open_blocks(which: np.ndarray) -> float:
+            use = which[block]
+            first, m = self.slice[at[use]], self.slice[at[use] + 1] - self.slice[at[use]]
+            post = _spans(first, m)
+            if len(post):
+                np.add(cosine, np.bincount(self.place[post], np.repeat(q[use], m) * self.value[post], minlength=len(cosine)), out=cosine)
+            return np.partition(cosine, len(cosine) - k)[len(cosine) - k]
+
+        some = min(8, self.n_blocks)
+        first = np.zeros(self.n_blocks, bool)
+        first[np.argpartition(-upper, some - 1)[:some]] = True
+        worst = open_blocks(first)
+        more = ~first & (upper >= worst - 1e-6) & (upper > 0)
+        if more.any():
+            worst = open_blocks(more)
+        hit = np.flatnonzero((cosine >= worst - 1e-6) & (cosine > 1e-9))
+        hit = hit[np.lexsort((hit, -np.round(cosine[hit], 6)))][:k]
+        return hit, cosine[hit]
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
-        weight = cosines / (1.05 - np.minimum(cosines, 1))
-        return float((weight * self.labels[places]).sum() / (weight.sum() + PRIOR))
-
-
-def calibration(index: Index, found: list[tuple[list[int], list[int]]], ids: list[int], labels: list[int]) -> tuple[list[float], list[float], float]:
-    """Isotonic steps (votes, shares) by pooling neighbours, and the share of toxic examples among those without neighbours."""
-    place = {int(i): n for n, i in enumerate(index.ids)}
-    votes, none = [], []
-    for (t, c), i, y in zip(found, ids, labels):
-        at, cosine = index.nearest(t, c, K + 1)
-        other = at != place.get(i, -1)
-        at, cosine = at[other][:K], cosine[other][:K]
-        if len(at):
-            votes.append((index.vote(at, cosine), y))
-        else:
-            none.append(y)
+        weight = (cosines / cosines.max()) ** 2
+        return float((weight * self.labels[places]).sum() / weight.sum())
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers of 32 bits, their first bytes first: small ones compress well."""
+    return pa.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _of_planes(raw: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(raw, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+class Learned:
+    """What is broadcast: the examples' vectors, packed, and the terms with their weights. Each worker builds the index from them once."""
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], vocabulary: np.ndarray, weight: np.ndarray) -> None:
+        self.name, self.ids, self.labels, self.vocabulary, self.weight = uuid.uuid4().hex, ids, labels, vocabulary, weight.astype(np.float32)
+        self.size = np.array([len(t) for t, _ in found])
+        self.gaps = _planes(np.concatenate([np.diff(t, prepend=0) for t, _ in found]))
+        self.counts = _planes(np.concatenate([c for _, c in found]))
+
+    def index(self) -> Index:
+        if self.name not in _BUILT:
+            _BUILT.clear()
+            n, edge = int(self.size.sum()), np.cumsum(self.size)[:-1]
+            terms, counts = (np.split(_of_planes(x, n), edge) for x in (self.gaps, self.counts))
+            _BUILT[self.name] = Index(self.ids, self.labels, [(np.cumsum(t, dtype=np.int64), c) for t, c in zip(terms, counts)], self.weight)
+        return _BUILT[self.name]
+
+
+_BUILT: dict[str, Index] = {}
+
+
+def left_out_votes(chosen: DataFrame, learned) -> DataFrame:
+    """(vote, toxic) of each of the examples' vectors without its own example; a null vote where no other is near."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, ix = learned.value.vocabulary, learned.value.index()
+        place = {int(i): n for n, i in enumerate(ix.ids)}
+        for batch in batches:
+            rows = batch.to_pylist()
+            votes = []
+            for a in range(0, len(rows), QUERIES):
+                part = rows[a : a + QUERIES]
+                found = known_terms(vocabulary, [_vector(r) for r in part])
+                for r, (at, cosine) in zip(part, ix.nearest(found, K + 1)):
+                    other = at != place[r["doc_id"]]
+                    at, cosine = at[other][:K], cosine[other][:K]
+                    votes.append(ix.vote(at, cosine) if len(at) else None)
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column("toxic")], ["vote", "toxic"])
+
+    return chosen.mapInArrow(run, "vote double, toxic int")
+
+
+def _vector(row) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["counts"], "<u4")
+
+
+def isotonic(votes: list[tuple[float, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Steps (largest vote, share of toxic) by pooling neighbours out of order."""
     pools: list[list[float]] = []  # sum, count, largest vote
     for v, y in sorted(votes):
         pools.append([y, 1, v])
         while len(pools) > 1 and (pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1] or pools[-2][2] == pools[-1][2]):
             s, n, v2 = pools.pop()
             pools[-1] = [pools[-1][0] + s, pools[-1][1] + n, v2]
-    return [p[2] for p in pools], [(p[0] + 0.1) / (p[1] + 0.2) for p in pools], (sum(none) + 0.1) / (len(none) + 1)
+    return np.array([p[2] for p in pools]), np.array([(p[0] + 0.1) / (p[1] + 0.2) for p in pools])
 
 
 class Scorer:
-    def __init__(self, terms: list[bytes], index: Index, steps: list[float], shares: list[float], none: float) -> None:
-        self.terms, self.index, self.steps, self.shares, self.none = terms, index, steps, shares, none
-        self.known: dict[tuple, tuple[float, list[int]]] = {}
-
-    def score(self, terms: list[int], counts: list[int]) -> tuple[float, list[int]]:
-        key = tuple(terms), tuple(counts)
-        if key not in self.known:
-            if len(self.known) >= SCORES_KEPT:
-                self.known.clear()
-            self.known[key] = self.fresh_score(terms, counts)
-        return self.known[key]
-
-    def fresh_score(self, terms: list[int], counts: list[int]) -> tuple[float, list[int]]:
-        """(calibrated score, ids of the nearest examples) of a text's term counts."""
-        at, cosine = self.index.nearest(terms, counts) if terms else ((), ())
-        if not len(at):
-            return self.none, []
-        return self.shares[min(int(np.searchsorted(self.steps, self.index.vote(at, cosine))), len(self.shares) - 1)], self.index.ids[at].tolist()
-
-
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[Scorer, DataFrame]:
-    """The scorer, and the term counts of every row of docs(doc_id, text)."""
-    sample = stored(labelled_sample(docs, labels))
-    # At most SAMPLE rows, dealt over tasks so that none holds all their grams.
-    # Equal texts are one example, with the label that most of them have: copies would crowd out other terms and neighbours.
-    chosen = id_text(docs).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
-    chosen = chosen.groupBy("text").agg(F.min("doc_id").alias("doc_id"), (F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
-    chosen = stored(chosen.repartition(partitions(docs.sparkSession), "doc_id"))
-    terms = choose_terms(chosen)
-    found = stored(term_counts(docs, terms))
-    n = found.count()
-    df = {r.t: r.n for r in found.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # at most TERMS rows
-    idf = np.log((1 + n) / (1 + np.array([df.get(i, 0) for i in range(len(terms))], float))) + 1 if terms else np.zeros(0)
-    rows = term_counts(chosen, terms).join(chosen.select("doc_id", "toxic"), "doc_id").orderBy("doc_id").collect()  # at most SAMPLE rows of short arrays
-    ids, ys, vectors = [r.doc_id for r in rows], [r.toxic for r in rows], [(r.terms, r.counts) for r in rows]
-    index = Index(ids, ys, vectors, idf)
-    return Scorer(terms, index, *calibration(index, vectors, ids, ys)), found
+    """The broadcast examples and the calibration."""
+
+    def __init__(self, learned, steps: np.ndarray, shares: np.ndarray, none: float) -> None:
+        self.learned, self.steps, self.shares, self.none = learned, steps, shares, none
+
+    def scores(self, texts: list[bytes], known: dict) -> list[tuple[float, list[int]]]:
+        """(calibrated score, ids of the nearest examples) of each text; `known` keeps those of texts seen before."""
+        if self.learned is None:
+            return [(self.none, [])] * len(texts)
+        keys = [xxhash.xxh3_128_digest(t) for t in texts]
+        if len(known) > SCORES_KEPT:
+            known.clear()
+        new = {k: t for k, t in zip(keys, texts) if k not in known}
+        found = known_terms(self.learned.value.vocabulary, word_vectors(list(new.values())))
+        names, index = list(new), self.learned.value.index()
+        for a in range(0, len(names), QUERIES):
+            for k, (at, cosine) in zip(names[a : a + QUERIES], index.nearest(found[a : a + QUERIES])):
+                if len(at):
+                    known[k] = float(self.shares[min(int(np.searchsorted(self.steps, index.vote(at, cosine))), len(self.shares) - 1)]), index.ids[at].tolist()
+                else:
+                    known[k] = self.none, []
+        return [known[k] for k in keys]
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
+    """The scorer of docs(doc_id, text), learned from labels(doc_id, toxic)."""
+    spark = docs.sparkSession
+    sc = spark.sparkContext
+    chosen = stored(example_vectors(examples(docs, labels, sample).repartition(partitions(spark), "doc_id")))
+    rows = chosen.orderBy("doc_id").collect()  # at most SAMPLE rows
+    if not rows:
+        return Scorer(None, np.zeros(0), np.zeros(0), 0.1)
+    vectors = [_vector(r) for r in rows]
+    ids, toxic = np.array([r.doc_id for r in rows], np.int64), np.array([r.toxic for r in rows], float)
+    vocabulary = np.unique(np.concatenate([h for h, _ in vectors]))
+    found = known_terms(vocabulary, vectors)
+    del rows, vectors
+    df, n = document_frequencies(docs, vocabulary)
+    own = np.repeat(toxic > 0, [len(t) for t, _ in found])
+    weight = (np.log((1 + n) / (1 + df)) + 1) * relevance(np.concatenate([t for t, _ in found]), own, len(vocabulary), float(toxic.mean()))
+    learned = sc.broadcast(Learned(ids, toxic, found, vocabulary, weight))
+    del found, own, weight
+    votes = left_out_votes(chosen, learned).collect()  # at most SAMPLE pairs of numbers
+    none = [r.toxic for r in votes if r.vote is None]
+    steps, shares = isotonic([(r.vote, r.toxic) for r in votes if r.vote is not None])
+    if not len(steps):
+        steps, shares = np.zeros(1), np.full(1, toxic.mean())
+    return Scorer(learned, steps, shares, (sum(none) + 0.1) / (len(none) + 1))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence array of nearest examples' ids) for each row of docs(doc_id, text)."""
-    scorer, found = fit(docs, labels)
-    sent = docs.sparkSession.sparkContext.broadcast(scorer)
+    scorer = fit(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = sent.value
-        for batch in batches:
-            got = [scorer.score(t, c) for t, c in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s for s, _ in got], pa.float64()), pa.array([e for _, e in got], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
+        known: dict = {}
+        for part, texts in blocks(batches, most=AT_A_TIME):
+            got = scorer.scores(texts, known)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s for s, _ in got], pa.float64()), pa.array([e for _, e in got], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
 
-    scored = found.mapInArrow(run, "doc_id long, score double, evidence array<long>")
+    scored = id_text(docs).mapInArrow(run, "doc_id long, score double, evidence array<long>")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with all columns, whose score is below THRESHOLD. Nothing is shuffled."""
-    scorer, _ = fit(docs, labels)
-    sent = docs.sparkSession.sparkContext.broadcast(scorer)
+    scorer = fit(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = sent.value
-        matcher = Matcher(scorer.terms)
-        for part, texts in blocks(batches):
-            yield part.filter(pa.array([scorer.score(*matcher.counts(t or b""))[0] < THRESHOLD for t in texts], pa.bool_()))
+        known: dict = {}
+        for part, texts in blocks(batches, most=AT_A_TIME):
+            yield part.filter(pa.array([s < THRESHOLD for s, _ in scorer.scores([t or b"" for t in texts], known)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

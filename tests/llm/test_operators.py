@@ -192,16 +192,90 @@ def test_html_blocks(spark):
 
 def test_nearest_is_exact():
     r = np.random.default_rng(1)
-    found = [(sorted(r.choice(60, 6, replace=False).tolist()), r.integers(1, 5, 6).tolist()) for _ in range(300)]
-    idf = r.random(60) + 0.5
-    index = toxicity.Index(list(range(300)), [0] * 300, found, idf)
-    dense = np.zeros((300, 60))
+    found = [(np.sort(r.choice(60, 6, replace=False)), r.integers(1, 5, 6)) for _ in range(300)] + [(np.zeros(0, int), np.zeros(0, int))]
+    index = toxicity.Index(list(range(301)), [0] * 301, found, r.random(60) + 0.5)
+    dense = np.zeros((301, 60))
     for k, (t, c) in enumerate(found):
-        dense[k, index.unit(t, c)[0]] = index.unit(t, c)[1]
-    for t, c in found[:40]:
+        dense[np.flatnonzero(index.ids == k)[0], t] = index.unit(t, c)
+    for (t, c), (at, cosine) in zip(found[:40], index.nearest(found[:40])):
         q = np.zeros(60)
-        q[index.unit(t, c)[0]] = index.unit(t, c)[1]
-        assert np.allclose(index.nearest(t, c)[1], np.sort(dense @ q)[::-1][:15])
+        q[t] = index.unit(t, c)
+        assert np.allclose(cosine, np.sort(dense @ q)[::-1][:15], atol=2e-6) and np.allclose((dense @ q)[at], cosine, atol=2e-6)
+    assert not len(index.nearest(found[300:])[0][0])
+
+
+def toxic_rows():
+    """Texts of common and rare words; a third of them are toxic and hold a word or two of a small list."""
+    r = random.Random(31)
+    bad, rows, labels = ["vile", "scum", "wretch"], [], []
+    for i in range(420):
+        y = int(i % 3 == 0)
+        words = [r.choice(WORDS) for _ in range(r.randint(20, 60))] + [f"u{i}"]
+        for _ in range(2 * y):
+            words.insert(r.randrange(len(words)), r.choice(bad))
+        rows.append((i, " ".join(words), "clash"))
+        labels.append((i, 1, y))
+    rows += [(500, None, "c"), (501, "", "c"), (None, "vile scum", "c"), (3, rows[3][1], "again"), (None, rows[4][1], "c")]
+    labels += [(5, None, None), (None, 1, 1), (6, 0, 0), (500, 1, 0)]
+    return rows, labels
+
+
+def test_toxicity_by_brute_force(spark):
+    """Scores from dense cosines, the same votes and calibration; held-out rows are told apart; neighbours are named."""
+    rows, labels = toxic_rows()
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string, score string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(docs, known).collect()
+    assert len(got) == len(rows)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1
+    label: dict = {}
+    for i, _, y in labels:
+        if i is not None and y is not None and not held(i):
+            label[i] = max(label.get(i, 0), y)
+    text = {i: min(t or "" for j, t, _ in rows if j == i) for i in label}
+    ids = sorted(label)
+    split = lambda t: Counter((t or "").encode().translate(toxicity.FOLD).split())
+    voc = sorted({w for i in ids for w in split(text[i])})
+    df, n, y = Counter(w for _, t, _ in rows for w in split(t)), len(rows), np.array([label[i] for i in ids])
+    weight = {}
+    for w in voc:
+        has = np.array([w in split(text[i]) for i in ids])
+        p = (has[y == 1].sum() + y.mean()) / (has.sum() + 1)
+        low = min(1 - 1e-9, max(1e-9, p - 2 * np.sqrt(p * (1 - p) / (has.sum() + 1))))
+        weight[w] = (np.log((1 + n) / (1 + df[w])) + 1) * (1 + 3 * max(0, np.log(low / (1 - low)) - np.log(y.mean() / (1 - y.mean()))))
+
+    def unit(t):
+        v = np.array([(1 + np.log(c)) * weight[w] if (c := split(t).get(w)) else 0 for w in voc])
+        return v / (np.linalg.norm(v) or 1)
+
+    dense = np.array([unit(text[i]) for i in ids])
+
+    def vote(t, but=None):
+        cosine = dense @ unit(t)
+        best = [k for k in np.argsort(-cosine, kind="stable") if ids[k] != but and cosine[k] > 1e-9][:15]
+        w = (cosine[best] / cosine[best[0]]) ** 2 if best else None
+        return None if w is None else (w * y[best]).sum() / w.sum()
+
+    loo = [(vote(text[i], i), label[i]) for i in ids]
+    steps, shares = toxicity.isotonic([x for x in loo if x[0] is not None])
+    want = {(i, t): vote(t) for i, t, _ in rows}
+    for r in got:
+        v = min((v for (i, t), v in want.items() if i == r.doc_id and v is not None), key=lambda v: abs(shares[min(np.searchsorted(steps, v), len(shares) - 1)] - r.score), default=None)
+        if v is not None and np.abs(steps - v).min() > 1e-5:
+            assert abs(r.score - shares[min(int(np.searchsorted(steps, v)), len(shares) - 1)]) < 1e-9
+    assert all(r.evidence for r in got if r.doc_id not in (500, 501))
+    y_of = {i: v for i, _, v in labels if v is not None}
+    held_rows = [r for r in got if r.held_out and r.doc_id in y_of]
+    assert len(held_rows) > 100 and sum(r.predicted == y_of[r.doc_id] for r in held_rows) >= 0.95 * len(held_rows)
+
+
+def test_toxicity_of_nothing(spark, none):
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    some = spark.createDataFrame(ROWS, SCHEMA)
+    assert toxicity.toxicity(none, labels).count() == 0 and toxicity.without_toxic(none, labels).count() == 0
+    assert {r.predicted for r in toxicity.toxicity(some, labels).collect()} == {0}  # no toxic example
+    assert {r.score for r in toxicity.toxicity(some, labels.limit(0)).collect()} == {0.1}
+    assert {r.predicted for r in toxicity.toxicity(some, labels.withColumn("toxic", F.lit(1))).collect()} <= {0, 1}
+    assert toxicity.without_toxic(some, labels).count() == len(ROWS)
 
 
 def test_decontamination(spark, none):
