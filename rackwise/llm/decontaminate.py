@@ -2,21 +2,24 @@
 
 Documents are read once into the numbers of benchmark words (0: any other). TF-IDF weights come from the document frequencies of
 those words over all documents; words in over COMMON of the documents carry no latent weight unless they are among an item's
-RAREST. Passages are windows of 16, 32 and 64 words, each a quarter further on. A window whose benchmark words
-hold less than MASS of its squared weight is not embedded.
+RAREST. Passages are windows of 16, 32 and 64 words, each a quarter further on. A window whose weighted benchmark words hold less than NEAR
+squared of its squared weight can't have a cosine of NEAR with any item, as items have benchmark words only: such windows aren't embedded.
 
 A randomised SVD of the TF-IDF passages (all remaining windows and the items) is found in two distributed passes: the range of
-A'A over a random start, and the small Gram matrix in that range; what reaches the driver is bounded by the benchmark's words. Windows and items with a
-latent cosine of NEAR or more are candidates, without a limit on their number. Weights grow with the number of documents and a cosine
-may miss what the last check would accept, so candidates also come from exact counts: for items of LEAST words or more, each stretch of
-twice the item's length, half a length further on, that holds PARAPHRASE of the item's words. As a common subsequence is no longer than the
-words in common, every passage of up to one and a half times the item's length that the last check accepts is found.
+A'A over a random start, and the small Gram matrix in that range. Partial sums are added in two shuffles, a batch at a time; what reaches the
+driver is bounded by the benchmark's words. Windows and items with a cosine of NEAR or more in the latent space are candidates, without a limit
+on their number. Weights grow with the number of documents and a cosine may miss what the last check would accept, so candidates also come from
+exact counts: for items of LEAST words or more, each stretch of twice the item's length, half a length further on, that holds PARAPHRASE of the
+item's words. As a common subsequence is no longer than the words in common, every passage of up to one and a half times the item's
+length that the last check accepts is found.
 
 A candidate is reported if the longest common subsequence of the item and the words around the window (or in the stretch) holds SAME of the
-item's words, or PARAPHRASE of them and the item's answer (its last sentence) likewise.
+item's words (SAME_SHORT for items under SHORT words), or PARAPHRASE of them and the item's answer (its last sentence) with SAME_SHORT of its
+words. Below SAME_SHORT a subsequence of RARE of the item's latent words is asked for besides: common words alone are no evidence.
 
-Items are taken CHUNK at a time, so what is broadcast is bounded. Nulls: null texts and items are empty and match nothing; a null doc_id
-is reported as null. Repeated rows give repeated results; items with the same text are reported each.
+Items are taken in chunks of about CHUNK, so what is broadcast is bounded; windows of a text are embedded AT_ONCE at a time, so memory doesn't grow
+with the text. Nulls: null texts and items are empty and match nothing; a null doc_id is reported as null. Repeated rows give repeated
+results; items with the same text are reported each. An empty benchmark or empty documents give no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,14 +40,19 @@ MORE = 16
 SIZES = (16, 32, 64)
 COMMON = 0.05
 RAREST = 8
-MASS = 0.3
 NEAR = 0.5
-SAME = 0.8
+SAME = 0.65
+SAME_SHORT = 0.8
+SHORT = 12
 PARAPHRASE = 0.6
+RARE = 0.5
 #: Words of the shortest items that are looked for by counts: shorter ones are anywhere by chance.
 LEAST = 4
 CHUNK = 5_000
-TERM_BLOCKS = 16
+#: Windows that are embedded at once, bytes of a partial sum's rows that move together, and partial sums that are added first.
+AT_ONCE = 1024
+SUM_BYTES = 256 << 10
+FAN = 64
 SEED = 5
 
 
@@ -112,7 +121,7 @@ class Passages:
         self.squares, self.latent, self.kind = weight.astype(np.float64) ** 2, latent, kind
 
     def windows(self, raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray]]:
-        """(ids, starts, size, norms) of the windows with enough benchmark weight."""
+        """(ids, starts, size, norms) of the windows with enough benchmark weight, at most AT_ONCE at a time."""
         ids = np.frombuffer(raw, self.kind)
         if not self.latent[ids].any():
             return
@@ -125,10 +134,10 @@ class Passages:
             starts = np.unique(np.append(np.arange(0, last + 1, size // 4), last))
             ends = np.minimum(starts + size, len(ids))
             whole, part = square[ends] - square[starts], mine[ends] - mine[starts]
-            keep = part >= MASS * whole
-            keep &= part > 0
-            if keep.any():
-                yield ids, starts[keep], size, np.sqrt(whole[keep])
+            keep = np.flatnonzero((part >= NEAR**2 * whole) & (part > 0))
+            for k in range(0, len(keep), AT_ONCE):
+                some = keep[k : k + AT_ONCE]
+                yield ids, starts[some], size, np.sqrt(whole[some])
 
 
 class Stretches:
@@ -173,25 +182,33 @@ def _terms(ids: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
 
 
 def _summed(found: DataFrame, part, rows: int, columns: int) -> np.ndarray:
-    """The sum over all tasks of matrices (rows x columns) that `part` makes, added up by blocks of rows in Spark."""
-    edges = np.linspace(0, rows, TERM_BLOCKS + 1).astype(int)
+    """The sum over all tasks of matrices (rows x columns) that `part` makes. Blocks of rows that a task has are added for FAN
+    groups of tasks first, then in all; a group is read batch by batch."""
+    step = max(1, SUM_BYTES // (4 * columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((rows, columns), np.float32)
-        some = False
         for batch in batches:
-            some = part(total, batch.column("ids").to_pylist()) or some
-        if some:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(TERM_BLOCKS)), pa.array([total[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())], ["k", "m"])
-
-    def add(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(m, np.float32).astype(np.float64) for m in t.column("m").to_pylist())
-        return pa.table({"k": t.column("k")[:1], "m": pa.array([total.tobytes()], pa.binary())})
+            part(total, batch.column("ids").to_pylist())
+        fan = TaskContext.get().partitionId() % FAN
+        for k in range(0, rows, step):
+            if total[k : k + step].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([fan], pa.int32()), pa.array([total[k : k + step].astype(np.float64).tobytes()], pa.binary())], ["k", "fan", "m"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = k = fan = None
+        for batch in batches:
+            for r in batch.to_pylist():
+                m = np.frombuffer(r["m"], np.float64)
+                total, k, fan = m.copy() if total is None else total + m, r["k"], r["fan"]
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([fan], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["k", "fan", "m"])
 
+    kind = "k long, fan int, m binary"
+    sums = found.select("ids").mapInArrow(run, kind).groupBy("k", "fan").applyInArrow(add, kind).groupBy("k").applyInArrow(add, kind)
     out = np.zeros((rows, columns))
-    for r in found.select("ids").mapInArrow(run, "k long, m binary").groupBy("k").applyInArrow(add, "k long, m binary").collect():
-        a, b = edges[r.k], edges[r.k + 1]
-        out[a:b] = np.frombuffer(r.m, np.float64).reshape(b - a, columns)
+    for r in sums.collect():
+        m = np.frombuffer(r.m, np.float64).reshape(-1, columns)
+        out[r.k : r.k + len(m)] = m
     return out
 
 
@@ -204,10 +221,9 @@ def latent_basis(found: DataFrame, passages: Passages, weight: np.ndarray, items
     sc = found.sparkSession.sparkContext
     sent = sc.broadcast((passages, latent.astype(np.float32), start))
 
-    def ranged(total: np.ndarray, rows: list) -> bool:
+    def ranged(total: np.ndarray, rows: list) -> None:
         passages, latent, start = sent.value
         weighted = start * latent[:, None]
-        some = False
         for raw in rows:
             for ids, at, size, norm in passages.windows(raw or b""):
                 held = _terms(ids, at, size)
@@ -218,29 +234,23 @@ def latent_basis(found: DataFrame, passages: Passages, weight: np.ndarray, items
                 row, t = row[order], t[order]
                 first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
                 total[t[first]] += np.add.reduceat(y[row] * (latent[t] / norm[row])[:, None], first, axis=0)
-                some = True
-        return some
 
     z = _summed(found, ranged, terms, width)
-    dense = np.zeros((len(items), terms))
-    for i, ids in enumerate(items):
-        np.add.at(dense[i], ids, latent[ids])
-    dense /= np.maximum(np.linalg.norm(dense, axis=1), 1e-12)[:, None]
-    z += dense.T @ (dense @ start)
+    norm = [max(float(np.sqrt(((c * latent[t]) ** 2).sum())), 1e-12) for t, c in (np.unique(ids, return_counts=True) for ids in items)]
+    for ids, n in zip(items, norm):
+        np.add.at(z, ids, (latent[ids] / n)[:, None] * (start[ids] * latent[ids][:, None]).sum(axis=0) / n)
     q, _ = np.linalg.qr(z)
     sent_q = sc.broadcast((passages, (q * latent[:, None]).astype(np.float32)))
 
-    def gram(total: np.ndarray, rows: list) -> bool:
+    def gram(total: np.ndarray, rows: list) -> None:
         passages, q = sent_q.value
-        some = False
         for raw in rows:
             for ids, at, size, norm in passages.windows(raw or b""):
                 y = q[_terms(ids, at, size)].sum(axis=1) / norm[:, None]
                 total += y.T @ y
-                some = True
-        return some
 
-    g = _summed(found, gram, width, width) + (dense @ q).T @ (dense @ q)
+    own = np.array([(q[ids] * latent[ids][:, None]).sum(axis=0) / n for ids, n in zip(items, norm)])
+    g = _summed(found, gram, width, width) + own.T @ own
     values, vectors = np.linalg.eigh(g)
     best = np.argsort(-values)[: min(rank, width)]
     return q @ vectors[:, best]
@@ -249,28 +259,111 @@ def latent_basis(found: DataFrame, passages: Passages, weight: np.ndarray, items
 PAIRS = "doc_id long, item_id long, cosine double, lcs_share double, answer boolean"
 
 
+def item_chunks(benchmark: DataFrame) -> list[list]:
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    items = stored(items.withColumn("row", F.monotonically_increasing_id()))
+    chunks = -(-items.count() // CHUNK)
+    return [items.filter(F.pmod(F.xxhash64("row"), F.lit(chunks)) == k).orderBy("item_id", "text").collect() for k in range(chunks)]  # about CHUNK items each
+
+
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
     """(doc_id, item_id, cosine, lcs_share, answer): each document and benchmark item that it holds, once for each row."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    items = items.withColumn("chunk", F.floor((F.row_number().over(_by_item()) - 1) / CHUNK)) if items.count() > CHUNK else items.withColumn("chunk", F.lit(0))
     out = docs.sparkSession.createDataFrame([], PAIRS)
-    for k in range(int(items.agg(F.max("chunk")).first()[0] or 0) + 1):
-        out = out.unionByName(_chunk_pairs(docs, items.filter(F.col("chunk") == k).orderBy("item_id", "text").collect(), rank))  # at most CHUNK items
+    for rows in item_chunks(benchmark):
+        found, judged = _judge(docs, rows, rank)
+        if judged is not None:
+            out = out.unionByName(found.mapInArrow(_pairs(judged), PAIRS))
     return out
 
 
-def _by_item():
-    from pyspark.sql import Window
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
+    """The rows of docs, with all columns, that hold no benchmark item. Rows are judged where they are read, whatever their doc_id."""
+    for rows in item_chunks(benchmark):
+        _, judged = _judge(docs, rows, rank)
+        if judged is not None:
+            docs = docs.mapInArrow(_kept(judged), docs.schema)
+    return docs
+
+
+def _pairs(judged: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = judged.value
+        for batch in batches:
+            hits = [(doc, *hit) for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()) for hit in judge.hits(raw or b"")]
+            names = [c.split()[0] for c in PAIRS.split(", ")]
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in hits], t) for k, t in enumerate(kinds)], names)
+
+    return run
+
+
+def _kept(judged: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = judged.value
+        for part, texts in blocks(batches):
+            yield part.filter(pa.array([not judge.hits(judge.numbers(t or b"")) for t in texts], pa.bool_()))
+
+    return run
+
 
-    return Window.orderBy("item_id", "text")
+class Judge:
+    """What is broadcast: the latent space, the items in it, and their words."""
 
+    def __init__(self, vocabulary: dict, passages: Passages, embed: np.ndarray, items: list, answers: list, item_ids: list, terms: int) -> None:
+        self.vocabulary, self.passages, self.embed, self.items, self.answers, self.item_ids = vocabulary, passages, embed, items, answers, item_ids
+        self.where = np.array([i for i, own in enumerate(items) if len(own)])
+        points = np.array([embed[items[i]].sum(axis=0) for i in self.where])
+        self.points = points / np.maximum(np.linalg.norm(points, axis=1), 1e-12)[:, None]
+        self.point_of = {int(i): p for p, i in enumerate(self.where)}
+        self.rare = [own[passages.latent[own]] for own in items]
+        self.stretches = Stretches(items, terms)
 
-def _chunk_pairs(docs: DataFrame, rows: list, rank: int) -> DataFrame:
-    spark = docs.sparkSession
+    def numbers(self, text: bytes) -> bytes:
+        return np.array([self.vocabulary.get(w, 0) for w in words_of(text)], self.passages.kind).tobytes()
+
+    def check(self, best: dict, i: int, around: np.ndarray, cosine: float) -> None:
+        share = common_subsequence(self.items[i], around) / len(self.items[i])
+        if share < PARAPHRASE:
+            return
+        answer = common_subsequence(self.answers[i], around) >= SAME_SHORT * len(self.answers[i])
+        if share < SAME_SHORT:
+            if not answer and (share < SAME or len(self.items[i]) < SHORT):
+                return
+            rare, latent = self.rare[i], self.passages.latent
+            if common_subsequence(rare, around[latent[around]]) < RARE * len(rare):
+                return
+        best[i] = max(best.get(i, (0.0, 0.0, False)), (share, cosine, bool(answer)))
+
+    def hits(self, raw: bytes) -> list[tuple]:
+        """(item_id, cosine, lcs_share, answer) of each item that a document's numbers hold."""
+        best: dict[int, tuple[float, float, bool]] = {}
+        tried: set[tuple[int, int]] = set()
+        for ids, at, size, norm in self.passages.windows(raw):
+            z = self.embed[_terms(ids, at, size)].sum(axis=1) / norm[:, None]
+            cosine = z @ self.points.T
+            for w, p in zip(*np.nonzero(cosine >= NEAR)):
+                i = int(self.where[p])
+                n = len(self.items[i])
+                # The item, laid anywhere over the window's middle, lies in these words.
+                low, high = max(0, int(at[w]) - n), int(at[w]) + size + n
+                if (i, low // 16) in tried and i in best:
+                    continue
+                tried.add((i, low // 16))
+                self.check(best, i, ids[low:high], float(cosine[w, p]))
+        ids = np.frombuffer(raw, self.passages.kind)
+        for i, low, high in self.stretches.within(ids):
+            if best.get(i, (0.0,))[0] < 1:
+                z = self.embed[ids[low:high]].sum(axis=0)
+                self.check(best, i, ids[low:high], float(z @ self.points[self.point_of[i]] / max(float(np.linalg.norm(z)), 1e-12)))
+        return [(self.item_ids[i], c, s, a) for i, (s, c, a) in sorted(best.items())]
+
+
+def _judge(docs: DataFrame, rows: list, rank: int) -> tuple[DataFrame | None, Broadcast | None]:
+    """The documents' numbers, stored, and the judge; nothing where no item has a word."""
     split = [words_of(r.text.encode()) for r in rows]
     vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for ws in split for w in ws}))}
     if not vocabulary:
-        return spark.createDataFrame([], PAIRS)
+        return None, None
     kind = "<u2" if len(vocabulary) < 1 << 16 else "<u4"
     ids = [np.array([vocabulary[w] for w in ws], np.int64) for ws in split]
     answers = [np.array([vocabulary[w] for w in words_of(answer_of(r.text).encode())], np.int64) for r in rows]
@@ -285,52 +378,7 @@ def _chunk_pairs(docs: DataFrame, rows: list, rank: int) -> DataFrame:
     passages = Passages(weight, latent, kind)
     basis = latent_basis(found, passages, weight, ids, rank)
     embed = (basis * np.where(latent, weight, 0.0)[:, None]).astype(np.float32)
-    where = np.array([i for i, own in enumerate(ids) if len(own)])
-    points = np.array([embed[ids[i]].sum(axis=0) for i in where])
-    points /= np.maximum(np.linalg.norm(points, axis=1), 1e-12)[:, None]
-    point_of = {int(i): p for p, i in enumerate(where)}
-    sent = spark.sparkContext.broadcast((passages, embed, points, where, ids, answers, [r.item_id for r in rows], Stretches(ids, len(weight)), point_of))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages, embed, points, where, items, answers, item_ids, stretches, point_of = sent.value
-
-        def judge(best: dict, i: int, around: np.ndarray, cosine: float) -> None:
-            share = common_subsequence(items[i], around) / len(items[i])
-            if share < PARAPHRASE:
-                return
-            answer = common_subsequence(answers[i], around) >= SAME * len(answers[i])
-            if share >= SAME or answer:
-                best[i] = max(best.get(i, (0.0, 0.0, False)), (share, cosine, bool(answer)))
-
-        for batch in batches:
-            hits = []
-            for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
-                best: dict[int, tuple[float, float, bool]] = {}
-                tried: set[tuple[int, int]] = set()
-                for ids, at, size, _ in passages.windows(raw or b""):
-                    z = embed[_terms(ids, at, size)].sum(axis=1)
-                    z /= np.maximum(np.linalg.norm(z, axis=1), 1e-12)[:, None]
-                    cosine = z @ points.T
-                    for w, p in zip(*np.nonzero(cosine >= NEAR)):
-                        i = int(where[p])
-                        item = items[i]
-                        # The item, laid anywhere over the window's middle, lies in these words.
-                        low, high = max(0, int(at[w]) - len(item)), int(at[w]) + size + len(item)
-                        if (i, low // 16) in tried and i in best:
-                            continue
-                        tried.add((i, low // 16))
-                        judge(best, i, ids[low:high], float(cosine[w, p]))
-                ids = np.frombuffer(raw or b"", passages.kind)
-                for i, low, high in stretches.within(ids):
-                    if i not in best:
-                        z = embed[ids[low:high]].sum(axis=0)
-                        judge(best, i, ids[low:high], float(z @ points[point_of[i]] / max(float(np.linalg.norm(z)), 1e-12)))
-                hits += [(doc, item_ids[i], c, s, a) for i, (s, c, a) in sorted(best.items())]
-            names = [c.split()[0] for c in PAIRS.split(", ")]
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in hits], t) for k, t in enumerate(kinds)], names)
-
-    return found.mapInArrow(run, PAIRS)
+    return found, docs.sparkSession.sparkContext.broadcast(Judge(vocabulary, passages, embed, ids, answers, [r.item_id for r in rows], len(weight)))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

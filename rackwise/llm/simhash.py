@@ -51,14 +51,14 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long) for each row."""
+    """(row, doc_id, fp long) for each row; row: a number for each row, the same whenever the same table is read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in blocks(batches):
             fps = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(fps)], ["row", "doc_id", "fp"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return id_text(docs).withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, "row long, doc_id long, fp long")
 
 
 def keys_of(fps: np.ndarray) -> Iterator[np.ndarray]:
@@ -192,14 +192,28 @@ def links(nodes: DataFrame, longest: int = LONG_RUN) -> DataFrame:
     return first.filter("kind = 0").unionByName(again).select("a", "b").filter("a <> b").distinct()
 
 
-def simhash_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long, component_id) for each row of docs(doc_id, text)."""
+def _grouped(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprint of each row, and (fp, first) of each fingerprint: the row of its component with the least doc_id, nulls last."""
     each = stored(fingerprints(docs, shingle))
-    nodes = each.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    nodes = each.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("rep"))
     roots = components(links(nodes))
     labelled = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return each.join(labelled.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    least = labelled.groupBy("root").agg(F.min("rep").alias("first"))
+    return each, labelled.join(least, "root").select("fp", "first")
+
+
+def simhash_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, fp long, component_id) for each row of docs(doc_id, text)."""
+    each, groups = _grouped(docs, shingle)
+    return each.join(groups.select("fp", F.col("first.doc_id").alias("component_id")), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The row with the least doc_id (nulls last) of each group of near copies, with all columns. Rows are told apart by where they are
+    read, not by doc_id: docs must be a stored table."""
+    _, groups = _grouped(docs, shingle)
+    kept = groups.select(F.col("first.row").alias("_kept_row")).distinct()
+    return docs.withColumn("_row", F.monotonically_increasing_id()).join(kept, F.col("_row") == F.col("_kept_row"), "left_semi").select(*docs.columns)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

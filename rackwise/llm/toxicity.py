@@ -7,9 +7,9 @@ left out, so a text that shares any word with an example has neighbours.
 
 Index: examples lie in blocks; each term's list has, per block, its largest weight. Words that many examples hold are kept as columns of a
 matrix, where a batch of texts is multiplied at once. A block is opened only if the sum of its bounds can still beat the K-th
-best cosine, so the K nearest are exact (cosines to six decimals; ties in the order of the index). Votes are weighted by the squared ratio
-of each cosine to the best one, and calibrated by isotonic regression on the examples, each left out of its own vote (a Spark job); texts
-without any known word get the share of toxic examples among those without neighbours.
+best cosine, so the K nearest are exact (cosines to six decimals; ties in the order of the index). A vote is the share of toxic
+among the squared cosines, with one more neighbour at the usual best cosine whose share is the overall one, so that neighbours more distant than usual decide little. Votes are
+calibrated by isotonic regression on the examples, each left out of its own vote (a Spark job); texts without any known word get the share of toxic examples among those without neighbours.
 
 What is broadcast (vocabulary, examples) is bounded by SAMPLE texts. Nulls: a null text is empty and has no term; null labels are left
 out; a null doc_id is never held out and never an example. Of several texts with a labelled doc_id the least is the example; several labels of a doc_id count as
@@ -36,7 +36,7 @@ K = 15
 RELEVANCE = 3.0
 ERRORS = 2.0
 #: Examples to a block of the index; terms of at least this share of the examples are columns of the matrix.
-BLOCK = 32
+BLOCK = 64
 COMMON = 0.03
 #: Texts that are multiplied at once, bytes of text cut into words at once, and results a worker remembers for copies.
 QUERIES = 64
@@ -189,31 +189,41 @@ class Index:
         at, q = _spans(self.start[t], n), np.repeat(q, n)
         block = self.block[at]
         upper = sums.reshape(-1, BLOCK).max(axis=1) + np.bincount(block, q * self.most[at], minlength=self.n_blocks)
-        cosine = sums.astype(np.float64)
-        k = min(k, len(cosine))
+        cosine = sums.reshape(-1, BLOCK).astype(np.float64)
 
-        def open_blocks(which: np.ndarray) -> float:
+        def open_blocks(which: np.ndarray) -> None:
             use = which[block]
-            first, m = self.slice[at[use]], self.slice[at[use] + 1] - self.slice[at[use]]
+            opened, weight = at[use], q[use]
+            first = self.slice[opened]
+            m = self.slice[opened + 1] - first
             post = _spans(first, m)
             if len(post):
-                np.add(cosine, np.bincount(self.place[post], np.repeat(q[use], m) * self.value[post], minlength=len(cosine)), out=cosine)
-            return np.partition(cosine, len(cosine) - k)[len(cosine) - k]
-
-        some = min(8, self.n_blocks)
-        first = np.zeros(self.n_blocks, bool)
-        first[np.argpartition(-upper, some - 1)[:some]] = True
-        worst = open_blocks(first)
-        more = ~first & (upper >= worst - 1e-6) & (upper > 0)
+                np.add(cosine, np.bincount(self.place[post], np.repeat(weight, m) * self.value[post], minlength=cosine.size).reshape(-1, BLOCK), out=cosine)
+
+        def kth(which: np.ndarray) -> float:
+            own = cosine[which].ravel()
+            return np.partition(own, len(own) - k)[len(own) - k] if len(own) >= k else 0.0
+
+        some = min(max(8, -(-k // BLOCK)), self.n_blocks)
+        opened = np.zeros(self.n_blocks, bool)
+        opened[np.argpartition(-upper, some - 1)[:some]] = True
+        open_blocks(opened)
+        worst = kth(opened)
+        more = ~opened & (upper >= worst - 1e-6) & (upper > 0)
         if more.any():
-            worst = open_blocks(more)
-        hit = np.flatnonzero((cosine >= worst - 1e-6) & (cosine > 1e-9))
-        hit = hit[np.lexsort((hit, -np.round(cosine[hit], 6)))][:k]
-        return hit, cosine[hit]
+            open_blocks(more)
+            opened |= more
+            worst = kth(opened)
+        blocks_, own = np.flatnonzero(opened), cosine[opened]
+        hit = np.flatnonzero((own >= worst - 1e-6) & (own > 1e-9))
+        place, value = blocks_[hit // BLOCK] * BLOCK + hit % BLOCK, own.ravel()[hit]
+        best = np.lexsort((place, -np.round(value, 6)))[:k]
+        return place[best], value[best]
 
-    def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
-        weight = (cosines / cosines.max()) ** 2
-        return float((weight * self.labels[places]).sum() / weight.sum())
+    def sums(self, places: np.ndarray, cosines: np.ndarray) -> tuple[float, float]:
+        """Squared cosines of the toxic ones, and of all."""
+        weight = cosines * cosines
+        return float((weight * self.labels[places]).sum()), float(weight.sum())
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -247,7 +257,7 @@ _BUILT: dict[str, Index] = {}
 
 
 def left_out_votes(chosen: DataFrame, learned) -> DataFrame:
-    """(vote, toxic) of each of the examples' vectors without its own example; a null vote where no other is near."""
+    """(toxic, hit, near, best) of each of the examples' vectors without its own example: sums of the nearest, and the best cosine."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, ix = learned.value.vocabulary, learned.value.index()
@@ -261,10 +271,10 @@ def left_out_votes(chosen: DataFrame, learned) -> DataFrame:
                 for r, (at, cosine) in zip(part, ix.nearest(found, K + 1)):
                     other = at != place[r["doc_id"]]
                     at, cosine = at[other][:K], cosine[other][:K]
-                    votes.append(ix.vote(at, cosine) if len(at) else None)
-            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column("toxic")], ["vote", "toxic"])
+                    votes.append((*ix.sums(at, cosine), float(cosine.max(initial=0.0))))
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array([v[k] for v in votes], pa.float64()) for k in range(3))], ["toxic", "hit", "near", "best"])
 
-    return chosen.mapInArrow(run, "vote double, toxic int")
+    return chosen.mapInArrow(run, "toxic int, hit double, near double, best double")
 
 
 def _vector(row) -> tuple[np.ndarray, np.ndarray]:
@@ -285,8 +295,8 @@ def isotonic(votes: list[tuple[float, int]]) -> tuple[np.ndarray, np.ndarray]:
 class Scorer:
     """The broadcast examples and the calibration."""
 
-    def __init__(self, learned, steps: np.ndarray, shares: np.ndarray, none: float) -> None:
-        self.learned, self.steps, self.shares, self.none = learned, steps, shares, none
+    def __init__(self, learned, steps: np.ndarray, shares: np.ndarray, none: float, usual: float, share: float) -> None:
+        self.learned, self.steps, self.shares, self.none, self.usual, self.share = learned, steps, shares, none, usual, share
 
     def scores(self, texts: list[bytes], known: dict) -> list[tuple[float, list[int]]]:
         """(calibrated score, ids of the nearest examples) of each text; `known` keeps those of texts seen before."""
@@ -301,7 +311,9 @@ class Scorer:
         for a in range(0, len(names), QUERIES):
             for k, (at, cosine) in zip(names[a : a + QUERIES], index.nearest(found[a : a + QUERIES])):
                 if len(at):
-                    known[k] = float(self.shares[min(int(np.searchsorted(self.steps, index.vote(at, cosine))), len(self.shares) - 1)]), index.ids[at].tolist()
+                    hit, near = index.sums(at, cosine)
+                    step = int(np.searchsorted(self.steps, (hit + self.usual * self.share) / (near + self.usual)))
+                    known[k] = float(self.shares[min(step, len(self.shares) - 1)]), index.ids[at].tolist()
                 else:
                     known[k] = self.none, []
         return [known[k] for k in keys]
@@ -314,7 +326,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     chosen = stored(example_vectors(examples(docs, labels, sample).repartition(partitions(spark), "doc_id")))
     rows = chosen.orderBy("doc_id").collect()  # at most SAMPLE rows
     if not rows:
-        return Scorer(None, np.zeros(0), np.zeros(0), 0.1)
+        return Scorer(None, np.zeros(0), np.zeros(0), 0.1, 1.0, 0.0)
     vectors = [_vector(r) for r in rows]
     ids, toxic = np.array([r.doc_id for r in rows], np.int64), np.array([r.toxic for r in rows], float)
     vocabulary = np.unique(np.concatenate([h for h, _ in vectors]))
@@ -325,12 +337,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     weight = (np.log((1 + n) / (1 + df)) + 1) * relevance(np.concatenate([t for t, _ in found]), own, len(vocabulary), float(toxic.mean()))
     learned = sc.broadcast(Learned(ids, toxic, found, vocabulary, weight))
     del found, own, weight
-    votes = left_out_votes(chosen, learned).collect()  # at most SAMPLE pairs of numbers
-    none = [r.toxic for r in votes if r.vote is None]
-    steps, shares = isotonic([(r.vote, r.toxic) for r in votes if r.vote is not None])
-    if not len(steps):
-        steps, shares = np.zeros(1), np.full(1, toxic.mean())
-    return Scorer(learned, steps, shares, (sum(none) + 0.1) / (len(none) + 1))
+    votes = left_out_votes(chosen, learned).collect()  # at most SAMPLE rows of numbers
+    near = [r for r in votes if r.near > 0]
+    none = [r.toxic for r in votes if not r.near > 0]
+    usual, share = float(np.median([r.best for r in near])) ** 2 if near else 1.0, float(toxic.mean())
+    steps, shares = isotonic([((r.hit + usual * share) / (r.near + usual), r.toxic) for r in near] or [(1.0, share)])
+    return Scorer(learned, steps, shares, (sum(none) + 0.1) / (len(none) + 1), usual, share)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

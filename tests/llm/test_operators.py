@@ -249,19 +249,21 @@ def test_toxicity_by_brute_force(spark):
 
     dense = np.array([unit(text[i]) for i in ids])
 
-    def vote(t, but=None):
+    def near(t, but=None):
         cosine = dense @ unit(t)
         best = [k for k in np.argsort(-cosine, kind="stable") if ids[k] != but and cosine[k] > 1e-9][:15]
-        w = (cosine[best] / cosine[best[0]]) ** 2 if best else None
-        return None if w is None else (w * y[best]).sum() / w.sum()
-
-    loo = [(vote(text[i], i), label[i]) for i in ids]
-    steps, shares = toxicity.isotonic([x for x in loo if x[0] is not None])
-    want = {(i, t): vote(t) for i, t, _ in rows}
+        return (cosine[best] ** 2 * y[best]).sum(), (cosine[best] ** 2).sum(), cosine[best].max(initial=0)
+
+    loo = [near(text[i], i) for i in ids]
+    usual = np.median([b for *_, b in loo]) ** 2
+    vote = lambda x: (x[0] + usual * y.mean()) / (x[1] + usual)
+    steps, shares = toxicity.isotonic([(vote(x), label[i]) for x, i in zip(loo, ids)])
+    want: dict = {}
+    for i, t, _ in rows:
+        want.setdefault(i, []).append(vote(near(t)))
     for r in got:
-        v = min((v for (i, t), v in want.items() if i == r.doc_id and v is not None), key=lambda v: abs(shares[min(np.searchsorted(steps, v), len(shares) - 1)] - r.score), default=None)
-        if v is not None and np.abs(steps - v).min() > 1e-5:
-            assert abs(r.score - shares[min(int(np.searchsorted(steps, v)), len(shares) - 1)]) < 1e-9
+        if r.doc_id not in (500, 501) and all(np.abs(steps - v).min() > 1e-5 for v in want[r.doc_id]):
+            assert min(abs(r.score - shares[min(int(np.searchsorted(steps, v)), len(shares) - 1)]) for v in want[r.doc_id]) < 1e-3
     assert all(r.evidence for r in got if r.doc_id not in (500, 501))
     y_of = {i: v for i, _, v in labels if v is not None}
     held_rows = [r for r in got if r.held_out and r.doc_id in y_of]
@@ -287,26 +289,40 @@ def test_decontamination(spark, none):
     assert decontaminate.contaminated_pairs(none, bench).count() == 0
 
 
-def test_decontamination_recall(spark):
-    """Paraphrases that the last check accepts."""
+@pytest.mark.parametrize("how", ["replaced", "dropped", "moved"])
+def test_decontamination_recall(spark, how):
+    """Items with a fifth of the words replaced, dropped, or with two of five parts exchanged, in foreign words: 9 of 10 are found."""
     r = random.Random(21)
     words = [f"q{k}" for k in range(3000)]
-    draw = lambda n: [words[min(int(r.paretovariate(0.6)), 3000) - 1] for _ in range(n)]
-    items = [draw(n) for n in [15, 20, 30, 38, 59] * 8]
-    rows, want = [], set()
+    draw = lambda n: r.choices(words, [1 / (k + 5) for k in range(3000)], k=n)
+    items, rows = [draw(n) for n in [15, 20, 30, 38, 59] * 8], []
     for i, item in enumerate(items):
-        text = [w if r.random() > 0.3 else f"new{r.randrange(10**6)}" for w in item]
-        share = decontaminate.common_subsequence(*(np.array([hash(w) for w in x]) for x in (item, text))) / len(item)
-        if share < 0.8 and not (share >= 0.6 and text[-5:] == item[-5:]):
-            continue
-        around = [f"o{r.randrange(10**6)}" for _ in range(80)]
-        want.add((i, i))
-        rows.append((i, " ".join(around[:33] + text + around[33:])))
+        hit = set(r.sample(range(len(item)), len(item) // 5))
+        fifth = len(item) // 5
+        text = {"replaced": [f"new{r.randrange(10**6)}" if k in hit else w for k, w in enumerate(item)], "dropped": [w for k, w in enumerate(item) if k not in hit], "moved": item[fifth : 2 * fifth] + item[:fifth] + item[2 * fifth :]}[how]
+        around = [f"o{r.randrange(10**6)}" for _ in range(300)]
+        rows.append((i, " ".join(around[:133] + text + around[133:])))
     rows += [(1000 + k, " ".join(draw(100))) for k in range(200)]
     bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
     got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated_pairs(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
-    print("recall", len(want & got), len(want))
-    assert want and want <= got
+    assert len(got & {(i, i) for i in range(40)}) >= 36 and len(got - {(i, i) for i in range(40)}) <= 2, (len(got & {(i, i) for i in range(40)}), got)
+
+
+def test_decontamination_of_odd_rows(spark, monkeypatch, none):
+    """Null ids, long texts, repeated rows and items, clashing columns, no items, items in several chunks."""
+    r = random.Random(23)
+    items = [" ".join(r.choice(WORDS) for _ in range(25)) for _ in range(12)]
+    bench = [(k, t) for k, t in enumerate(items)] + [(3, items[3]), (None, items[4]), (20, ""), (21, None)]
+    long = " ".join(f"z{k % 5000}" for k in range(150_000))
+    docs = spark.createDataFrame([(None, f"x {items[0]} y", 1), (1, f"{long} {items[1]} {long}", 2), (2, items[3], 3), (2, items[3], 3), (3, items[4], 4), (4, "clean", 5), (None, "clean", 6)], "doc_id long, text string, item_id int")
+    bench = spark.createDataFrame(bench, "item_id long, text string")
+    want = sorted([(None, 0), (1, 1), (2, 3), (2, 3), (2, 3), (2, 3), (3, 4), (3, None)], key=str)
+    for size in (5_000, 5):
+        monkeypatch.setattr(decontaminate, "CHUNK", size)
+        assert sorted([(x.doc_id, x.item_id) for x in decontaminate.contaminated_pairs(docs, bench).collect()], key=str) == want
+        assert sorted(x.item_id for x in decontaminate.without_contaminated(docs, bench).collect()) == [5, 6]
+    assert decontaminate.contaminated_pairs(docs, bench.limit(0)).count() == 0 and decontaminate.without_contaminated(docs, bench.limit(0)).count() == 7
+    assert decontaminate.without_contaminated(none, bench).count() == 0
 
 
 def test_decontamination_of_short_items(spark):
