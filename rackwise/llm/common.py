@@ -37,7 +37,7 @@ def scratch_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """df written as a Parquet table in the shared folder and read back: cuts lineage, is computed once."""
     path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

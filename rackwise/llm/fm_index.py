@@ -1,5 +1,5 @@
 """FM-index over whole-number symbols: a suffix array by prefix doubling, its Burrows-Wheeler transform in a wavelet
-matrix of packed bits with counts per 64-bit word, and backward search for many patterns at once."""
+matrix whose bits are compressed by runs, and backward search for many patterns at once."""
 
 from __future__ import annotations
 
@@ -7,40 +7,51 @@ import numpy as np
 
 
 class Bits:
-    """Packed bits with the ones before each 64-bit word: rank in two look-ups."""
+    """Bits in words of 64 with the ones before each: rank in two look-ups. Words of one sign only, as runs of the transform make
+    them, are kept once for all."""
 
     def __init__(self, bits: np.ndarray) -> None:
         padded = np.zeros((len(bits) // 64 + 1) * 64, np.uint8)
         padded[: len(bits)] = bits
-        self.words = np.packbits(padded, bitorder="little").view(np.uint64)
-        self.before = np.concatenate(([0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)[:-1]))
+        words = np.packbits(padded, bitorder="little").view(np.uint64)
+        self.before = np.concatenate(([0], np.cumsum(np.bitwise_count(words), dtype=np.int64)[:-1])).astype(np.int32)
+        full = np.uint64((1 << 64) - 1)
+        mixed = (words != 0) & (words != full)
+        self.slot = np.where(mixed, np.cumsum(mixed) + 1, words == full).astype(np.int32)
+        self.words = np.concatenate((np.array([0, full], np.uint64), words[mixed]))
         self.zeros = len(bits) - int(bits.sum())
 
     def rank(self, i: np.ndarray) -> np.ndarray:
         """Ones among the first i bits."""
         word = i >> 6
         mask = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[word] + np.bitwise_count(self.words[word] & mask)
+        return self.before[word] + np.bitwise_count(self.words[self.slot[word]] & mask)
+
+    def nbytes(self) -> int:
+        return self.before.nbytes + self.slot.nbytes + self.words.nbytes
 
 
 class FmIndex:
     def __init__(self, text: np.ndarray, depth: int) -> None:
         """text: symbols from 0. Suffixes are sorted by their first `depth` symbols at least; patterns may be as long."""
-        n = len(text)
-        rank, h = text.astype(np.int64), 1
-        order = np.argsort(rank, kind="stable")
+        n, bits = len(text), max(1, int(text.max()).bit_length())
+        h = max(1, min(62 // bits, depth))  # so many symbols fit into the first key
+        key = np.zeros(n, np.int64)
+        for k in range(h):
+            key <<= bits
+            key[: n - k] |= text[k:]
         while True:
-            key = rank * (n + 2)
-            key[: n - h if h < n else 0] += rank[h:] + 1
             order = np.argsort(key, kind="stable")
             key = key[order]
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
-            h *= 2
             if h >= depth or rank[order[-1]] == n - 1:
                 break
+            key = rank * (n + 2)
+            key[: max(0, n - h)] += rank[h:] + 1
+            h *= 2
         last = text[order - 1]
-        self.n, self.levels = n, max(1, int(text.max()).bit_length())
+        self.n, self.levels = n, bits
         self.before = np.concatenate(([0], np.cumsum(np.bincount(text))))
         self.tree = []
         for level in reversed(range(self.levels)):
@@ -48,6 +59,9 @@ class FmIndex:
             self.tree.append(Bits(bits))
             last = np.concatenate((last[bits == 0], last[bits == 1]))
 
+    def nbytes(self) -> int:
+        return self.before.nbytes + sum(b.nbytes() for b in self.tree)
+
     def occurrences(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         """How often each symbol is among the first i of the transform."""
         start = np.zeros(len(i), np.int64)

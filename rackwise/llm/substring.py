@@ -4,7 +4,9 @@ Sharding: each window names an anchor, the 8-word gram in it with the least hash
 equal anchors, so all places of a repeated window meet under one anchor; neighbouring windows with one anchor make a
 context of at most 62 words. Contexts are first counted by hash: those found twice or more are repeated as they stand. Where an anchor has several
 different contexts, one of each goes to the anchor's shard; a compressed FM-index of the shard's contexts then answers backward
-searches from every window end of the contexts that were found once, and windows that occur twice or more are reported.
+searches from every window end of the contexts that were found once; neighbouring windows that occur twice or more are reported as one
+interval. The contexts of an anchor with more than HOT of them are cut into their windows, which go to shards by their own hash: equal windows
+still meet, and no anchor, however common, fills one shard.
 
 Hashes of words, grams and contexts have 64 bits. Documents are dealt into blocks once and stored with their block and place: where Arrow
 batches end depends on the columns sent, so dealing them anew could give other blocks. Nulls: a null text has no words; a null doc_id and repeated rows are kept, one result row for each.
@@ -28,6 +30,8 @@ from rackwise.llm.fm_index import FmIndex
 WINDOW = 35
 GRAM = 8
 BLOCK = 2 << 20
+#: Different contexts of an anchor beyond which they are dealt out window by window.
+HOT = 1024
 #: Hashes of words that a worker remembers; when there are more, it starts anew.
 WORDS_KEPT = 100_000
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -133,17 +137,20 @@ def repeated_runs(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     shared = each.groupBy("anchor").agg(F.count("*").alias("k"), F.sum("m").alias("t")).filter("t > 1")
     each = stored(each.join(shared, "anchor").select("anchor", "context", "m", "k", "one"))
     plain = found.join(each.filter("m > 1").select("anchor", "context"), ["anchor", "context"]).select("block", "at", "n")
-    asked = each.filter("k > 1").select("anchor", (F.col("m") == 1).alias("asks"), "one.block", "one.at", "one.n")
+    asked = each.filter("k > 1").select("anchor", (F.col("m") == 1).alias("asks"), (F.col("k") > HOT).alias("hot"), "one.block", "one.at", "one.n")
 
     def words_of(texts: pa.Table, wanted: pa.Table) -> pa.Table:
         words, _ = word_hashes(_ordered(texts)) if wanted.num_rows else (None, None)
-        rows = wanted.to_pylist()
-        return pa.table(
-            {
-                "shard_key": pa.array([r["anchor"] for r in rows], pa.int64()), "asks": pa.array([r["asks"] for r in rows], pa.bool_()), "block": pa.array([r["block"] for r in rows], pa.int64()),
-                "at": pa.array([r["at"] for r in rows], pa.int32()), "words": pa.array([words[r["at"] : r["at"] + r["n"] + window - 1].tobytes() for r in rows], pa.binary()),
-            }
-        )
+        out = []
+        for r in wanted.to_pylist():
+            if not r["hot"]:
+                out.append((r["anchor"], r["asks"], r["block"], r["at"], words[r["at"] : r["at"] + r["n"] + window - 1].tobytes()))
+                continue
+            for at in range(r["at"], r["at"] + r["n"]):
+                own = words[at : at + window].tobytes()
+                out.append((xxhash.xxh64_intdigest(own) - (1 << 63), r["asks"], r["block"], at, own))
+        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary())
+        return pa.table({c: pa.array([r[k] for r in out], t) for k, (c, t) in enumerate(zip(("shard_key", "asks", "block", "at", "words"), kinds))})
 
     sent = texts.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(words_of, "shard_key long, asks boolean, block long, at int, words binary")
     shards = partitions(texts.sparkSession)
@@ -162,8 +169,11 @@ def repeated_runs(texts: DataFrame, window: int = WINDOW) -> DataFrame:
         index = FmIndex(text, window)
         hit = index.matching(text, begin + window - 1, window) == window if len(begin) else np.zeros(0, bool)
         owner, begin = owner[hit], begin[hit]
+        head = np.flatnonzero(np.concatenate((np.ones(min(1, len(owner)), bool), (owner[1:] != owner[:-1]) | (begin[1:] != begin[:-1] + 1))))
+        n = np.diff(np.append(head, len(owner)))
+        owner, begin = owner[head], begin[head]
         at = t.column("at").to_numpy()[owner] + begin - first[owner]
-        return pa.table({"block": pa.array(t.column("block").to_numpy()[owner]), "at": pa.array(at.astype(np.int32)), "n": pa.array(np.ones(len(at), np.int16))})
+        return pa.table({"block": pa.array(t.column("block").to_numpy()[owner]), "at": pa.array(at.astype(np.int32)), "n": pa.array(n.astype(np.int16))})
 
     searched = sent.withColumn("shard", F.pmod("shard_key", F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(search, "block long, at int, n short")
     return plain.unionByName(searched)

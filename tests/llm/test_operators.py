@@ -12,7 +12,7 @@ import sentencepiece
 import xxhash
 from tokenizers import Tokenizer
 
-from rackwise.llm import bpe, decontaminate, html_text, katz, quality, simhash, simple8b, substring, token_counts, token_files, toxicity
+from rackwise.llm import bpe, decontaminate, fm_index, html_text, katz, quality, simhash, simple8b, substring, token_counts, token_files, toxicity
 from rackwise.llm.html_pages import labelled_pages
 from pyspark.sql import functions as F
 
@@ -143,6 +143,32 @@ def test_substring(docs, none):
     assert substring.substring_dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1024, 2])
+def test_substring_of_hot_anchors(spark, monkeypatch, hot):
+    """A passage that all documents hold within texts of their own: every anchor at its edges has as many contexts as documents."""
+    monkeypatch.setattr(substring, "HOT", hot)
+    r = random.Random(9)
+    passage = [f"p{r.randrange(10**6)}" for _ in range(50)]
+    texts = [[f"a{r.randrange(10**6)}" for _ in range(40)] + passage + [f"b{r.randrange(10**6)}" for _ in range(40)] for _ in range(60)]
+    texts += [texts[0][:60], texts[1][70:], ["x"] * 80, passage[:34], passage[:35]]
+    count = Counter(tuple(w[k : k + 35]) for w in texts for k in range(len(w) - 34))
+    want = {i: len({k + j for k in range(len(w) - 34) if count[tuple(w[k : k + 35])] > 1 for j in range(35)}) for i, w in enumerate(texts)}
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert {x.doc_id: x.n_removed for x in substring.substring_dedup(rows).collect()} == want
+
+
+@pytest.mark.parametrize("symbols", [3, 5000])
+def test_fm_index_counts(symbols):
+    r = np.random.default_rng(symbols)
+    text = np.concatenate((r.integers(1, symbols, 3000), np.tile(r.integers(1, symbols, 40), 30), [0]))
+    index, ends = fm_index.FmIndex(text, 20), np.arange(40, len(text) - 1, 7)
+    seen = [Counter(text[i - n + 1 : i + 1].tobytes() for i in range(n - 1, len(text))) for n in range(21)]
+    want = [max((n for n in range(1, 21) if seen[n][text[e - n + 1 : e + 1].tobytes()] >= 2), default=0) for e in ends]
+    assert index.matching(text, ends, 20).tolist() == want
+    plain = len(text) * index.levels / 8
+    assert index.nbytes() < 3 * plain + 8 * symbols + 200
+
+
 def test_substring_blocks_do_not_depend_on_the_columns(spark, monkeypatch, tmp_path):
     r = random.Random(8)
     texts = [" ".join(f"v{r.randrange(10**6)}" for _ in range(100)) for _ in range(400)]
