@@ -25,7 +25,7 @@ def control_model(status: Column, hwp: Column) -> Column:
 
 def pstate_facts(captures: DataFrame) -> DataFrame:
     """intel_pstate_status, hwp_enabled, epp_available, control_model, driver_limitations; no row without the driver's directory."""
-    wide = parse.of(captures, "sysfs_pstate").groupBy(*KEY).pivot("item", ["status", "hwp_dynamic_boost", "energy_performance_preference"]).agg(F.first(strip(F.col("content"))))
+    wide = parse.of(captures, "sysfs_pstate").groupBy(*KEY).pivot("item", ["status", "hwp_dynamic_boost", "energy_performance_preference"]).agg(F.max(strip(F.col("content"))))
     status = F.coalesce("status", F.lit(""))
     rows = wide.select(*KEY, status.alias("intel_pstate_status"), (F.col("hwp_dynamic_boost").isNotNull() | (status == "active")).alias("hwp_enabled"), F.col("energy_performance_preference").isNotNull().alias("epp_available"))
     s, h = F.col("intel_pstate_status"), F.col("hwp_enabled")
@@ -49,12 +49,14 @@ def rapl_domains(captures: DataFrame) -> DataFrame:
     return found.join(energy, list(KEY), "left").select(*KEY, F.col("d.label").alias("domains"), (F.size("d") > 0).alias("available"), F.coalesce("readable", F.lit(False)).alias("readable"))
 
 
-def cpu_topology(captures: DataFrame, fallback: Column | None = None) -> DataFrame:
-    """vendor, model_name, logical_cpus, sockets, threads_per_core, physical_cores; 0 and `unknown` where nothing is known."""
+def cpu_topology(captures: DataFrame) -> DataFrame:
+    """vendor, model_name, logical_cpus, sockets, threads_per_core, physical_cores; 0 and `unknown` where nothing is known.
+    Where lscpu has no count of CPUs, the operating system's own (source os_cpu_count) stands in."""
     wide = parse.kv_facts(captures).groupBy(*KEY).pivot("key", ["Vendor ID", "Model name", "CPU(s)", "Socket(s)", "Core(s) per socket", "Thread(s) per core"]).agg(F.first("value"))
-    rows = captures.select(*KEY).distinct().join(wide, list(KEY), "left")
+    own = parse.of(captures, "os_cpu_count").filter("rc = 0").groupBy(*KEY).agg(F.max(as_int(F.col("content"))).alias("os_cpus"))
+    rows = captures.select(*KEY).distinct().join(wide, list(KEY), "left").join(own, list(KEY), "left")
     number = lambda c: F.coalesce(as_int(F.col(f"`{c}`")), F.lit(0))
-    logical = F.coalesce(F.nullif(number("CPU(s)"), F.lit(0)), fallback if fallback is not None else F.lit(0))
+    logical = F.coalesce(F.nullif(number("CPU(s)"), F.lit(0)), "os_cpus", F.lit(0))
     return rows.select(
         *KEY, F.coalesce("Vendor ID", F.lit("unknown")).alias("vendor"), F.coalesce("Model name", F.lit("unknown")).alias("model_name"), logical.alias("logical_cpus"), number("Socket(s)").alias("sockets"),
         number("Thread(s) per core").alias("threads_per_core"), (number("Core(s) per socket") * number("Socket(s)")).alias("physical_cores"),
@@ -114,7 +116,7 @@ def assemble_facts(captures: DataFrame) -> DataFrame:
     freq = parse.freq_probe(captures).select(*KEY, F.col("success").alias("freq_success"), "current_khz")
     rapl = rapl_domains(captures).select(*KEY, "domains", F.col("available").alias("rapl_available"), F.col("readable").alias("rapl_readable"))
     probe = parse.rapl_probe(captures).select(*KEY, F.col("success").alias("rapl_probe_success"), "domain_tested", "sample_value_uj")
-    cpufreq = parse.sysfs_pivot(captures).select(*KEY, F.col("driver").alias("cpufreq_driver"), "governor_current", "min_khz", "max_khz", "base_frequency_khz", "available_frequencies_khz")
+    cpufreq = parse.sysfs_pivot(captures).select(*KEY, F.col("driver").alias("cpufreq_driver"), "governor_current", "governors_available", "min_khz", "max_khz", "base_frequency_khz", "available_frequencies_khz")
     pstate = pstate_facts(captures).select(*KEY, F.col("intel_pstate_status").alias("pstate_status"), "hwp_enabled", "epp_available", "driver_limitations")
     metrics = parse.gpu_metrics(captures).select(*KEY, F.col("success").alias("gpu_metrics_success"), "temperature_c", "power_draw_w")
     gpu = gpu_taxonomy(captures).select(*KEY, F.col("present").alias("gpu_present"), F.col("observable").alias("gpu_observable"), F.col("controllable").alias("gpu_controllable"), F.col("reason").alias("gpu_reason"))

@@ -21,8 +21,9 @@ def compare_nodes(facts: DataFrame, node: str, attributes: list[str]) -> DataFra
     """attribute, value, n_nodes, majority: how many nodes hold each value, and whether it is the commonest (ties: the least)."""
     text = facts.select(node, *[F.coalesce(F.col(a).cast("string"), F.lit("<null>")).alias(a) for a in attributes])
     counts = text.unpivot([node], attributes, "attribute", "value").groupBy("attribute", "value").agg(F.count("*").alias("n_nodes"))
-    first = F.row_number().over(Window.partitionBy("attribute").orderBy(F.desc("n_nodes"), "value"))
-    return counts.withColumn("majority", first == 1)
+    # An attribute may have as many values as nodes: the commonest is an aggregate, not a sort of one task's rows.
+    most = counts.groupBy("attribute").agg(F.min(F.struct((-F.col("n_nodes")).alias("n"), "value")).alias("most"))
+    return counts.join(F.broadcast(most), "attribute").select("attribute", "value", "n_nodes", (F.col("most.value") == F.col("value")).alias("majority"))  # one row an attribute
 
 
 def outlier_nodes(facts: DataFrame, node: str, attributes: list[str]) -> DataFrame:

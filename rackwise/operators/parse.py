@@ -60,11 +60,12 @@ def pci_display_adapters(captures: DataFrame) -> DataFrame:
 
 
 def numa_topology(captures: DataFrame, separators: str = ",") -> DataFrame:
-    """numa_id, cpus, origin: from numactl; from sysfs for runs where numactl has no matching line."""
-    line = r"^node\s+(\d+)\s+cpus:\s*(.*)$"
-    first = of(captures, "numactl").filter("rc = 0").select(*KEY, F.explode(lines(F.col("content"))).alias("line")).filter(F.col("line").rlike(line))
+    """numa_id, cpus, origin: from numactl; from sysfs for runs where numactl has no matching line. Nodes without a list of CPUs
+    (memory only) are left out on both paths."""
+    line = r"^node\s+(\d+)\s+cpus:\s+(.+)$"
+    first = of(captures, "numactl").filter("rc = 0").select(*KEY, F.explode(lines(F.col("content"))).alias("line")).withColumn("line", strip(F.col("line"))).filter(F.col("line").rlike(line))
     first = first.select(*KEY, F.regexp_extract("line", line, 1).alias("numa_id"), F.regexp_extract("line", line, 2).alias("list"), F.lit("numactl").alias("origin"))
-    rest = of(captures, "sysfs_cpulist").join(first.select(*KEY).distinct(), list(KEY), "left_anti")
+    rest = of(captures, "sysfs_cpulist").filter(strip(F.col("content")) != "").join(first.select(*KEY).distinct(), list(KEY), "left_anti")
     rest = rest.select(*KEY, F.regexp_replace("item", "^node", "").alias("numa_id"), F.col("content").alias("list"), F.lit("sysfs").alias("origin"))
     return first.unionByName(rest).select(*KEY, "numa_id", "origin", cpu_list(F.col("list"), separators).alias("cpus"))
 
@@ -77,13 +78,13 @@ def tool_presence(captures: DataFrame) -> DataFrame:
 
 
 def node_identity(captures: DataFrame) -> DataFrame:
-    return of(captures, "uname").groupBy(*KEY).pivot("item", ["hostname", "os", "kernel", "architecture"]).agg(F.first("content"))
+    return of(captures, "uname").groupBy(*KEY).pivot("item", ["hostname", "os", "kernel", "architecture"]).agg(F.max_by("content", F.struct("rc", "content")))
 
 
 def sysfs_pivot(captures: DataFrame) -> DataFrame:
     """The cpufreq leaves of a run as columns; lists split at white space."""
     names = ["scaling_driver", "scaling_governor", "scaling_available_governors", "scaling_cur_freq", "cpuinfo_min_freq", "cpuinfo_max_freq", "base_frequency", "scaling_available_frequencies"]
-    wide = of(captures, "sysfs_cpufreq").groupBy(*KEY).pivot("item", names).agg(F.first(strip(F.col("content"))))
+    wide = of(captures, "sysfs_cpufreq").groupBy(*KEY).pivot("item", names).agg(F.max(strip(F.col("content"))))
     listed = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda x: x != "")
     return wide.select(
         *KEY, F.coalesce("scaling_driver", F.lit("")).alias("driver"), F.coalesce("scaling_governor", F.lit("")).alias("governor_current"), listed("scaling_available_governors").alias("governors_available"),

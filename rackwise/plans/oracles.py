@@ -56,13 +56,13 @@ pstate AS (SELECT node_id, captured_at, max(content) FILTER (item = 'status') AS
 rapl AS (SELECT node_id, captured_at, string_agg(CASE WHEN content <> '' THEN item || ' (' || content || ')' ELSE item END, '|' ORDER BY item) AS domains FROM captures WHERE source = 'powercap_name' GROUP BY ALL),
 energy AS (SELECT node_id, captured_at, bool_or(rc = 0) AS readable, arg_min(content, item) FILTER (rc = 0 AND regexp_full_match(content, '[0-9]+')) AS sample, min(item) FILTER (rc = 0 AND regexp_full_match(content, '[0-9]+')) AS tested FROM captures WHERE source = 'powercap_energy' GROUP BY ALL),
 access AS (SELECT node_id, captured_at, coalesce(bool_or(rc = 0) FILTER (item = 'scaling_governor_w'), false) AS writable, coalesce(bool_or(rc = 0) FILTER (item = 'is_root'), false) AS root FROM captures WHERE source = 'access' GROUP BY ALL),
-topo AS (SELECT node_id, captured_at, coalesce(max(value) FILTER (key = 'Vendor ID'), 'unknown') AS vendor, coalesce(max(value) FILTER (key = 'Model name'), 'unknown') AS model_name, coalesce(max(TRY_CAST(value AS INT)) FILTER (key = 'CPU(s)'), 0) AS logical_cpus, coalesce(max(TRY_CAST(value AS INT)) FILTER (key = 'Socket(s)'), 0) AS sockets, coalesce(max(TRY_CAST(value AS INT)) FILTER (key = 'Thread(s) per core'), 0) AS threads_per_core, coalesce(max(TRY_CAST(value AS INT)) FILTER (key = 'Core(s) per socket'), 0) AS cores FROM runs LEFT JOIN kv USING (node_id, captured_at) GROUP BY ALL),
+topo AS (SELECT node_id, captured_at, coalesce(max(value) FILTER (key = 'Vendor ID'), 'unknown') AS vendor, coalesce(max(value) FILTER (key = 'Model name'), 'unknown') AS model_name, coalesce(nullif(max(TRY_CAST(value AS INT)) FILTER (key = 'CPU(s)'), 0), max(TRY_CAST(o.content AS INT)), 0) AS logical_cpus, coalesce(max(TRY_CAST(value AS INT)) FILTER (key = 'Socket(s)'), 0) AS sockets, coalesce(max(TRY_CAST(value AS INT)) FILTER (key = 'Thread(s) per core'), 0) AS threads_per_core, coalesce(max(TRY_CAST(value AS INT)) FILTER (key = 'Core(s) per socket'), 0) AS cores FROM runs LEFT JOIN kv USING (node_id, captured_at) LEFT JOIN (SELECT node_id, captured_at, content FROM captures WHERE source = 'os_cpu_count' AND rc = 0) o USING (node_id, captured_at) GROUP BY ALL),
 clocks AS (SELECT node_id, captured_at, item, rc, content FROM captures WHERE source = 'nvidia_clocks'),
 mhz AS (SELECT DISTINCT node_id, captured_at, item, 'memory' AS kind, CAST(unnest(regexp_extract_all(content, 'Memory\\s*:\\s*(\\d+)\\s*MHz', 1)) AS INT) AS mhz FROM clocks WHERE rc = 0 UNION ALL SELECT DISTINCT node_id, captured_at, item, 'graphics', CAST(unnest(regexp_extract_all(content, 'Graphics\\s*:\\s*(\\d+)\\s*MHz', 1)) AS INT) FROM clocks WHERE rc = 0),
-gputax AS (SELECT c.node_id, c.captured_at, device_count > 0 AS present, device_count > 0 AND tool_nvidia_smi AS observable, device_count > 0 AND tool_nvidia_smi AND nvidia_count > 0 AND coalesce((SELECT bool_or(rc = 0 AND content <> '') AND NOT bool_or(contains(content, 'N/A')) FROM clocks k WHERE k.node_id = c.node_id), false) AS controllable FROM counts c JOIN tools USING (node_id, captured_at)),
-nline AS (SELECT node_id, captured_at, regexp_extract(line, '^node\\s+(\\d+)\\s+cpus:\\s*(.*)$', 1) AS numa_id, regexp_extract(line, '^node\\s+(\\d+)\\s+cpus:\\s*(.*)$', 2) AS list, 'numactl' AS origin FROM (SELECT node_id, captured_at, unnest(string_split(content, chr(10))) AS line FROM captures WHERE source = 'numactl' AND rc = 0) WHERE regexp_matches(line, '^node\\s+(\\d+)\\s+cpus:')),
-numa AS (SELECT * FROM nline UNION ALL SELECT node_id, captured_at, replace(item, 'node', ''), content, 'sysfs' FROM captures c WHERE source = 'sysfs_cpulist' AND NOT EXISTS (SELECT 1 FROM nline n WHERE n.node_id = c.node_id)),
-perf AS (SELECT t.node_id, t.captured_at, TRY_CAST(p.content AS INT) AS level, coalesce(tool_perf AND s.rc = 0, false) AS accessible FROM tools t LEFT JOIN (SELECT * FROM captures WHERE source = 'procfs') p USING (node_id, captured_at) LEFT JOIN (SELECT * FROM captures WHERE source = 'perf_stat') s USING (node_id, captured_at))"""
+gputax AS (SELECT c.node_id, c.captured_at, nvidia_count > 0 AS nvidia, device_count > 0 AS present, device_count > 0 AND tool_nvidia_smi AS observable, device_count > 0 AND tool_nvidia_smi AND nvidia_count > 0 AND coalesce((SELECT bool_or(rc = 0 AND content <> '') AND NOT bool_or(contains(content, 'N/A')) FROM clocks k WHERE k.node_id = c.node_id), false) AS controllable FROM counts c JOIN tools USING (node_id, captured_at)),
+nline AS (SELECT node_id, captured_at, regexp_extract(trim(line), '^node\\s+(\\d+)\\s+cpus:\\s+(.+)$', 1) AS numa_id, regexp_extract(trim(line), '^node\\s+(\\d+)\\s+cpus:\\s+(.+)$', 2) AS list, 'numactl' AS origin FROM (SELECT node_id, captured_at, unnest(string_split(content, chr(10))) AS line FROM captures WHERE source = 'numactl' AND rc = 0) WHERE regexp_matches(trim(line), '^node\\s+(\\d+)\\s+cpus:\\s+.')),
+numa AS (SELECT * FROM nline UNION ALL SELECT node_id, captured_at, replace(item, 'node', ''), content, 'sysfs' FROM captures c WHERE source = 'sysfs_cpulist' AND trim(content) <> '' AND NOT EXISTS (SELECT 1 FROM nline n WHERE n.node_id = c.node_id)),
+perf AS (SELECT t.node_id, t.captured_at, TRY_CAST(p.content AS INT) AS level, coalesce(tool_perf AND s.rc = 0, false) AS accessible, CASE WHEN NOT tool_perf THEN 'perf is not installed' WHEN s.rc = 0 AND TRY_CAST(p.content AS INT) >= 2 THEN concat('perf works; level ', p.content, ' keeps kernel profiling from users') WHEN s.rc = 0 THEN 'perf works without restriction' ELSE concat('perf stat returned ', coalesce(CAST(s.rc AS VARCHAR), 'nothing'), ': ', coalesce(nullif(s.stderr, ''), 'unknown error'), CASE WHEN TRY_CAST(p.content AS INT) >= 3 THEN concat('; level ', p.content, ' shuts out all but root') ELSE '' END) END AS note FROM tools t LEFT JOIN (SELECT * FROM captures WHERE source = 'procfs') p USING (node_id, captured_at) LEFT JOIN (SELECT * FROM captures WHERE source = 'perf_stat') s USING (node_id, captured_at))"""
 CHUNK = "CASE WHEN contains(k, '-') THEN TRY_CAST(trim(split_part(k, '-', 1)) AS INT) ELSE TRY_CAST(trim(k) AS INT) END AS lo, CASE WHEN contains(k, '-') THEN TRY_CAST(trim(substr(k, strpos(k, '-') + 1)) AS INT) ELSE TRY_CAST(trim(k) AS INT) END AS hi"
 ENERGY = with_views("energy_samples") + ", s AS (SELECT *, energy_uj - lag(energy_uj) OVER (PARTITION BY node_id, domain ORDER BY ts, sample_id) AS d FROM energy_samples), w AS (SELECT *, (CASE WHEN d < 0 THEN d + 400000000 ELSE d END) / 1e6 AS j FROM s) "
 COMPARED = ("logical_cpus", "sockets", "cpufreq_driver", "pstate_status", "perf_paranoid", "numa_nodes")
@@ -97,7 +97,7 @@ def oracle_sql() -> dict[str, str]:
         "gpu_metrics": f"SELECT {key}, ok AS success, CASE WHEN ok THEN trim(split_part(line, ',', 1)) ELSE '' END AS temperature_c, CASE WHEN ok THEN trim(split_part(line, ',', 2)) ELSE '' END AS power_draw_w FROM (SELECT c.node_id, c.captured_at, split_part(content, chr(10), 1) AS line, rc = 0 AND tool_nvidia_smi AND c.node_id IN (SELECT node_id FROM smi) AND contains(split_part(content, chr(10), 1), ',') AS ok FROM captures c JOIN tools USING (node_id, captured_at) WHERE source = 'nvidia_metrics')",
         "sysfs_pivot": f"SELECT {key}, driver, governor AS governor_current, regexp_replace(governors, '\\s+', ' ', 'g') AS governors, mn AS min_khz, mx AS max_khz, base AS base_frequency_khz, steps FROM freq",
         "tool_presence": f"SELECT {key}, tool_perf, tool_cpupower, tool_numactl, tool_nvidia_smi FROM tools",
-        "perf_probe": f"SELECT {key}, level AS event_paranoid_level, accessible FROM perf",
+        "perf_probe": f"SELECT {key}, level AS event_paranoid_level, accessible, note FROM perf",
         "freq_probe": f"SELECT {key}, regexp_full_match(cur, '[0-9]+') AS success, CASE WHEN regexp_full_match(cur, '[0-9]+') THEN cur ELSE '' END AS current_khz FROM freq",
         "node_identity": "SELECT node_id, strftime(captured_at, '%Y-%m-%d %H:%M:%S') AS captured_at, max(content) FILTER (item = 'hostname') AS hostname, max(content) FILTER (item = 'os') AS os, max(content) FILTER (item = 'kernel') AS kernel, max(content) FILTER (item = 'architecture') AS architecture FROM captures WHERE source = 'uname' GROUP BY 1, 2",
         "ok_captures": f"SELECT {key}, source, item FROM captures WHERE rc = 0 AND content <> ''",
@@ -106,10 +106,10 @@ def oracle_sql() -> dict[str, str]:
         "scaling_method": f"SELECT {key}, CASE WHEN steps <> '' THEN 'discrete' WHEN base <> '' OR (mn <> '' AND mx <> '') THEN 'range' ELSE 'unknown' END AS scaling_method, CASE WHEN steps <> '' THEN 'discrete' WHEN hwp THEN 'hwp_range' WHEN status = 'passive' THEN 'pstate_range' ELSE 'unknown' END AS control_model FROM freq LEFT JOIN pstate USING (node_id, captured_at)",
         "rapl_domains": f"SELECT {key}, domains, true AS available, coalesce(readable, false) AS readable FROM rapl LEFT JOIN energy USING (node_id, captured_at)",
         "cpu_topology": f"SELECT {key}, vendor, model_name, logical_cpus, sockets, threads_per_core, cores * sockets AS physical_cores FROM topo",
-        "cpu_taxonomy": f"SELECT {key}, logical_cpus > 0 AS present, logical_cpus > 0 AND coalesce(readable, false) AS observable, logical_cpus > 0 AND coalesce(readable, false) AND writable AS controllable FROM topo JOIN access USING (node_id, captured_at) LEFT JOIN energy USING (node_id, captured_at)",
+        "cpu_taxonomy": f"SELECT {key}, logical_cpus > 0 AS present, logical_cpus > 0 AND coalesce(readable, false) AS observable, logical_cpus > 0 AND coalesce(readable, false) AND writable AS controllable, CASE WHEN logical_cpus = 0 THEN 'no CPUs were found' WHEN NOT coalesce(readable, false) THEN 'energy counters cannot be read' WHEN NOT writable THEN 'governor cannot be written' END AS reason FROM topo JOIN access USING (node_id, captured_at) LEFT JOIN energy USING (node_id, captured_at)",
         "gpu_devices": f"SELECT {key}, vendor, origin, name, bus_id, index_raw FROM gpu",
         "gpu_counts": f"SELECT {key}, device_count, nvidia_count, intel_count, nvidia_count > 0 AS nvidia_present FROM counts",
-        "gpu_taxonomy": f"SELECT {key}, present, observable, controllable FROM gputax",
+        "gpu_taxonomy": f"SELECT {key}, present, observable, controllable, CASE WHEN controllable THEN NULL WHEN observable AND NOT nvidia THEN 'only NVIDIA clocks can be set and there is no NVIDIA device' WHEN observable THEN 'nvidia-smi lists no clocks' WHEN present THEN 'nvidia-smi is missing' ELSE 'no GPU was found' END AS reason FROM gputax",
         "permissions": f"SELECT {key}, root AS is_root, coalesce(readable, false) AS rapl_readable, writable AS cpufreq_writable, controllable AS gpu_clock_control_available FROM access JOIN gputax USING (node_id, captured_at) LEFT JOIN energy USING (node_id, captured_at)",
         "assemble_reports": f"SELECT t.node_id, strftime(t.captured_at, '%Y-%m-%d %H:%M:%S') AS captured_at, (SELECT content FROM captures c WHERE c.node_id = t.node_id AND c.source = 'uname' AND c.item = 'hostname') AS hostname, logical_cpus, cores * sockets AS physical_cores, tool_perf, accessible AS perf_accessible, coalesce(regexp_full_match(cur, '[0-9]+'), false) AS freq_success, domains IS NOT NULL AS rapl_available, coalesce(readable, false) AS rapl_readable, driver AS cpufreq_driver, writable AS cpufreq_writable, device_count, CAST((SELECT count(*) FROM numa n WHERE n.node_id = t.node_id) AS INT) AS numa_nodes FROM topo t JOIN tools USING (node_id, captured_at) JOIN perf USING (node_id, captured_at) JOIN access USING (node_id, captured_at) JOIN counts USING (node_id, captured_at) LEFT JOIN freq USING (node_id, captured_at) LEFT JOIN rapl USING (node_id, captured_at) LEFT JOIN energy USING (node_id, captured_at)",
         "observable_frequencies": f"SELECT r.node_id, strftime(r.captured_at, '%Y-%m-%d %H:%M:%S') AS captured_at, CASE WHEN steps <> '' THEN 'discrete' WHEN base <> '' OR (mn <> '' AND mx <> '') THEN 'range' ELSE 'unknown' END AS method, coalesce(mn, '') AS min_khz, coalesce(mx, '') AS max_khz, coalesce(base, '') AS base_frequency_khz, coalesce(steps, '') AS discrete_steps FROM runs r LEFT JOIN freq USING (node_id, captured_at)",
@@ -122,10 +122,12 @@ def oracle_sql() -> dict[str, str]:
         "outlier_nodes": VALUES + "SELECT a.attribute, node_id, a.value, m.value AS majority_value FROM a JOIN m ON a.attribute = m.attribute AND majority WHERE a.value <> m.value",
         "latest_report": f"{with_views('fleet_runs')} SELECT {run}, run_no FROM fleet_runs WHERE run_no = 3",
         "permission_gap": f"{runs} SELECT u.node_id, u.capability, u.status AS user_status, o.status AS root_status FROM r u JOIN r o ON u.node_id = o.node_id AND u.capability = o.capability WHERE u.run_no = 2 AND o.run_no = 3 AND o.status = 'available' AND u.status <> 'available'",
-        "status_transitions": f"{runs}, t AS (SELECT *, lag(status) OVER (PARTITION BY node_id, capability ORDER BY generated_at) AS before FROM r WHERE run_no < 3) SELECT {run}, capability, before, status FROM t WHERE before <> status",
+        "status_transitions": f"{runs}, t AS (SELECT *, lag(status) OVER (PARTITION BY node_id, capability ORDER BY generated_at) AS before FROM r) SELECT {run}, capability, before, status FROM t WHERE before <> status",
         "energy_joules": ENERGY + "SELECT node_id, domain, sample_id, round(d / 1e6, 6) AS joules FROM s",
         "energy_joules_wrap": ENERGY + "SELECT node_id, domain, sample_id, round(j, 6) AS joules FROM w",
-        "edp": ENERGY + "SELECT node_id, domain, round(sum(j), 4) AS joules, round(date_diff('microsecond', min(ts), max(ts)) / 1e6, 6) AS seconds FROM w GROUP BY ALL",
-        "energy_by_domain_level": ENERGY + f", l AS ({levels}) SELECT node_id, level, round(sum(j), 4) AS joules, count(j) AS intervals FROM w CROSS JOIN l GROUP BY ALL",
+        "read_captures": with_views("captures") + f" SELECT {key}, source, item, rc, trim(content) AS content, stderr FROM captures",
+        "stream_energy": with_views("energy_samples") + " SELECT node_id, domain, strftime(time_bucket(INTERVAL 1 hour, CAST(ts AS TIMESTAMP)), '%Y-%m-%d %H:%M:%S') AS start, (max(energy_uj) - min(energy_uj)) / 1e6 AS joules, count(*) AS n FROM energy_samples GROUP BY node_id, domain, time_bucket(INTERVAL 1 hour, CAST(ts AS TIMESTAMP)) HAVING time_bucket(INTERVAL 1 hour, CAST(any_value(ts) AS TIMESTAMP)) + INTERVAL 1 hour <= (SELECT max(CAST(ts AS TIMESTAMP)) - INTERVAL 10 minutes FROM energy_samples)",
+        "edp": ENERGY + "SELECT node_id, domain, round(sum(j), 4) AS joules, round(date_diff('microsecond', min(ts), max(ts)) / 1e6, 6) AS seconds, round(sum(j) * (date_diff('microsecond', min(ts), max(ts)) / 1e6), 0) AS edp FROM w GROUP BY ALL",
+        "energy_by_domain_level": ENERGY + f", l AS ({levels}) SELECT node_id, level, round(sum(j), 4) AS joules, count(j) AS intervals FROM w JOIN l USING (domain) GROUP BY ALL",
     }
     return {k: _nodes(v) for k, v in nodes.items()} | {k: _captures(v) for k, v in captures.items()} | others

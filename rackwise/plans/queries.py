@@ -58,16 +58,28 @@ def _assembled(captures: DataFrame) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-checkpoints-", dir="/tmp")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-checkpoints-", dir="/tmp")
     return f"{root}/{uuid.uuid4().hex}"
 
 
 def report_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as JSON and read back with the explicit schema: identity and capability states."""
     path = _scratch(spark)
-    reports.write_reports(reports.report_documents(_assembled(_view(spark, sf_dir, "captures"))), path)
-    back = reports.read_reports(spark, path)
-    return back.select("node_id", F.col("node.hostname").alias("hostname"), F.col("cpu.logical_cpus").alias("logical_cpus"), *[F.col(f"capabilities.{c}.status").alias(c) for c in assess.CAPABILITIES])
+    captures = _view(spark, sf_dir, "captures")
+    reports.write_reports(reports.report_documents(_assembled(captures), captures), path)
+    back = reports.read_reports(spark, path, lines=True)
+    return back.select("node_id", F.col("node.hostname").alias("hostname"), F.col("cpu.logical_cpus").alias("logical_cpus"), F.size("gpu.devices").alias("n_devices"), F.size("numa.nodes").alias("n_numa"), F.size("experiment_blockers").alias("n_blockers"), F.size("readiness.issues").alias("n_issues"), *[F.col(f"capabilities.{c}.status").alias(c) for c in assess.CAPABILITIES])
+
+
+def read_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The captures written as a table and read by the capture source."""
+    path = _scratch(spark)
+    _view(spark, sf_dir, "captures").write.parquet(path)
+    return _plain(reports.read_captures(spark, path).select(*KEY, "source", "item", "rc", "content", "stderr"))
 
 
 def _streamed(spark: SparkSession, rows: DataFrame, build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
@@ -90,10 +102,8 @@ def stream_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _energy_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = _view(spark, sf_dir, "energy_samples")
-    dim = fixtures.rapl_domain_dim(spark)
-    every = one.drop("domain").crossJoin(F.broadcast(dim.select("domain")))  # six rows
-    return fleet.energy_by_domain_level(every, dim, WRAP).select("node_id", "level", F.round("joules", 4).alias("joules"), F.col("intervals").cast("long").alias("intervals"))
+    dim = fixtures.rapl_domain_dim(spark)  # six rows
+    return fleet.energy_by_domain_level(_view(spark, sf_dir, "energy_samples"), dim, WRAP).select("node_id", "level", F.round("joules", 4).alias("joules"), F.col("intervals").cast("long").alias("intervals"))
 
 
 CAPTURE_QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
@@ -106,7 +116,7 @@ CAPTURE_QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "gpu_metrics": parse.gpu_metrics,
     "sysfs_pivot": lambda c: parse.sysfs_pivot(c).select(*KEY, "driver", "governor_current", F.array_join("governors_available", " ").alias("governors"), "min_khz", "max_khz", "base_frequency_khz", F.array_join("available_frequencies_khz", " ").alias("steps")),
     "tool_presence": parse.tool_presence,
-    "perf_probe": lambda c: parse.perf_probe(c).select(*KEY, "event_paranoid_level", "accessible"),
+    "perf_probe": lambda c: parse.perf_probe(c),
     "freq_probe": parse.freq_probe,
     "node_identity": parse.node_identity,
     "ok_captures": lambda c: parse.ok_captures(c).select(*KEY, "source", "item"),
@@ -115,19 +125,20 @@ CAPTURE_QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "scaling_method": facts.scaling_method,
     "rapl_domains": lambda c: facts.rapl_domains(c).select(*KEY, F.array_join("domains", "|").alias("domains"), "available", "readable"),
     "cpu_topology": facts.cpu_topology,
-    "cpu_taxonomy": lambda c: facts.cpu_taxonomy(c).select(*KEY, "present", "observable", "controllable"),
+    "cpu_taxonomy": lambda c: facts.cpu_taxonomy(c),
     "gpu_devices": lambda c: facts.gpu_devices(c).select(*KEY, "vendor", "origin", "name", "bus_id", "index_raw"),
     "gpu_counts": facts.gpu_counts,
-    "gpu_taxonomy": lambda c: facts.gpu_taxonomy(c).select(*KEY, "present", "observable", "controllable"),
+    "gpu_taxonomy": lambda c: facts.gpu_taxonomy(c),
     "permissions": facts.permissions,
     "assemble_reports": lambda c: facts.assemble_facts(c).select(*KEY, "hostname", "logical_cpus", "physical_cores", "tool_perf", "perf_accessible", "freq_success", "rapl_available", "rapl_readable", "cpufreq_driver", "cpufreq_writable", "device_count", "numa_nodes"),
-    "fleet_summary": lambda c: (lambda a: outcomes.fleet_summary(a, assess.capability_results(a, KEY), KEY))(_assembled(c)).select(*KEY, "hostname", "vendor", "model_name", "device_count", "nvidia_count", "intel_count", "rapl_available", "n_blockers", "n_issues", "cpu_discovery_ready", "gpu_discovery_ready"),
+    "fleet_summary": lambda c: (lambda a: outcomes.fleet_summary(a, assess.capability_results(a, KEY), KEY))(_assembled(c)).select(*KEY, "hostname", "vendor", "model_name", "device_count", "nvidia_count", "intel_count", "rapl_available", "n_blockers", "n_issues", *[f"{f}_ready" for f in outcomes.FLAGS]),
     "observable_frequencies": lambda c: outcomes.observable_frequencies(_facts(c), KEY).withColumn("discrete_steps", F.array_join("discrete_steps", " ")),
     "energy_domains": lambda c: outcomes.energy_domains(_facts(c), KEY),
     "telemetry_plan": lambda c: (lambda f: fleet.telemetry_plan(outcomes.telemetry_backends(assess.assess(f), KEY), outcomes.energy_domains(f, KEY), KEY))(_facts(c)),
 }
 
 NODE_QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "capability_texts": lambda n: _results(n).select(*RUN, "ordinal", "capability", "status", "severity", "evidence", "reason", "recommendation"),
     "cap_status_long": lambda n: _results(n).select(*RUN, "ordinal", "capability", "status", "severity"),
     "experiment_blockers": lambda n: outcomes.experiment_blockers(_results(n)).select(*RUN, "ordinal", "capability", "severity"),
     "issues_ranked": lambda n: outcomes.issues(_results(n), RUN).select(*RUN, "position", "capability", "severity"),
@@ -144,14 +155,14 @@ NODE_QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
 
 RUN_QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "latest_report": lambda r: fleet.latest_report(r).select(*RUN, "run_no"),
-    "permission_gap": lambda r: fleet.permission_gap(_results(r.filter("run_no >= 2"), "is_root")),
-    "status_transitions": lambda r: fleet.status_transitions(_results(r.filter("run_no < 3"))).select(*RUN, "capability", "before", "status"),
+    "permission_gap": lambda r: fleet.permission_gap(_results(r, "is_root")),
+    "status_transitions": lambda r: fleet.status_transitions(_results(r)).select(*RUN, "capability", "before", "status"),
 }
 
 ENERGY_QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "energy_joules": lambda e: fleet.energy_joules(e).select("node_id", "domain", "sample_id", F.round("joules", 6).alias("joules")),
     "energy_joules_wrap": lambda e: fleet.energy_joules_wrap(e, WRAP).select("node_id", "domain", "sample_id", F.round("joules", 6).alias("joules")),
-    "edp": lambda e: fleet.edp(e, WRAP).select("node_id", "domain", F.round("joules", 4).alias("joules"), F.round("seconds", 6).alias("seconds")),
+    "edp": lambda e: fleet.edp(e, WRAP).select("node_id", "domain", F.round("joules", 4).alias("joules"), F.round("seconds", 6).alias("seconds"), F.round("edp", 0).alias("edp")),
 }
 
 
@@ -159,4 +170,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {}
     for view, group in (("captures", CAPTURE_QUERIES), ("fleet_nodes", NODE_QUERIES), ("fleet_runs", RUN_QUERIES), ("energy_samples", ENERGY_QUERIES)):
         found |= {name: _from(view, q) for name, q in group.items()}
-    return found | {"energy_by_domain_level": _energy_level, "report_round_trip": report_round_trip, "stream_gate": stream_gate, "stream_energy": stream_energy}
+    return found | {"energy_by_domain_level": _energy_level, "report_round_trip": report_round_trip, "read_captures": read_captures, "stream_gate": stream_gate, "stream_energy": stream_energy}

@@ -42,7 +42,7 @@ CAPTURES = """
 WITH n AS (SELECT node_id, generated_at AS captured_at, hostname, logical_cpus, sockets, tool_perf, perf_accessible, perf_paranoid,
                   freq_success, rapl_available, rapl_readable, rapl_probe_success, cpufreq_driver, pstate_status, cpufreq_writable,
                   epp_available, tool_nvidia_smi, nvidia_present, tool_numactl, is_root, CAST(node_id AS VARCHAR(20)) AS ns
-           FROM fleet_nodes)
+           FROM fleet_runs WHERE run_no = CASE WHEN node_id % 4 = 1 THEN 3 ELSE 0 END)
 SELECT node_id, captured_at, 'lscpu' AS source, '' AS item, CASE WHEN node_id % 41 = 0 THEN -1 ELSE 0 END AS rc,
   concat('Vendor ID:   GenuineIntel', chr(10), 'Model name:  ', 'X: rev ', ns, chr(10),
          'CPU(s):  ', CASE WHEN logical_cpus = 0 THEN 'N/A' ELSE CAST(logical_cpus AS VARCHAR(9)) END, chr(10),
@@ -54,6 +54,8 @@ SELECT node_id, captured_at, 'uname', item, 0,
   CASE item WHEN 'hostname' THEN hostname WHEN 'os' THEN 'Linux' WHEN 'kernel' THEN concat('6.', CAST(node_id % 5 AS VARCHAR(9)), '.0') ELSE 'x86_64' END, ''
   FROM n CROSS JOIN (VALUES ('hostname'), ('os'), ('kernel'), ('architecture')) AS v(item)
 UNION ALL
+SELECT node_id, captured_at, 'os_cpu_count', '', 0, CAST(8 + node_id % 3 AS VARCHAR(9)), '' FROM n WHERE node_id % 2 = 0
+UNION ALL
 SELECT node_id, captured_at, 'which', item,
   CASE WHEN (item = 'perf' AND tool_perf) OR (item = 'numactl' AND tool_numactl) OR (item = 'nvidia_smi' AND tool_nvidia_smi) OR (item = 'cpupower' AND node_id % 2 = 0) THEN 0 ELSE 1 END, '', ''
   FROM n CROSS JOIN (VALUES ('perf'), ('cpupower'), ('numactl'), ('nvidia_smi')) AS v(item)
@@ -90,15 +92,16 @@ SELECT node_id, captured_at, 'powercap_energy', item, CASE WHEN rapl_readable TH
   FROM n CROSS JOIN (VALUES ('intel-rapl:0'), ('intel-rapl:0:1')) AS v(item) WHERE rapl_available
 UNION ALL
 SELECT node_id, captured_at, 'numactl', '', CASE WHEN node_id % 5 = 2 THEN 1 ELSE 0 END,
-  concat('available: 2 nodes (0-1)', chr(10), 'node 0 cpus: 0-3', chr(10), 'node 0 size: 64 MB', chr(10), 'node 1 cpus: 4 5 6 7'), '' FROM n WHERE tool_numactl
+  concat('available: 2 nodes (0-1)', chr(10), 'node 0 cpus: 0-3', chr(10), 'node 0 size: 64 MB', chr(10),
+         CASE WHEN node_id % 7 = 3 THEN '  node 1 cpus: 4,5' WHEN node_id % 7 = 4 THEN 'node 1 cpus:' ELSE 'node 1 cpus: 4 5 6 7' END, chr(10), 'node 2 cpus: '), '' FROM n WHERE tool_numactl
 UNION ALL
 SELECT node_id, captured_at, 'sysfs_cpulist', item, 0,
-  CASE WHEN node_id % 5 = 0 THEN '5-3,x,7' WHEN item = 'node0' THEN '0-3,8,10-11' ELSE '4-7, 9 ,-1' END, ''
+  CASE WHEN node_id % 5 = 0 THEN '5-3,x,7' WHEN item = 'node0' THEN '0-3,8,10-11' WHEN node_id % 7 = 2 THEN '' ELSE '4-7, 9 ,-1' END, ''
   FROM n CROSS JOIN (VALUES ('node0'), ('node1')) AS v(item)
 UNION ALL
 SELECT node_id, captured_at, 'nvidia_clocks', item, CASE WHEN node_id % 9 = 0 THEN 9 ELSE 0 END,
   concat('  Memory  : ', CAST(5000 + 100 * (node_id % 3) AS VARCHAR(9)), ' MHz', chr(10), '    Graphics  : 1980 MHz', chr(10),
-         '    Graphics  : 210 MHz', chr(10), '    Graphics  : 1980 MHz', chr(10), '    Video : N/A'), ''
+         '    Graphics  : 210 MHz', chr(10), '    Graphics  : 1980 MHz', CASE WHEN node_id % 5 < 2 THEN concat(chr(10), '    Video : N/A') ELSE '' END), ''
   FROM n CROSS JOIN (VALUES ('0'), ('1')) AS v(item) WHERE nvidia_present
 UNION ALL
 SELECT node_id, captured_at, 'nvidia_gpus', '', 0,
@@ -112,15 +115,16 @@ SELECT node_id, captured_at, 'lspci', '', 0,
 """
 
 ENERGY_SAMPLES = """
-SELECT user_id AS node_id, 'intel-rapl:0' AS domain, event_id AS sample_id, ts,
-  CAST(SUM(CAST(ROUND(value * 100) AS BIGINT) * 10000) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) % 400000000 AS BIGINT) AS energy_uj
-FROM events
+SELECT node_id, domain, sample_id, ts,
+  CAST(SUM(step) OVER (PARTITION BY node_id, domain ORDER BY ts, sample_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) % 400000000 AS BIGINT) AS energy_uj
+FROM (SELECT user_id AS node_id, event_id AS sample_id, ts, CAST(ROUND(value * 100) AS BIGINT) * 10000 AS step,
+  CASE event_id % 8 WHEN 0 THEN 'intel-rapl:0:0' WHEN 1 THEN 'intel-rapl:0:1' WHEN 2 THEN 'intel-rapl:1' WHEN 3 THEN 'intel-rapl-mmio' WHEN 4 THEN 'intel-rapl-mmio:0' ELSE 'intel-rapl:0' END AS domain FROM events) AS e
 """
 
 RAPL_DOMAINS = (("intel-rapl:0", "package"), ("intel-rapl:0:0", "core"), ("intel-rapl:0:1", "dram"), ("intel-rapl:1", "package2_or_psys"), ("intel-rapl-mmio", "mmio"), ("intel-rapl-mmio:0", "mmio_package"))
 
 VIEWS = {"fleet_runs": FLEET_RUNS, "fleet_nodes": FLEET_NODES, "captures": CAPTURES, "energy_samples": ENERGY_SAMPLES}
-NEEDS = {"fleet_runs": (), "fleet_nodes": ("fleet_runs",), "captures": ("fleet_runs", "fleet_nodes"), "energy_samples": ()}
+NEEDS = {"fleet_runs": (), "fleet_nodes": ("fleet_runs",), "captures": ("fleet_runs",), "energy_samples": ()}
 
 
 def with_views(view: str) -> str:

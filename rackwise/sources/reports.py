@@ -5,30 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rackwise.functions.text import strip
-from rackwise.operators.assess import CAPABILITIES
+from rackwise.functions.text import KEY, strip
+from rackwise.operators import facts, outcomes, parse
+from rackwise.operators.assess import CAPABILITIES, capability_results
+from rackwise.operators.outcomes import FLAGS
 
 CAP = "STRUCT<status: STRING, severity: STRING, evidence: STRING, reason: STRING, recommendation: STRING>"
 TAX = "STRUCT<present: BOOLEAN, observable: BOOLEAN, controllable: BOOLEAN, reason: STRING>"
+ISSUE = "STRUCT<severity: STRING, capability: STRING, message: STRING, reason: STRING, recommendation: STRING>"
+DEVICE = "STRUCT<index: INT, name: STRING, vendor: STRING, driver_version: STRING, vbios_version: STRING, memory_total_mb: STRING, supported_graphics_clocks_mhz: ARRAY<STRING>, supported_memory_clocks_mhz: ARRAY<STRING>, bus_id: STRING, origin: STRING>"
 #: Explicit schema of a report; nothing is inferred, and names that a document has beside these are passed over.
 REPORT = f"""schema_version STRING, tool_version STRING, generated_at TIMESTAMP, node_id BIGINT,
 node STRUCT<hostname: STRING, os: STRING, kernel: STRING, architecture: STRING>,
 cpu STRUCT<vendor: STRING, model_name: STRING, logical_cpus: INT, physical_cores: INT, threads_per_core: INT, sockets: INT,
-  cpufreq: STRUCT<driver: STRING, governor_current: STRING, min_khz: STRING, max_khz: STRING, base_frequency_khz: STRING, available_frequencies_khz: ARRAY<STRING>,
+  cpufreq: STRUCT<driver: STRING, governor_current: STRING, governors_available: ARRAY<STRING>, min_khz: STRING, max_khz: STRING, base_frequency_khz: STRING, available_frequencies_khz: ARRAY<STRING>,
     scaling_method: STRING, intel_pstate_status: STRING, hwp_enabled: BOOLEAN, epp_available: BOOLEAN, control_model: STRING, driver_limitations: ARRAY<STRING>>,
-  rapl: STRUCT<available: BOOLEAN, domains: ARRAY<STRING>, readable: BOOLEAN>>,
-gpu STRUCT<nvidia_present: BOOLEAN, device_count: BIGINT, taxonomy: {TAX}>,
-numa STRUCT<available: BOOLEAN, nodes: INT>,
+  rapl: STRUCT<available: BOOLEAN, domains: ARRAY<STRING>, readable: BOOLEAN, probe: STRUCT<success: BOOLEAN, sample_value_uj: STRING, domain_tested: STRING>>, taxonomy: {TAX}>,
+gpu STRUCT<nvidia_present: BOOLEAN, device_count: BIGINT, devices: ARRAY<{DEVICE}>, by_vendor: STRUCT<nvidia: ARRAY<{DEVICE}>, intel: ARRAY<{DEVICE}>>, taxonomy: {TAX}>,
+numa STRUCT<available: BOOLEAN, nodes: MAP<STRING, ARRAY<INT>>>,
 tools STRUCT<perf: BOOLEAN, cpupower: BOOLEAN, numactl: BOOLEAN, nvidia_smi: BOOLEAN>,
 permissions STRUCT<is_root: BOOLEAN, rapl_readable: BOOLEAN, cpufreq_writable: BOOLEAN, gpu_clock_control_available: BOOLEAN, perf_event_paranoid: INT>,
-active_probes STRUCT<perf: STRUCT<event_paranoid_level: INT, accessible: BOOLEAN, note: STRING>, rapl_read: STRUCT<success: BOOLEAN, sample_value_uj: STRING, domain_tested: STRING>,
+active_probes STRUCT<perf: STRUCT<event_paranoid_level: INT, accessible: BOOLEAN, tested_with: STRING, note: STRING>, rapl_read: STRUCT<success: BOOLEAN, sample_value_uj: STRING, domain_tested: STRING>,
   cpu_frequency: STRUCT<success: BOOLEAN, current_khz: STRING>, gpu_metrics: STRUCT<success: BOOLEAN, temperature_c: STRING, power_draw_w: STRING>>,
-capabilities STRUCT<{", ".join(f"{c}: {CAP}" for c in CAPABILITIES)}>, corrupt STRING"""
+capabilities STRUCT<{", ".join(f"{c}: {CAP}" for c in CAPABILITIES)}>,
+backends STRUCT<telemetry: STRUCT<cpu_perf: BOOLEAN, cpu_rapl: BOOLEAN, gpu_nvml: BOOLEAN>, control: STRUCT<cpu_cpufreq: BOOLEAN, gpu_clocks: BOOLEAN>,
+  observable_frequencies: STRUCT<method: STRING, min_khz: STRING, max_khz: STRING, base_frequency_khz: STRING, discrete_steps: ARRAY<STRING>>, energy_domains: ARRAY<STRING>>,
+experiment_blockers ARRAY<STRUCT<severity: STRING, capability: STRING, message: STRING, recommendation: STRING>>,
+readiness STRUCT<{", ".join(f"{c}_ready: BOOLEAN" for c in FLAGS)}, issues: ARRAY<{ISSUE}>>, corrupt STRING"""
 
 
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Report documents under path, with their file; a document that can't be parsed is kept in `corrupt`."""
-    rows = spark.read.schema(REPORT).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt").option("recursiveFileLookup", True).json(path)
+def read_reports(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Report documents under path, with their file: one (or an array of them) a file, however it is indented; with `lines` one a line,
+    as write_reports writes them. A document that can't be parsed is kept in `corrupt`."""
+    rows = spark.read.schema(REPORT).option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt").option("recursiveFileLookup", True).json(path)
     return rows.select("*", F.col("_metadata.file_path").alias("file_path"))
 
 
@@ -38,28 +47,60 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("content", F.coalesce(strip(F.col("content")), F.lit(""))).withColumn("stderr", F.coalesce("stderr", F.lit("")))
 
 
-def report_documents(assessed: DataFrame) -> DataFrame:
-    """Assessed facts of captures as report documents."""
+def _listed(rows: DataFrame, order: str, fields: list, name: str) -> DataFrame:
+    """The rows of a run as one array, in order."""
+    found = rows.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.struct(*fields).alias("v")))).alias("all"))
+    return found.select(*KEY, F.col("all.v").alias(name))
+
+
+def report_documents(assessed: DataFrame, captures: DataFrame) -> DataFrame:
+    """Assessed facts of captures as whole report documents."""
     c = F.col
+    results = capability_results(assessed, KEY)
+    clocks = lambda name: F.filter(F.split(F.coalesce(c(name).cast("string"), F.lit("")), r"[,\s]+"), lambda x: x != "")
+    device = ["index", "name", "vendor", "driver_version", "vbios_version", "memory_total_mb", clocks("graphics_clocks").alias("supported_graphics_clocks_mhz"), clocks("memory_clocks").alias("supported_memory_clocks_mhz"), "bus_id", "origin"]
+    devices = _listed(facts.gpu_devices(captures).withColumn("place", F.concat(F.when(c("origin") == "lspci", 1).otherwise(0), F.lpad("index_raw", 9, "0"), "bus_id")), "place", device, "devices")
+    numa = parse.numa_topology(captures).groupBy(*KEY).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("numa_id", "cpus")))).alias("numa_map"))
+    message = c("evidence").alias("message")
+    blockers = _listed(outcomes.experiment_blockers(results), "ordinal", ["severity", "capability", message, "recommendation"], "blockers")
+    issues = _listed(outcomes.issues(results, KEY), "position", ["severity", "capability", message, "reason", "recommendation"], "issues")
+    taxonomy = facts.cpu_taxonomy(captures).select(*KEY, F.struct("present", "observable", "controllable", "reason").alias("cpu_taxonomy"))
+    for part in (devices, numa, blockers, issues, taxonomy, outcomes.readiness_flags(results, KEY)):
+        assessed = assessed.join(part, list(KEY), "left")
+    none = lambda name, kind: F.coalesce(name, F.array().cast(kind))
+    all_devices = none("devices", f"array<{DEVICE}>")
+    of_vendor = lambda v: F.filter(all_devices, lambda d: d["vendor"] == v)
+    status = lambda name, *of: F.col(f"cap_{name}.status").isin(*of)
     s = lambda **fields: F.struct(*[(c(v) if isinstance(v, str) else v).alias(k) for k, v in fields.items()])
+    probe = s(success="rapl_probe_success", sample_value_uj="sample_value_uj", domain_tested="domain_tested")
     return assessed.select(
         F.lit("2.0.0").alias("schema_version"), F.lit("2.0.0").alias("tool_version"), c("captured_at").alias("generated_at"), "node_id", s(hostname="hostname", os="os", kernel="kernel", architecture="architecture").alias("node"),
         s(
             vendor="vendor", model_name="model_name", logical_cpus="logical_cpus", physical_cores="physical_cores", threads_per_core="threads_per_core", sockets="sockets",
             cpufreq=s(
-                driver="cpufreq_driver", governor_current="governor_current", min_khz="min_khz", max_khz="max_khz", base_frequency_khz="base_frequency_khz", available_frequencies_khz="available_frequencies_khz", scaling_method="scaling_method",
+                driver="cpufreq_driver", governor_current="governor_current", governors_available="governors_available", min_khz="min_khz", max_khz="max_khz", base_frequency_khz="base_frequency_khz", available_frequencies_khz="available_frequencies_khz", scaling_method="scaling_method",
                 intel_pstate_status="pstate_status", hwp_enabled="hwp_enabled", epp_available="epp_available", control_model="control_model", driver_limitations="driver_limitations",
             ),
-            rapl=s(available="rapl_available", domains="domains", readable="rapl_readable"),
+            rapl=s(available="rapl_available", domains="domains", readable="rapl_readable", probe=probe), taxonomy="cpu_taxonomy",
         ).alias("cpu"),
-        s(nvidia_present="nvidia_present", device_count="device_count", taxonomy=s(present="gpu_present", observable="gpu_observable", controllable="gpu_controllable", reason="gpu_reason")).alias("gpu"),
-        s(available=c("numa_nodes") > 0, nodes="numa_nodes").alias("numa"), s(perf="tool_perf", cpupower="tool_cpupower", numactl="tool_numactl", nvidia_smi="tool_nvidia_smi").alias("tools"),
-        s(is_root="is_root", rapl_readable="rapl_readable", cpufreq_writable="cpufreq_writable", gpu_clock_control_available="gpu_controllable").alias("permissions"),
+        s(nvidia_present="nvidia_present", device_count="device_count", devices=all_devices, by_vendor=s(nvidia=of_vendor("nvidia"), intel=of_vendor("intel")), taxonomy=s(present="gpu_present", observable="gpu_observable", controllable="gpu_controllable", reason="gpu_reason")).alias("gpu"),
+        s(available=c("numa_nodes") > 0, nodes=F.coalesce("numa_map", F.create_map().cast("map<string,array<int>>"))).alias("numa"), s(perf="tool_perf", cpupower="tool_cpupower", numactl="tool_numactl", nvidia_smi="tool_nvidia_smi").alias("tools"),
+        s(is_root="is_root", rapl_readable="rapl_readable", cpufreq_writable="cpufreq_writable", gpu_clock_control_available="gpu_controllable", perf_event_paranoid="perf_paranoid").alias("permissions"),
         s(
-            perf=s(event_paranoid_level="perf_paranoid", accessible="perf_accessible", note="perf_note"), rapl_read=s(success="rapl_probe_success", sample_value_uj="sample_value_uj", domain_tested="domain_tested"),
+            perf=s(event_paranoid_level="perf_paranoid", accessible="perf_accessible", tested_with=F.lit("perf stat -e cycles -- true"), note="perf_note"), rapl_read=probe,
             cpu_frequency=s(success="freq_success", current_khz="current_khz"), gpu_metrics=s(success="gpu_metrics_success", temperature_c="temperature_c", power_draw_w="power_draw_w"),
         ).alias("active_probes"),
         s(**{n: f"cap_{n}" for n in CAPABILITIES}).alias("capabilities"),
+        s(
+            telemetry=s(cpu_perf=status("cpu_telemetry", "available"), cpu_rapl=status("energy_cpu", "available", "degraded"), gpu_nvml=status("gpu_telemetry", "available")),
+            control=s(cpu_cpufreq=status("cpu_control", "available", "degraded"), gpu_clocks=status("gpu_control", "available")),
+            observable_frequencies=s(
+                method=F.coalesce("scaling_method", F.lit("unknown")), **{k: F.coalesce(k, F.lit("")) for k in ("min_khz", "max_khz", "base_frequency_khz")}, discrete_steps=none("available_frequencies_khz", "array<string>")
+            ),
+            energy_domains=none("domains", "array<string>"),
+        ).alias("backends"),
+        none("blockers", "array<struct<severity:string,capability:string,message:string,recommendation:string>>").alias("experiment_blockers"),
+        s(**{f"{n}_ready": f"{n}_ready" for n in FLAGS}, issues=none("issues", f"array<{ISSUE}>")).alias("readiness"),
     )
 
 

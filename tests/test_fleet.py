@@ -1,10 +1,13 @@
+import json
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from rackwise.functions.text import cpu_list
-from rackwise.operators import assess, parse
+from rackwise.operators import assess, facts, parse
 from rackwise.plans import oracles, queries
+from rackwise.sources import reports
 
 DATA = "/root/testdata/sf0.001"
 CAPTURES = "node_id long, captured_at timestamp, source string, item string, rc int, content string, stderr string"
@@ -45,7 +48,40 @@ def test_properties_of_results(spark):
             assert all(by[node, c].status == "available" for c in assess.TELEMETRY + assess.CONTROL)
 
 
-@pytest.mark.parametrize("name", ["kv_facts", "numa_topology", "cpu_list_rows", "nvidia_devices", "cap_status_long", "blocked_nodes", "issues_ranked", "permission_gap", "energy_joules_wrap"])
+def test_numa_nodes_need_a_list(spark):
+    shown = ("numactl", "", 0, "available: 2 nodes\n  node 0 cpus: 0-1\nnode 1 cpus:\nnode 2 cpus: ", "")
+    assert [(r.numa_id, r.cpus, r.origin) for r in parse.numa_topology(captures(spark, shown)).collect()] == [("0", [0, 1], "numactl")]
+    memory_only = captures(spark, ("numactl", "", 0, "node 1 cpus:", ""), ("sysfs_cpulist", "node0", 0, "0-1\n", ""), ("sysfs_cpulist", "node1", 0, "", ""))
+    assert [(r.numa_id, r.origin) for r in parse.numa_topology(memory_only).collect()] == [("0", "sysfs")]
+
+
+def test_cpu_count_of_the_operating_system(spark):
+    rows = captures(spark, ("lscpu", "", -1, "", "timed out"), ("os_cpu_count", "", 0, "12", "")).withColumn("captured_at", F.lit("2026-01-01").cast("timestamp"))
+    assert facts.cpu_topology(rows).first().logical_cpus == 12
+
+
+def test_indented_reports_are_read(spark, tmp_path):
+    whole = {"schema_version": "2.0.0", "generated_at": "2026-03-06T12:00:00Z", "numa": {"available": True, "nodes": {"0": [0, 1]}}, "gpu": {"devices": [{"index": 0, "vendor": "nvidia"}], "by_vendor": {"nvidia": [], "intel": []}}, "readiness": {"cpu_discovery_ready": True, "issues": [{"severity": "info", "capability": "c", "message": "m"}]}, "unknown": 1}
+    (tmp_path / "a.json").write_text(json.dumps(whole, indent=2))
+    (tmp_path / "b.json").write_text("{broken")
+    got = {r.file_path[-6:]: r for r in reports.read_reports(spark, f"file://{tmp_path}").collect()}
+    assert got["a.json"].corrupt is None and got["a.json"].numa.nodes == {"0": [0, 1]} and got["a.json"].readiness.issues[0].message == "m" and got["a.json"].gpu.devices[0].vendor == "nvidia"
+    assert got["b.json"].corrupt == "{broken"
+
+
+def test_reports_hold_every_section(spark, tmp_path):
+    seen = queries._view(spark, DATA, "captures")
+    reports.write_reports(reports.report_documents(queries._assembled(seen), seen), f"file://{tmp_path}/r")
+    back = reports.read_reports(spark, f"file://{tmp_path}/r", lines=True)
+    for r in back.collect():
+        assert r.corrupt is None
+        statuses = r.capabilities.asDict()
+        assert len(r.gpu.devices) == r.gpu.device_count == len(r.gpu.by_vendor.nvidia) + len(r.gpu.by_vendor.intel) and r.numa.available == bool(r.numa.nodes)
+        assert len(r.readiness.issues) == sum(c.status != "available" for c in statuses.values()) and r.readiness.full_pipeline_ready == (statuses["full_pipeline"].status == "available")
+        assert [b.capability for b in r.experiment_blockers] == [n for n, c in statuses.items() if c.severity == "critical" and c.status != "available"] and r.cpu.taxonomy.present == (r.cpu.logical_cpus > 0)
+
+
+@pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
 def test_oracle(spark, name):
     con = duckdb.connect()
     for t in ("customer", "events"):
