@@ -9,7 +9,7 @@ of text whose marginal of content is at least one half are the page's text.
 other silent elements without an end, or closed in themselves, are only a tag.
 
 Inline tags and <br> don't end a block; white space inside a block becomes one space; blocks are joined by one line break. Scripts,
-styles, comments and form controls have no text. Nulls: a null html is empty, with empty text; null ids and urls and repeated
+styles, comments and form controls have no text. Pages of any length are parsed whole, their tree in memory. Nulls: a null html is empty, with empty text; null ids and urls and repeated
 rows are kept, one result row for each.
 """
 
@@ -41,9 +41,12 @@ ITEMS = {"li": ("li", ("ul", "ol")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", (
 AGAINST = frozenset("ad ads adv advert advertisement banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright disqus footer form header login masthead menu modal nav navbar navigation newsletter notice popup promo recommended related replies reply search share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget".split())
 FOR = frozenset("article body content entry main post story text".split())
 
-TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<()({'|'.join(sorted(SILENT))})(?=[\s/>])([^>]*)>", re.S | re.I)
+#: Attributes as browsers read them: a value in quotes, or one without that may hold quotes; a stray quote is the name of another attribute.
+ATTRIBUTES = r"""(?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?+)?+|=)*+"""
+TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)({ATTRIBUTES})>|<()({'|'.join(sorted(SILENT))})(?=[\s/>])([^>]*)>", re.S | re.I)
+ALONE = re.compile(r"""(?:^|[\s"'])/$""")
 END = {t: re.compile(rf"</{t}\s*>", re.I) for t in SILENT}
-NAMED = re.compile(r"""\b(class|id|role|data-l)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+NAMED = re.compile(r"""(?<![\w-])(class|id|role|data-l)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 PART = re.compile(r"[a-z]+")
 
 
@@ -119,7 +122,7 @@ def parse(page: str) -> Tree:
         tag = tag.lower()
         if tag in SILENT:
             run.append(" ")
-            alone = attributes.endswith("/")
+            alone = ALONE.search(attributes) is not None
             if ends or alone and tag not in TO_THE_END:
                 continue
             end = None if tag in unclosed else END[tag].search(page, at)
@@ -159,7 +162,7 @@ def parse(page: str) -> Tree:
                 close(tuple(names), within)
         names, mark = _names(attributes) if attributes else ("names=none", "")
         node = tree.add(open_tags[-1][1], ("tag=" + tag, names), mark)
-        if tag not in VOID and not attributes.endswith("/"):
+        if tag not in VOID and not ALONE.search(attributes):
             open_tags.append((tag, node))
     if at < len(page):
         put(page[at:])

@@ -378,3 +378,61 @@ def test_html_without_head_end_and_alone():
     assert model.text(f"<html><body>{article.format(words + ' So <math><mi>a</mi><mo>=</mo><mn>2</mn></math> holds. <object>Shown</object> <canvas>here</canvas>.')}</body></html>") == want + words + " So a=2 holds. Shown here."
     hidden = "<script>var a = '<p>no</p>'</script><select><option>no</select><svg><text>no</text></svg><style>no"
     assert model.text(f"<html><body>{article.format(words + hidden)}") == want + words
+
+
+def html_model(pages=None):
+    return html_text.Model(sum(map(html_text.evidence_counts, pages or labelled_pages()), Counter()))
+
+
+def test_html_with_broken_markup(spark):
+    model = html_model()
+    words = "Some words of the old road in winter, and more of them by the river."
+    page = lambda p: f"<html><head><title>x</title></head><body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>Old road</h1>{p}{words}</p><p>{words}</p></article><footer>&copy; us</footer></body></html>"
+    want = f"Old road\n{words}\n{words}"
+    for p in ("<p>", "<p data-x=it's>", '<p title="x"">', "<p title='a > b'>", '<p title="a" b">', "<p a=b/c/>", "<p =x>", "<p class = lead id=i>", "<p data-x='>", "<p\n>"):
+        assert model.text(page(p)) == want, p
+    for tag in ("<select><option>no", "<iframe src=x>", "<object data=x>", "<template>"):
+        assert words in model.text(page("<p>").replace("<p>" + words + "</p></article>", f"{tag}<p>{words}</p></article>")), tag
+    long = "<p>" + words + "</p>"
+    assert model.text(f"<article>{long * 20_000}</article>").count("\n") == 19_999
+    rows = [(1, "u", page("<p>"), "clash"), (1, "u", page("<p>"), "clash"), (None, None, page("<p>"), None), (2, "v", "<", "c"), (3, "w", "<<<>>> < p >", "c")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = [(r.page_id, r.text, r.n_chars) for r in html_text.extract(df, model).collect()]
+    assert got[:3] == [(1, want, len(want))] * 2 + [(None, want, len(want))] and len(got) == 5
+    assert html_text.extract(df.limit(0), model).count() == 0
+
+
+def test_html_marginals_by_enumeration():
+    import itertools
+
+    model = html_model()
+    for page in ("<div class=x><p>Some words of a text that go on.</p><ul><li><a href=/>Home</a></ul></div>", "<nav>Menu</nav><main><p>One two three.</main>", "<p>a"):
+        tree = html_text.parse(page)
+        n, total = len(tree.parent), np.zeros(len(tree.parent))
+        own = [model.node(s) for s in tree.seen]
+        own[0] = (1.0, 1e-6, 1e-6)
+        whole = 0.0
+        for state in itertools.product(range(3), repeat=n):
+            p = np.prod([own[v][state[v]] for v in range(n)])
+            for v in range(1, n):
+                p *= (model.edge_p if tree.text[v] is None else model.leaf_p)[state[tree.parent[v]]][state[v]]
+            whole += p
+            total += p * (np.array(state) == html_text.CONTENT)
+        assert np.allclose(model.marginals(tree)[1:], (total / whole)[1:], rtol=1e-9)
+
+
+@pytest.mark.parametrize("kind, least", [("<nav", 0.9), ("<aside", 0.9), ("<form", 0.9), ("comment", 0.8), ("<footer", 0.9), ("<main", 0.9), ("<section", 0.8), ("<table", 0.9)])
+def test_html_on_layouts_left_out_of_training(kind, least):
+    """Precision and recall by characters on pages with a part that no training page has."""
+    pages = labelled_pages(600, seed=12)
+    model = html_model([p for p in pages if kind not in p])
+    right = found = there = 0
+    for page in [p for p in pages if kind in p]:
+        tree = html_text.parse(page)
+        for text, p, s in zip(tree.text, model.marginals(tree), html_text.states(tree)):
+            if text is not None:
+                right += len(text) * (p >= 0.5 and s == html_text.CONTENT)
+                found += len(text) * (p >= 0.5)
+                there += len(text) * (s == html_text.CONTENT)
+    print(kind, "precision", round(right / found, 3), "recall", round(right / there, 3))
+    assert right >= least * found and right >= least * there
