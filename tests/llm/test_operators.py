@@ -436,3 +436,56 @@ def test_html_on_layouts_left_out_of_training(kind, least):
                 there += len(text) * (s == html_text.CONTENT)
     print(kind, "precision", round(right / found, 3), "recall", round(right / there, 3))
     assert right >= least * found and right >= least * there
+
+
+def test_substring_is_its_sql(spark):
+    import duckdb
+
+    from rackwise.llm import queries
+
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    got = queries.queries()["op9_substring"](spark, "/root/testdata/sf0.001")
+    assert plain(got.collect()) == plain(con.sql(queries.oracle_sql()["op9_substring"]).select(", ".join(got.columns)).fetchall())
+
+
+def test_katz_scores_by_brute_force(docs):
+    """score and base_score from plain counts; every history's probabilities sum to one."""
+    held = lambda i: i is not None and i % 3 == 1
+    split = lambda t: (t or "").encode().lower().split()
+    start, end = b"<start>", b"<end>"
+    words, pairs, starts = Counter(), Counter(), 0
+    for i, t, *_ in ROWS:
+        if not held(i):
+            own = split(t) + [end]
+            words.update(own)
+            pairs.update(zip([start] + own, own))
+            starts += 1
+    follow = Counter({**words, start: starts})
+    total, types = sum(words.values()), len(words)
+
+    def discount(counts):
+        n = Counter(counts.values())
+        tail = 6 * n[6] / n[1] if n[1] else 1.0
+        ratio = lambda c: ((c + 1) * n[c + 1] / (c * n[c]) - tail) / (1 - tail) if n[c] and tail < 1 else 0.0
+        return lambda c: c if c > 5 else c * (ratio(c) if 0 < ratio(c) < 1 else (c - 0.5) / c)
+
+    d1, d2 = discount(words), discount(pairs)
+    left = sum(c - d1(c) for c in words.values())
+    p1 = lambda w: (d1(words[w]) if words[w] else left + 1) / (total + 1)
+    seen: dict = {}
+    for h, w in pairs:
+        seen.setdefault(h, []).append(w)
+    p2 = lambda h, w: d2(pairs[h, w]) / (follow[h] + 1)
+    alpha = {h: (1 - sum(p2(h, w) for w in ws)) / (1 - sum(map(p1, ws))) for h, ws in seen.items()}
+    p = lambda h, w: p2(h, w) if pairs[h, w] else alpha.get(h, 1.0) * p1(w)
+    for h in list(seen)[:40]:
+        assert abs(sum(p(h, w) for w in words) + alpha[h] * p1(b"<unknown>") - 1) < 1e-9
+    want = []
+    for i, t, *_ in ROWS:
+        own = split(t) + [end]
+        want.append((i, sum(np.log10((words[w] + 0.5) / (total + 0.5 * (types + 1))) for w in own), sum(np.log10(p(h, w)) for h, w in zip([start] + own, own))))
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    got = sorted(((r.doc_id, r.base_score, r.score) for r in katz.scores(docs, F.col("doc_id") % 3 == 1).collect()), key=key)
+    for a, b in zip(got, sorted(want, key=key), strict=True):
+        assert a[0] == b[0] and np.allclose(a[1:], b[1:], rtol=1e-8, atol=1e-8), (a, b)
