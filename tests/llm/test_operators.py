@@ -489,3 +489,23 @@ def test_katz_scores_by_brute_force(docs):
     got = sorted(((r.doc_id, r.base_score, r.score) for r in katz.scores(docs, F.col("doc_id") % 3 == 1).collect()), key=key)
     for a, b in zip(got, sorted(want, key=key), strict=True):
         assert a[0] == b[0] and np.allclose(a[1:], b[1:], rtol=1e-8, atol=1e-8), (a, b)
+
+
+def test_quality_base_columns_and_outliers(spark):
+    """All base columns by brute force; among like texts those full of symbols or repeated lines are rejected, the others kept."""
+    import re
+
+    r = random.Random(61)
+    plain_text = lambda: "\n".join(" ".join(r.choice(WORDS) for _ in range(12)) for _ in range(r.randint(7, 12)))
+    texts = [plain_text() for _ in range(150)]
+    odd = [" ".join(f"#{r.randrange(10**6)}$%&|<>*" for _ in range(100)) for _ in range(3)] + ["\n".join([f"x{k % 3} y{k} z{k}" if k % 2 else "same line here" for k in range(120)]) for _ in range(3)]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts + odd)] + [(900, None, None, None), (901, " \x0b\xa0#", "en", "s"), (902, "a\n\na\n \nb\r\nb", "en", "s"), (3, texts[3], "en", "s")]
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert len(got) == len(rows)
+    by = {x.doc_id: x for x in got}
+    for i, t, *_ in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        want = (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)))
+        assert (by[i].n_words, by[i].word_chars, by[i].n_symbols, by[i].n_dup_lines) == want, i
+    assert not any(by[150 + k].kept for k in range(6)) and sum(by[k].kept for k in range(150)) >= 148
