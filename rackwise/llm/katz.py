@@ -10,10 +10,13 @@ to be discounted. The history of a text's first token is its start; the end is a
 counts to 5; where counts of counts give a ratio outside (0, 1), absolute discounting by one half stands in.
 
 Blocks of documents are the unit that moves. (1) Each block's distinct words and word pairs, as 64-bit hashes with training
-counts, go to buckets by hash, where they are summed; the count tables, partitioned by bucket, are stored as each block's share of them. (2) Blocks meet
+counts, go to buckets by hash, where they are summed; the count tables are stored by bucket, with each block's share of them. (2) Blocks meet
 their shares and evaluate each token: the pair's count, else the word's. Of every pair one block is in charge and hands its share
 in the history's backoff weight on, together with the block's documents that backed off. (3) Histories' weights are
-summed, normalised and sent back as sums by document. Very common words and pairs have one entry a block throughout.
+summed, normalised, stored by bucket and sent back as sums by document. Very common words and pairs have one entry a block throughout.
+
+Counts and weights by bucket are the model (`Model`): it can be saved, loaded and asked for the scores of any other texts. Their
+blocks send their distinct words and pairs to the buckets, where counts and weights are looked up, and evaluate each token from the answers.
 
 Blocks of documents are read three times: rows that come from a shuffle are to be stored first. Nulls: a null text is empty (only the end); a null
 doc_id is not held out. Repeated rows are kept and counted. Without training tokens every score is 0.
@@ -22,6 +25,7 @@ doc_id is not held out. Repeated rows are kept and counted. Without training tok
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -166,11 +170,13 @@ def block_counts(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 STATS = ["total", "types", *(f"n{r}" for r in range(1, K + 2))]
-SHARE = "block long, kind int, bucket int, counts binary, charge binary, " + ", ".join(f"{c} long" for c in STATS)
+SHARE = "block long, kind int, bucket int, keys binary, counts binary, charge binary, " + ", ".join(f"{c} long" for c in STATS)
+MODEL = -1  # in place of a block: the row is the bucket's part of the model
 
 
 def _counted(t: pa.Table) -> pa.Table:
-    """A bucket's sums, as each block's share: total counts in the block's order, and of which the block is in charge."""
+    """A bucket's sums: one row of keys and counts for the model, and each block's share: total counts in the block's order,
+    and of which the block is in charge."""
     rows = t.sort_by("block").to_pylist()
     keys, counts = [unpack_keys(r["keys"]) for r in rows], [unpack_counts(r["counts"]) for r in rows]
     size = np.array([len(k) for k in keys])
@@ -186,9 +192,12 @@ def _counted(t: pa.Table) -> pa.Table:
         mine, lead = total[inverse[at : at + n]], charge[at : at + n]
         counted = mine[lead & (flat[at : at + n] != np.uint64(START_HASH)) if r["kind"] == WORDS else lead]
         stats = [int(counted.sum()), len(counted), *np.bincount(np.minimum(counted, K + 2), minlength=K + 3)[1 : K + 2].tolist()]
-        out.append((r["block"], r["kind"], r["bucket"], pack_counts(mine), np.packbits(lead).tobytes(), *stats))
+        out.append((r["block"], r["kind"], r["bucket"], b"", pack_counts(mine), np.packbits(lead).tobytes(), *stats))
         at += n
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()] + [pa.int64()] * len(STATS)
+    known = total > 0
+    if known.any():
+        out.append((MODEL, rows[0]["kind"], rows[0]["bucket"], pack_keys(distinct[known]), pack_counts(total[known]), b"", *[0] * len(STATS)))
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()] + [pa.int64()] * len(STATS)
     return pa.table({c.split()[0]: pa.array(v, k) for c, v, k in zip(SHARE.split(", "), zip(*out), kinds)})
 
 
@@ -209,22 +218,129 @@ TEXTS = "block long, doc_ids binary, null_ids binary, held binary, lengths binar
 NEXT = "bucket int, block long, hashes binary, low binary, seen binary, mass binary, pairs binary, at binary, times binary, docs binary"
 
 
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block, part, hashes, tokens, lengths in _rows(batches):
+        ids = part.column("doc_id")
+        row = [block, _zipped(ids.fill_null(0).to_numpy(), "<i8"), np.packbits(ids.is_null().to_numpy(zero_copy_only=False)).tobytes(), np.packbits(part.column("held_out").to_numpy(zero_copy_only=False)).tobytes(), _zipped(lengths, "<u4"), _zipped(hashes, "<u8"), _zipped(tokens, "<u4")]
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int64()] + [pa.binary()] * 6)], [c.split()[0] for c in TEXTS.split(", ")])
+
+
+def _flags(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
+
+
+ASKED = "block long, kind int, bucket int, keys binary, counts binary, alpha binary"
+
+
+@dataclass(frozen=True)
+class Model:
+    """A trained model. counts(kind, bucket, keys, counts): a row for each kind of n-gram and bucket, with the sorted hashes and
+    their counts; weights(bucket, keys, alpha): histories' hashes and log10 backoff weights; levels(kind, buckets and STATS):
+    totals and counts of counts. Buckets are equal ranges of hashes."""
+
+    counts: DataFrame
+    weights: DataFrame
+    levels: DataFrame
+
+    def save(self, path: str) -> None:
+        self.counts.write.partitionBy("kind").parquet(f"{path}/counts")
+        self.weights.write.parquet(f"{path}/weights")
+        self.levels.write.parquet(f"{path}/levels")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Model:
+        return cls(*[spark.read.parquet(f"{path}/{t}") for t in ("counts", "weights", "levels")])
+
+    def scores(self, docs: DataFrame) -> DataFrame:
+        """The columns of `scores` for the texts of any docs(doc_id, text), none of which is learned from: held_out is true."""
+        sums = {r.kind: r for r in self.levels.collect()}
+        words, pairs = Level(sums.get(WORDS)), Level(sums.get(PAIRS))
+        buckets = sums[WORDS].buckets if WORDS in sums else 1
+        docs = corpus(docs, F.lit(True))
+
+        def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block, _, hashes, tokens, lengths in _rows(batches):
+                rows = []
+                for kind, keys in ((WORDS, hashes), (PAIRS, np.unique(pair_keys(hashes, histories(hashes, tokens, lengths), tokens)))):
+                    edge = bucket_edges(keys, buckets).tolist()
+                    rows += [(block, kind, b, pack_keys(keys[i:j])) for b, (i, j) in enumerate(zip(edge, edge[1:])) if j > i]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["block", "kind", "bucket", "keys"])
+
+        def answer(questions: pa.Table, known: pa.Table) -> pa.Table:
+            counts, alphas = ([r for r in known.to_pylist() if r["counts"] and not r["alpha"]], [r for r in known.to_pylist() if r["alpha"]])
+
+            def look_up(keys: np.ndarray, rows: list[dict], values, kind: type) -> np.ndarray:
+                found = np.zeros(len(keys), kind)
+                for r in rows:
+                    have = unpack_keys(r["keys"])
+                    at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+                    same = have[at] == keys
+                    found[same] = values(r)[at[same]]
+                return found
+
+            out = []
+            for r in questions.to_pylist():
+                keys = unpack_keys(r["keys"])
+                alpha = look_up(keys, alphas, lambda x: np.frombuffer(x["alpha"], np.float64), np.float64) if r["kind"] == WORDS else np.zeros(0)
+                out.append((r["block"], r["kind"], r["bucket"], b"", pack_counts(look_up(keys, counts, lambda x: unpack_counts(x["counts"]), np.int64)), alpha.tobytes()))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            return pa.table({c.split()[0]: pa.array([r[k] for r in out], t) for k, (c, t) in enumerate(zip(ASKED.split(", "), kinds))})
+
+        def evaluate(blocks_: pa.Table, answers: pa.Table) -> pa.Table:
+            replies = answers.sort_by("bucket").to_pylist()
+            c_word, c_pair = (np.concatenate([unpack_counts(r["counts"]) for r in replies if r["kind"] == kind]) for kind in (WORDS, PAIRS))
+            alpha = np.concatenate([np.frombuffer(r["alpha"], np.float64) for r in replies if r["kind"] == WORDS])
+            (row,) = blocks_.to_pylist()
+            lengths, hashes, tokens = _unzipped(row["lengths"], "<u4").astype(np.int64), _unzipped(row["hashes"], "<u8"), _unzipped(row["tokens"], "<u4").astype(np.int64)
+            history = histories(hashes, tokens, lengths)
+            _, inverse = np.unique(pair_keys(hashes, history, tokens), return_inverse=True)
+            _, value, known, base = token_values(words, pairs, c_word, c_pair[inverse], history, tokens)
+            value = np.where(c_pair[inverse] > 0, value, value + alpha[history])
+            doc, n = np.repeat(np.arange(len(lengths)), lengths), len(lengths)
+            total = lambda x: np.bincount(doc, weights=x, minlength=n)
+            return pa.table(
+                {
+                    "doc_id": pa.array(_unzipped(row["doc_ids"], "<i8"), mask=_flags(row["null_ids"], n)), "held_out": pa.array(_flags(row["held"], n)), "n_tokens": pa.array(lengths), "n_known": pa.array(total(known).astype(np.int64)),
+                    "train_tokens": pa.array(np.full(n, words.total, np.int64)), "base_score": pa.array(total(base)), "score": pa.array(total(value)),
+                }
+            )
+
+        tables = self.counts.select(F.col("kind").cast("int").alias("kind"), "bucket", "keys", "counts", F.lit(b"").alias("alpha"))
+        tables = tables.unionByName(self.weights.select(F.lit(WORDS).alias("kind"), "bucket", "keys", F.lit(b"").alias("counts"), "alpha"))
+        answers = docs.mapInArrow(asked, "block long, kind int, bucket int, keys binary").groupBy("kind", "bucket").cogroup(tables.groupBy("kind", "bucket")).applyInArrow(answer, ASKED)
+        return docs.mapInArrow(_texts, TEXTS).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(evaluate, SCORED)
+
+
+def token_values(words: Level, pairs: Level, c_word: np.ndarray, c_pair: np.ndarray, history: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(probability of each distinct word; of each token: log10 probability without its backoff weight, known, base)."""
+    p_word = np.where(c_word > 0, words.discounted(c_word), words.left + 1) / (words.total + 1)
+    with np.errstate(divide="ignore"):
+        value = np.where(c_pair > 0, np.log10(pairs.discounted(c_pair)) - np.log10(c_word + 1)[history], np.log10(p_word)[tokens])
+    return p_word, value, c_word[tokens] > 0, np.log10((c_word + 0.5) / (words.total + 0.5 * (words.types + 1)))[tokens]
+
+
+WEIGHED = "block long, docs binary, at binary, value binary, bucket int, keys binary, alpha binary"
+
+
 def scores(docs: DataFrame, held_out) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs(doc_id, text); rows for
     which the column `held_out` holds are scored but not learned from."""
+    return fit(docs, held_out)[1]
+
+
+def fit(docs: DataFrame, held_out) -> tuple[Model, DataFrame]:
+    """The model of the rows of docs(doc_id, text) for which the column `held_out` doesn't hold, and all rows' `scores`."""
     spark = docs.sparkSession
     buckets = partitions(spark)
     docs = corpus(docs, held_out)
     share = stored(block_counts(docs, buckets).groupBy("bucket", "kind").applyInArrow(_counted, SHARE))
-    sums = {r.kind: r for r in share.groupBy("kind").agg(*[F.sum(c).alias(c) for c in STATS]).collect()}
+    levels = share.groupBy("kind").agg(F.lit(buckets).alias("buckets"), *[F.sum(c).alias(c) for c in STATS])
+    sums = {r.kind: r for r in levels.collect()}
     words, pairs = Level(sums.get(WORDS)), Level(sums.get(PAIRS))
-    n_train, n_types = words.total, words.types
-
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, part, hashes, tokens, lengths in _rows(batches):
-            ids = part.column("doc_id")
-            row = [block, _zipped(ids.fill_null(0).to_numpy(), "<i8"), np.packbits(ids.is_null().to_numpy(zero_copy_only=False)).tobytes(), np.packbits(part.column("held_out").to_numpy(zero_copy_only=False)).tobytes(), _zipped(lengths, "<u4"), _zipped(hashes, "<u8"), _zipped(tokens, "<u4")]
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int64()] + [pa.binary()] * 6)], [c.split()[0] for c in TEXTS.split(", ")])
+    n_train = words.total
 
     def evaluate(blocks_: pa.Table, shares: pa.Table) -> pa.Table:
         out = []
@@ -238,15 +354,12 @@ def scores(docs: DataFrame, held_out) -> DataFrame:
             c_pair, charge = (np.concatenate([x[k] for x in by[PAIRS]]) for k in range(2))
             history = histories(hashes, tokens, lengths)
             keys, index, inverse = np.unique(pair_keys(hashes, history, tokens), return_index=True, return_inverse=True)
-            p_word = np.where(c_word > 0, words.discounted(c_word), words.left + 1) / (n_train + 1)
-            c, seen = c_word[tokens], c_pair[inverse] > 0
-            with np.errstate(divide="ignore"):
-                value = np.where(seen, np.log10(pairs.discounted(c_pair))[inverse] - np.log10(c_word + 1)[history], np.log10(p_word)[tokens])
+            seen = c_pair[inverse] > 0
+            p_word, value, known, base = token_values(words, pairs, c_word, c_pair[inverse], history, tokens)
             doc = np.repeat(np.arange(len(lengths)), lengths)
             total = lambda x: np.bincount(doc, weights=x, minlength=len(lengths))
-            base = total(np.log10((c_word + 0.5) / (n_train + 0.5 * (n_types + 1)))[tokens])
             held = np.unpackbits(np.frombuffer(row["held"], np.uint8), count=len(lengths))
-            columns = [_unzipped(row["doc_ids"], "<i8"), np.unpackbits(np.frombuffer(row["null_ids"], np.uint8), count=len(lengths)), held, lengths, total(c > 0), base, total(value)]
+            columns = [_unzipped(row["doc_ids"], "<i8"), np.unpackbits(np.frombuffer(row["null_ids"], np.uint8), count=len(lengths)), held, lengths, total(known), total(base), total(value)]
             own = np.concatenate([np.asarray(x, np.float64) for x in columns[1:]])
             out.append((int(row["block"] % buckets), row["block"], *[b""] * 7, columns[0].astype("<i8").tobytes() + own.tobytes()))
             # What the pairs in this block's charge add to their histories, and who backed off.
@@ -271,25 +384,28 @@ def scores(docs: DataFrame, held_out) -> DataFrame:
     def weigh(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
         asked = [r for r in rows if not r["docs"]]
-        out = [(r["block"], r["docs"], b"", b"") for r in rows if r["docs"]]
+        out = [(r["block"], r["docs"], b"", b"", r["bucket"], b"", b"") for r in rows if r["docs"]]
         if asked:
             keys = [unpack_keys(r["hashes"]) for r in asked]
-            _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
             add = lambda x: np.bincount(inverse, weights=x)
             low = np.concatenate([unpack_counts(r["low"]).reshape(-1, K) for r in asked])
             count, mass = add(np.concatenate([unpack_counts(r["seen"]) for r in asked])), add(np.concatenate([np.frombuffer(r["mass"], np.float64) for r in asked]))
             kept = count - sum(add(low[:, k - 1]) * k * (1 - pairs.d[k]) for k in range(1, K + 1))
-            alpha = np.log10((1 - kept / (count + 1)) / (1 - mass))[inverse]
-            first = 0
+            weight, first = np.log10((1 - kept / (count + 1)) / (1 - mass)), 0
+            alpha, known = weight[inverse], count > 0
+            if known.any():
+                out.append((MODEL, b"", b"", b"", rows[0]["bucket"], pack_keys(distinct[known]), weight[known].tobytes()))
             for r, k in zip(asked, keys):
                 per, times = unpack_counts(r["pairs"]), unpack_counts(r["times"])
                 if len(times):
                     at = np.frombuffer(r["at"], "<u4")
                     value = np.bincount(at, weights=times * np.repeat(alpha[first : first + len(k)], per))
                     some = np.unique(at)
-                    out.append((r["block"], b"", some.astype("<u4").tobytes(), value[some].tobytes()))
+                    out.append((r["block"], b"", some.astype("<u4").tobytes(), value[some].tobytes(), r["bucket"], b"", b""))
                 first += len(k)
-        return pa.table({c: pa.array(v, t) for c, v, t in zip(("block", "docs", "at", "value"), zip(*out), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))})
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
+        return pa.table({c.split()[0]: pa.array([r[k] for r in out], t) for k, (c, t) in enumerate(zip(WEIGHED.split(", "), kinds))})
 
     def finish(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
@@ -306,9 +422,13 @@ def scores(docs: DataFrame, held_out) -> DataFrame:
             }
         )
 
-    whole = docs.mapInArrow(texts, TEXTS).groupBy("block").cogroup(share.select("block", "kind", "bucket", "counts", "charge").groupBy("block")).applyInArrow(evaluate, NEXT)
-    summed = whole.groupBy("bucket").applyInArrow(weigh, "block long, docs binary, at binary, value binary")
-    return summed.groupBy("block").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    own = share.filter(F.col("block") != MODEL).select("block", "kind", "bucket", "counts", "charge")
+    whole = docs.mapInArrow(_texts, TEXTS).groupBy("block").cogroup(own.groupBy("block")).applyInArrow(evaluate, NEXT)
+    summed = stored(whole.groupBy("bucket").applyInArrow(weigh, WEIGHED))
+    counts = share.filter(F.col("block") == MODEL).select("kind", "bucket", "keys", "counts")
+    weights = summed.filter(F.col("block") == MODEL).select("bucket", "keys", "alpha")
+    parts = summed.filter(F.col("block") != MODEL).select("block", "docs", "at", "value")
+    return Model(counts, weights, levels), parts.groupBy("block").applyInArrow(finish, SCORED)
 
 
 def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

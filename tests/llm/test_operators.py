@@ -449,7 +449,7 @@ def test_substring_is_its_sql(spark):
     assert plain(got.collect()) == plain(con.sql(queries.oracle_sql()["op9_substring"]).select(", ".join(got.columns)).fetchall())
 
 
-def test_katz_scores_by_brute_force(docs):
+def test_katz_scores_by_brute_force(spark, docs, tmp_path):
     """score and base_score from plain counts; every history's probabilities sum to one."""
     held = lambda i: i is not None and i % 3 == 1
     split = lambda t: (t or "").encode().lower().split()
@@ -490,6 +490,24 @@ def test_katz_scores_by_brute_force(docs):
     for a, b in zip(got, sorted(want, key=key), strict=True):
         assert a[0] == b[0] and np.allclose(a[1:], b[1:], rtol=1e-8, atol=1e-8), (a, b)
 
+    # The stored model, saved and loaded, scores texts that it wasn't built with.
+    model, _ = katz.fit(docs, F.col("doc_id") % 3 == 1)
+    model.save(f"{tmp_path}/model")
+    model = katz.Model.load(spark, f"{tmp_path}/model")
+    others = [(1, None), (2, "never seen words"), (None, "the of house"), (3, "Over " + LONG[50:700].upper()), (3, "the the the"), (3, "the the the")]
+    want = []
+    for i, t in others:
+        own = split(t) + [end]
+        want.append((i, len(own), sum(np.log10((words[w] + 0.5) / (total + 0.5 * (types + 1))) for w in own), sum(np.log10(p(h, w)) for h, w in zip([start] + own, own))))
+    other = spark.createDataFrame([(i, t, "clash") for i, t in others], "doc_id long, text string, bucket string").repartition(2)
+    key = lambda r: (r[0] is not None, r[0] or 0, r[3])
+    got = sorted(((r.doc_id, r.n_tokens, r.base_score, r.score) for r in model.scores(other).collect()), key=key)
+    for a, b in zip(got, sorted(want, key=key), strict=True):
+        assert a[:2] == b[:2] and np.allclose(a[2:], b[2:], rtol=1e-8, atol=1e-8), (a, b)
+    assert model.scores(other.limit(0)).count() == 0
+    nothing, _ = katz.fit(docs.limit(0), F.lit(False))
+    assert [r.score for r in nothing.scores(other).collect()] == [0.0] * len(others)
+
 
 def test_quality_base_columns_and_outliers(spark):
     """All base columns by brute force; among like texts those full of symbols or repeated lines are rejected, the others kept."""
