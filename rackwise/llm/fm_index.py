@@ -1,5 +1,6 @@
 """FM-index over whole-number symbols: a suffix array by prefix doubling, its Burrows-Wheeler transform in a wavelet
-matrix whose bits are compressed by runs, and backward search for many patterns at once."""
+matrix whose bits are compressed by runs, and backward search for many patterns at once; a pair of them, over a text and over the
+text backward, extends many patterns by a symbol at either end."""
 
 from __future__ import annotations
 
@@ -89,3 +90,86 @@ class FmIndex:
             both = self.occurrences(np.concatenate((symbol, symbol)), np.concatenate((low, high)))
             low, high = self.before[symbol] + both[: len(live)], self.before[symbol] + both[len(live) :]
         return found
+
+    def starts(self) -> np.ndarray:
+        """Where each symbol's places begin below the last level of the wavelet matrix."""
+        symbols = np.arange(len(self.before) - 1)
+        at = np.zeros(len(symbols), np.int64)
+        for level, bits in zip(reversed(range(self.levels)), self.tree):
+            ones = bits.rank(at)
+            at = np.where(symbols >> level & 1, bits.zeros + ones, at - ones)
+        return at
+
+    def extensions(self, low: np.ndarray, high: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Every symbol in each range [low, high) of the transform, as (range, symbol, occurrences before the range, occurrences in
+        the range, smaller symbols in the range): all ranges go down the wavelet matrix together and split where both bits occur."""
+        owner, symbol, smaller = np.arange(len(low)), np.zeros(len(low), np.int64), np.zeros(len(low), np.int64)
+        for bits in self.tree:
+            a, b = bits.rank(low), bits.rank(high)
+            zeros = (high - b) - (low - a)
+            left, right = zeros > 0, b > a
+            owner = np.concatenate((owner[left], owner[right]))
+            symbol = np.concatenate((symbol[left] << 1, symbol[right] << 1 | 1))
+            smaller = np.concatenate((smaller[left], smaller[right] + zeros[right]))
+            low, high = np.concatenate((low[left] - a[left], bits.zeros + a[right])), np.concatenate((high[left] - b[left], bits.zeros + b[right]))
+        return owner, symbol, low - starts[symbol], high - low, smaller
+
+    def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(occurrences before the range, occurrences in it, smaller symbols in it) of one symbol for each range."""
+        start, smaller = np.zeros(len(low), np.int64), np.zeros(len(low), np.int64)
+        for level, bits in zip(reversed(range(self.levels)), self.tree):
+            one = (symbol >> level & 1).astype(bool)
+            s, a, b = bits.rank(start), bits.rank(low), bits.rank(high)
+            smaller += np.where(one, (high - b) - (low - a), 0)
+            start, low, high = (np.where(one, bits.zeros + r, x - r) for x, r in ((start, s), (low, a), (high, b)))
+        return low - start, high - low, smaller
+
+
+class Patterns:
+    """Patterns of a TwoWayIndex: their symbols, first to last, as columns; where their suffixes begin among those of the text, and
+    those of the pattern backward among those of the text backward; how often each occurs."""
+
+    def __init__(self, symbols: list[np.ndarray], low: np.ndarray, back: np.ndarray, n: np.ndarray) -> None:
+        self.symbols, self.low, self.back, self.n = symbols, low, back, n
+
+    def __len__(self) -> int:
+        return len(self.low)
+
+    def __getitem__(self, which: np.ndarray | slice) -> "Patterns":
+        return Patterns([s[which] for s in self.symbols], self.low[which], self.back[which], self.n[which])
+
+
+class TwoWayIndex:
+    """Bidirectional FM-index. Symbol 0 parts the text, which begins and ends with it, and is in no pattern; patterns have `depth`
+    symbols at most. Extending at one end is a step in that end's transform; at the other end the range shrinks by the smaller symbols
+    beside it."""
+
+    def __init__(self, text: np.ndarray, depth: int) -> None:
+        self.ahead, self.behind = FmIndex(text, depth), FmIndex(text[::-1], depth)
+        self.starts, self.starts_behind = self.ahead.starts(), self.behind.starts()
+
+    def symbols(self) -> Patterns:
+        """The patterns of one symbol."""
+        before = self.ahead.before
+        found = np.flatnonzero(np.diff(before))
+        found = found[found > 0]
+        return Patterns([found], before[found], before[found], before[found + 1] - before[found])
+
+    def right(self, p: Patterns) -> Patterns:
+        """All patterns that go on from p by one symbol."""
+        of, symbol, before, n, smaller = self.behind.extensions(p.back, p.back + p.n, self.starts_behind)
+        on = symbol > 0
+        of, symbol, before, n, smaller = of[on], symbol[on], before[on], n[on], smaller[on]
+        return Patterns([*(s[of] for s in p.symbols), symbol], p.low[of] + smaller, self.behind.before[symbol] + before, n)
+
+    def left(self, p: Patterns) -> Patterns:
+        """All patterns that lead to p by one symbol."""
+        of, symbol, before, n, smaller = self.ahead.extensions(p.low, p.low + p.n, self.starts)
+        on = symbol > 0
+        of, symbol, before, n, smaller = of[on], symbol[on], before[on], n[on], smaller[on]
+        return Patterns([symbol, *(s[of] for s in p.symbols)], self.ahead.before[symbol] + before, p.back[of] + smaller, n)
+
+    def right_by(self, p: Patterns, symbol: np.ndarray) -> Patterns:
+        """Each pattern of p with one symbol after it; those that don't occur have n = 0."""
+        before, n, smaller = self.behind.step(symbol, p.back, p.back + p.n)
+        return Patterns([*p.symbols, symbol], p.low + smaller, self.behind.before[symbol] + before, n)

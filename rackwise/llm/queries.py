@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rackwise.llm.bpe import op5_bpe
+from rackwise.llm.collocations import op13_collocations
 from rackwise.llm.decontaminate import op7_decontaminate
 from rackwise.llm.html_text import op2_html
 from rackwise.llm.katz import op4_katz
@@ -46,7 +47,7 @@ def _shipping(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_html, op3_quality, op4_katz, op5_bpe, op6_toxicity, op7_decontaminate, op8_simhash, op9_substring, op10_token_files]
+    found = [op1_token_counts, op2_html, op3_quality, op4_katz, op5_bpe, op6_toxicity, op7_decontaminate, op8_simhash, op9_substring, op10_token_files, op13_collocations]
     return {q.__name__: _shipping(q) for q in found}
 
 
@@ -61,6 +62,28 @@ kept AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS text FROM wor
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
 """
 
+#: Words of pieces as rows, phrases by lag; whole numbers of 128 bits.
+COLLOCATION_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS p FROM documents),
+p AS (SELECT r, lang, unnest(p) AS piece, unnest(range(len(p))) AS q FROM d),
+s AS (SELECT r, lang, q, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+w AS (SELECT r, lang, q, unnest(w) AS w, unnest(range(len(w))) AS i FROM s),
+g AS (SELECT lang, w AS w1, lead(w, 1) OVER x AS w2, lead(w, 2) OVER x AS w3, lead(w, 3) OVER x AS w4, lead(w, 4) OVER x AS w5 FROM w WINDOW x AS (PARTITION BY r, q ORDER BY i)),
+n AS (SELECT lang, CAST(count(*) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS (SELECT lang, [w1] AS p, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100
+  UNION ALL SELECT lang, [w1, w2], count(*) FROM g WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 100
+  UNION ALL SELECT lang, [w1, w2, w3], count(*) FROM g WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 100
+  UNION ALL SELECT lang, [w1, w2, w3, w4], count(*) FROM g WHERE w4 IS NOT NULL GROUP BY ALL HAVING count(*) >= 100
+  UNION ALL SELECT lang, [w1, w2, w3, w4, w5], count(*) FROM g WHERE w5 IS NOT NULL GROUP BY ALL HAVING count(*) >= 100),
+longer AS (SELECT DISTINCT lang, p[a:b] AS p, f FROM f, (SELECT a, b FROM range(1, 6) x(a), range(1, 6) y(b)) WHERE b > a AND b <= len(p) AND b - a + 1 < len(p)),
+c AS (SELECT * FROM f WHERE len(p) > 1 AND NOT EXISTS (SELECT 1 FROM longer l WHERE l.lang = f.lang AND l.p = f.p AND l.f >= f.f)),
+cuts AS (SELECT lang, p, f, unnest(range(1, len(p))) AS k FROM c),
+scored AS (SELECT c.lang, c.p, c.f AS a, k, l.f AS l, r.f AS r, n, CAST((CAST(1000 AS HUGEINT) * c.f * n) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.p = c.p[:k] JOIN f r ON r.lang = c.lang AND r.p = c.p[k + 1:] JOIN n ON n.lang = c.lang),
+one AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(p, ' '))) AS BIGINT) AS rank, array_to_string(p, ' ') AS phrase, a, l, r, n, score FROM one QUALIFY rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_substring": SUBSTRING_SQL}
+    return {"op9_substring": SUBSTRING_SQL, "op13_collocations": COLLOCATION_SQL}
