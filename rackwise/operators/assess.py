@@ -106,7 +106,11 @@ def assess(facts: DataFrame) -> DataFrame:
     return out.withColumn("cap_full_pipeline", whole)
 
 
+def capability_array() -> Column:
+    """The nine capabilities of an assessed row as structs with ordinal and capability, in order."""
+    return F.array(*[F.struct(F.lit(i + 1).alias("ordinal"), F.lit(n).alias("capability"), *[F.col(f"cap_{n}.{f}").alias(f) for f in ("status", "severity", "evidence", "reason", "recommendation")]) for i, n in enumerate(CAPABILITIES)])
+
+
 def capability_results(assessed: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Nine rows for each run: keys, ordinal, capability, status, severity, evidence, reason, recommendation."""
-    rows = F.array(*[F.struct(F.lit(i + 1).alias("ordinal"), F.lit(n).alias("capability"), *[F.col(f"cap_{n}.{f}").alias(f) for f in ("status", "severity", "evidence", "reason", "recommendation")]) for i, n in enumerate(CAPABILITIES)])
-    return assessed.select(*keys, F.inline(rows))
+    return assessed.select(*keys, F.inline(capability_array()))

@@ -1,4 +1,4 @@
-"""Facts derived from parsed captures, and the assembly of one run's facts."""
+"""Facts derived from parsed captures, and the assembly of one run's facts: expressions on a run's row, without joins."""
 
 from __future__ import annotations
 
@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from rackwise.functions.text import KEY, as_int, strip
 from rackwise.operators import parse
+from rackwise.operators.parse import by_run, done, every, has, leaf, named, of, one
 
 HWP_ADVISORY = "hardware chooses its own P-state within the range; requests are hints"
 HWP_NO_EPP = "no energy-performance preference can be set"
 PASSIVE = "intel_pstate is passive and takes frequency ranges as acpi-cpufreq does"
 OFF = "intel_pstate is off; another driver is in use"
+DEVICE_TEXTS = ("name", "driver_version", "vbios_version", "memory_total_mb", "memory_clocks", "graphics_clocks", "bus_id", "index_raw")
 
 
 def limitations(status: Column, hwp: Column, epp: Column) -> Column:
@@ -23,105 +25,154 @@ def control_model(status: Column, hwp: Column) -> Column:
     return F.when(hwp, "hwp_range").when(status == "passive", "pstate_range").otherwise("unknown")
 
 
+def pstate_columns() -> dict[str, Column]:
+    """Null for runs without the driver's directory."""
+    found = lambda value: F.when(has("sysfs_pstate"), value)
+    status = F.coalesce(leaf("sysfs_pstate", "status"), F.lit(""))
+    hwp = one("sysfs_pstate", "hwp_dynamic_boost").isNotNull() | (status == "active")
+    epp = one("sysfs_pstate", "energy_performance_preference").isNotNull()
+    return {"intel_pstate_status": found(status), "hwp_enabled": found(hwp), "epp_available": found(epp), "control_model": found(control_model(status, hwp)), "driver_limitations": found(limitations(status, hwp, epp))}
+
+
+def scaling_columns() -> dict[str, Column]:
+    """Null for runs without cpufreq leaves."""
+    freq = parse.cpufreq_columns()
+    discrete = F.size(freq["available_frequencies_khz"]) > 0
+    method = F.when(discrete, "discrete").when((freq["base_frequency_khz"] != "") | ((freq["min_khz"] != "") & (freq["max_khz"] != "")), "range").otherwise("unknown")
+    model = F.when(discrete, "discrete").otherwise(F.coalesce(pstate_columns()["control_model"], F.lit("unknown")))
+    return {"scaling_method": F.when(has("sysfs_cpufreq"), method), "control_model": F.when(has("sysfs_cpufreq"), model)}
+
+
+def domain_labels() -> Column:
+    """Labels of RAPL domains in the order of their directories."""
+    rows = F.filter(every("powercap_name"), lambda x: x["item"].startswith("intel-rapl"))
+    return F.transform(rows, lambda x: F.when(strip(x["content"]) != "", F.concat(x["item"], F.lit(" ("), strip(x["content"]), F.lit(")"))).otherwise(x["item"]))
+
+
+def energy_readable() -> Column:
+    """Whether there is a domain and any counter could be read."""
+    return (F.size(domain_labels()) > 0) & F.coalesce(F.exists(every("powercap_energy"), lambda x: x["rc"] == 0), F.lit(False))
+
+
+def topology_columns(pairs: str = "lscpu") -> dict[str, Column]:
+    """0 and `unknown` where nothing is known; where lscpu has no count of CPUs, the operating system's own stands in."""
+    text = lambda key: parse.lscpu_value(key, pairs)
+    number = lambda key: F.coalesce(as_int(text(key)), F.lit(0))
+    own = F.when(done("os_cpu_count"), as_int(one("os_cpu_count")["content"]))
+    return {
+        "vendor": F.coalesce(text("Vendor ID"), F.lit("unknown")), "model_name": F.coalesce(text("Model name"), F.lit("unknown")), "logical_cpus": F.coalesce(F.nullif(number("CPU(s)"), F.lit(0)), own, F.lit(0)), "sockets": number("Socket(s)"),
+        "threads_per_core": number("Thread(s) per core"), "physical_cores": number("Core(s) per socket") * number("Socket(s)"),
+    }
+
+
+def access_columns() -> dict[str, Column]:
+    return {"cpufreq_writable": done("access", "scaling_governor_w"), "is_root": done("access", "is_root")}
+
+
+def cpu_taxonomy_columns(logical: Column) -> dict[str, Column]:
+    """present, observable (needs readable energy), controllable (needs a writable governor too), reason."""
+    present = logical > 0
+    observable = present & energy_readable()
+    controllable = observable & done("access", "scaling_governor_w")
+    reason = F.when(controllable, F.lit(None)).when(observable, "governor cannot be written").when(present, "energy counters cannot be read").otherwise("no CPUs were found")
+    return {"present": present, "observable": observable, "controllable": controllable, "reason": reason}
+
+
+def all_devices(smi: str = "smi", pci: str = "pci") -> Column:
+    """Devices of nvidia-smi, then display adapters; fields a source lacks have defaults."""
+
+    def device(x: Column, vendor: Column, origin: str, own: tuple[str, ...]) -> Column:
+        index = x["index"] if "index_raw" in own else F.lit(None).cast("int")
+        return F.struct(index.alias("index"), vendor.alias("vendor"), F.lit(origin).alias("origin"), *[(F.coalesce(x[n], F.lit("")) if n in own else F.lit("")).alias(n) for n in DEVICE_TEXTS])
+
+    return F.concat(F.transform(smi, lambda x: device(x, F.lit("nvidia"), "nvidia-smi", tuple(n for n in DEVICE_TEXTS if n != "bus_id"))), F.transform(pci, lambda x: device(x, x["vendor"], "lspci", ("name", "bus_id"))))
+
+
+def count_columns(devices: str = "devices") -> dict[str, Column]:
+    of_vendor = lambda v: F.size(F.filter(devices, lambda x: x["vendor"] == v)).cast("long")
+    return {"device_count": F.size(devices).cast("long"), "nvidia_count": of_vendor("nvidia"), "intel_count": of_vendor("intel"), "nvidia_present": of_vendor("nvidia") > 0}
+
+
+def gpu_taxonomy_columns(devices: str = "devices") -> dict[str, Column]:
+    """present, observable (nvidia-smi exists), controllable (clocks were listed), reason."""
+    listed = F.exists(every("nvidia_clocks"), lambda x: F.coalesce((x["rc"] == 0) & (x["content"] != ""), F.lit(False))) & ~F.exists(every("nvidia_clocks"), lambda x: x["content"].contains("N/A"))
+    nvidia = count_columns(devices)["nvidia_present"]
+    present = F.size(devices) > 0
+    observable = present & done("which", "nvidia_smi")
+    controllable = observable & nvidia & listed
+    reason = F.when(controllable, F.lit(None)).when(observable & ~nvidia, "only NVIDIA clocks can be set and there is no NVIDIA device").when(observable, "nvidia-smi lists no clocks").when(present, "nvidia-smi is missing").otherwise("no GPU was found")
+    return {"present": present, "observable": observable, "controllable": controllable, "reason": reason}
+
+
 def pstate_facts(captures: DataFrame) -> DataFrame:
     """intel_pstate_status, hwp_enabled, epp_available, control_model, driver_limitations; no row without the driver's directory."""
-    wide = parse.of(captures, "sysfs_pstate").groupBy(*KEY).pivot("item", ["status", "hwp_dynamic_boost", "energy_performance_preference"]).agg(F.max(strip(F.col("content"))))
-    status = F.coalesce("status", F.lit(""))
-    rows = wide.select(*KEY, status.alias("intel_pstate_status"), (F.col("hwp_dynamic_boost").isNotNull() | (status == "active")).alias("hwp_enabled"), F.col("energy_performance_preference").isNotNull().alias("epp_available"))
-    s, h = F.col("intel_pstate_status"), F.col("hwp_enabled")
-    return rows.withColumn("control_model", control_model(s, h)).withColumn("driver_limitations", limitations(s, h, F.col("epp_available")))
+    return by_run(of(captures, "sysfs_pstate")).select(*KEY, *named(pstate_columns()))
 
 
 def scaling_method(captures: DataFrame) -> DataFrame:
     """scaling_method and control_model of each run that has cpufreq leaves."""
-    rows = parse.sysfs_pivot(captures).join(pstate_facts(captures), list(KEY), "left")
-    discrete = F.size("available_frequencies_khz") > 0
-    method = F.when(discrete, "discrete").when((F.col("base_frequency_khz") != "") | ((F.col("min_khz") != "") & (F.col("max_khz") != "")), "range").otherwise("unknown")
-    return rows.select(*KEY, method.alias("scaling_method"), F.when(discrete, "discrete").otherwise(F.coalesce("control_model", F.lit("unknown"))).alias("control_model"))
+    return by_run(of(captures, "sysfs_cpufreq", "sysfs_pstate")).filter(has("sysfs_cpufreq")).select(*KEY, *named(scaling_columns()))
 
 
 def rapl_domains(captures: DataFrame) -> DataFrame:
-    """domains (labels in the order of their directories), available, readable."""
-    names = parse.of(captures, "powercap_name").filter(F.col("item").startswith("intel-rapl"))
-    label = F.when(strip(F.col("content")) != "", F.concat("item", F.lit(" ("), strip(F.col("content")), F.lit(")"))).otherwise(F.col("item"))
-    energy = parse.of(captures, "powercap_energy").groupBy(*KEY).agg(F.bool_or(F.col("rc") == 0).alias("readable"))
-    found = names.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("item", label.alias("label")))).alias("d"))
-    return found.join(energy, list(KEY), "left").select(*KEY, F.col("d.label").alias("domains"), (F.size("d") > 0).alias("available"), F.coalesce("readable", F.lit(False)).alias("readable"))
+    """domains (labels in the order of their directories), available, readable; no row without a domain."""
+    rows = by_run(of(captures, "powercap_name", "powercap_energy")).select(*KEY, domain_labels().alias("domains"), energy_readable().alias("readable")).filter(F.size("domains") > 0)
+    return rows.select(*KEY, "domains", F.lit(True).alias("available"), "readable")
 
 
 def cpu_topology(captures: DataFrame) -> DataFrame:
-    """vendor, model_name, logical_cpus, sockets, threads_per_core, physical_cores; 0 and `unknown` where nothing is known.
-    Where lscpu has no count of CPUs, the operating system's own (source os_cpu_count) stands in."""
-    wide = parse.kv_facts(captures).groupBy(*KEY).pivot("key", ["Vendor ID", "Model name", "CPU(s)", "Socket(s)", "Core(s) per socket", "Thread(s) per core"]).agg(F.first("value"))
-    own = parse.of(captures, "os_cpu_count").filter("rc = 0").groupBy(*KEY).agg(F.max(as_int(F.col("content"))).alias("os_cpus"))
-    rows = captures.select(*KEY).distinct().join(wide, list(KEY), "left").join(own, list(KEY), "left")
-    number = lambda c: F.coalesce(as_int(F.col(f"`{c}`")), F.lit(0))
-    logical = F.coalesce(F.nullif(number("CPU(s)"), F.lit(0)), "os_cpus", F.lit(0))
-    return rows.select(
-        *KEY, F.coalesce("Vendor ID", F.lit("unknown")).alias("vendor"), F.coalesce("Model name", F.lit("unknown")).alias("model_name"), logical.alias("logical_cpus"), number("Socket(s)").alias("sockets"),
-        number("Thread(s) per core").alias("threads_per_core"), (number("Core(s) per socket") * number("Socket(s)")).alias("physical_cores"),
-    )
+    """vendor, model_name, logical_cpus, sockets, threads_per_core, physical_cores of every run."""
+    return by_run(captures).withColumn("lscpu", parse.lscpu_pairs()).select(*KEY, *named(topology_columns()))
 
 
-def _access(captures: DataFrame) -> DataFrame:
-    wide = parse.of(captures, "access").groupBy(*KEY).pivot("item", ["scaling_governor_w", "is_root"]).agg(F.max(F.col("rc") == 0))
-    return wide.select(*KEY, F.coalesce("scaling_governor_w", F.lit(False)).alias("cpufreq_writable"), F.coalesce("is_root", F.lit(False)).alias("is_root"))
+def cpu_taxonomy(captures: DataFrame) -> DataFrame:
+    """present, observable, controllable, reason of every run; see cpu_taxonomy_columns."""
+    rows = by_run(captures).withColumn("lscpu", parse.lscpu_pairs())
+    return rows.withColumn("logical_cpus", topology_columns()["logical_cpus"]).select(*KEY, *named(cpu_taxonomy_columns(F.col("logical_cpus"))))
 
 
-def cpu_taxonomy(captures: DataFrame) -> DataFrame:
-    """present, observable (needs readable energy), controllable (needs a writable governor too), reason."""
-    rows = cpu_topology(captures).join(rapl_domains(captures), list(KEY), "left").join(_access(captures), list(KEY), "left")
-    present = F.col("logical_cpus") > 0
-    observable = present & F.coalesce("readable", F.lit(False))
-    controllable = observable & F.coalesce("cpufreq_writable", F.lit(False))
-    reason = F.when(controllable, F.lit(None)).when(observable, "governor cannot be written").when(present, "energy counters cannot be read").otherwise("no CPUs were found")
-    return rows.select(*KEY, present.alias("present"), observable.alias("observable"), controllable.alias("controllable"), reason.alias("reason"))
+def _with_all_devices(captures: DataFrame, *sources: str) -> DataFrame:
+    return parse.with_devices(captures, *sources).withColumn("pci", parse.pci_adapters()).withColumn("devices", all_devices())
 
 
 def gpu_devices(captures: DataFrame) -> DataFrame:
     """All devices: those of nvidia-smi, then display adapters; fields a source lacks have defaults."""
-    smi = parse.nvidia_devices(captures).withColumn("vendor", F.lit("nvidia")).withColumn("origin", F.lit("nvidia-smi"))
-    pci = parse.pci_display_adapters(captures).withColumn("origin", F.lit("lspci"))
-    rows = smi.unionByName(pci, allowMissingColumns=True)
-    texts = ["name", "driver_version", "vbios_version", "memory_total_mb", "memory_clocks", "graphics_clocks", "bus_id", "index_raw"]
-    return rows.select(*KEY, "index", "vendor", "origin", *[F.coalesce(c, F.lit("")).alias(c) for c in texts])
+    return _with_all_devices(captures, "lspci").select(*KEY, F.inline("devices"))
 
 
 def gpu_counts(captures: DataFrame) -> DataFrame:
-    found = gpu_devices(captures).groupBy(*KEY).agg(F.count("*").alias("device_count"), F.count_if(F.col("vendor") == "nvidia").alias("nvidia_count"), F.count_if(F.col("vendor") == "intel").alias("intel_count"))
-    return captures.select(*KEY).distinct().join(found, list(KEY), "left").fillna(0).withColumn("nvidia_present", F.col("nvidia_count") > 0)
+    """device_count, nvidia_count, intel_count, nvidia_present of every run."""
+    return _with_all_devices(captures, "*").select(*KEY, *named(count_columns()))
 
 
 def gpu_taxonomy(captures: DataFrame) -> DataFrame:
-    """present, observable (nvidia-smi exists), controllable (clocks were listed), reason."""
-    clocks = parse.of(captures, "nvidia_clocks").groupBy(*KEY).agg(F.bool_or((F.col("rc") == 0) & (F.col("content") != "")).alias("listed"), F.bool_or(F.col("content").contains("N/A")).alias("na"))
-    rows = gpu_counts(captures).join(parse.tool_presence(captures), list(KEY), "left").join(clocks, list(KEY), "left")
-    present = F.col("device_count") > 0
-    observable = present & F.coalesce("tool_nvidia_smi", F.lit(False))
-    controllable = observable & F.col("nvidia_present") & F.coalesce(F.col("listed") & ~F.col("na"), F.lit(False))
-    reason = F.when(controllable, F.lit(None)).when(observable & ~F.col("nvidia_present"), "only NVIDIA clocks can be set and there is no NVIDIA device").when(observable, "nvidia-smi lists no clocks").when(present, "nvidia-smi is missing").otherwise("no GPU was found")
-    return rows.select(*KEY, present.alias("present"), observable.alias("observable"), controllable.alias("controllable"), reason.alias("reason"))
+    """present, observable, controllable, reason of every run; see gpu_taxonomy_columns."""
+    return _with_all_devices(captures, "*").select(*KEY, *named(gpu_taxonomy_columns()))
 
 
 def permissions(captures: DataFrame) -> DataFrame:
-    rows = _access(captures).join(rapl_domains(captures), list(KEY), "left").join(gpu_taxonomy(captures), list(KEY), "left")
-    return rows.select(*KEY, "is_root", F.coalesce("readable", F.lit(False)).alias("rapl_readable"), "cpufreq_writable", F.coalesce("controllable", F.lit(False)).alias("gpu_clock_control_available"))
+    """Of each run that tried its access."""
+    rows = _with_all_devices(captures, "*").filter(has("access"))
+    return rows.select(*KEY, done("access", "is_root").alias("is_root"), energy_readable().alias("rapl_readable"), done("access", "scaling_governor_w").alias("cpufreq_writable"), gpu_taxonomy_columns()["controllable"].alias("gpu_clock_control_available"))
 
 
 def assemble_facts(captures: DataFrame) -> DataFrame:
-    """One row for each run with every input of the capability ladders: left joins on the run's key, one row a side."""
-    k = list(KEY)
-    numa = parse.numa_topology(captures).groupBy(*KEY).agg(F.count("*").cast("int").alias("numa_nodes"))
-    perf = parse.perf_probe(captures).select(*KEY, F.col("event_paranoid_level").alias("perf_paranoid"), F.col("accessible").alias("perf_accessible"), F.col("note").alias("perf_note"))
-    freq = parse.freq_probe(captures).select(*KEY, F.col("success").alias("freq_success"), "current_khz")
-    rapl = rapl_domains(captures).select(*KEY, "domains", F.col("available").alias("rapl_available"), F.col("readable").alias("rapl_readable"))
-    probe = parse.rapl_probe(captures).select(*KEY, F.col("success").alias("rapl_probe_success"), "domain_tested", "sample_value_uj")
-    cpufreq = parse.sysfs_pivot(captures).select(*KEY, F.col("driver").alias("cpufreq_driver"), "governor_current", "governors_available", "min_khz", "max_khz", "base_frequency_khz", "available_frequencies_khz")
-    pstate = pstate_facts(captures).select(*KEY, F.col("intel_pstate_status").alias("pstate_status"), "hwp_enabled", "epp_available", "driver_limitations")
-    metrics = parse.gpu_metrics(captures).select(*KEY, F.col("success").alias("gpu_metrics_success"), "temperature_c", "power_draw_w")
-    gpu = gpu_taxonomy(captures).select(*KEY, F.col("present").alias("gpu_present"), F.col("observable").alias("gpu_observable"), F.col("controllable").alias("gpu_controllable"), F.col("reason").alias("gpu_reason"))
-    out = parse.node_identity(captures)
-    for part in (cpu_topology(captures), parse.tool_presence(captures), perf, freq, rapl, probe, cpufreq, pstate, scaling_method(captures), _access(captures), gpu_counts(captures), gpu, metrics, numa):
-        out = out.join(part, k, "left")
-    flags = [f.name for f in out.schema if f.dataType.simpleString() == "boolean"]
-    return out.fillna(False, flags).fillna(0, ["numa_nodes"])
+    """One row for each run that left any capture, with every input of the capability ladders and the arrays that a report lists: devices, numa,
+    domains. One shuffle of captures, no join. What a run didn't capture is false, 0, empty or, for identity and texts of a
+    missing driver, null."""
+    rows = _with_all_devices(captures, "*").withColumn("lscpu", parse.lscpu_pairs()).withColumn("numa", parse.numa_nodes()).withColumn("first", parse.first_reading())
+    rows = rows.select("*", *named(topology_columns()))
+    perf, freq, metrics, cpufreq, pstate, gpu = parse.perf_columns(), parse.freq_columns(), parse.metric_columns(), parse.cpufreq_columns(), pstate_columns(), gpu_taxonomy_columns()
+    cpufreq = {k: F.when(has("sysfs_cpufreq"), v) for k, v in cpufreq.items() if k != "current_raw"}
+    false = lambda c: F.coalesce(c, F.lit(False))
+    columns = {n: one("uname", n)["content"] for n in parse.IDENTITY} | {n: F.col(n) for n in topology_columns()} | {f"tool_{n}": done("which", n) for n in parse.TOOLS}
+    columns |= {"perf_paranoid": perf["event_paranoid_level"], "perf_accessible": perf["accessible"], "perf_note": F.when(has("which"), perf["note"]), "freq_success": false(freq["success"]), "current_khz": F.when(has("sysfs_cpufreq"), freq["current_khz"])}
+    columns |= {"domains": domain_labels(), "rapl_available": F.size(domain_labels()) > 0, "rapl_readable": energy_readable()}
+    columns |= {"rapl_probe_success": F.col("first").isNotNull(), "domain_tested": F.col("first.item"), "sample_value_uj": strip(F.col("first.content"))}
+    columns |= {"cpufreq_driver": cpufreq.pop("driver")} | cpufreq
+    columns |= {"pstate_status": pstate["intel_pstate_status"], "hwp_enabled": false(pstate["hwp_enabled"]), "epp_available": false(pstate["epp_available"]), "driver_limitations": pstate["driver_limitations"]}
+    columns |= scaling_columns() | access_columns() | count_columns()
+    columns |= {"gpu_present": gpu["present"], "gpu_observable": gpu["observable"], "gpu_controllable": gpu["controllable"], "gpu_reason": gpu["reason"]}
+    columns |= {"gpu_metrics_success": metrics["success"], "temperature_c": F.when(has("nvidia_metrics"), metrics["temperature_c"]), "power_draw_w": F.when(has("nvidia_metrics"), metrics["power_draw_w"])}
+    columns |= {"numa_nodes": F.size("numa"), "numa": F.col("numa"), "devices": F.col("devices"), "cpu_taxonomy": F.struct(*named(cpu_taxonomy_columns(F.col("logical_cpus"))))}
+    return rows.select(*KEY, *named(columns))

@@ -28,9 +28,10 @@ def compare_nodes(facts: DataFrame, node: str, attributes: list[str]) -> DataFra
 
 def outlier_nodes(facts: DataFrame, node: str, attributes: list[str]) -> DataFrame:
     """Nodes whose value differs from the attribute's majority value."""
-    most = compare_nodes(facts, node, attributes).filter("majority").select("attribute", F.col("value").alias("majority_value"))
     text = facts.select(node, *[F.coalesce(F.col(a).cast("string"), F.lit("<null>")).alias(a) for a in attributes]).unpivot([node], attributes, "attribute", "value")
-    return text.join(most, "attribute").filter("value <> majority_value")  # one row an attribute: Spark sees its size
+    counts = text.groupBy("attribute", "value").agg(F.count("*").alias("n"))
+    most = counts.groupBy("attribute").agg(F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("most")).select("attribute", F.col("most.value").alias("majority_value"))
+    return text.join(F.broadcast(most), "attribute").filter("value <> majority_value")  # one row an attribute
 
 
 def latest_report(runs: DataFrame, node: str = "node_id", at: str = "generated_at") -> DataFrame:
@@ -65,12 +66,6 @@ def energy_by_domain_level(samples: DataFrame, domains: DataFrame, max_range: in
     return energy_joules_wrap(samples, max_range).join(F.broadcast(domains), "domain").groupBy("node_id", "level").agg(F.sum("joules").alias("joules"), F.count("joules").alias("intervals"))
 
 
-def edp(samples: DataFrame, max_range: int) -> DataFrame:
-    """Energy-delay product by node and domain: joules times the seconds from first to last sample."""
-    rows = energy_joules_wrap(samples, max_range).groupBy("node_id", "domain").agg(F.sum("joules").alias("joules"), (F.timestamp_diff("MICROSECOND", F.min("ts"), F.max("ts")) / 1e6).alias("seconds"))
-    return rows.withColumn("edp", F.col("joules") * F.col("seconds"))
-
-
 def telemetry_plan(backends: DataFrame, domains: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Domains to sample on nodes whose CPU energy can be read."""
     return backends.filter("cpu_rapl").select(*keys).join(domains, list(keys))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rackwise.operators.assess import A, CAPABILITIES, CRITICAL, D
+from rackwise.operators.assess import A, CAPABILITIES, CRITICAL, D, capability_array
 
 FLAGS = tuple(c for c in CAPABILITIES if c != "topology_awareness")
 
@@ -40,13 +40,27 @@ def readiness_flags(results: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 def issues(results: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Results that aren't available with their position: critical, warning, info, then by ordinal."""
-    rank = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "warning", 1).when(F.col("severity") == "info", 2).otherwise(3)
+    rank = severity_rank(F.col("severity"))
     return results.filter(F.col("status") != A).withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(rank, "ordinal")))
 
 
-def fleet_summary(assessed: DataFrame, results: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """One row for each run: identity, GPU counts, RAPL flag, numbers of blockers and issues, readiness flags."""
-    blockers = experiment_blockers(results).groupBy(*keys).agg(F.count("*").alias("n_blockers"))
-    found = results.filter(F.col("status") != A).groupBy(*keys).agg(F.count("*").alias("n_issues"))
-    head = assessed.select(*keys, "hostname", "vendor", "model_name", "device_count", "nvidia_count", "intel_count", "rapl_available")
-    return head.join(blockers, list(keys), "left").join(found, list(keys), "left").fillna(0, ["n_blockers", "n_issues"]).join(readiness_flags(results, keys), list(keys), "left")
+def severity_rank(severity: Column) -> Column:
+    return F.when(severity == "critical", 0).when(severity == "warning", 1).when(severity == "info", 2).otherwise(3)
+
+
+def blocker_array() -> Column:
+    """The blockers of an assessed row, in order: severity, capability, message, recommendation."""
+    found = F.filter(capability_array(), lambda x: (x["severity"] == CRITICAL) & (x["status"] != A))
+    return F.transform(found, lambda x: F.struct(x["severity"].alias("severity"), x["capability"].alias("capability"), x["evidence"].alias("message"), x["recommendation"].alias("recommendation")))
+
+
+def issue_array() -> Column:
+    """The issues of an assessed row, the gravest first: severity, capability, message, reason, recommendation."""
+    found = F.transform(F.filter(capability_array(), lambda x: x["status"] != A), lambda x: F.struct(severity_rank(x["severity"]).alias("rank"), x["ordinal"].alias("ordinal"), x.alias("x")))
+    return F.transform(F.array_sort(found), lambda v: F.struct(v["x"]["severity"].alias("severity"), v["x"]["capability"].alias("capability"), v["x"]["evidence"].alias("message"), v["x"]["reason"].alias("reason"), v["x"]["recommendation"].alias("recommendation")))
+
+
+def fleet_summary(assessed: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """One row for each run: identity, GPU counts, RAPL flag, numbers of blockers and issues, readiness flags. A projection."""
+    ready = [F.coalesce(F.col(f"cap_{c}.status") == A, F.lit(False)).alias(f"{c}_ready") for c in FLAGS]
+    return assessed.select(*keys, "hostname", "vendor", "model_name", "device_count", "nvidia_count", "intel_count", "rapl_available", F.size(blocker_array()).alias("n_blockers"), F.size(issue_array()).alias("n_issues"), *ready)

@@ -1,125 +1,230 @@
-"""Recorded captures to facts. Each operator takes captures(node_id, captured_at, source, item, rc, content, stderr) and keeps both keys."""
+"""Recorded captures to facts. Captures are (node_id, captured_at, source, item, rc, content, stderr) and, where the collector notes it,
+received_at. A capture may be delivered any number of times: of one run's captures of one source and item the newest counts (then the
+greatest rc, content and stderr), so every operator gives the same for captures delivered once and again.
+
+One aggregation by run gathers a run's captures in a row: it is the only shuffle, equal deliveries are dropped before it, and what it holds is bounded
+by one run's different captures. All parsers are expressions on that row; the operators read only the sources they need.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rackwise.functions.text import KEY, as_int, cpu_list, lines, strip
 
+TOOLS = ("perf", "cpupower", "numactl", "nvidia_smi")
+IDENTITY = ("hostname", "os", "kernel", "architecture")
+NUMA_LINE = r"^node\s+(\d+)\s+cpus:\s+(.+)$"
+
+
+def of(captures: DataFrame, *sources: str) -> DataFrame:
+    return captures.filter(F.col("source").isin(*sources))
+
+
+def by_run(captures: DataFrame) -> DataFrame:
+    """One row a run: `entries`, its captures once each by source and item, and `at`, the same as a map for look-ups by one()."""
+    received = F.col("received_at") if "received_at" in captures.columns else F.lit(None)
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    entry = F.struct(text("source"), text("item"), received.cast("timestamp").alias("received_at"), "rc", text("content"), text("stderr"))
+    found = captures.groupBy(*KEY).agg(F.array_sort(F.collect_set(entry)).alias("every"))
+    after = lambda i: F.get("every", i + 1)
+    newest = F.filter("every", lambda x, i: F.coalesce((after(i)["source"] != x["source"]) | (after(i)["item"] != x["item"]), F.lit(True)))
+    kept = F.transform(newest, lambda x: F.struct(*[x[n].alias(n) for n in ("source", "item", "rc", "content", "stderr")]))
+    named = F.map_from_entries(F.transform("entries", lambda x: F.struct(F.concat(F.length(x["source"]).cast("string"), F.lit(":"), x["source"], x["item"]), F.struct(x["rc"].alias("rc"), x["content"].alias("content"), x["stderr"].alias("stderr")))))
+    return found.select(*KEY, kept.alias("entries")).select(*KEY, "entries", named.alias("at"))
+
+
+def one(source: str, item: str = "") -> Column:
+    """(rc, content, stderr) of a source's item; null if it wasn't captured."""
+    return F.col("at")[f"{len(source)}:{source}{item}"]
+
+
+def every(source: str) -> Column:
+    """All of a source's captures, by item."""
+    return F.filter("entries", lambda x: x["source"] == source)
+
+
+def has(source: str) -> Column:
+    return F.exists("entries", lambda x: x["source"] == source)
+
+
+def done(source: str, item: str = "") -> Column:
+    """Whether it was captured with return code 0."""
+    return F.coalesce(one(source, item)["rc"] == 0, F.lit(False))
+
+
+def shown(source: str, item: str = "") -> Column:
+    """Its lines, if it ended well; no lines otherwise."""
+    return F.when(done(source, item) & (one(source, item)["content"] != ""), lines(one(source, item)["content"])).otherwise(F.array().cast("array<string>"))
+
+
+def leaf(source: str, item: str) -> Column:
+    """A file's text, stripped; null if it wasn't captured."""
+    return strip(one(source, item)["content"])
+
+
+def words(text: Column) -> Column:
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != "")
+
+
+def lscpu_pairs() -> Column:
+    """key and value of each `Key: Value` line."""
+    pair = lambda x: F.split(x, ":", 2)
+    return F.transform(F.filter(shown("lscpu"), lambda x: x.contains(":")), lambda x: F.struct(strip(pair(x)[0]).alias("key"), strip(pair(x)[1]).alias("value")))
+
+
+def lscpu_value(key: str, pairs: str = "lscpu") -> Column:
+    """A key's last value in the column of pairs."""
+    return F.try_element_at(F.filter(pairs, lambda x: x["key"] == key), F.lit(-1))["value"]
 
-def of(captures: DataFrame, source: str) -> DataFrame:
-    return captures.filter(F.col("source") == source)
+
+def clock_lists() -> Column:
+    """index_raw, memory, graphics of each device whose clocks were listed: distinct, rising."""
+    found = lambda text, name: F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(rf"(?m)^\s*{name}\s*:\s*(\d+)\s*MHz"), F.lit(1)), lambda x: x.cast("int"))))
+    listed = F.filter(every("nvidia_clocks"), lambda x: x["rc"] == 0)
+    return F.transform(listed, lambda x: F.struct(x["item"].alias("index_raw"), found(x["content"], "Memory").alias("memory"), found(x["content"], "Graphics").alias("graphics")))
+
+
+def smi_devices(clocks: str = "clocks") -> Column:
+    """Devices of five fields in nvidia-smi's list, with each one's clocks, from the column of clock lists, as text."""
+    rows = F.filter(F.transform(shown("nvidia_gpus"), lambda x: F.transform(F.split(x, ","), strip)), lambda f: F.size(f) == 5)
+    own = lambda f, kind: F.coalesce(F.array_join(F.get(F.filter(clocks, lambda c: c["index_raw"] == f[0]), F.lit(0))[kind].cast("array<string>"), ","), F.lit(""))
+    return F.transform(rows, lambda f: F.struct(f[0].alias("index_raw"), as_int(f[0]).alias("index"), *[f[i].alias(n) for i, n in enumerate(("name", "driver_version", "vbios_version", "memory_total_mb"), 1)], own(f, "memory").alias("memory_clocks"), own(f, "graphics").alias("graphics_clocks")))
+
+
+def pci_adapters(smi: str = "smi") -> Column:
+    """vendor, bus_id, name of display-class lines; NVIDIA lines count only where the column of nvidia-smi's devices is empty."""
+    display = F.filter(shown("lspci"), lambda x: F.lower(x).contains("vga") | F.lower(x).contains("3d") | F.lower(x).contains("display"))
+    vendor = lambda x: F.when(F.lower(x).contains("nvidia") & (F.size(smi) == 0), "nvidia").when(F.lower(x).contains("intel"), "intel")
+    found = F.transform(display, lambda x: F.struct(vendor(x).alias("vendor"), F.substring_index(x, " ", 1).alias("bus_id"), strip(F.element_at(F.split(x, ":", 3), -1)).alias("name")))
+    return F.filter(found, lambda x: x["vendor"].isNotNull())
+
+
+def numa_nodes(separators: str = ",") -> Column:
+    """numa_id, origin, cpus: from numactl, or from sysfs where numactl has no matching line. Nodes without a list of CPUs (memory only)
+    are left out on both paths."""
+    first = F.filter(F.transform(shown("numactl"), strip), lambda x: x.rlike(NUMA_LINE))
+    node = lambda numa_id, origin, text: F.struct(numa_id.alias("numa_id"), F.lit(origin).alias("origin"), cpu_list(text, separators).alias("cpus"))
+    rest = F.filter(every("sysfs_cpulist"), lambda x: strip(x["content"]) != "")
+    return F.when(F.size(first) > 0, F.transform(first, lambda x: node(F.regexp_extract(x, NUMA_LINE, 1), "numactl", F.regexp_extract(x, NUMA_LINE, 2)))).otherwise(F.transform(rest, lambda x: node(F.regexp_replace(x["item"], "^node", ""), "sysfs", x["content"])))
+
+
+def perf_columns() -> dict[str, Column]:
+    level, stat = as_int(one("procfs", "perf_event_paranoid")["content"]), one("perf_stat")
+    ran = done("which", "perf") & done("perf_stat")
+    failed = F.concat(F.lit("perf stat returned "), F.coalesce(stat["rc"].cast("string"), F.lit("nothing")), F.lit(": "), F.coalesce(F.nullif(stat["stderr"], F.lit("")), F.lit("unknown error")), F.when(level >= 3, F.concat(F.lit("; level "), level.cast("string"), F.lit(" shuts out all but root"))).otherwise(""))
+    note = F.when(~done("which", "perf"), "perf is not installed").when(ran & (level >= 2), F.concat(F.lit("perf works; level "), level.cast("string"), F.lit(" keeps kernel profiling from users"))).when(ran, "perf works without restriction").otherwise(failed)
+    return {"event_paranoid_level": level, "accessible": ran, "note": note}
+
+
+def freq_columns() -> dict[str, Column]:
+    now = F.coalesce(leaf("sysfs_cpufreq", "scaling_cur_freq"), F.lit(""))
+    return {"success": now.rlike("^[0-9]+$"), "current_khz": F.when(now.rlike("^[0-9]+$"), now).otherwise("")}
+
+
+def metric_columns(smi: str = "smi") -> dict[str, Column]:
+    """Of the first line; success needs a device in the column of nvidia-smi's devices, the tool, return code 0 and two fields."""
+    fields = F.split(F.get(lines(one("nvidia_metrics")["content"]), F.lit(0)), ",")
+    good = done("nvidia_metrics") & done("which", "nvidia_smi") & (F.size(smi) > 0) & F.coalesce(F.size(fields) >= 2, F.lit(False))
+    field = lambda i: F.when(good, strip(F.get(fields, F.lit(i)))).otherwise("")
+    return {"success": good, "temperature_c": field(0), "power_draw_w": field(1)}
+
+
+def first_reading() -> Column:
+    """The first RAPL domain, in order, with a numeric reading."""
+    return F.get(F.filter(every("powercap_energy"), lambda x: (x["rc"] == 0) & strip(x["content"]).rlike("^[0-9]+$")), F.lit(0))
+
+
+def cpufreq_columns() -> dict[str, Column]:
+    text = lambda item: F.coalesce(leaf("sysfs_cpufreq", item), F.lit(""))
+    return {
+        "driver": text("scaling_driver"), "governor_current": text("scaling_governor"), "governors_available": words(leaf("sysfs_cpufreq", "scaling_available_governors")), "min_khz": text("cpuinfo_min_freq"), "max_khz": text("cpuinfo_max_freq"),
+        "base_frequency_khz": text("base_frequency"), "available_frequencies_khz": words(leaf("sysfs_cpufreq", "scaling_available_frequencies")), "current_raw": text("scaling_cur_freq"),
+    }
+
+
+def named(columns: dict[str, Column]) -> list[Column]:
+    return [v.alias(k) for k, v in columns.items()]
+
+
+def once(captures: DataFrame) -> DataFrame:
+    """Each capture once, in its newest form."""
+    return by_run(captures).select(*KEY, F.inline("entries"))
 
 
 def ok_captures(captures: DataFrame) -> DataFrame:
     """Results that can be used: return code 0 and some output."""
-    return captures.filter((F.col("rc") == 0) & (F.col("content") != ""))
+    return once(captures).filter((F.col("rc") == 0) & (F.col("content") != ""))
 
 
 def kv_facts(captures: DataFrame) -> DataFrame:
     """key, value of the `Key: Value` lines of lscpu; the last of equal keys wins."""
-    rows = of(captures, "lscpu").filter("rc = 0").select(*KEY, F.posexplode(lines(F.col("content"))).alias("pos", "line")).filter(F.col("line").contains(":"))
-    pair = F.split("line", ":", 2)
-    return rows.select(*KEY, "pos", strip(pair[0]).alias("key"), strip(pair[1]).alias("value")).groupBy(*KEY, "key").agg(F.max_by("value", "pos").alias("value"))
+    rows = by_run(of(captures, "lscpu")).select(*KEY, F.posexplode(lscpu_pairs()).alias("pos", "pair"))
+    return rows.groupBy(*KEY, F.col("pair.key").alias("key")).agg(F.max_by("pair.value", "pos").alias("value"))
 
 
 def cpu_list_rows(captures: DataFrame) -> DataFrame:
     """One row for each CPU of each recorded list, in order."""
-    return of(captures, "sysfs_cpulist").select(*KEY, "item", F.posexplode(cpu_list(F.col("content"))).alias("position", "cpu"))
+    return once(of(captures, "sysfs_cpulist")).select(*KEY, "item", F.posexplode(cpu_list(F.col("content"))).alias("position", "cpu"))
 
 
 def supported_clocks(captures: DataFrame) -> DataFrame:
     """kind, mhz: distinct memory and graphics clocks for each device, rising; failed commands have none."""
-    done = of(captures, "nvidia_clocks").filter("rc = 0")
-    found = lambda name: F.array_sort(F.array_distinct(F.transform(F.expr(rf"regexp_extract_all(content, r'(?m)^\s*{name}\s*:\s*(\d+)\s*MHz', 1)"), lambda x: x.cast("int"))))
-    wide = done.select(*KEY, "item", found("Memory").alias("memory"), found("Graphics").alias("graphics"))
-    return wide.unpivot([*KEY, "item"], ["memory", "graphics"], "kind", "clocks").select(*KEY, F.col("item").alias("index_raw"), "kind", F.posexplode("clocks").alias("position", "mhz"))
+    wide = by_run(of(captures, "nvidia_clocks")).select(*KEY, F.inline(clock_lists()))
+    return wide.unpivot([*KEY, "index_raw"], ["memory", "graphics"], "kind", "clocks").select(*KEY, "index_raw", "kind", F.posexplode("clocks").alias("position", "mhz"))
+
+
+def with_devices(captures: DataFrame, *sources: str) -> DataFrame:
+    """Runs with the columns clocks and smi."""
+    rows = by_run(of(captures, "nvidia_clocks", "nvidia_gpus", *sources)) if sources != ("*",) else by_run(captures)
+    return rows.withColumn("clocks", clock_lists()).withColumn("smi", smi_devices())
 
 
 def nvidia_devices(captures: DataFrame) -> DataFrame:
     """Device rows of five fields, with each device's clocks as text."""
-    rows = ok_captures(of(captures, "nvidia_gpus")).select(*KEY, F.explode(lines(F.col("content"))).alias("line"))
-    fields = F.transform(F.split("line", ","), strip)
-    rows = rows.select(*KEY, fields.alias("f")).filter(F.size("f") == 5)
-    rows = rows.select(*KEY, F.col("f")[0].alias("index_raw"), as_int(F.col("f")[0]).alias("index"), F.col("f")[1].alias("name"), F.col("f")[2].alias("driver_version"), F.col("f")[3].alias("vbios_version"), F.col("f")[4].alias("memory_total_mb"))
-    clocks = supported_clocks(captures).groupBy(*KEY, "index_raw")
-    text = lambda kind: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("position", "mhz")))), lambda x: x["mhz"].cast("string")), ",")
-    return rows.join(clocks.agg(text("memory").alias("memory_clocks"), text("graphics").alias("graphics_clocks")), [*KEY, "index_raw"], "left").fillna("", ["memory_clocks", "graphics_clocks"])
+    return with_devices(captures).select(*KEY, F.inline("smi"))
 
 
 def pci_display_adapters(captures: DataFrame) -> DataFrame:
     """vendor, bus_id, name of display-class lines; NVIDIA lines count only where nvidia-smi found no device."""
-    rows = ok_captures(of(captures, "lspci")).select(*KEY, F.explode(lines(F.col("content"))).alias("line"))
-    low = F.lower("line")
-    rows = rows.filter(low.contains("vga") | low.contains("3d") | low.contains("display"))
-    found = nvidia_devices(captures).select(*KEY).distinct().withColumn("found", F.lit(True))
-    vendor = F.when(low.contains("nvidia") & F.col("found").isNull(), "nvidia").when(low.contains("intel"), "intel")
-    out = rows.join(found, list(KEY), "left").select(*KEY, vendor.alias("vendor"), F.substring_index("line", " ", 1).alias("bus_id"), strip(F.element_at(F.split("line", ":", 3), -1)).alias("name"))
-    return out.filter("vendor IS NOT NULL")
+    return with_devices(captures, "lspci").select(*KEY, F.inline(pci_adapters()))
 
 
 def numa_topology(captures: DataFrame, separators: str = ",") -> DataFrame:
-    """numa_id, cpus, origin: from numactl; from sysfs for runs where numactl has no matching line. Nodes without a list of CPUs
-    (memory only) are left out on both paths."""
-    line = r"^node\s+(\d+)\s+cpus:\s+(.+)$"
-    first = of(captures, "numactl").filter("rc = 0").select(*KEY, F.explode(lines(F.col("content"))).alias("line")).withColumn("line", strip(F.col("line"))).filter(F.col("line").rlike(line))
-    first = first.select(*KEY, F.regexp_extract("line", line, 1).alias("numa_id"), F.regexp_extract("line", line, 2).alias("list"), F.lit("numactl").alias("origin"))
-    rest = of(captures, "sysfs_cpulist").filter(strip(F.col("content")) != "").join(first.select(*KEY).distinct(), list(KEY), "left_anti")
-    rest = rest.select(*KEY, F.regexp_replace("item", "^node", "").alias("numa_id"), F.col("content").alias("list"), F.lit("sysfs").alias("origin"))
-    return first.unionByName(rest).select(*KEY, "numa_id", "origin", cpu_list(F.col("list"), separators).alias("cpus"))
+    """numa_id, origin, cpus of each NUMA node with CPUs; see numa_nodes."""
+    return by_run(of(captures, "numactl", "sysfs_cpulist")).select(*KEY, F.inline(numa_nodes(separators)))
 
 
 def tool_presence(captures: DataFrame) -> DataFrame:
     """Which of the four tools exist; one that wasn't recorded does not."""
-    names = ["perf", "cpupower", "numactl", "nvidia_smi"]
-    wide = of(captures, "which").groupBy(*KEY).pivot("item", names).agg(F.max(F.col("rc") == 0))
-    return wide.select(*KEY, *[F.coalesce(n, F.lit(False)).alias(f"tool_{n}") for n in names])
+    return by_run(of(captures, "which")).select(*KEY, *[done("which", n).alias(f"tool_{n}") for n in TOOLS])
 
 
 def node_identity(captures: DataFrame) -> DataFrame:
-    return of(captures, "uname").groupBy(*KEY).pivot("item", ["hostname", "os", "kernel", "architecture"]).agg(F.max_by("content", F.struct("rc", "content")))
+    return by_run(of(captures, "uname")).select(*KEY, *[one("uname", n)["content"].alias(n) for n in IDENTITY])
 
 
 def sysfs_pivot(captures: DataFrame) -> DataFrame:
     """The cpufreq leaves of a run as columns; lists split at white space."""
-    names = ["scaling_driver", "scaling_governor", "scaling_available_governors", "scaling_cur_freq", "cpuinfo_min_freq", "cpuinfo_max_freq", "base_frequency", "scaling_available_frequencies"]
-    wide = of(captures, "sysfs_cpufreq").groupBy(*KEY).pivot("item", names).agg(F.max(strip(F.col("content"))))
-    listed = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda x: x != "")
-    return wide.select(
-        *KEY, F.coalesce("scaling_driver", F.lit("")).alias("driver"), F.coalesce("scaling_governor", F.lit("")).alias("governor_current"), listed("scaling_available_governors").alias("governors_available"),
-        F.coalesce("cpuinfo_min_freq", F.lit("")).alias("min_khz"), F.coalesce("cpuinfo_max_freq", F.lit("")).alias("max_khz"), F.coalesce("base_frequency", F.lit("")).alias("base_frequency_khz"),
-        listed("scaling_available_frequencies").alias("available_frequencies_khz"), F.coalesce("scaling_cur_freq", F.lit("")).alias("current_raw"),
-    )
+    return by_run(of(captures, "sysfs_cpufreq")).select(*KEY, *named(cpufreq_columns()))
 
 
 def perf_probe(captures: DataFrame) -> DataFrame:
-    """event_paranoid_level, accessible, note for each run."""
-    level = of(captures, "procfs").filter("item = 'perf_event_paranoid'").select(*KEY, as_int(F.col("content")).alias("event_paranoid_level"))
-    stat = of(captures, "perf_stat").select(*KEY, F.col("rc").alias("stat_rc"), "stderr")
-    rows = tool_presence(captures).join(level, list(KEY), "left").join(stat, list(KEY), "left")
-    p, ran = F.col("event_paranoid_level"), F.coalesce(F.col("tool_perf") & (F.col("stat_rc") == 0), F.lit(False))
-    failed = F.concat(F.lit("perf stat returned "), F.coalesce(F.col("stat_rc").cast("string"), F.lit("nothing")), F.lit(": "), F.coalesce(F.nullif("stderr", F.lit("")), F.lit("unknown error")), F.when(p >= 3, F.concat(F.lit("; level "), p.cast("string"), F.lit(" shuts out all but root"))).otherwise(""))
-    note = F.when(~F.col("tool_perf"), "perf is not installed").when(ran & (p >= 2), F.concat(F.lit("perf works; level "), p.cast("string"), F.lit(" keeps kernel profiling from users"))).when(ran, "perf works without restriction").otherwise(failed)
-    return rows.select(*KEY, "event_paranoid_level", ran.alias("accessible"), note.alias("note"))
+    """event_paranoid_level, accessible, note for each run whose tools were looked for."""
+    return by_run(of(captures, "which", "procfs", "perf_stat")).filter(has("which")).select(*KEY, *named(perf_columns()))
 
 
 def freq_probe(captures: DataFrame) -> DataFrame:
-    rows = sysfs_pivot(captures)
-    return rows.select(*KEY, F.col("current_raw").rlike("^[0-9]+$").alias("success"), F.when(F.col("current_raw").rlike("^[0-9]+$"), F.col("current_raw")).otherwise("").alias("current_khz"))
+    return by_run(of(captures, "sysfs_cpufreq")).select(*KEY, *named(freq_columns()))
 
 
 def gpu_metrics(captures: DataFrame) -> DataFrame:
-    """Temperature and power of the first line; success needs a device, the tool, return code 0 and two fields."""
-    has = nvidia_devices(captures).select(*KEY).distinct().withColumn("has", F.lit(True))
-    fields = F.split(F.get(lines(F.col("content")), F.lit(0)), ",")
-    rows = of(captures, "nvidia_metrics").join(tool_presence(captures), list(KEY), "left").join(has, list(KEY), "left")
-    good = F.coalesce((F.col("rc") == 0) & F.col("tool_nvidia_smi") & F.col("has") & (F.size(fields) >= 2), F.lit(False))
-    return rows.select(*KEY, good.alias("success"), F.when(good, strip(F.get(fields, F.lit(0)))).otherwise("").alias("temperature_c"), F.when(good, strip(F.get(fields, F.lit(1)))).otherwise("").alias("power_draw_w"))
+    """Temperature and power, see metric_columns, of each run that asked for them."""
+    return with_devices(captures, "nvidia_metrics", "which").filter(has("nvidia_metrics")).select(*KEY, *named(metric_columns()))
 
 
 def rapl_probe(captures: DataFrame) -> DataFrame:
     """The first domain, in order, with a numeric energy reading; runs without one have no row."""
-    good = of(captures, "powercap_energy").filter((F.col("rc") == 0) & strip(F.col("content")).rlike("^[0-9]+$"))
-    one = good.groupBy(*KEY).agg(F.min_by(F.struct("item", "content"), "item").alias("one"))
-    return one.select(*KEY, F.lit(True).alias("success"), F.col("one.item").alias("domain_tested"), strip(F.col("one.content")).alias("sample_value_uj"))
+    rows = by_run(of(captures, "powercap_energy")).select(*KEY, first_reading().alias("one")).filter("one IS NOT NULL")
+    return rows.select(*KEY, F.lit(True).alias("success"), F.col("one.item").alias("domain_tested"), strip(F.col("one.content")).alias("sample_value_uj"))

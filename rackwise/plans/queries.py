@@ -10,13 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rackwise.functions.text import KEY
-from rackwise.operators import assess, facts, fleet, outcomes, parse
+from rackwise.operators import assess, energy, facts, fleet, from_reports, outcomes, parse
 from rackwise.sources import fixtures, reports
 from rackwise.streaming import gates
 
 RUN = ("node_id", "generated_at")
 WRAP = 400_000_000
 COMPARED = ["logical_cpus", "sockets", "cpufreq_driver", "pstate_status", "perf_paranoid", "numa_nodes"]
+#: Sections of a flat run for the comparison of whole reports.
+SECTIONS = {
+    "cpu": ["logical_cpus", "sockets", "cores_per_socket", "cpufreq_driver", "pstate_status", "cpufreq_writable", "epp_available"], "rapl": ["rapl_available", "rapl_readable", "rapl_probe_success"], "gpu": ["nvidia_present", "gpu_present", "gpu_metrics_success", "gpu_clocks_ok"],
+    "tools": ["tool_perf", "tool_nvidia_smi", "tool_numactl"], "probes": ["perf_accessible", "perf_paranoid", "freq_success", "numa_nodes"],
+}
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
 
@@ -46,15 +51,8 @@ def _results(runs: DataFrame, *more: str) -> DataFrame:
     return assess.capability_results(assess.assess(runs), (*RUN, *more))
 
 
-def _facts(captures: DataFrame) -> DataFrame:
-    """The assembled facts as a stored table: fourteen joins are planned and run once, apart from what reads them."""
-    path = _scratch(captures.sparkSession)
-    facts.assemble_facts(captures).write.parquet(path)
-    return captures.sparkSession.read.parquet(path)
-
-
 def _assembled(captures: DataFrame) -> DataFrame:
-    return assess.assess(_facts(captures))
+    return assess.assess(facts.assemble_facts(captures))
 
 
 def _scratch(spark: SparkSession) -> str:
@@ -66,20 +64,85 @@ def _scratch(spark: SparkSession) -> str:
     return f"{root}/{uuid.uuid4().hex}"
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.report_documents(_assembled(_view(spark, sf_dir, "captures")))
+
+
 def report_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as JSON and read back with the explicit schema: identity and capability states."""
     path = _scratch(spark)
-    captures = _view(spark, sf_dir, "captures")
-    reports.write_reports(reports.report_documents(_assembled(captures), captures), path)
+    reports.write_reports(_documents(spark, sf_dir), path)
     back = reports.read_reports(spark, path, lines=True)
-    return back.select("node_id", F.col("node.hostname").alias("hostname"), F.col("cpu.logical_cpus").alias("logical_cpus"), F.size("gpu.devices").alias("n_devices"), F.size("numa.nodes").alias("n_numa"), F.size("experiment_blockers").alias("n_blockers"), F.size("readiness.issues").alias("n_issues"), *[F.col(f"capabilities.{c}.status").alias(c) for c in assess.CAPABILITIES])
+    return _plain(back.select("node_id", "generated_at", F.col("node.hostname").alias("hostname"), F.col("cpu.logical_cpus").alias("logical_cpus"), F.size("gpu.devices").alias("n_devices"), F.size("numa.nodes").alias("n_numa"), F.size("experiment_blockers").alias("n_blockers"), F.size("readiness.issues").alias("n_issues"), *[F.col(f"capabilities.{c}.status").alias(c) for c in assess.CAPABILITIES]))
+
+
+_REPORTS: dict[tuple[str, str], str] = {}
+
+
+def _delivered(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of report documents, written once an application: all of the fleet's; before them, for some nodes, the same ones with no blockers and no
+    energy domains, which newer files replace; documents without node or time, and broken ones."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _REPORTS:
+        path, c = _scratch(spark), F.col
+        whole = _scratch(spark)
+        _documents(spark, sf_dir).write.parquet(whole)
+        docs = spark.read.parquet(whole)
+        old = docs.filter("node_id % 4 = 0").withColumn("experiment_blockers", F.filter("experiment_blockers", lambda x: F.lit(False)))
+        reports.write_reports(old.withColumn("backends", c("backends").withField("energy_domains", F.array().cast("array<string>"))), f"{path}/old")
+        reports.write_reports(docs, f"{path}/new")
+        text = F.to_json(F.struct(*docs.columns))
+        docs.filter("node_id % 25 = 0").select(F.substring(text, 1, 300)).write.text(f"{path}/broken")
+        docs.filter("node_id % 30 = 1").drop("node_id").withColumn("node", c("node").dropFields("hostname")).write.json(f"{path}/nameless")
+        docs.filter("node_id % 30 = 2").drop("generated_at").write.json(f"{path}/timeless")
+        _REPORTS[key] = path
+    return _REPORTS[key]
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folder's documents, read once into a table."""
+    path = _scratch(spark)
+    reports.read_reports(spark, _delivered(spark, sf_dir), lines=True).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _from_reports(query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: _plain(query(from_reports.sound(_ingested(spark, sf_dir))))
+
+
+def report_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that can't be used, by reason; characters kept of those that could not be parsed."""
+    found = from_reports.quarantined(_ingested(spark, sf_dir))
+    return found.groupBy("reason").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("corrupt")), F.lit(0)).alias("kept"))
+
+
+def stream_report_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blockers that a stream over the folder of reports has gated, in several batches."""
+    out, dead, state = (_scratch(spark) for _ in range(3))
+    gates.start_report_gate(reports.stream_reports(spark, _delivered(spark, sf_dir), lines=True, files=20), out, dead, state).awaitTermination()
+    rows = gates.gated(spark, out).select("node", "generated_at", F.explode("experiment_blockers").alias("b"))
+    return _plain(rows.select("node", "generated_at", "b.capability", "b.message", "b.recommendation"))
+
+
+def compare_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves in which nodes' newest runs differ from most: the nine capabilities and the facts they rest on."""
+    runs = assess.assess(fleet.latest_report(_view(spark, sf_dir, "fleet_runs")))
+    nested = runs.select(F.col("node_id").alias("node"), F.struct(*[F.col(f"cap_{n}").alias(n) for n in assess.CAPABILITIES]).alias("capabilities"), *[F.struct(*names).alias(section) for section, names in SECTIONS.items()])
+    return from_reports.compare_reports(nested, ["capabilities", *SECTIONS])
 
 
 def read_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The captures written as a table and read by the capture source."""
     path = _scratch(spark)
     _view(spark, sf_dir, "captures").write.parquet(path)
-    return _plain(reports.read_captures(spark, path).select(*KEY, "source", "item", "rc", "content", "stderr"))
+    return _plain(reports.read_captures(spark, path).select(*KEY, "source", "item", "rc", "content", "stderr", "received_at"))
+
+
+def read_capture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw files, one a capture and kind, written as a tree and read as captures."""
+    path, keys = _scratch(spark), [*KEY, "source", "item", "kind"]
+    _view(spark, sf_dir, "raw_files").repartition(*keys).write.partitionBy(*keys).text(path)
+    return _plain(reports.read_capture_files(spark, path).drop("received_at"))
 
 
 def _streamed(spark: SparkSession, rows: DataFrame, build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
@@ -92,13 +155,32 @@ def _streamed(spark: SparkSession, rows: DataFrame, build: Callable[[DataFrame],
 
 
 def stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _view(spark, sf_dir, "fleet_nodes")
-    return _plain(_streamed(spark, rows, lambda s: gates.stream_gate(s, RUN), "append").select(*RUN, "ordinal", "capability"))
+    rows = _view(spark, sf_dir, "fleet_runs")
+    return _plain(_streamed(spark, rows, lambda s: gates.stream_gate(s, RUN), "append").select(*RUN, "ordinal", "capability", F.col("evidence").alias("message")))
 
 
 def stream_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _view(spark, sf_dir, "energy_samples").withColumn("ts", F.col("ts").cast("timestamp"))
-    return _plain(_streamed(spark, rows, gates.stream_energy, "append"))
+    found = gates.energy_windows(_streamed(spark, rows.coalesce(1), lambda s: gates.stream_energy(s, WRAP), "append"))
+    return _plain(found.withColumn("joules", F.round("joules", 6)))
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return _view(spark, sf_dir, "energy_samples"), _view(spark, sf_dir, "experiments")
+
+
+def interval_joules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = energy.interval_joules(*_runs(spark, sf_dir), ["node_id", "run_no"], "begin_at", "end_at", WRAP)
+    return found.withColumn("joules", F.round("joules", 4))
+
+
+def run_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return energy.run_energy(*_runs(spark, sf_dir), WRAP).select("node_id", "run_no", "domain", F.round("joules", 4).alias("joules"), "n")
+
+
+def edp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = energy.edp(*_runs(spark, sf_dir), fixtures.rapl_domain_dim(spark), max_range=WRAP)
+    return found.select("node_id", "run_no", F.round("joules", 4).alias("joules"), F.round("seconds", 6).alias("seconds"), F.round("edp", 0).alias("edp"))
 
 
 def _energy_level(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,25 +213,26 @@ CAPTURE_QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "gpu_taxonomy": lambda c: facts.gpu_taxonomy(c),
     "permissions": facts.permissions,
     "assemble_reports": lambda c: facts.assemble_facts(c).select(*KEY, "hostname", "logical_cpus", "physical_cores", "tool_perf", "perf_accessible", "freq_success", "rapl_available", "rapl_readable", "cpufreq_driver", "cpufreq_writable", "device_count", "numa_nodes"),
-    "fleet_summary": lambda c: (lambda a: outcomes.fleet_summary(a, assess.capability_results(a, KEY), KEY))(_assembled(c)).select(*KEY, "hostname", "vendor", "model_name", "device_count", "nvidia_count", "intel_count", "rapl_available", "n_blockers", "n_issues", *[f"{f}_ready" for f in outcomes.FLAGS]),
-    "observable_frequencies": lambda c: outcomes.observable_frequencies(_facts(c), KEY).withColumn("discrete_steps", F.array_join("discrete_steps", " ")),
-    "energy_domains": lambda c: outcomes.energy_domains(_facts(c), KEY),
-    "telemetry_plan": lambda c: (lambda f: fleet.telemetry_plan(outcomes.telemetry_backends(assess.assess(f), KEY), outcomes.energy_domains(f, KEY), KEY))(_facts(c)),
+    "fleet_summary": lambda c: outcomes.fleet_summary(_assembled(c), KEY),
+    "captured_capabilities": lambda c: assess.capability_results(_assembled(c), KEY),
+    "observable_frequencies": lambda c: outcomes.observable_frequencies(facts.assemble_facts(c), KEY).withColumn("discrete_steps", F.array_join("discrete_steps", " ")),
+    "energy_domains": lambda c: outcomes.energy_domains(facts.assemble_facts(c), KEY),
+    "telemetry_plan": lambda c: (lambda f: fleet.telemetry_plan(outcomes.telemetry_backends(assess.assess(f), KEY), outcomes.energy_domains(f, KEY), KEY))(facts.assemble_facts(c)),
 }
 
 NODE_QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "capability_texts": lambda n: _results(n).select(*RUN, "ordinal", "capability", "status", "severity", "evidence", "reason", "recommendation"),
     "cap_status_long": lambda n: _results(n).select(*RUN, "ordinal", "capability", "status", "severity"),
-    "experiment_blockers": lambda n: outcomes.experiment_blockers(_results(n)).select(*RUN, "ordinal", "capability", "severity"),
+    "experiment_blockers": lambda n: outcomes.experiment_blockers(_results(n)).select(*RUN, "ordinal", "capability", "severity", "message", "recommendation"),
     "issues_ranked": lambda n: outcomes.issues(_results(n), RUN).select(*RUN, "position", "capability", "severity"),
     "readiness_flags": lambda n: outcomes.readiness_flags(_results(n), RUN),
     "telemetry_backends": lambda n: outcomes.telemetry_backends(assess.assess(n), RUN),
     "control_backends": lambda n: outcomes.control_backends(assess.assess(n), RUN),
     "dispatchable_nodes": lambda n: fleet.dispatchable_nodes(_results(n), RUN),
-    "blocked_nodes": lambda n: fleet.blocked_nodes(_results(n), RUN).select(*RUN, "capability"),
-    "degraded_capabilities": lambda n: _results(n).filter("status = 'degraded'").select(*RUN, "capability"),
-    "compare_nodes": lambda n: fleet.compare_nodes(n, "node_id", COMPARED),
-    "outlier_nodes": lambda n: fleet.outlier_nodes(n, "node_id", COMPARED),
+    "blocked_nodes": lambda n: fleet.blocked_nodes(_results(n), RUN),
+    "degraded_capabilities": lambda n: _results(n).filter("status = 'degraded'").select(*RUN, "capability", "reason"),
+    "compare_nodes": lambda n: fleet.compare_nodes(fleet.latest_report(n), "node_id", COMPARED),
+    "outlier_nodes": lambda n: fleet.outlier_nodes(fleet.latest_report(n), "node_id", COMPARED),
     "readiness_rollup": lambda n: fleet.readiness_rollup(_results(n, "rack_id"), "rack_id"),
 }
 
@@ -162,12 +245,21 @@ RUN_QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
 ENERGY_QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "energy_joules": lambda e: fleet.energy_joules(e).select("node_id", "domain", "sample_id", F.round("joules", 6).alias("joules")),
     "energy_joules_wrap": lambda e: fleet.energy_joules_wrap(e, WRAP).select("node_id", "domain", "sample_id", F.round("joules", 6).alias("joules")),
-    "edp": lambda e: fleet.edp(e, WRAP).select("node_id", "domain", F.round("joules", 4).alias("joules"), F.round("seconds", 6).alias("seconds"), F.round("edp", 0).alias("edp")),
+}
+
+REPORT_QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "blocked": from_reports.blocked,
+    "dispatchable": from_reports.dispatchable,
+    "telemetry_plan": from_reports.telemetry_plan,
+    "degraded": from_reports.degraded,
+    "latest_gate": lambda d: from_reports.latest(d, F.size("experiment_blockers").alias("n_blockers")),
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {}
-    for view, group in (("captures", CAPTURE_QUERIES), ("fleet_nodes", NODE_QUERIES), ("fleet_runs", RUN_QUERIES), ("energy_samples", ENERGY_QUERIES)):
+    for view, group in (("captures", CAPTURE_QUERIES), ("fleet_runs", NODE_QUERIES | RUN_QUERIES), ("energy_samples", ENERGY_QUERIES)):
         found |= {name: _from(view, q) for name, q in group.items()}
-    return found | {"energy_by_domain_level": _energy_level, "report_round_trip": report_round_trip, "read_captures": read_captures, "stream_gate": stream_gate, "stream_energy": stream_energy}
+    found |= {f"report_{name}": _from_reports(q) for name, q in REPORT_QUERIES.items()}
+    own = (read_captures, read_capture_files, report_round_trip, report_quarantine, stream_report_gate, compare_reports, stream_gate, stream_energy, interval_joules, run_energy, edp)
+    return found | {"energy_by_domain_level": _energy_level} | {q.__name__: q for q in own}

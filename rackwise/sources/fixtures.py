@@ -34,15 +34,11 @@ FROM (SELECT c_custkey, c_name, c_nationkey, r, c_custkey + 97 * CASE WHEN r > 2
       FROM customer CROSS JOIN (VALUES (0), (1), (2), (3)) AS v(r)) AS t
 """
 
-FLEET_NODES = """
-SELECT * FROM fleet_runs WHERE run_no = 0
-"""
-
-CAPTURES = """
+COLLECTED = """
 WITH n AS (SELECT node_id, generated_at AS captured_at, hostname, logical_cpus, sockets, tool_perf, perf_accessible, perf_paranoid,
                   freq_success, rapl_available, rapl_readable, rapl_probe_success, cpufreq_driver, pstate_status, cpufreq_writable,
-                  epp_available, tool_nvidia_smi, nvidia_present, tool_numactl, is_root, CAST(node_id AS VARCHAR(20)) AS ns
-           FROM fleet_runs WHERE run_no = CASE WHEN node_id % 4 = 1 THEN 3 ELSE 0 END)
+                  epp_available, tool_nvidia_smi, nvidia_present, tool_numactl, is_root, run_no, CAST(node_id AS VARCHAR(20)) AS ns
+           FROM fleet_runs WHERE run_no IN (0, 3))
 SELECT node_id, captured_at, 'lscpu' AS source, '' AS item, CASE WHEN node_id % 41 = 0 THEN -1 ELSE 0 END AS rc,
   concat('Vendor ID:   GenuineIntel', chr(10), 'Model name:  ', 'X: rev ', ns, chr(10),
          'CPU(s):  ', CASE WHEN logical_cpus = 0 THEN 'N/A' ELSE CAST(logical_cpus AS VARCHAR(9)) END, chr(10),
@@ -52,7 +48,7 @@ SELECT node_id, captured_at, 'lscpu' AS source, '' AS item, CASE WHEN node_id %
 UNION ALL
 SELECT node_id, captured_at, 'uname', item, 0,
   CASE item WHEN 'hostname' THEN hostname WHEN 'os' THEN 'Linux' WHEN 'kernel' THEN concat('6.', CAST(node_id % 5 AS VARCHAR(9)), '.0') ELSE 'x86_64' END, ''
-  FROM n CROSS JOIN (VALUES ('hostname'), ('os'), ('kernel'), ('architecture')) AS v(item)
+  FROM n CROSS JOIN (VALUES ('hostname'), ('os'), ('kernel'), ('architecture')) AS v(item) WHERE (node_id + run_no) % 5 <> 2
 UNION ALL
 SELECT node_id, captured_at, 'os_cpu_count', '', 0, CAST(8 + node_id % 3 AS VARCHAR(9)), '' FROM n WHERE node_id % 2 = 0
 UNION ALL
@@ -114,6 +110,15 @@ SELECT node_id, captured_at, 'lspci', '', 0,
          CASE WHEN node_id % 8 >= 3 THEN '01:00.0 3D controller: NVIDIA Corporation X' ELSE '01:00.0 Display controller: AMD' END), '' FROM n
 """
 
+#: Deliveries: each capture, again for some nodes, and for others a stale form of it that came before.
+CAPTURES = """
+SELECT *, captured_at + INTERVAL 1 MINUTE AS received_at FROM collected
+UNION ALL
+SELECT *, captured_at + INTERVAL 1 MINUTE FROM collected WHERE node_id % 4 = 0
+UNION ALL
+SELECT node_id, captured_at, source, item, -1, concat('stale: ', content), 'Command timed out after 10s', captured_at + INTERVAL 30 SECOND FROM collected WHERE node_id % 6 = 1
+"""
+
 ENERGY_SAMPLES = """
 SELECT node_id, domain, sample_id, ts,
   CAST(SUM(step) OVER (PARTITION BY node_id, domain ORDER BY ts, sample_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) % 400000000 AS BIGINT) AS energy_uj
@@ -123,18 +128,34 @@ FROM (SELECT user_id AS node_id, event_id AS sample_id, ts, CAST(ROUND(value * 1
 
 RAPL_DOMAINS = (("intel-rapl:0", "package"), ("intel-rapl:0:0", "core"), ("intel-rapl:0:1", "dram"), ("intel-rapl:1", "package2_or_psys"), ("intel-rapl-mmio", "mmio"), ("intel-rapl-mmio:0", "mmio_package"))
 
-VIEWS = {"fleet_runs": FLEET_RUNS, "fleet_nodes": FLEET_NODES, "captures": CAPTURES, "energy_samples": ENERGY_SAMPLES}
-NEEDS = {"fleet_runs": (), "fleet_nodes": ("fleet_runs",), "captures": ("fleet_runs",), "energy_samples": ()}
+#: Three experiments a node on the days of its energy samples; the second overlaps the first.
+EXPERIMENTS = """
+SELECT c_custkey AS node_id, r AS run_no, begin_at, begin_at + INTERVAL 5 DAY AS end_at
+FROM (SELECT c_custkey, r, TIMESTAMP '2024-01-03 12:00:00' + CASE r WHEN 0 THEN INTERVAL 0 DAY WHEN 1 THEN INTERVAL 3 DAY ELSE INTERVAL 15 DAY END AS begin_at
+      FROM customer CROSS JOIN (VALUES (0), (1), (2)) AS v(r)) AS t
+"""
+
+#: Raw files of one collection a supplier's machine: kind is the output's, body its text.
+RAW_FILES = """
+SELECT s_suppkey AS node_id, TIMESTAMP '2026-01-05 00:00:00' AS captured_at, source, item, kind,
+  CASE WHEN kind = 'rc' THEN CASE WHEN source = 'lscpu' AND s_suppkey % 5 = 0 THEN 'killed' WHEN source = 'lscpu' THEN '0' ELSE '13' END WHEN kind = 'err' THEN '  denied '
+       WHEN source = 'lscpu' THEN concat('CPU(s): ', CAST(4 + s_suppkey % 8 AS VARCHAR(9)), chr(10), 'Socket(s): 1') WHEN source = 'uname' THEN s_name ELSE 'package-0' END AS body
+FROM supplier CROSS JOIN (VALUES ('lscpu', '', 'out'), ('lscpu', '', 'rc'), ('uname', 'hostname', 'out'), ('powercap_name', 'intel-rapl:0', 'out'), ('perf_stat', '', 'err'), ('perf_stat', '', 'rc')) AS v(source, item, kind)
+WHERE NOT (source = 'uname' AND s_suppkey % 7 = 3)
+"""
+
+VIEWS = {"fleet_runs": FLEET_RUNS, "collected": COLLECTED, "captures": CAPTURES, "energy_samples": ENERGY_SAMPLES, "experiments": EXPERIMENTS, "raw_files": RAW_FILES}
+NEEDS = {"fleet_runs": (), "captures": ("fleet_runs", "collected"), "energy_samples": (), "experiments": (), "raw_files": ()}
 
 
-def with_views(view: str) -> str:
-    """WITH clause that defines `view` and what it needs."""
-    return "WITH " + ", ".join(f"{v} AS ({VIEWS[v].strip()})" for v in (*NEEDS[view], view))
+def with_views(*views: str) -> str:
+    """WITH clause that defines `views` and what they need."""
+    return "WITH " + ", ".join(f"{v} AS ({VIEWS[v].strip()})" for view in views for v in (*NEEDS[view], view))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture view over the tables in sf_dir."""
-    source = "events" if name == "energy_samples" else "customer"
+    source = {"energy_samples": "events", "raw_files": "supplier"}.get(name, "customer")
     sql = f"{with_views(name)} SELECT * FROM {name}".replace(f"FROM {source}", "FROM {source}")
     return spark.sql(sql, source=spark.read.parquet(f"{sf_dir}/{source}.parquet"))
 

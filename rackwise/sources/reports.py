@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rackwise.functions.text import KEY, strip
-from rackwise.operators import facts, outcomes, parse
-from rackwise.operators.assess import CAPABILITIES, capability_results
+from rackwise.functions.text import strip
+from rackwise.operators import outcomes
+from rackwise.operators.assess import CAPABILITIES
 from rackwise.operators.outcomes import FLAGS
 
 CAP = "STRUCT<status: STRING, severity: STRING, evidence: STRING, reason: STRING, recommendation: STRING>"
@@ -38,7 +38,42 @@ def read_reports(spark: SparkSession, path: str, lines: bool = False) -> DataFra
     """Report documents under path, with their file: one (or an array of them) a file, however it is indented; with `lines` one a line,
     as write_reports writes them. A document that can't be parsed is kept in `corrupt`."""
     rows = spark.read.schema(REPORT).option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt").option("recursiveFileLookup", True).json(path)
-    return rows.select("*", F.col("_metadata.file_path").alias("file_path"))
+    return _with_file(rows)
+
+
+def stream_reports(spark: SparkSession, path: str, lines: bool = False, files: int = 1000) -> DataFrame:
+    """A directory of report documents as a stream, read as read_reports does; `files` at most in one batch."""
+    rows = spark.readStream.schema(REPORT).option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt").option("recursiveFileLookup", True).option("maxFilesPerTrigger", files).json(path)
+    return _with_file(rows)
+
+
+def _with_file(rows: DataFrame) -> DataFrame:
+    return rows.select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("file_time"))
+
+
+#: One file a capture and kind: .../node/time/source/item.kind, or those as folders with their names, as Spark writes them.
+LAYOUT = r"(?:node_id=)?([^/]+)/(?:captured_at=)?([^/]+)/(?:source=)?([^/]+)/(?:item=)?([^/]+)[/.](?:kind=)?(out|err|rc)(?:/[^/]*)?$"
+
+
+def read_capture_files(spark: SparkSession, path: str, layout: str = LAYOUT) -> DataFrame:
+    """Captures from a tree of raw files: node_id, captured_at, source, item from each file's path, rc, content and stderr from its kinds.
+
+    Names of folders may be percent-encoded; `-` and the name that Spark gives an empty value stand for no item. Bytes that aren't UTF-8 become replacement
+    characters; texts lose white space at their ends. Without a file of its kind the content is empty and rc is 0; an rc that is no
+    number is -1. Spark passes over empty files and those whose names begin with `_` or a full stop, so a capture without output
+    needs its rc. Files elsewhere in the tree are passed over. Several files of one kind count as the newest; received_at is its time.
+    """
+    c = F.col
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    # Spark escapes what a folder's name can't hold; a path names that escape as it is.
+    part = lambda i: F.try_url_decode(F.replace(F.regexp_extract("path", layout, i), F.lit("+"), F.lit("%2B")))
+    body = F.coalesce(strip(F.make_valid_utf8(c("content").cast("string"))), F.lit(""))
+    item = F.when(part(4).isin("-", "__HIVE_DEFAULT_PARTITION__"), "").otherwise(part(4))
+    rows = files.filter(c("path").rlike(layout)).select(part(1).try_cast("long").alias("node_id"), part(2).try_cast("timestamp").alias("captured_at"), part(3).alias("source"), item.alias("item"), part(5).alias("kind"), body.alias("body"), c("modificationTime").alias("at"))
+    of = lambda kind: F.max_by(F.when(c("kind") == kind, c("body")), F.when(c("kind") == kind, F.struct("at", "body")))
+    found = rows.groupBy("node_id", "captured_at", "source", "item").agg(of("out").alias("content"), of("err").alias("stderr"), of("rc").alias("rc"), F.max("at").alias("received_at"))
+    rc = F.when(c("rc").isNull(), 0).otherwise(F.coalesce(c("rc").try_cast("int"), F.lit(-1)))
+    return found.select("node_id", "captured_at", "source", "item", rc.alias("rc"), F.coalesce("content", F.lit("")).alias("content"), F.coalesce("stderr", F.lit("")).alias("stderr"), "received_at")
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
@@ -47,29 +82,17 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("content", F.coalesce(strip(F.col("content")), F.lit(""))).withColumn("stderr", F.coalesce("stderr", F.lit("")))
 
 
-def _listed(rows: DataFrame, order: str, fields: list, name: str) -> DataFrame:
-    """The rows of a run as one array, in order."""
-    found = rows.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.struct(*fields).alias("v")))).alias("all"))
-    return found.select(*KEY, F.col("all.v").alias(name))
-
-
-def report_documents(assessed: DataFrame, captures: DataFrame) -> DataFrame:
-    """Assessed facts of captures as whole report documents."""
+def report_documents(assessed: DataFrame) -> DataFrame:
+    """Assessed facts of captures (assemble_facts) as whole report documents: a projection."""
     c = F.col
-    results = capability_results(assessed, KEY)
-    clocks = lambda name: F.filter(F.split(F.coalesce(c(name).cast("string"), F.lit("")), r"[,\s]+"), lambda x: x != "")
-    device = ["index", "name", "vendor", "driver_version", "vbios_version", "memory_total_mb", clocks("graphics_clocks").alias("supported_graphics_clocks_mhz"), clocks("memory_clocks").alias("supported_memory_clocks_mhz"), "bus_id", "origin"]
-    devices = _listed(facts.gpu_devices(captures).withColumn("place", F.concat(F.when(c("origin") == "lspci", 1).otherwise(0), F.lpad("index_raw", 9, "0"), "bus_id")), "place", device, "devices")
-    numa = parse.numa_topology(captures).groupBy(*KEY).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("numa_id", "cpus")))).alias("numa_map"))
-    message = c("evidence").alias("message")
-    blockers = _listed(outcomes.experiment_blockers(results), "ordinal", ["severity", "capability", message, "recommendation"], "blockers")
-    issues = _listed(outcomes.issues(results, KEY), "position", ["severity", "capability", message, "reason", "recommendation"], "issues")
-    taxonomy = facts.cpu_taxonomy(captures).select(*KEY, F.struct("present", "observable", "controllable", "reason").alias("cpu_taxonomy"))
-    for part in (devices, numa, blockers, issues, taxonomy, outcomes.readiness_flags(results, KEY)):
-        assessed = assessed.join(part, list(KEY), "left")
+    clocks = lambda text: F.filter(F.split(text, r"[,\s]+"), lambda x: x != "")
+    device = lambda d: F.struct(*[d[n].alias(n) for n in ("index", "name", "vendor", "driver_version", "vbios_version", "memory_total_mb")], clocks(d["graphics_clocks"]).alias("supported_graphics_clocks_mhz"), clocks(d["memory_clocks"]).alias("supported_memory_clocks_mhz"), d["bus_id"].alias("bus_id"), d["origin"].alias("origin"))
+    # A NUMA id named twice keeps its last list: maps have no equal keys.
+    numa = F.filter("numa", lambda x, i: ~F.exists(F.slice("numa", i + 2, F.size("numa")), lambda y: y["numa_id"] == x["numa_id"]))
+    assessed = assessed.withColumn("blockers", outcomes.blocker_array()).withColumn("issues", outcomes.issue_array()).withColumn("devices", F.transform("devices", device))
+    assessed = assessed.withColumn("numa_map", F.map_from_entries(F.transform(numa, lambda x: F.struct(x["numa_id"], x["cpus"])))).withColumns({f"{n}_ready": F.coalesce(c(f"cap_{n}.status") == "available", F.lit(False)) for n in FLAGS})
     none = lambda name, kind: F.coalesce(name, F.array().cast(kind))
-    all_devices = none("devices", f"array<{DEVICE}>")
-    of_vendor = lambda v: F.filter(all_devices, lambda d: d["vendor"] == v)
+    of_vendor = lambda v: F.filter("devices", lambda d: d["vendor"] == v)
     status = lambda name, *of: F.col(f"cap_{name}.status").isin(*of)
     s = lambda **fields: F.struct(*[(c(v) if isinstance(v, str) else v).alias(k) for k, v in fields.items()])
     probe = s(success="rapl_probe_success", sample_value_uj="sample_value_uj", domain_tested="domain_tested")
@@ -83,8 +106,8 @@ def report_documents(assessed: DataFrame, captures: DataFrame) -> DataFrame:
             ),
             rapl=s(available="rapl_available", domains="domains", readable="rapl_readable", probe=probe), taxonomy="cpu_taxonomy",
         ).alias("cpu"),
-        s(nvidia_present="nvidia_present", device_count="device_count", devices=all_devices, by_vendor=s(nvidia=of_vendor("nvidia"), intel=of_vendor("intel")), taxonomy=s(present="gpu_present", observable="gpu_observable", controllable="gpu_controllable", reason="gpu_reason")).alias("gpu"),
-        s(available=c("numa_nodes") > 0, nodes=F.coalesce("numa_map", F.create_map().cast("map<string,array<int>>"))).alias("numa"), s(perf="tool_perf", cpupower="tool_cpupower", numactl="tool_numactl", nvidia_smi="tool_nvidia_smi").alias("tools"),
+        s(nvidia_present="nvidia_present", device_count="device_count", devices="devices", by_vendor=s(nvidia=of_vendor("nvidia"), intel=of_vendor("intel")), taxonomy=s(present="gpu_present", observable="gpu_observable", controllable="gpu_controllable", reason="gpu_reason")).alias("gpu"),
+        s(available=c("numa_nodes") > 0, nodes="numa_map").alias("numa"), s(perf="tool_perf", cpupower="tool_cpupower", numactl="tool_numactl", nvidia_smi="tool_nvidia_smi").alias("tools"),
         s(is_root="is_root", rapl_readable="rapl_readable", cpufreq_writable="cpufreq_writable", gpu_clock_control_available="gpu_controllable", perf_event_paranoid="perf_paranoid").alias("permissions"),
         s(
             perf=s(event_paranoid_level="perf_paranoid", accessible="perf_accessible", tested_with=F.lit("perf stat -e cycles -- true"), note="perf_note"), rapl_read=probe,
@@ -99,8 +122,8 @@ def report_documents(assessed: DataFrame, captures: DataFrame) -> DataFrame:
             ),
             energy_domains=none("domains", "array<string>"),
         ).alias("backends"),
-        none("blockers", "array<struct<severity:string,capability:string,message:string,recommendation:string>>").alias("experiment_blockers"),
-        s(**{f"{n}_ready": f"{n}_ready" for n in FLAGS}, issues=none("issues", f"array<{ISSUE}>")).alias("readiness"),
+        c("blockers").alias("experiment_blockers"),
+        s(**{f"{n}_ready": f"{n}_ready" for n in FLAGS}, issues="issues").alias("readiness"),
     )
 
 

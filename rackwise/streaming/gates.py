@@ -1,10 +1,16 @@
-"""Streams of facts and energy samples, with the same operators as batches."""
+"""Streams of facts, reports and energy samples, with the same rules as batches."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from rackwise.operators import from_reports
 from rackwise.operators.assess import assess, capability_results
 from rackwise.operators.outcomes import experiment_blockers
 
@@ -14,9 +20,60 @@ def stream_gate(facts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return experiment_blockers(capability_results(assess(facts), keys))
 
 
-def stream_energy(samples: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Energy by node, domain and tumbling window: largest less smallest counter. What falls between the last sample of a window and the
-    first of the next is not counted, nor are wraps. Samples more than `late` behind are dropped, as a watermark must."""
-    at = F.window("ts", width)
-    out = samples.withWatermark("ts", late).groupBy("node_id", "domain", at).agg(((F.max("energy_uj") - F.min("energy_uj")) / 1e6).alias("joules"), F.count("*").alias("n"))
-    return out.select("node_id", "domain", F.col("window.start").alias("start"), "joules", "n")
+def start_report_gate(reports: DataFrame, out: str, dead: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Gates a stream of report documents (stream_reports): usable ones go to `out` with their blockers, others to `dead` with the
+    reason. A batch owns one folder under each and writes it anew, so a batch that is run again after a failure replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = from_reports.with_reason(batch).select(from_reports.node().alias("node"), "generated_at", "file_time", "file_path", "experiment_blockers", "reason", "corrupt").persist()
+        batch.filter("reason IS NULL").drop("reason", "corrupt").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.filter("reason IS NOT NULL").select("file_path", "reason", "corrupt").write.mode("overwrite").parquet(f"{dead}/batch={number}")
+        batch.unpersist()
+
+    return reports.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def gated(spark: SparkSession, out: str) -> DataFrame:
+    """(node, generated_at, experiment_blockers) of what start_report_gate has written: each run by its newest file, however often it came."""
+    rows = spark.read.parquet(out).groupBy("node", "generated_at")
+    return rows.agg(F.max_by("experiment_blockers", F.struct("file_time", "file_path")).alias("experiment_blockers"))
+
+
+ENERGY = "node_id long, domain string, start timestamp, joules double, n long, late long"
+
+
+def stream_energy(samples: DataFrame, max_range: int | None = None, seconds: int = 3600) -> DataFrame:
+    """Energy of a stream of samples by node, domain and window of so many seconds, exact at the windows' edges: (node_id, domain, start, joules,
+    n, late), to be added up by window with energy_windows.
+
+    The state of a counter is its last sample, so the step from one window's last sample to the next one's first is known; it counts for the
+    window of the later sample, as do wraps at max_range. A sample older than the state came late: it is counted in `late`, and its step
+    is part of the one already taken. So the sums over all windows are those of the batch operators.
+    """
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames), ignore_index=True).dropna(subset=["ts", "energy_uj"]).sort_values(["ts", "sample_id"], kind="stable")
+        if rows.empty:
+            return
+        at, counter = state.get if state.exists else (None, None)
+        late = rows["ts"].astype("int64") < at if state.exists else pd.Series(False, index=rows.index)
+        start = rows["ts"].dt.floor(f"{seconds}s")
+        fresh = rows[~late]
+        step = fresh["energy_uj"].diff()
+        if len(fresh):
+            step.iloc[0] = fresh["energy_uj"].iloc[0] - counter if state.exists else 0
+            state.update((int(fresh["ts"].astype("int64").iloc[-1]), int(fresh["energy_uj"].iloc[-1])))
+        if max_range is not None:
+            step = step.where(step >= 0, step + max_range)
+        out = pd.DataFrame({"start": start, "joules": step.reindex(rows.index).fillna(0.0) / 1e6, "n": (~late).astype("int64"), "late": late.astype("int64")}).groupby("start", as_index=False).sum()
+        out.insert(0, "node_id", key[0])
+        out.insert(1, "domain", key[1])
+        yield out
+
+    rows = samples.select("node_id", "domain", F.col("ts").cast("timestamp").alias("ts"), "sample_id", "energy_uj").groupBy("node_id", "domain")
+    return rows.applyInPandasWithState(run, ENERGY, "at long, counter long", "append", GroupStateTimeout.NoTimeout)
+
+
+def energy_windows(rows: DataFrame) -> DataFrame:
+    """What a stream has written, by window."""
+    return rows.groupBy("node_id", "domain", "start").agg(F.sum("joules").alias("joules"), F.sum("n").alias("n"), F.sum("late").alias("late"))

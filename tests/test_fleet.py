@@ -1,19 +1,22 @@
 import json
+import os
+from datetime import datetime, timedelta
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from rackwise.functions.text import cpu_list
-from rackwise.operators import assess, facts, parse
+from rackwise.operators import assess, energy, facts, fleet, from_reports, parse
 from rackwise.plans import oracles, queries
 from rackwise.sources import reports
+from rackwise.streaming import gates
 
 DATA = "/root/testdata/sf0.001"
 CAPTURES = "node_id long, captured_at timestamp, source string, item string, rc int, content string, stderr string"
 
 
-@pytest.mark.parametrize("text, want", [("0-3,8,10-11", [0, 1, 2, 3, 8, 10, 11]), ("0", [0]), ("5-3,x,7", [7]), ("4-7, 9 ,-1", [4, 5, 6, 7, 9]), ("0 1 2 3", []), ("1-2-3", []), ("1,1", [1, 1]), ("", [])])
+@pytest.mark.parametrize("text, want", [("2-4,9,12-13", [2, 3, 4, 9, 12, 13]), ("0", [0]), ("5-3,x,7", [7]), ("4-7, 9 ,-1", [4, 5, 6, 7, 9]), ("0 1 2 3", []), ("1-2-3", []), ("1,1", [1, 1]), ("", [])])
 def test_cpu_list(spark, text, want):
     assert spark.range(1).select(cpu_list(F.lit(text)).alias("c")).first().c == want
 
@@ -29,8 +32,8 @@ def test_kv_facts_keep_the_last_key_and_split_at_the_first_colon(spark):
 
 
 def test_clocks_are_distinct_and_rising(spark):
-    rows = parse.supported_clocks(captures(spark, ("nvidia_clocks", "0", 0, " Memory : 9251 MHz\n  Graphics : 1980 MHz\n  Graphics : 1965 MHz\n  Graphics : 1980 MHz", ""))).collect()
-    assert sorted((r.kind, r.mhz) for r in rows) == [("graphics", 1965), ("graphics", 1980), ("memory", 9251)]
+    rows = parse.supported_clocks(captures(spark, ("nvidia_clocks", "0", 0, " Memory : 7001 MHz\n  Graphics : 1410 MHz\n  Graphics : 1395 MHz\n  Graphics : 1410 MHz", ""))).collect()
+    assert sorted((r.kind, r.mhz) for r in rows) == [("graphics", 1395), ("graphics", 1410), ("memory", 7001)]
 
 
 def test_pci_adapter_names(spark):
@@ -39,10 +42,10 @@ def test_pci_adapter_names(spark):
 
 
 def test_properties_of_results(spark):
-    nodes = queries._view(spark, DATA, "fleet_nodes")
-    rows = assess.capability_results(assess.assess(nodes), ("node_id",)).collect()
+    nodes = queries._view(spark, DATA, "fleet_runs")
+    rows = assess.capability_results(assess.assess(nodes), ("node_id", "run_no")).collect()
     assert len(rows) == 9 * nodes.count() and all(r.evidence for r in rows)
-    by = {(r.node_id, r.capability): r for r in rows}
+    by = {((r.node_id, r.run_no), r.capability): r for r in rows}
     for (node, name), r in by.items():
         if name == "full_pipeline" and r.status == "available":
             assert all(by[node, c].status == "available" for c in assess.TELEMETRY + assess.CONTROL)
@@ -71,7 +74,7 @@ def test_indented_reports_are_read(spark, tmp_path):
 
 def test_reports_hold_every_section(spark, tmp_path):
     seen = queries._view(spark, DATA, "captures")
-    reports.write_reports(reports.report_documents(queries._assembled(seen), seen), f"file://{tmp_path}/r")
+    reports.write_reports(reports.report_documents(queries._assembled(seen)), f"file://{tmp_path}/r")
     back = reports.read_reports(spark, f"file://{tmp_path}/r", lines=True)
     for r in back.collect():
         assert r.corrupt is None
@@ -81,10 +84,136 @@ def test_reports_hold_every_section(spark, tmp_path):
         assert [b.capability for b in r.experiment_blockers] == [n for n, c in statuses.items() if c.severity == "critical" and c.status != "available"] and r.cpu.taxonomy.present == (r.cpu.logical_cpus > 0)
 
 
+def test_facts_of_every_run_in_one_shuffle(spark):
+    rows = captures(spark, ("lscpu", "", 0, "CPU(s): 4", ""), ("which", "perf", 0, "", ""), ("perf_stat", "", 0, "", "")).withColumn("captured_at", F.lit("2026-01-01").cast("timestamp"))
+    rows = rows.unionByName(rows.withColumn("node_id", F.lit(2).cast("long")).filter("source = 'lscpu'")).unionByName(rows.limit(0).unionByName(spark.createDataFrame([(3, None, None, None, None, None, None)], CAPTURES)))
+    assembled = facts.assemble_facts(rows)
+    got = {r.node_id: r for r in assembled.collect()}
+    assert got.keys() == {1, 2, 3} and got[1].hostname is None and got[1].perf_accessible and not got[2].perf_accessible and got[2].logical_cpus == 4 and got[3].logical_cpus == 0
+    seen = queries._view(spark, DATA, "captures")
+    plan = facts.assemble_facts(seen)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("FileScan") == 1 and "Join" not in plan and "Python" not in plan
+
+
+@pytest.mark.parametrize("operator", [parse.ok_captures, parse.kv_facts, parse.cpu_list_rows, parse.supported_clocks, parse.nvidia_devices, parse.pci_display_adapters, parse.numa_topology, parse.tool_presence, parse.node_identity, parse.sysfs_pivot, parse.perf_probe, parse.freq_probe, parse.gpu_metrics, parse.rapl_probe, facts.pstate_facts, facts.scaling_method, facts.rapl_domains, facts.cpu_topology, facts.cpu_taxonomy, facts.gpu_devices, facts.gpu_counts, facts.gpu_taxonomy, facts.permissions, facts.assemble_facts], ids=lambda f: f.__name__)
+def test_repeated_deliveries_change_nothing(spark, operator):
+    seen = queries._view(spark, DATA, "captures").filter("node_id < 30")
+    plain = lambda df: sorted(map(str, df.collect()))
+    assert plain(operator(parse.once(seen))) == plain(operator(seen.unionByName(seen)))
+
+
+def test_the_newest_delivery_counts(spark):
+    rows = spark.createDataFrame([(1, "a", 0, "old", "", 1), (1, "a", 0, "new", "", 2), (1, "b", 0, "none", "", None), (1, "b", 0, "some", "", 1), (1, "c", 0, "x", "", 1), (1, "c", 1, "y", "", 1)], "node_id long, item string, rc int, content string, stderr string, t int")
+    rows = rows.selectExpr("node_id", "TIMESTAMP '2026-01-01' AS captured_at", "'s' AS source", "item", "rc", "content", "stderr", "timestamp_seconds(t) AS received_at")
+    assert sorted((r.item, r.content) for r in parse.once(rows).collect()) == [("a", "new"), ("b", "some"), ("c", "y")]
+
+
+def test_reports_to_the_fleet(spark, tmp_path):
+    caps = {n: {"status": "available", "severity": "info", "evidence": "e", "reason": None, "recommendation": None} for n in assess.CAPABILITIES}
+    doc = lambda name, **more: {"generated_at": "2026-03-06T12:00:00Z", "node": {"hostname": name}, "capabilities": {**caps, "_capability_names_": ["x"]}, "experiment_blockers": [], "backends": {"telemetry": {"cpu_rapl": True}, "energy_domains": ["d0", "d1"]}} | more
+    blocked = [{"severity": "critical", "capability": "energy_cpu", "message": "m", "recommendation": "r"}]
+    worse = {**caps, "cpu_control": {"status": "degraded", "severity": "warning", "evidence": "e", "reason": "hwp", "recommendation": "x"}}
+    for k, d in enumerate([doc("a", experiment_blockers=blocked), doc("a"), doc("b", experiment_blockers=blocked, capabilities=worse), doc("c", generated_at="2026-03-05T12:00:00Z", experiment_blockers=blocked), doc("c"), doc(""), doc("e", generated_at=None), doc("f", capabilities=None), doc("g", experiment_blockers=None), doc("h", backends=None)]):
+        (tmp_path / f"{k}.json").write_text(json.dumps(d, indent=1))
+        os.utime(tmp_path / f"{k}.json", (1000 + k, 1000 + k))
+    (tmp_path / "x.json").write_text('{"generated_at": "2026-')
+    read = reports.read_reports(spark, f"file://{tmp_path}")
+    assert sorted(r.reason for r in from_reports.quarantined(read).collect()) == ["no backends", "no blockers", "no capabilities", "no node", "no time", "not a report in JSON"]
+    good = from_reports.sound(read)
+    names = lambda df: sorted(r.node for r in df.collect())
+    assert names(from_reports.dispatchable(good)) == ["a", "c"] and names(from_reports.blocked(good)) == ["b", "c"]
+    assert [(r.node, r.reason) for r in from_reports.degraded(good).collect()] == [("b", "hwp")]
+    assert from_reports.results(good).count() == 4 * 9 and from_reports.telemetry_plan(good).count() == 8
+    assert {r.node: r.n for r in from_reports.latest(good, F.size("experiment_blockers").alias("n")).collect()} == {"a": 0, "b": 1, "c": 0}
+    # Only the nested fields that a question needs are read from a stored table.
+    good.write.parquet(str(tmp_path / "stored"))
+    plan = from_reports.telemetry_plan(spark.read.parquet(str(tmp_path / "stored")))._jdf.queryExecution().executedPlan().toString()
+    assert "experiment_blockers" not in plan and "evidence" not in plan
+
+
+def test_report_stream(spark, tmp_path):
+    doc = lambda name, n: json.dumps({"generated_at": "2026-03-06T12:00:00Z", "node": {"hostname": name}, "capabilities": {}, "backends": {}, "experiment_blockers": [{"severity": "critical", "capability": f"c{i}"} for i in range(n)]})
+    source, out, dead, state = (tmp_path / n for n in ("in", "out", "dead", "state"))
+    source.mkdir()
+
+    def gate():
+        gates.start_report_gate(reports.stream_reports(spark, f"file://{source}", files=2), f"file://{out}", f"file://{dead}", f"file://{state}").awaitTermination()
+        return {r.node: len(r.experiment_blockers) for r in gates.gated(spark, f"file://{out}").collect()}
+
+    for k, text in enumerate([doc("a", 2), doc("b", 1), '{"broken', doc("a", 0)]):
+        (source / f"{k}.json").write_text(text)
+        os.utime(source / f"{k}.json", (1000 + k, 1000 + k))
+    assert gate() == {"a": 0, "b": 1}
+    (source / "again.json").write_text(doc("b", 1))
+    assert gate() == {"a": 0, "b": 1}
+    assert [(r.reason, r.corrupt) for r in spark.read.parquet(f"file://{dead}").collect()] == [("not a report in JSON", '{"broken')]
+    assert len(list(out.glob("batch=*"))) >= 3
+
+
+SAMPLES = "node_id long, domain string, ts timestamp_ntz, sample_id long, energy_uj long"
+
+
+def test_intervals_of_energy(spark):
+    day = lambda m: datetime(2026, 1, 1) + timedelta(minutes=m)
+    samples = spark.createDataFrame([(1, "p", day(m), m, (m * 30) % 1000) for m in range(0, 200, 10)] + [(1, "q", day(50), 1, 5), (1, "p", None, 1, 5)], SAMPLES)
+    asked = [(1, 1, day(0), day(190)), (1, 2, day(15), day(47)), (1, 3, day(-5), day(30)), (1, 4, day(60), day(50)), (2, 5, day(0), day(9)), (1, 6, day(40), day(40))]
+    intervals = spark.createDataFrame(asked, "node_id long, id long, b timestamp_ntz, e timestamp_ntz")
+    got = {(r.id, r.domain): r.joules for r in energy.interval_joules(samples, intervals, ["node_id", "id"], "b", "e", 1000).collect()}
+    assert got == {(1, "p"): 5700 / 1e6, (1, "q"): None, (2, "p"): 900 / 1e6, (2, "q"): None, (3, "p"): None, (3, "q"): None, (4, "p"): None, (4, "q"): None, (6, "p"): 0.0, (6, "q"): None}
+
+
+def test_runs_of_a_node_with_many_samples(spark):
+    start = datetime(2026, 1, 1)
+    samples = spark.range(100_000).selectExpr("CASE WHEN id < 99000 THEN 1 ELSE 2 END AS node_id", "'p' AS domain", "CAST(timestamp_seconds(1767225600 + id) AS TIMESTAMP_NTZ) AS ts", "id AS sample_id", "id * 10 % 1000 AS energy_uj")
+    runs = spark.createDataFrame([(1, 1, start, start + timedelta(hours=5)), (1, 2, start + timedelta(hours=4), start + timedelta(hours=30)), (1, 3, start - timedelta(days=9), start - timedelta(days=8)), (2, 4, start, start + timedelta(days=3))], "node_id long, run_no long, begin_at timestamp_ntz, end_at timestamp_ntz")
+    dim = spark.createDataFrame([("p", "package"), ("x", "core")], "domain string, level string")
+    got = {r.run_no: (round(r.joules, 6), r.seconds) for r in energy.edp(samples, runs, dim, max_range=1000, width=3600).collect()}
+    assert got == {1: (0.18, 18000.0), 2: (round((98_999 - 14_400) * 10 / 1e6, 6), 98_999.0 - 14_400), 4: (round(999 * 10 / 1e6, 6), 999.0)}
+    plan = energy.run_energy(samples, runs)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_stream_of_energy_is_exact_over_batches(spark, tmp_path):
+    samples = queries._view(spark, DATA, "energy_samples").withColumn("ts", F.col("ts").cast("timestamp"))
+    source = str(tmp_path / "in")
+    days = [r.d for r in samples.select(F.to_date("ts").alias("d")).distinct().orderBy("d").collect()]
+    for k in range(0, len(days), 10):
+        samples.filter(F.to_date("ts").isin(days[k : k + 10])).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    out = str(tmp_path / "out")
+    gates.stream_energy(stream, queries.WRAP).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(out).awaitTermination()
+    rows = spark.read.parquet(out)
+    got = {(r.node_id, r.domain): round(r.j, 6) for r in gates.energy_windows(rows).groupBy("node_id", "domain").agg(F.sum("joules").alias("j")).collect()}
+    want = fleet.energy_joules_wrap(samples, queries.WRAP).groupBy("node_id", "domain").agg(F.coalesce(F.sum("joules"), F.lit(0.0)).alias("j")).collect()
+    assert got == {(r.node_id, r.domain): round(r.j, 6) for r in want} and rows.agg(F.sum("late")).first()[0] == 0
+    # Two samples that come after their time are counted and change no sum.
+    late = samples.orderBy("ts").limit(2).withColumn("sample_id", F.lit(-1).cast("long"))
+    late.coalesce(1).write.mode("append").parquet(source)
+    gates.stream_energy(spark.readStream.schema(samples.schema).parquet(source), queries.WRAP).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(out).awaitTermination()
+    again = gates.energy_windows(spark.read.parquet(out)).agg(F.sum("joules").alias("j"), F.sum("late").alias("late")).first()
+    assert again.late == 2 and round(again.j, 4) == round(sum(r.j for r in want), 4)
+
+
+def test_capture_files(spark, tmp_path):
+    files = {"7/2026-01-01T00%3A00%3A00Z/lscpu/-.out": b" CPU(s): 4\n", "7/2026-01-01T00%3A00%3A00Z/lscpu/-.rc": b"0\n", "7/2026-01-01T00%3A00%3A00Z/powercap_name/intel-rapl%3A0.out": b"package-0\xff", "7/2026-01-01T00%3A00%3A00Z/perf_stat/-.err": b"denied", "7/2026-01-01T00%3A00%3A00Z/perf_stat/-.rc": b"255", "7/2026-01-01T00%3A00%3A00Z/numactl/-.out": b"", "7/2026-01-01T00%3A00%3A00Z/numactl/-.rc": b"1", "7/README": b"no capture", "x/2026-01-01/lscpu/-.rc": b"what"}
+    for name, body in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    got = {(r.node_id, r.source, r.item): (r.rc, r.content, r.stderr) for r in reports.read_capture_files(spark, f"file://{tmp_path}").collect()}
+    assert got == {(7, "lscpu", ""): (0, "CPU(s): 4", ""), (7, "powercap_name", "intel-rapl:0"): (0, "package-0\ufffd", ""), (7, "perf_stat", ""): (255, "", "denied"), (7, "numactl", ""): (1, "", ""), (None, "lscpu", ""): (-1, "", "")}
+
+
+def test_comparison_of_reports(spark):
+    rows = [(n, {"x": 1 if n < 4 else 2, "y": {"z": None if n == 5 else "s"}}, [1, 2] if n != 3 else [2, 1]) for n in range(6)]
+    docs = spark.createDataFrame(rows, "node long, a struct<x:int,y:struct<z:string>>, b array<int>").withColumn("b", F.struct(F.col("b").alias("l")))
+    got = sorted((r.node, r.path, r.value, r.majority_value) for r in from_reports.compare_reports(docs, ["a", "b"]).collect())
+    assert got == [(3, "b.l", "[2,1]", "[1,2]"), (4, "a.x", "2", "1"), (5, "a.x", "2", "1"), (5, "a.y.z", "<null>", "s")]
+
+
 @pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("customer", "events"):
+    for t in ("customer", "events", "supplier"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     want = con.sql(oracles.oracle_sql()[name])
     got = queries.queries()[name](spark, DATA)
