@@ -2,22 +2,26 @@
 
 Documents are read once into the numbers of benchmark words (0: any other). TF-IDF weights come from the document frequencies of
 those words over all documents; words in over COMMON of the documents carry no latent weight unless they are among an item's
-RAREST. Passages are windows of 16, 32 and 64 words, each a quarter further on. A window whose weighted benchmark words hold less than NEAR
-squared of its squared weight can't have a cosine of NEAR with any item, as items have benchmark words only: such windows aren't embedded.
+RAREST. Passages are windows of 16, 32 and 64 words, each a quarter further on; a passage's vector holds each word's weight times its count, and
+words outside the benchmark count once each. Items have benchmark words only, so a window whose part of latent words has less than NEAR
+squared of its squared norm can't have a cosine of NEAR with any item: such windows aren't embedded. Norms by counts are worked out for the
+windows that a bound from running sums leaves: the part is at most its sum by occurrence where no latent word repeats, at most the square of
+its summed weights where one does, and the rest is at least its sum by occurrence.
 
 A randomised SVD of the TF-IDF passages (all remaining windows and the items) is found in two distributed passes: the range of
 A'A over a random start, and the small Gram matrix in that range. Partial sums are added in two shuffles, a batch at a time; what reaches the
-driver is bounded by the benchmark's words. Windows and items with a cosine of NEAR or more in the latent space are candidates, without a limit
+driver is bounded by the words of one chunk of items. Windows and items with a cosine of NEAR or more in the latent space are candidates, without a limit
 on their number. Weights grow with the number of documents and a cosine may miss what the last check would accept, so candidates also come from
 exact counts: for items of LEAST words or more, each stretch of twice the item's length, half a length further on, that holds PARAPHRASE of the
 item's words. As a common subsequence is no longer than the words in common, every passage of up to one and a half times the item's
-length that the last check accepts is found.
+length that the last check accepts is found. Stretches of five times the length are looked through likewise if they hold RARE of the item's latent
+words too, so passages of up to four and a half lengths with that many of them, in the item's order, are found as well.
 
 A candidate is reported if the longest common subsequence of the item and the words around the window (or in the stretch) holds SAME of the
 item's words (SAME_SHORT for items under SHORT words), or PARAPHRASE of them and the item's answer (its last sentence) with SAME_SHORT of its
 words. Below SAME_SHORT a subsequence of RARE of the item's latent words is asked for besides: common words alone are no evidence.
 
-Items are taken in chunks of about CHUNK, so what is broadcast is bounded; windows of a text are embedded AT_ONCE at a time, so memory doesn't grow
+Items are taken in chunks of about CHUNK, one after the other, so what the driver holds and broadcasts is bounded; windows of a text are embedded AT_ONCE at a time, so memory doesn't grow
 with the text. Nulls: null texts and items are empty and match nothing; a null doc_id is reported as null. Repeated rows give repeated
 results; items with the same text are reported each. An empty benchmark or empty documents give no rows.
 """
@@ -25,7 +29,7 @@ results; items with the same text are reported each. An empty benchmark or empty
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +52,8 @@ PARAPHRASE = 0.6
 RARE = 0.5
 #: Words of the shortest items that are looked for by counts: shorter ones are anywhere by chance.
 LEAST = 4
+#: Half lengths of an item that a stretch has.
+NARROW, WIDE = 4, 10
 CHUNK = 5_000
 #: Windows that are embedded at once, bytes of a partial sum's rows that move together, and partial sums that are added first.
 AT_ONCE = 1024
@@ -114,36 +120,79 @@ def document_frequencies(found: DataFrame, n_terms: int, kind: str) -> tuple[np.
     return out, int(out[0])
 
 
+def count_norms(terms: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(squared norms, squared norms of the terms with a sign) of windows, a row of terms each: term t has weight[|t|] times its count, term 0
+    counts once for each occurrence, and terms below 0 are those of the part. terms are sorted in place."""
+    terms.sort(axis=1)
+    new = np.ones(terms.shape, bool)
+    new[:, 1:] = terms[:, 1:] != terms[:, :-1]
+    new |= terms == 0
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, terms.size))
+    t = terms.ravel()[first]
+    square = (weight[np.abs(t)] * count) ** 2
+    row = first // terms.shape[1]
+    return np.bincount(row, square, len(terms)), np.bincount(row, np.where(t < 0, square, 0.0), len(terms))
+
+
 class Passages:
     """Windows of a document, with the weights of its words."""
 
     def __init__(self, weight: np.ndarray, latent: np.ndarray, kind: str) -> None:
-        self.squares, self.latent, self.kind = weight.astype(np.float64) ** 2, latent, kind
+        self.weight, self.latent, self.kind = weight.astype(np.float64), latent, kind
+        self.signed = np.where(latent, -1, 1) * np.arange(len(weight))
+
+    def repeats(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Neighbouring places of the same latent word, SIZES[-1] words apart at most."""
+        at = np.flatnonzero(self.latent[ids])
+        order = at[np.argsort(ids[at], kind="stable")]
+        a, b = order[:-1], order[1:]
+        same = (ids[a] == ids[b]) & (b - a < SIZES[-1])
+        return a[same], b[same]
 
     def windows(self, raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray]]:
         """(ids, starts, size, norms) of the windows with enough benchmark weight, at most AT_ONCE at a time."""
         ids = np.frombuffer(raw, self.kind)
-        if not self.latent[ids].any():
+        on = self.latent[ids]
+        if not on.any():
             return
-        square = np.concatenate(([0.0], np.cumsum(self.squares[ids])))
-        mine = np.concatenate(([0.0], np.cumsum(np.where(self.latent[ids], self.squares[ids], 0.0))))
+        own = self.weight[ids]
+        sums = lambda x: np.concatenate(([0.0], np.cumsum(x)))
+        plain, squares, rest = sums(np.where(on, own, 0.0)), sums(np.where(on, own**2, 0.0)), sums(np.where(on, 0.0, own**2))
+        first, again = self.repeats(ids)
         for size in SIZES:
             if size > SIZES[0] and len(ids) <= SIZES[SIZES.index(size) - 1]:
                 return
             last = max(0, len(ids) - size)
             starts = np.unique(np.append(np.arange(0, last + 1, size // 4), last))
             ends = np.minimum(starts + size, len(ids))
-            whole, part = square[ends] - square[starts], mine[ends] - mine[starts]
-            keep = np.flatnonzero((part >= NEAR**2 * whole) & (part > 0))
+            part = squares[ends] - squares[starts]
+            if len(first):
+                # A window from low to high holds both places.
+                low, high = np.searchsorted(starts, again - size, "right"), np.searchsorted(starts, first, "right")
+                held = high > low
+                change = np.zeros(len(starts) + 1, np.int64)
+                np.add.at(change, low[held], 1)
+                np.add.at(change, high[held], -1)
+                part = np.where(np.cumsum(change)[:-1] > 0, (plain[ends] - plain[starts]) ** 2, part)
+            keep = np.flatnonzero((part * (1 - NEAR**2) >= NEAR**2 * (rest[ends] - rest[starts]) * (1 - 1e-9)) & (part > 1e-9))
             for k in range(0, len(keep), AT_ONCE):
                 some = keep[k : k + AT_ONCE]
-                yield ids, starts[some], size, np.sqrt(whole[some])
+                terms = self.signed[_terms(ids, starts[some], size)]
+                whole, part_of = count_norms(terms, self.weight)
+                # Places beyond a short document's end count for nothing.
+                whole -= (starts[some] + size - ends[some]) * self.weight[0] ** 2
+                near = part_of >= NEAR**2 * whole * (1 - 1e-9)
+                if near.any():
+                    yield ids, starts[some[near]], size, np.sqrt(whole[near])
 
 
 class Stretches:
-    """Items by their words, to find the stretches of a document that hold PARAPHRASE of an item's words."""
+    """Items by their words, to find the stretches of a document that hold PARAPHRASE of an item's words: those of twice the item's length, and those of
+    five times, which must hold RARE of its latent words besides."""
 
-    def __init__(self, items: list[np.ndarray], terms: int) -> None:
+    def __init__(self, items: list[np.ndarray], terms: int, latent: np.ndarray) -> None:
+        self.latent = latent
         self.own = [np.unique(i, return_counts=True) for i in items]
         self.length = np.array([len(i) for i in items], np.int64)
         self.need = np.where(self.length >= LEAST, np.ceil(PARAPHRASE * self.length - 1e-9), np.inf)
@@ -154,8 +203,8 @@ class Stretches:
         self.edge = np.searchsorted(term[order], np.arange(terms + 1))
         self.place = np.full(terms, -1, np.int64)
 
-    def within(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, low, high): all stretches with enough of an item's words."""
+    def within(self, ids: np.ndarray) -> Iterator[tuple[int, int, int, bool]]:
+        """(item, low, high, wide): all stretches with enough of an item's words, the short ones of an item first."""
         own = np.unique(ids).astype(np.int64)
         own = own[own > 0]
         begin, n = self.edge[own], self.edge[own + 1] - self.edge[own]
@@ -169,10 +218,16 @@ class Stretches:
             self.place[terms] = -1
             at = np.flatnonzero(place >= 0)
             cells = len(ids) // step + 1
-            count = np.bincount(at // step * len(terms) + place[at], minlength=(cells + 3) * len(terms)).reshape(cells + 3, len(terms))
-            both = np.minimum(count[:-3] + count[1:-2] + count[2:-1] + count[3:], times).sum(axis=1)
-            for k in np.flatnonzero(both >= self.need[i]).tolist():
-                yield i, k * step, (k + 4) * step
+            count = np.bincount(at // step * len(terms) + place[at], minlength=(cells + WIDE) * len(terms)).reshape(cells + WIDE, len(terms))
+            sums = np.concatenate((np.zeros((1, len(terms)), np.int64), np.cumsum(count, axis=0)))
+            rare = self.latent[terms]
+            for n, wide in ((NARROW, False), (WIDE, True)):
+                both = np.minimum(sums[n : n + cells] - sums[:cells], times)
+                good = both.sum(axis=1) >= self.need[i]
+                if wide:
+                    good &= both[:, rare].sum(axis=1) >= RARE * times[rare].sum()
+                for k in np.flatnonzero(good).tolist():
+                    yield i, k * step, (k + n) * step, wide
 
 
 def _terms(ids: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
@@ -182,9 +237,13 @@ def _terms(ids: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
 
 
 def _summed(found: DataFrame, part, rows: int, columns: int) -> np.ndarray:
-    """The sum over all tasks of matrices (rows x columns) that `part` makes. Blocks of rows that a task has are added for FAN
-    groups of tasks first, then in all; a group is read batch by batch."""
+    """The sum over all tasks of matrices (rows x columns) that `part` makes. The rows that a task has are sent as they are, in blocks, and
+    added for FAN groups of tasks first, then in all; a group is read batch by batch."""
     step = max(1, SUM_BYTES // (4 * columns))
+    names = ["k", "fan", "rows", "m"]
+
+    def sent(k: int, fan: int, at: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([fan], pa.int32()), pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((rows, columns), np.float32)
@@ -192,23 +251,29 @@ def _summed(found: DataFrame, part, rows: int, columns: int) -> np.ndarray:
             part(total, batch.column("ids").to_pylist())
         fan = TaskContext.get().partitionId() % FAN
         for k in range(0, rows, step):
-            if total[k : k + step].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([fan], pa.int32()), pa.array([total[k : k + step].astype(np.float64).tobytes()], pa.binary())], ["k", "fan", "m"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = k = fan = None
-        for batch in batches:
-            for r in batch.to_pylist():
-                m = np.frombuffer(r["m"], np.float64)
-                total, k, fan = m.copy() if total is None else total + m, r["k"], r["fan"]
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([fan], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["k", "fan", "m"])
-
-    kind = "k long, fan int, m binary"
-    sums = found.select("ids").mapInArrow(run, kind).groupBy("k", "fan").applyInArrow(add, kind).groupBy("k").applyInArrow(add, kind)
+            at = np.flatnonzero(total[k : k + step].any(axis=1))
+            if len(at):
+                yield sent(k, fan, at, total[k : k + step][at])
+
+    def added(kind: type) -> Callable:
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, k, fan = np.zeros((step, columns)), None, None
+            for batch in batches:
+                for r in batch.to_pylist():
+                    at = np.frombuffer(r["rows"], "<i4")
+                    total[at] += np.frombuffer(r["m"], kind).reshape(len(at), columns)
+                    k, fan = r["k"], r["fan"]
+            at = np.flatnonzero(total.any(axis=1))
+            yield sent(k, fan, at, total[at])
+
+        return add
+
+    kind = "k long, fan int, rows binary, m binary"
+    sums = found.select("ids").mapInArrow(run, kind).groupBy("k", "fan").applyInArrow(added(np.float32), kind).groupBy("k").applyInArrow(added(np.float64), kind)
     out = np.zeros((rows, columns))
     for r in sums.collect():
-        m = np.frombuffer(r.m, np.float64).reshape(-1, columns)
-        out[r.k : r.k + len(m)] = m
+        at = np.frombuffer(r.rows, "<i4")
+        out[r.k + at] = np.frombuffer(r.m, np.float64).reshape(len(at), columns)
     return out
 
 
@@ -259,32 +324,43 @@ def latent_basis(found: DataFrame, passages: Passages, weight: np.ndarray, items
 PAIRS = "doc_id long, item_id long, cosine double, lcs_share double, answer boolean"
 
 
-def item_chunks(benchmark: DataFrame) -> list[list]:
+def item_chunks(benchmark: DataFrame) -> Iterator[tuple[list, bool]]:
+    """(about CHUNK items, whether they are the last), one chunk at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     items = stored(items.withColumn("row", F.monotonically_increasing_id()))
     chunks = -(-items.count() // CHUNK)
-    return [items.filter(F.pmod(F.xxhash64("row"), F.lit(chunks)) == k).orderBy("item_id", "text").collect() for k in range(chunks)]  # about CHUNK items each
+    for k in range(chunks):
+        yield items.filter(F.pmod(F.xxhash64("row"), F.lit(chunks)) == k).orderBy("item_id", "text").collect(), k == chunks - 1  # about CHUNK items
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
     """(doc_id, item_id, cosine, lcs_share, answer): each document and benchmark item that it holds, once for each row."""
     out = docs.sparkSession.createDataFrame([], PAIRS)
-    for rows in item_chunks(benchmark):
+    for rows, last in item_chunks(benchmark):
         found, judged = _judge(docs, rows, rank)
         if judged is not None:
-            out = out.unionByName(found.mapInArrow(_pairs(judged), PAIRS))
+            pairs = found.mapInArrow(_pairs(judged), PAIRS)
+            out = out.unionByName(pairs if last else _told(pairs, judged))
     return out
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
     """The rows of docs, with all columns, that hold no benchmark item. Rows are judged where they are read, whatever their doc_id."""
-    for rows in item_chunks(benchmark):
+    for rows, last in item_chunks(benchmark):
         _, judged = _judge(docs, rows, rank)
         if judged is not None:
-            docs = docs.mapInArrow(_kept(judged), docs.schema)
+            kept = docs.mapInArrow(_kept(judged), docs.schema)
+            docs = kept if last else _told(kept, judged)
     return docs
 
 
+def _told(result: DataFrame, judged: Broadcast) -> DataFrame:
+    """A chunk's result as a table, after which its judge is given up."""
+    result = stored(result)
+    judged.destroy()
+    return result
+
+
 def _pairs(judged: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = judged.value
@@ -316,12 +392,12 @@ class Judge:
         self.points = points / np.maximum(np.linalg.norm(points, axis=1), 1e-12)[:, None]
         self.point_of = {int(i): p for p, i in enumerate(self.where)}
         self.rare = [own[passages.latent[own]] for own in items]
-        self.stretches = Stretches(items, terms)
+        self.stretches = Stretches(items, terms, passages.latent)
 
     def numbers(self, text: bytes) -> bytes:
         return np.array([self.vocabulary.get(w, 0) for w in words_of(text)], self.passages.kind).tobytes()
 
-    def check(self, best: dict, i: int, around: np.ndarray, cosine: float) -> None:
+    def check(self, best: dict, i: int, around: np.ndarray, cosine: float, wide: bool = False) -> None:
         share = common_subsequence(self.items[i], around) / len(self.items[i])
         if share < PARAPHRASE:
             return
@@ -329,6 +405,7 @@ class Judge:
         if share < SAME_SHORT:
             if not answer and (share < SAME or len(self.items[i]) < SHORT):
                 return
+        if share < SAME_SHORT or wide:
             rare, latent = self.rare[i], self.passages.latent
             if common_subsequence(rare, around[latent[around]]) < RARE * len(rare):
                 return
@@ -337,7 +414,6 @@ class Judge:
     def hits(self, raw: bytes) -> list[tuple]:
         """(item_id, cosine, lcs_share, answer) of each item that a document's numbers hold."""
         best: dict[int, tuple[float, float, bool]] = {}
-        tried: set[tuple[int, int]] = set()
         for ids, at, size, norm in self.passages.windows(raw):
             z = self.embed[_terms(ids, at, size)].sum(axis=1) / norm[:, None]
             cosine = z @ self.points.T
@@ -346,15 +422,13 @@ class Judge:
                 n = len(self.items[i])
                 # The item, laid anywhere over the window's middle, lies in these words.
                 low, high = max(0, int(at[w]) - n), int(at[w]) + size + n
-                if (i, low // 16) in tried and i in best:
-                    continue
-                tried.add((i, low // 16))
-                self.check(best, i, ids[low:high], float(cosine[w, p]))
+                if best.get(i, (0.0,))[0] < 1:
+                    self.check(best, i, ids[low:high], float(cosine[w, p]))
         ids = np.frombuffer(raw, self.passages.kind)
-        for i, low, high in self.stretches.within(ids):
-            if best.get(i, (0.0,))[0] < 1:
+        for i, low, high, wide in self.stretches.within(ids):
+            if best.get(i, (0.0,))[0] < (SAME_SHORT if wide else 1):
                 z = self.embed[ids[low:high]].sum(axis=0)
-                self.check(best, i, ids[low:high], float(z @ self.points[self.point_of[i]] / max(float(np.linalg.norm(z)), 1e-12)))
+                self.check(best, i, ids[low:high], float(z @ self.points[self.point_of[i]] / max(float(np.linalg.norm(z)), 1e-12)), wide)
         return [(self.item_ids[i], c, s, a) for i, (s, c, a) in sorted(best.items())]
 
 
