@@ -43,7 +43,7 @@ def _boilerplate(r: random.Random) -> str:
 def _article(r: random.Random) -> str:
     parts = [r.choice((f"<h1>{_text(r, 3, 9, '')}</h1>", ""))]
     for _ in range(r.randint(1, 9)):
-        parts.append(r.choice([f"<p>{_text(r, 1, 120)}</p>"] * 8 + [f"<h2>{_text(r, 2, 6, '')}</h2>", f"<blockquote>{_text(r, 8, 30)}</blockquote>", f"<ul><li>{_text(r, 2, 12)}</li><li>{_text(r, 2, 12)}</li></ul>", f"<pre>{_text(r, 4, 20, '')}</pre>", f"<table><tr><td>{_text(r, 1, 3, '')}</td><td>{_text(r, 1, 3, '')}</td></tr></table>", f"<div>{_text(r, 10, 60)}</div>", _boilerplate(r)]))
+        parts.append(r.choice([f"<p>{_text(r, 1, 120)}</p>"] * 8 + [f"<h2>{_text(r, 2, 6, '')}</h2>", f"<blockquote>{_text(r, 8, 30)}</blockquote>", f"<ul><li>{_text(r, 2, 12)}</li><li>{_text(r, 2, 12)}</li></ul>", f"<pre>{_text(r, 4, 20, '')}</pre>", f"<table><tr><td>{_text(r, 1, 3, '')}</td><td>{_text(r, 1, 3, '')}</td></tr></table>", f"<div>{_text(r, 10, 60)}</div>", f'<p>{_text(r, 1, 3, "")} <a href="/more">{_text(r, 2, 12, "")}</a>{r.choice(("", ".", " " + _text(r, 1, 3)))}</p>', _boilerplate(r)]))
     body = "".join(parts)
     name = r.choice(("class", "id"))
     return r.choice([f'<article data-l="c">{body}</article>'] * 3 + [f'<main data-l="c">{body}</main>', f'<div data-l="c" {name}="{r.choice(("content", "article", "post", "entry-content", "story", "main", "post-body", "text"))}">{body}</div>', f'<main><article data-l="c">{body}</article></main>', f'<section data-l="c" {name}="article-body">{body}</section>'])

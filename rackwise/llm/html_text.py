@@ -5,7 +5,7 @@ what is seen there (tag; words of class, id and role; a block's length, links an
 child. Both are smoothed frequencies counted on labelled pages. Sum-product messages go up from the leaves and down from the root once; blocks
 of text whose marginal of content is at least one half are the page's text.
 
-<head> and </head> may be left out: neither makes a node. Scripts, styles, titles and text areas without an end run to the end of the page, as in browsers;
+Every character of a page is read a bounded number of times, however its markup is broken. <head> and </head> may be left out: neither makes a node. Scripts, styles, titles and text areas without an end run to the end of the page, as in browsers;
 other silent elements without an end, or closed in themselves, are only a tag.
 
 Inline tags and <br> don't end a block; white space inside a block becomes one space; blocks are joined by one line break. Scripts,
@@ -43,9 +43,13 @@ FOR = frozenset("article body content entry main post story text".split())
 
 #: Attributes as browsers read them: a value in quotes, or one without that may hold quotes; a stray quote is the name of another attribute.
 ATTRIBUTES = r"""(?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?+)?+|=)*+"""
-TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)({ATTRIBUTES})>|<()({'|'.join(sorted(SILENT))})(?=[\s/>])([^>]*)>", re.S | re.I)
+BEGIN = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+TAG = re.compile(rf"({ATTRIBUTES})>", re.S)
+COMMENT = re.compile(r"--!?>")
 ALONE = re.compile(r"""(?:^|[\s"'])/$""")
 END = {t: re.compile(rf"</{t}\s*>", re.I) for t in SILENT}
+#: Silent elements that may hold their like.
+NESTED = {t: re.compile(rf"<(/?){t}(?=[\s/>])[^>]*>", re.I) for t in ("template", "svg")}
 NAMED = re.compile(r"""(?<![\w-])(class|id|role|data-l)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 PART = re.compile(r"[a-z]+")
 
@@ -77,8 +81,50 @@ def _names(attributes: str) -> tuple[str, str]:
     return "names=" + ("against" if against else "for" if pro else "other" if words else "none"), mark
 
 
+class Tokens:
+    """Tags of a page, (start, end, closing, tag, attributes), the rest is text; comments and declarations are tokens without a tag. A tag whose end can't be told
+    by its quotes ends at the next sign of one, and so do all after it: then the quotes have been read to the end of the page once, and
+    every character is read a bounded number of times. A sign of a tag behind the page's last > is text."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last, self.plain = page, page.rfind(">"), False
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        page = self.page
+        m = BEGIN.search(page, at)
+        if not m or m.start() > self.last and not m[1]:
+            return None
+        if m[1]:
+            if page.startswith((">", "->"), m.end()):  # an empty comment
+                return m.start(), page.index(">", m.end()) + 1, "", "", ""
+            end = COMMENT.search(page, m.end())
+            return m.start(), end.end() if end else len(page), "", "", ""
+        if not m[3]:
+            return m.start(), page.index(">", m.end()) + 1, "", "", ""
+        found = None if self.plain else TAG.match(page, m.end())
+        if found:
+            return m.start(), found.end(), m[2], m[3], found[1]
+        self.plain = True
+        end = page.find(">", m.end())
+        return (m.start(), end + 1, m[2], m[3], page[m.end() : end]) if end >= 0 else None
+
+    def silent_end(self, tag: str, at: int) -> int:
+        """Where a silent element's content ends, its end tag included; -1 without one."""
+        if tag not in NESTED:
+            m = END[tag].search(self.page, at)
+            return m.end() if m else -1
+        depth = 1
+        for m in NESTED[tag].finditer(self.page, at):
+            depth += -1 if m[1] else not m[0].endswith("/>")
+            if not depth:
+                return m.end()
+        return -1
+
+
 def parse(page: str) -> Tree:
     tree, open_tags, at = Tree(), [("#root", 0)], 0
+    places: dict[str, list[int]] = {}
+    tokens = Tokens(page)
     run: list[str] = []
     linked = total = in_link = 0
 
@@ -100,23 +146,23 @@ def parse(page: str) -> Tree:
         if in_link:
             linked += len(s)
 
-    def close(names: str | tuple, within: tuple = ()) -> None:
+    def close(names: tuple, within: tuple = ()) -> None:
         """Closes up to the innermost open tag of these names, unless one of `within` lies further in."""
-        for k in range(len(open_tags) - 1, 0, -1):
-            if open_tags[k][0] in names:
-                end_block()
-                del open_tags[k:]
-                return
-            if open_tags[k][0] in within:
-                return
+        innermost = lambda of: max((places[t][-1] for t in of if places.get(t)), default=0)
+        k = innermost(names)
+        if k and k >= innermost(within):
+            end_block()
+            for t, _ in open_tags[k:]:
+                places[t].pop()
+            del open_tags[k:]
 
     unclosed: set[str] = set()
     in_head = False
-    while m := TOKEN.search(page, at):
-        if m.start() > at:
-            put(page[at : m.start()])
-        at = m.end()
-        ends, tag, attributes = m.groups()[:3] if m[2] else m.groups()[3:]
+    while token := tokens.next(at):
+        start, end, ends, tag, attributes = token
+        if start > at:
+            put(page[at:start])
+        at = end
         if not tag:
             continue
         tag = tag.lower()
@@ -125,9 +171,9 @@ def parse(page: str) -> Tree:
             alone = ALONE.search(attributes) is not None
             if ends or alone and tag not in TO_THE_END:
                 continue
-            end = None if tag in unclosed else END[tag].search(page, at)
-            if end:
-                at = end.end()
+            end = -1 if tag in unclosed else tokens.silent_end(tag, at)
+            if end >= 0:
+                at = end
             elif tag in TO_THE_END and not alone:
                 at = len(page)
             else:
@@ -146,7 +192,7 @@ def parse(page: str) -> Tree:
                 run.append(" ")
             continue
         if ends:
-            if tag == "p" and not any(t == "p" for t, _ in open_tags):
+            if tag == "p" and not places.get("p"):
                 end_block()
             close((tag,))
             in_link = 0
@@ -163,6 +209,7 @@ def parse(page: str) -> Tree:
         names, mark = _names(attributes) if attributes else ("names=none", "")
         node = tree.add(open_tags[-1][1], ("tag=" + tag, names), mark)
         if tag not in VOID and not ALONE.search(attributes):
+            places.setdefault(tag, []).append(len(open_tags))
             open_tags.append((tag, node))
     if at < len(page):
         put(page[at:])

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -527,3 +528,22 @@ def test_quality_base_columns_and_outliers(spark):
         want = (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)))
         assert (by[i].n_words, by[i].word_chars, by[i].n_symbols, by[i].n_dup_lines) == want, i
     assert not any(by[150 + k].kept for k in range(6)) and sum(by[k].kept for k in range(150)) >= 148
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<b x='" * 170_000, '<a x=">"' * 130_000, "<!" * 500_000, "<!--" * 250_000, "<div>" * 100_000 + "</x>" * 100_000, "<p><div>" + "<x>" * 100_000 + "<h2>" * 100_000, "<template>" * 100_000, "<td>" * 150_000, "<script " * 120_000])
+def test_html_reads_broken_pages_once(page):
+    began = time.process_time()
+    html_text.parse(page)
+    assert time.process_time() - began < 6
+
+
+def test_html_comments_templates_and_links():
+    text = html_text.Model(sum(map(html_text.evidence_counts, labelled_pages()), Counter())).text
+    body = "<p>The old river town kept its market by the road for many years, and people came.</p>"
+    assert text(f"<article>{body}<!-- x --!>{body}</article>").count("river") == 2
+    assert text(f"<article><!-->{body}<!--->{body}</article>").count("river") == 2
+    assert "inner" not in text(f"<article>{body}<template>inner <template>inner</template> inner</template></article>")
+    assert text(f"<article>{body}<p>See <a href=x>this page</a></p>{body}</article>").split("\n")[1] == "See this page"
+    assert text(f"<article>{body}<p>Read <a href=x>all about the winter market</a>.</p></article>").endswith("all about the winter market.")
+    menu = "<ul>" + "".join(f"<li><a href=/{k}>Winter {k}</a></li>" for k in range(6)) + "</ul>"
+    assert "Winter" not in text(f"<body><nav>{menu}</nav><article>{body}</article><div class=menu>{menu}</div><footer>{menu}</footer></body>")
