@@ -263,12 +263,16 @@ def test_toxicity_by_brute_force(spark):
     split = lambda t: Counter((t or "").encode().translate(toxicity.FOLD).split())
     voc = sorted({w for i in ids for w in split(text[i])})
     df, n, y = Counter(w for _, t, _ in rows for w in split(t)), len(rows), np.array([label[i] for i in ids])
-    weight = {}
-    for w in voc:
-        has = np.array([w in split(text[i]) for i in ids])
-        p = (has[y == 1].sum() + y.mean()) / (has.sum() + 1)
-        low = min(1 - 1e-9, max(1e-9, p - 2 * np.sqrt(p * (1 - p) / (has.sum() + 1))))
-        weight[w] = (np.log((1 + n) / (1 + df[w])) + 1) * (1 + 3 * max(0, np.log(low / (1 - low)) - np.log(y.mean() / (1 - y.mean()))))
+    has = {w: np.array([w in split(text[i]) for i in ids]) for w in voc}
+
+    def weight_of(w, but=None):
+        rest = np.arange(len(ids)) != but
+        held, bad, share = has[w][rest].sum(), has[w][rest & (y == 1)].sum(), y[rest].mean()
+        p = (bad + share) / (held + 1)
+        low = min(1 - 1e-9, max(1e-9, p - 2 * np.sqrt(p * (1 - p) / (held + 1))))
+        return (np.log((1 + n) / (1 + df[w])) + 1) * (1 + 3 * max(0, np.log(low / (1 - low)) - np.log(share / (1 - share))))
+
+    weight = {w: weight_of(w) for w in voc}
 
     def unit(t):
         v = np.array([(1 + np.log(c)) * weight[w] if (c := split(t).get(w)) else 0 for w in voc])
@@ -277,7 +281,11 @@ def test_toxicity_by_brute_force(spark):
     dense = np.array([unit(text[i]) for i in ids])
 
     def near(t, but=None):
-        cosine = dense @ unit(t)
+        q = unit(t)
+        if but is not None:
+            times = np.array([weight_of(w, ids.index(but)) / weight[w] if w in split(t) else 1.0 for w in voc])
+            q = q * times / (np.linalg.norm(q * times) or 1) * times
+        cosine = dense @ q
         best = [k for k in np.argsort(-cosine, kind="stable") if ids[k] != but and cosine[k] > 1e-9][:15]
         return (cosine[best] ** 2 * y[best]).sum(), (cosine[best] ** 2).sum(), cosine[best].max(initial=0)
 
@@ -297,6 +305,22 @@ def test_toxicity_by_brute_force(spark):
     assert len(held_rows) > 100 and sum(r.predicted == y_of[r.doc_id] for r in held_rows) >= 0.95 * len(held_rows)
 
 
+def test_toxicity_scores_are_shares(spark):
+    """Held-out rows of sf0.1: of those with scores in a tenth, about so many are toxic; most toxic rows are found, few clean ones flagged."""
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [(r.score, labels[r.doc_id]) for r in toxicity.op6_toxicity(spark, sf).filter("held_out").collect() if labels.get(r.doc_id) is not None]
+    toxic, clean = [s for s, y in rows if y], [s for s, y in rows if not y]
+    found, flagged = sum(s >= 0.7 for s in toxic), sum(s >= 0.7 for s in clean)
+    print("found", found, "of", len(toxic), "flagged", flagged, "of", len(clean))
+    assert found >= 0.88 * len(toxic) and flagged <= 0.005 * len(clean)
+    for k in range(10):
+        tenth = [(s, y) for s, y in rows if k / 10 <= s < (k + 1) / 10 + (k == 9)]
+        if len(tenth) >= 20:
+            print(k, len(tenth), sum(s for s, _ in tenth) / len(tenth), sum(y for _, y in tenth) / len(tenth))
+            assert abs(sum(s - y for s, y in tenth)) / len(tenth) < 0.15
+
+
 def test_toxicity_of_nothing(spark, none):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(12)], "doc_id long, quality int, toxic int")
     some = spark.createDataFrame(ROWS, SCHEMA)
