@@ -157,35 +157,65 @@ class Passages:
         if not on.any():
             return
         own = self.weight[ids]
+        square = own * own
         sums = lambda x: np.concatenate(([0.0], np.cumsum(x)))
-        plain, squares, rest = sums(np.where(on, own, 0.0)), sums(np.where(on, own**2, 0.0)), sums(np.where(on, 0.0, own**2))
+        parts, squares = sums(square * on), sums(square)
         first, again = self.repeats(ids)
+        plain = sums(own * on) if len(first) else None
         for size in SIZES:
             if size > SIZES[0] and len(ids) <= SIZES[SIZES.index(size) - 1]:
                 return
             last = max(0, len(ids) - size)
-            starts = np.unique(np.append(np.arange(0, last + 1, size // 4), last))
+            starts = np.arange(0, last + 1, size // 4)
+            if starts[-1] != last:
+                starts = np.append(starts, last)
             ends = np.minimum(starts + size, len(ids))
-            part = squares[ends] - squares[starts]
-            if len(first):
+            part = parts[ends] - parts[starts]
+            rest = squares[ends] - squares[starts] - part
+            if plain is not None:
                 # A window from low to high holds both places.
                 low, high = np.searchsorted(starts, again - size, "right"), np.searchsorted(starts, first, "right")
                 held = high > low
-                change = np.zeros(len(starts) + 1, np.int64)
-                np.add.at(change, low[held], 1)
-                np.add.at(change, high[held], -1)
+                change = np.bincount(low[held], minlength=len(starts) + 1) - np.bincount(high[held], minlength=len(starts) + 1)
                 part = np.where(np.cumsum(change)[:-1] > 0, (plain[ends] - plain[starts]) ** 2, part)
-            keep = np.flatnonzero((part * (1 - NEAR**2) >= NEAR**2 * (rest[ends] - rest[starts]) * (1 - 1e-9)) & (part > 1e-9))
+            keep = np.flatnonzero((part * (1 - NEAR**2) >= NEAR**2 * rest * (1 - 1e-9)) & (part > 1e-9))
             for k in range(0, len(keep), AT_ONCE):
                 some = keep[k : k + AT_ONCE]
-                terms = self.signed[_terms(ids, starts[some], size)]
-                whole, part_of = count_norms(terms, self.weight)
+                whole, part_of = count_norms(self.signed[_terms(ids, starts[some], size)], self.weight)
                 # Places beyond a short document's end count for nothing.
                 whole -= (starts[some] + size - ends[some]) * self.weight[0] ** 2
                 near = part_of >= NEAR**2 * whole * (1 - 1e-9)
                 if near.any():
                     yield ids, starts[some[near]], size, np.sqrt(whole[near])
 
+    def listed(self, raw: bytes) -> tuple[bytes, bytes, bytes]:
+        """The windows as bytes: starts, sizes, norms; for stored()."""
+        found = [(at, np.full(len(at), size, np.int32), norm) for _, at, size, norm in self.windows(raw)]
+        return tuple(np.concatenate(x).astype(t).tobytes() if found else b"" for x, t in zip(zip(*found) if found else [()] * 3, ("<i4", "<i4", "<f8")))
+
+    def stored(self, row: dict) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray]]:
+        """The windows of a row (ids, at, size, norm) that listed() made, as windows() gives them."""
+        at, size, norm = np.frombuffer(row["at"], "<i4"), np.frombuffer(row["size"], "<i4"), np.frombuffer(row["norm"], "<f8")
+        if len(at):
+            ids = np.frombuffer(row["ids"], self.kind)
+            for n in SIZES:
+                own = np.flatnonzero(size == n)
+                for k in range(0, len(own), AT_ONCE):
+                    some = own[k : k + AT_ONCE]
+                    yield ids, at[some].astype(np.int64), n, norm[some]
+
+
+def windowed(found: DataFrame, passages: Passages) -> DataFrame:
+    """found(doc_id, ids) with the windows that are near enough to be embedded: worked out once, read by every later pass."""
+    sent = found.sparkSession.sparkContext.broadcast(passages)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [sent.value.listed(raw or b"") for raw in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), *(pa.array([m[k] for m in made], pa.binary()) for k in range(3))], ["doc_id", "ids", "at", "size", "norm"])
+
+    return found.mapInArrow(run, "doc_id long, ids binary, at binary, size binary, norm binary")
+
 
 class Stretches:
     """Items by their words, to find the stretches of a document that hold PARAPHRASE of an item's words: those of twice the item's length, and those of
@@ -200,6 +230,8 @@ class Stretches:
         order = np.argsort(term, kind="stable")
         self.item = np.repeat(np.arange(len(items)), [len(t) for t, _ in self.own])[order]
         self.times = np.concatenate([n for _, n in self.own])[order]
+        self.rare_times = np.where(latent[term[order]], self.times, 0)
+        self.rare_need = RARE * np.bincount(self.item, self.rare_times, minlength=len(items))
         self.edge = np.searchsorted(term[order], np.arange(terms + 1))
         self.place = np.full(terms, -1, np.int64)
 
@@ -210,6 +242,7 @@ class Stretches:
         begin, n = self.edge[own], self.edge[own + 1] - self.edge[own]
         at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         held = np.bincount(self.item[at], self.times[at], minlength=len(self.need))
+        rare_held = np.bincount(self.item[at], self.rare_times[at], minlength=len(self.need))
         for i in np.flatnonzero(held >= self.need).tolist():
             terms, times = self.own[i]
             step = -(-int(self.length[i]) // 2)
@@ -221,7 +254,7 @@ class Stretches:
             count = np.bincount(at // step * len(terms) + place[at], minlength=(cells + WIDE) * len(terms)).reshape(cells + WIDE, len(terms))
             sums = np.concatenate((np.zeros((1, len(terms)), np.int64), np.cumsum(count, axis=0)))
             rare = self.latent[terms]
-            for n, wide in ((NARROW, False), (WIDE, True)):
+            for n, wide in ((NARROW, False), (WIDE, True))[: 1 + (rare_held[i] >= self.rare_need[i])]:
                 both = np.minimum(sums[n : n + cells] - sums[:cells], times)
                 good = both.sum(axis=1) >= self.need[i]
                 if wide:
@@ -248,7 +281,7 @@ def _summed(found: DataFrame, part, rows: int, columns: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((rows, columns), np.float32)
         for batch in batches:
-            part(total, batch.column("ids").to_pylist())
+            part(total, batch.to_pylist())
         fan = TaskContext.get().partitionId() % FAN
         for k in range(0, rows, step):
             at = np.flatnonzero(total[k : k + step].any(axis=1))
@@ -269,7 +302,7 @@ def _summed(found: DataFrame, part, rows: int, columns: int) -> np.ndarray:
         return add
 
     kind = "k long, fan int, rows binary, m binary"
-    sums = found.select("ids").mapInArrow(run, kind).groupBy("k", "fan").applyInArrow(added(np.float32), kind).groupBy("k").applyInArrow(added(np.float64), kind)
+    sums = found.select("ids", "at", "size", "norm").filter(F.length("at") > 0).mapInArrow(run, kind).groupBy("k", "fan").applyInArrow(added(np.float32), kind).groupBy("k").applyInArrow(added(np.float64), kind)
     out = np.zeros((rows, columns))
     for r in sums.collect():
         at = np.frombuffer(r.rows, "<i4")
@@ -289,8 +322,8 @@ def latent_basis(found: DataFrame, passages: Passages, weight: np.ndarray, items
     def ranged(total: np.ndarray, rows: list) -> None:
         passages, latent, start = sent.value
         weighted = start * latent[:, None]
-        for raw in rows:
-            for ids, at, size, norm in passages.windows(raw or b""):
+        for row in rows:
+            for ids, at, size, norm in passages.stored(row):
                 held = _terms(ids, at, size)
                 y = weighted[held].sum(axis=1) / norm[:, None]
                 row, column = np.nonzero(passages.latent[held])
@@ -309,8 +342,8 @@ def latent_basis(found: DataFrame, passages: Passages, weight: np.ndarray, items
 
     def gram(total: np.ndarray, rows: list) -> None:
         passages, q = sent_q.value
-        for raw in rows:
-            for ids, at, size, norm in passages.windows(raw or b""):
+        for row in rows:
+            for ids, at, size, norm in passages.stored(row):
                 y = q[_terms(ids, at, size)].sum(axis=1) / norm[:, None]
                 total += y.T @ y
 
@@ -365,7 +398,7 @@ def _pairs(judged: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = judged.value
         for batch in batches:
-            hits = [(doc, *hit) for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()) for hit in judge.hits(raw or b"")]
+            hits = [(row["doc_id"], *hit) for row in batch.to_pylist() for hit in judge.hits(row["ids"] or b"", judge.passages.stored(row))]
             names = [c.split()[0] for c in PAIRS.split(", ")]
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in hits], t) for k, t in enumerate(kinds)], names)
@@ -377,7 +410,7 @@ def _kept(judged: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = judged.value
         for part, texts in blocks(batches):
-            yield part.filter(pa.array([not judge.hits(judge.numbers(t or b"")) for t in texts], pa.bool_()))
+            yield part.filter(pa.array([not judge.hits(raw, judge.passages.windows(raw)) for raw in (judge.numbers(t or b"") for t in texts)], pa.bool_()))
 
     return run
 
@@ -411,10 +444,10 @@ class Judge:
                 return
         best[i] = max(best.get(i, (0.0, 0.0, False)), (share, cosine, bool(answer)))
 
-    def hits(self, raw: bytes) -> list[tuple]:
-        """(item_id, cosine, lcs_share, answer) of each item that a document's numbers hold."""
+    def hits(self, raw: bytes, windows: Iterator) -> list[tuple]:
+        """(item_id, cosine, lcs_share, answer) of each item that a document's numbers hold; windows: its passages."""
         best: dict[int, tuple[float, float, bool]] = {}
-        for ids, at, size, norm in self.passages.windows(raw):
+        for ids, at, size, norm in windows:
             z = self.embed[_terms(ids, at, size)].sum(axis=1) / norm[:, None]
             cosine = z @ self.points.T
             for w, p in zip(*np.nonzero(cosine >= NEAR)):
@@ -450,6 +483,7 @@ def _judge(docs: DataFrame, rows: list, rank: int) -> tuple[DataFrame | None, Br
         latent[sorted(set(own.tolist()), key=lambda t: (df[t], t))[:RAREST]] = True
     latent[0] = False
     passages = Passages(weight, latent, kind)
+    found = stored(windowed(found, passages))
     basis = latent_basis(found, passages, weight, ids, rank)
     embed = (basis * np.where(latent, weight, 0.0)[:, None]).astype(np.float32)
     return found, docs.sparkSession.sparkContext.broadcast(Judge(vocabulary, passages, embed, ids, answers, [r.item_id for r in rows], len(weight)))
