@@ -2,14 +2,15 @@
 
 Each text gets a vector of transformed statistics. Per group, the minimum-covariance-determinant estimate is sought from
 several starts (all rows, and small hashed subsets): each concentration step takes the share H of rows with the least
-Mahalanobis distances, in bins of the distance's logarithm, and estimates mean and covariance from them; the start with
-the least determinant is kept, reweighted, and rows beyond a chi-squared cutoff are rejected.
+Mahalanobis distances, in bins of the distance's logarithm, and estimates mean and covariance from them. After the first step the starts with
+the least determinants go on, BEST of them; after the last the least is kept, reweighted, and rows beyond a chi-squared cutoff are rejected.
+Ties of distance lie in one bin and are taken or left together; ties of determinants go to the first start.
 
 A group is a language and source; those under LEAST rows are pooled by language, and then all together; a pool under LEAST
 rows rejects nothing. Groups are aggregated before they are shuffled: what moves is sums and histograms, so
 a source with a third of all rows is no burden to one task.
 
-Nulls: a null text has no words (base_failed); null languages and sources are groups of their own; a null doc_id
+Texts may be as long as Spark's strings; columns with other names are left behind; an empty table gives no rows. Nulls: a null text has no words (base_failed); null languages and sources are groups of their own; a null doc_id
 and repeated rows are kept, one result row for each.
 """
 
@@ -27,6 +28,7 @@ LEAST = 50
 STARTS = 7
 SUBSET = 12
 STEPS = 3
+BEST = 2
 #: Rows rejected by chance where the vectors are normal.
 CHANCE = 1e-6
 #: (name, least standard deviation): where most rows of a group agree exactly, differences below these are none.
@@ -52,12 +54,10 @@ def chi2_quantile(q: float, k: int) -> float:
     return high
 
 
-def repeat_words(words: Column) -> Column:
-    """Words in 3-word windows found twice or more. Windows are compared by 64-bit hash within their text; texts without
-    a repeated one stop there, and only the others sort (hash, place)."""
+def window_hashes(words: Column) -> Column:
+    """64-bit hashes of a text's windows of 3 words, in order."""
     n = F.size(words)
-    grams = F.when(n >= 3, F.transform(F.slice(words, 1, F.greatest(n - 2, F.lit(1))), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))).otherwise(F.array().cast("array<bigint>"))
-    return grams
+    return F.when(n >= 3, F.transform(F.slice(words, 1, F.greatest(n - 2, F.lit(1))), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))).otherwise(F.array().cast("array<bigint>"))
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size("lines").cast("long").alias("n_lines"),
-        repeat_words(F.col("words")).alias("grams"),
+        window_hashes(F.col("words")).alias("grams"),
     )
     # Places of windows that occur again: neighbours in the order of (hash, place) with the same hash.
     again = counted.withColumn("again", F.size("grams") > F.size(F.array_distinct("grams")))
@@ -116,30 +116,31 @@ FACTOR = [(i, j) for i in range(P) for j in range(i + 1)]
 
 
 def estimate(rows: DataFrame, by: list[str], scale: float) -> DataFrame:
-    """by, the means m_i, the Cholesky factor l_i_j of the covariance times `scale` with the least deviations added, log_det."""
-    sums = [F.count("*").alias("n")] + [F.sum(c).alias(f"s_{i}") for i, c in enumerate(NAMES)] + [F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"q_{i}_{j}") for i, j in FACTOR]
-    out = rows.groupBy(*by).agg(*sums)
-    out = out.select(*by, "n", *[(F.col(f"s_{i}") / F.col("n")).alias(f"m_{i}") for i in range(P)], *[f"q_{i}_{j}" for i, j in FACTOR])
-    for i, j in FACTOR:
-        cov = scale * (F.col(f"q_{i}_{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}")) + (FEATURES[i][1] ** 2 if i == j else 0)
-        for k in range(j):
-            cov = cov - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-        out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(cov, F.lit(1e-12))) if i == j else cov / F.col(f"l_{j}_{j}"))
-    det = sum((F.log(F.col(f"l_{i}_{i}")) for i in range(P)), F.lit(0.0))
-    return out.select(*by, *[f"m_{i}" for i in range(P)], *[f"l_{i}_{j}" for i, j in FACTOR], det.alias("log_det"))
+    """by, the means m_i, the Cholesky factor l_i_j of the covariance times `scale` with the least deviations added, log_det. The expressions
+    are SQL text: there are hundreds of terms."""
+    e = F.expr
+    sums = [e("count(*) AS n"), *[e(f"sum({c}) AS s_{i}") for i, c in enumerate(NAMES)], *[e(f"sum({NAMES[i]} * {NAMES[j]}) AS q_{i}_{j}") for i, j in FACTOR]]
+    out = rows.groupBy(*by).agg(*sums).select(*by, "n", *[e(f"s_{i} / n AS m_{i}") for i in range(P)], *[f"q_{i}_{j}" for i, j in FACTOR])
+
+    def covariance(i: int, j: int) -> str:
+        """Less what the factor's columns before j explain."""
+        own = f"{scale!r}D * (q_{i}_{j} / n - m_{i} * m_{j}) + {FEATURES[i][1] ** 2 if i == j else 0.0!r}D"
+        return own + "".join(f" - l_{i}_{k} * l_{j}_{k}" for k in range(j))
+
+    for j in range(P):
+        root = f"sqrt(greatest({covariance(j, j)}, 1e-12D))"
+        out = out.select("*", e(f"{root} AS l_{j}_{j}"), *[e(f"({covariance(i, j)}) / {root} AS l_{i}_{j}") for i in range(j + 1, P)])
+    det = " + ".join(f"ln(l_{i}_{i})" for i in range(P))
+    return out.select(*by, *[f"m_{i}" for i in range(P)], *[f"l_{i}_{j}" for i, j in FACTOR], e(f"{det} AS log_det"))
 
 
 def with_distance(rows: DataFrame, params: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
-    """rows with d2, the squared Mahalanobis distance: a forward substitution through the Cholesky factor."""
-    out = rows.join(params, by, how)
-    d2 = F.lit(0.0)
+    """rows with d2, the squared Mahalanobis distance: a forward substitution through the Cholesky factor; and the params' start, where they have one."""
+    z: list[str] = []
     for i in range(P):
-        z = F.col(NAMES[i]) - F.col(f"m_{i}")
-        for k in range(i):
-            z = z - F.col(f"l_{i}_{k}") * F.col(f"z_{k}")
-        out = out.withColumn(f"z_{i}", z / F.col(f"l_{i}_{i}"))
-        d2 = d2 + F.col(f"z_{i}") * F.col(f"z_{i}")
-    return out.withColumn("d2", d2).drop(*params.drop(*by).columns, *[f"z_{i}" for i in range(P)])
+        z.append(f"(({NAMES[i]} - m_{i}" + "".join(f" - l_{i}_{k} * {z[k]}" for k in range(i)) + f") / l_{i}_{i})")
+    own = [c for c in ("start",) if c in params.columns and c not in by]
+    return rows.join(params, by, how).select(*rows.columns, *own, F.expr(" + ".join(f"{x} * {x}" for x in z) + " AS d2"))
 
 
 def mcd_distances(rows: DataFrame) -> DataFrame:
@@ -153,16 +154,21 @@ def mcd_distances(rows: DataFrame) -> DataFrame:
     by = ["grp", "start"]
     scale = H / chi2_cdf(chi2_quantile(H, P), P + 2)
     params = checkpointed(estimate(first, by, 1.0))
-    for _ in range(STEPS):
-        far = with_distance(starts, params, by).withColumn("bin", F.floor(16 * F.log2(F.col("d2") + 1e-9)))
+
+    def best(params: DataFrame, n: int) -> DataFrame:
+        """Each group's n starts of the least determinants."""
+        return params.withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy("log_det", "start"))).filter(F.col("place") <= n).drop("place")
+
+    for step in range(STEPS):
+        if step == 1:
+            params = best(params, BEST)
+        far = with_distance(fit, params, ["grp"]).withColumn("bin", F.floor(16 * F.log2(F.col("d2") + 1e-9)))
         bins = far.groupBy(*by, "bin").agg(F.count("*").alias("n"))
         w = Window.partitionBy(*by)
         upto = bins.withColumn("upto", F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("size", F.sum("n").over(w))
         edge = upto.filter(F.col("upto") >= H * F.col("size")).groupBy(*by).agg(F.min("bin").alias("edge"))
         params = checkpointed(estimate(far.join(edge, by).filter("bin <= edge"), by, scale))
-    best = params.groupBy("grp").agg(F.min_by("start", F.struct("log_det", "start")).alias("start"))
-    params = params.join(best, by).drop("start")
-    near = with_distance(fit, params, ["grp"]).filter(F.col("d2") <= chi2_quantile(0.975, P))
+    near = with_distance(fit, best(params, 1).drop("start"), ["grp"]).filter(F.col("d2") <= chi2_quantile(0.975, P))
     final = checkpointed(estimate(near, ["grp"], 1.0 / (chi2_cdf(chi2_quantile(0.975, P), P + 2) / 0.975)).drop("log_det"))
     return with_distance(rows, final, ["grp"], "left")
 
