@@ -88,14 +88,16 @@ def compare_reports(documents: DataFrame, sections: list[str], node_column: str
     counted with the number of its nodes. A leaf's majority value is the commonest, the least of equal ones; an absent value is `<null>`.
     """
     c = F.col
-    one = [F.struct(F.lit(s).alias("section"), F.sha2(F.coalesce(F.to_json(F.struct(s)), F.lit("")), 256).alias("hash"), *[(c(x) if x == s else F.lit(None).cast(documents.schema[x].dataType)).alias(x) for x in sections]) for s in sections]
-    opened = documents.select(c(node_column).alias("node"), F.inline(F.array(*one)))
-    variants = opened.groupBy("section", "hash").agg(F.count("*").alias("n"), *[F.first(s, ignorenulls=True).alias(s) for s in sections])
-    every = {s: F.array(*[F.struct(F.lit(p).alias("path"), F.coalesce(v, F.lit("<null>")).alias("value")) for p, v in leaves(c(s), documents.schema[s].dataType, s)]) for s in sections}
+    # Sections keep names of their own, whatever they are called.
+    own = {s: f"s_{s}" for s in sections}
+    one = [F.struct(F.lit(s).alias("section"), F.sha2(F.coalesce(F.to_json(F.struct(s)), F.lit("")), 256).alias("hash"), *[(c(x) if x == s else F.lit(None).cast(documents.schema[x].dataType)).alias(own[x]) for x in sections]) for s in sections]
+    opened = documents.select(c(node_column).alias("of"), F.inline(F.array(*one)))
+    variants = opened.groupBy("section", "hash").agg(F.count("*").alias("n"), *[F.first(x, ignorenulls=True).alias(x) for x in own.values()])
+    every = {s: F.array(*[F.struct(F.lit(p).alias("path"), F.coalesce(v, F.lit("<null>")).alias("value")) for p, v in leaves(c(own[s]), documents.schema[s].dataType, s)]) for s in sections}
     found = F.lit(None).cast("array<struct<path:string,value:string>>")
     for s in sections:
         found = F.when(c("section") == s, every[s]).otherwise(found)
     values = variants.select("section", "hash", "n", F.inline(found))
     most = values.groupBy("path", "value").agg(F.sum("n").alias("n")).groupBy("path").agg(F.min(F.struct((-c("n")).alias("n"), "value")).alias("most"))
     odd = values.join(most, "path").filter(c("value") != c("most.value")).select("section", "hash", "path", "value", c("most.value").alias("majority_value"))
-    return opened.select("node", "section", "hash").join(odd, ["section", "hash"]).select("node", "path", "value", "majority_value")
+    return opened.select("of", "section", "hash").join(odd, ["section", "hash"]).select(c("of").alias("node"), "path", "value", "majority_value")

@@ -219,6 +219,7 @@ def oracle_sql() -> dict[str, str]:
         "energy_joules": ENERGY + "SELECT node_id, domain, sample_id, round(d / 1e6, 6) AS joules FROM s",
         "energy_joules_wrap": ENERGY + "SELECT node_id, domain, sample_id, round(j, 6) AS joules FROM w",
         "read_captures": with_views("captures") + f" SELECT {key}, source, item, rc, trim(content) AS content, stderr, strftime(received_at, '%Y-%m-%d %H:%M:%S') AS received_at FROM captures",
+        "stream_captures": with_views("captures") + f" SELECT DISTINCT {key}, source, item, rc, content FROM captures WHERE rc >= 0",
         "stream_energy": ENERGY + "SELECT node_id, domain, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, round(sum(coalesce(j, 0)), 6) AS joules, count(*) AS n, CAST(0 AS BIGINT) AS late FROM w GROUP BY node_id, domain, date_trunc('hour', ts)",
         "interval_joules": INTERVALS + "SELECT x.node_id, run_no, domain, round((SELECT sum(coalesce(j, 0)) FROM w s WHERE s.node_id = x.node_id AND s.domain = d.domain AND ts <= end_at) - (SELECT sum(coalesce(j, 0)) FROM w s WHERE s.node_id = x.node_id AND s.domain = d.domain AND ts <= begin_at), 4) AS joules FROM experiments x JOIN (SELECT DISTINCT node_id, domain FROM energy_samples) d USING (node_id)",
         "run_energy": IN_RUN + "SELECT node_id, run_no, domain, round(sum(coalesce(j, 0)), 4) AS joules, count(*) AS n FROM j GROUP BY ALL",

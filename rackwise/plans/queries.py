@@ -159,6 +159,12 @@ def stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(_streamed(spark, rows, lambda s: gates.stream_gate(s, RUN), "append").select(*RUN, "ordinal", "capability", F.col("evidence").alias("message")))
 
 
+def stream_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deliveries as a stream in which equal ones come once."""
+    rows = _view(spark, sf_dir, "captures").filter("rc >= 0")  # without the stale forms, which only batches can tell
+    return _plain(_streamed(spark, rows, gates.stream_captures, "append").select(*KEY, "source", "item", "rc", "content"))
+
+
 def stream_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _view(spark, sf_dir, "energy_samples").withColumn("ts", F.col("ts").cast("timestamp"))
     found = gates.energy_windows(_streamed(spark, rows.coalesce(1), lambda s: gates.stream_energy(s, WRAP), "append"))
@@ -261,5 +267,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     for view, group in (("captures", CAPTURE_QUERIES), ("fleet_runs", NODE_QUERIES | RUN_QUERIES), ("energy_samples", ENERGY_QUERIES)):
         found |= {name: _from(view, q) for name, q in group.items()}
     found |= {f"report_{name}": _from_reports(q) for name, q in REPORT_QUERIES.items()}
-    own = (read_captures, read_capture_files, report_round_trip, report_quarantine, stream_report_gate, compare_reports, stream_gate, stream_energy, interval_joules, run_energy, edp)
+    own = (read_captures, read_capture_files, report_round_trip, report_quarantine, stream_report_gate, compare_reports, stream_gate, stream_captures, stream_energy, interval_joules, run_energy, edp)
     return found | {"energy_by_domain_level": _energy_level} | {q.__name__: q for q in own}

@@ -39,6 +39,13 @@ def gated(spark: SparkSession, out: str) -> DataFrame:
     return rows.agg(F.max_by("experiment_blockers", F.struct("file_time", "file_path")).alias("experiment_blockers"))
 
 
+def stream_captures(captures: DataFrame, late: str = "1 hour") -> DataFrame:
+    """A stream of deliveries (with received_at) in which each capture comes once: the first delivery of a run's source and item that the stream sees; others
+    within `late` of it are passed over, and keys are forgotten after that. Batches take the newest instead (parse.by_run), so a table of what
+    this stream writes gives the same facts only where deliveries are equal."""
+    return captures.withWatermark("received_at", late).dropDuplicatesWithinWatermark(["node_id", "captured_at", "source", "item"])
+
+
 ENERGY = "node_id long, domain string, start timestamp, joules double, n long, late long"
 
 

@@ -1,9 +1,11 @@
 import json
 import os
+from collections import Counter
 from datetime import datetime, timedelta
 
 import duckdb
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from rackwise.functions.text import cpu_list
@@ -210,6 +212,35 @@ def test_comparison_of_reports(spark):
     assert got == [(3, "b.l", "[2,1]", "[1,2]"), (4, "a.x", "2", "1"), (5, "a.x", "2", "1"), (5, "a.y.z", "<null>", "s")]
 
 
+def test_whole_reports_compared_plainly(spark):
+    """All sections of real report documents: the paths in which a node differs from the commonest value, by a walk over each document."""
+    seen = queries._view(spark, DATA, "captures")
+    sections = ["node", "cpu", "gpu", "numa", "tools", "permissions", "active_probes", "capabilities", "backends", "experiment_blockers", "readiness"]
+    docs = reports.report_documents(queries._assembled(seen)).filter("generated_at < '2026-01-02'").withColumns({"numa": F.struct("numa"), "experiment_blockers": F.struct("experiment_blockers")})
+    got = {(r.node_id, r.path) for r in from_reports.compare_reports(docs.withColumn("node_key", F.col("node_id")), sections, "node_key").withColumnRenamed("node", "node_id").collect()}
+
+    def walk(value, path):
+        if isinstance(value, Row):
+            for name in value.__fields__:
+                yield from walk(value[name], f"{path}.{name}")
+        else:
+            yield path, value
+
+    leaves = {r.node_id: dict(leaf for s in sections for leaf in walk(r[s], s)) for r in docs.collect()}
+    text = lambda v: "<null>" if v is None else str(v).lower() if isinstance(v, bool) else str(v)
+    for path in next(iter(leaves.values())):
+        values = {n: d[path] for n, d in leaves.items()}
+        count = Counter(map(str, values.values()))
+        top = max(count.values())
+        odd = {n for n in values if (n, path) in got}
+        # The nodes that aren't named share one value, which is as common as any.
+        rest = {str(v) for n, v in values.items() if n not in odd}
+        assert len(rest) == 1 and count[rest.pop()] == top, path
+        if not any(isinstance(v, (list, dict)) for v in values.values()):
+            best = min(text(v) for v in values.values() if count[str(v)] == top)
+            assert odd == {n for n, v in values.items() if text(v) != best}, path
+
+
 @pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
 def test_oracle(spark, name):
     con = duckdb.connect()
