@@ -51,7 +51,7 @@ def domain_labels() -> Column:
 
 def energy_readable() -> Column:
     """Whether there is a domain and any counter could be read."""
-    return (F.size(domain_labels()) > 0) & F.coalesce(F.exists(every("powercap_energy"), lambda x: x["rc"] == 0), F.lit(False))
+    return F.exists(every("powercap_name"), lambda x: x["item"].startswith("intel-rapl")) & F.coalesce(F.exists(every("powercap_energy"), lambda x: x["rc"] == 0), F.lit(False))
 
 
 def topology_columns(pairs: str = "lscpu") -> dict[str, Column]:
@@ -161,13 +161,13 @@ def assemble_facts(captures: DataFrame) -> DataFrame:
     domains. One shuffle of captures, no join. What a run didn't capture is false, 0, empty or, for identity and texts of a
     missing driver, null."""
     rows = _with_all_devices(captures, "*").withColumn("lscpu", parse.lscpu_pairs()).withColumn("numa", parse.numa_nodes()).withColumn("first", parse.first_reading())
-    rows = rows.select("*", *named(topology_columns()))
+    rows = rows.select("*", *named(topology_columns()), domain_labels().alias("domains"), energy_readable().alias("rapl_readable"))
     perf, freq, metrics, cpufreq, pstate, gpu = parse.perf_columns(), parse.freq_columns(), parse.metric_columns(), parse.cpufreq_columns(), pstate_columns(), gpu_taxonomy_columns()
     cpufreq = {k: F.when(has("sysfs_cpufreq"), v) for k, v in cpufreq.items() if k != "current_raw"}
     false = lambda c: F.coalesce(c, F.lit(False))
     columns = {n: one("uname", n)["content"] for n in parse.IDENTITY} | {n: F.col(n) for n in topology_columns()} | {f"tool_{n}": done("which", n) for n in parse.TOOLS}
     columns |= {"perf_paranoid": perf["event_paranoid_level"], "perf_accessible": perf["accessible"], "perf_note": F.when(has("which"), perf["note"]), "freq_success": false(freq["success"]), "current_khz": F.when(has("sysfs_cpufreq"), freq["current_khz"])}
-    columns |= {"domains": domain_labels(), "rapl_available": F.size(domain_labels()) > 0, "rapl_readable": energy_readable()}
+    columns |= {"domains": F.col("domains"), "rapl_available": F.size("domains") > 0, "rapl_readable": F.col("rapl_readable")}
     columns |= {"rapl_probe_success": F.col("first").isNotNull(), "domain_tested": F.col("first.item"), "sample_value_uj": strip(F.col("first.content"))}
     columns |= {"cpufreq_driver": cpufreq.pop("driver")} | cpufreq
     columns |= {"pstate_status": pstate["intel_pstate_status"], "hwp_enabled": false(pstate["hwp_enabled"]), "epp_available": false(pstate["epp_available"]), "driver_limitations": pstate["driver_limitations"]}

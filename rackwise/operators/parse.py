@@ -15,6 +15,8 @@ from rackwise.functions.text import KEY, as_int, cpu_list, lines, strip
 
 TOOLS = ("perf", "cpupower", "numactl", "nvidia_smi")
 IDENTITY = ("hostname", "os", "kernel", "architecture")
+#: Sources with any number of items, which are read as lists.
+LISTED = ("powercap_name", "powercap_energy", "sysfs_cpulist", "nvidia_clocks")
 NUMA_LINE = r"^node\s+(\d+)\s+cpus:\s+(.+)$"
 
 
@@ -23,7 +25,8 @@ def of(captures: DataFrame, *sources: str) -> DataFrame:
 
 
 def by_run(captures: DataFrame) -> DataFrame:
-    """One row a run: `entries`, its captures once each by source and item, and `at`, the same as a map for look-ups by one()."""
+    """One row a run: `entries`, its captures once each by source and item, `at`, the same as a map for look-ups by one(), `sources`, and a column for each
+    source of LISTED. Columns that nobody reads aren't made."""
     received = F.col("received_at") if "received_at" in captures.columns else F.lit(None)
     text = lambda c: F.coalesce(c, F.lit("")).alias(c)
     entry = F.struct(text("source"), text("item"), received.cast("timestamp").alias("received_at"), "rc", text("content"), text("stderr"))
@@ -32,7 +35,9 @@ def by_run(captures: DataFrame) -> DataFrame:
     newest = F.filter("every", lambda x, i: F.coalesce((after(i)["source"] != x["source"]) | (after(i)["item"] != x["item"]), F.lit(True)))
     kept = F.transform(newest, lambda x: F.struct(*[x[n].alias(n) for n in ("source", "item", "rc", "content", "stderr")]))
     named = F.map_from_entries(F.transform("entries", lambda x: F.struct(F.concat(F.length(x["source"]).cast("string"), F.lit(":"), x["source"], x["item"]), F.struct(x["rc"].alias("rc"), x["content"].alias("content"), x["stderr"].alias("stderr")))))
-    return found.select(*KEY, kept.alias("entries")).select(*KEY, "entries", named.alias("at"))
+    of_source = lambda name: F.filter("entries", lambda x: x["source"] == name).alias(f"of_{name}")
+    sources = F.array_distinct(F.col("entries.source"))
+    return found.select(*KEY, kept.alias("entries")).select(*KEY, "entries", named.alias("at"), sources.alias("sources"), *map(of_source, LISTED))
 
 
 def one(source: str, item: str = "") -> Column:
@@ -41,12 +46,12 @@ def one(source: str, item: str = "") -> Column:
 
 
 def every(source: str) -> Column:
-    """All of a source's captures, by item."""
-    return F.filter("entries", lambda x: x["source"] == source)
+    """All captures of a source of LISTED, by item."""
+    return F.col(f"of_{source}")
 
 
 def has(source: str) -> Column:
-    return F.exists("entries", lambda x: x["source"] == source)
+    return F.array_contains("sources", source)
 
 
 def done(source: str, item: str = "") -> Column:
