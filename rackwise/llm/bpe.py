@@ -8,6 +8,7 @@ Whether token b may follow token a is found by undoing merges at the seam: no pa
 comes before the merges that built its two sides.
 
 Nulls: a null text is empty, with no tokens; a null doc_id and repeated rows are kept, one result row for each.
+Long texts are encoded whole, a text at a time; columns with other names are never read; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -11,6 +11,7 @@ other silent elements without an end, or closed in themselves, are only a tag.
 Inline tags and <br> don't end a block; white space inside a block becomes one space; blocks are joined by one line break. Scripts,
 styles, comments and form controls have no text. Pages of any length are parsed whole, their tree in memory. Nulls: a null html is empty, with empty text; null ids and urls and repeated
 rows are kept, one result row for each.
+A block whose marginal is exactly one half is content. Other columns are left behind; an empty table gives no rows.
 """
 
 from __future__ import annotations

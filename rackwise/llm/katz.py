@@ -20,6 +20,7 @@ blocks send their distinct words and pairs to the buckets, where counts and weig
 
 Blocks of documents are read three times: rows that come from a shuffle are to be stored first. Nulls: a null text is empty (only the end); a null
 doc_id is not held out. Repeated rows are kept and counted. Without training tokens every score is 0.
+A long text is one block of its own; columns with other names are never read; an empty table gives no rows.
 """
 
 from __future__ import annotations

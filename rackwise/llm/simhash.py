@@ -8,6 +8,7 @@ share a key. Longer chains are checked before the full Hamming distance.
 
 Nulls: a null text is empty; an empty text has fingerprint zero and links like any other. A null doc_id is kept, and is
 never the smallest id unless its component has no other. Repeated rows are kept, one result row for each.
+Long texts are read whole; a bit that exactly half of the shingles set is 0; columns with other names are never read; an empty table gives no rows.
 """
 
 from __future__ import annotations

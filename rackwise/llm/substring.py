@@ -10,6 +10,7 @@ still meet, and no anchor, however common, fills one shard.
 
 Hashes of words, grams and contexts have 64 bits. Documents are dealt into blocks once and stored with their block and place: where Arrow
 batches end depends on the columns sent, so dealing them anew could give other blocks. Nulls: a null text has no words; a null doc_id and repeated rows are kept, one result row for each.
+A long text is one block of its own; other columns are left behind unless named; an empty table gives no rows.
 """
 
 from __future__ import annotations

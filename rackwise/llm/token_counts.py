@@ -8,6 +8,7 @@ Frequencies are gathered per block of documents before they move: a shuffle brin
 distinct pre-token is counted once and joined to its frequencies; sums by document go back to their block.
 
 Nulls: a null text is empty (0 bytes, 0 tokens); a null doc_id and repeated rows are kept, one result row for each.
+Texts may be as long as memory for one text allows; columns with other names are never read; an empty table gives no rows.
 """
 
 from __future__ import annotations
