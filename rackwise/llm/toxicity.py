@@ -37,8 +37,8 @@ K = 15
 RELEVANCE = 3.0
 ERRORS = 2.0
 #: Examples to a block of the index; terms of at least this share of the examples are columns of the matrix.
-BLOCK = 64
-COMMON = 0.03
+BLOCK = 128
+COMMON = 0.06
 #: Texts that are multiplied at once, bytes of text cut into words at once, and results a worker remembers for copies.
 QUERIES = 64
 AT_A_TIME = 2 << 20
@@ -80,6 +80,27 @@ def word_vectors(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def known_words(vocabulary: np.ndarray, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """known_terms(vocabulary, word_vectors(texts)), with each distinct word looked up once for all texts."""
+    if not texts or not len(vocabulary):
+        return [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(texts)
+    number = _Numbers()
+    get, parts = number.__getitem__, []
+    for t in texts:
+        words = t.translate(FOLD).split()
+        parts.append(np.fromiter(map(get, words), np.int64, len(words)))
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, 11) for w in number), np.uint64, len(number))
+    at = np.searchsorted(vocabulary, hashes)
+    at[at == len(vocabulary)] = 0
+    place = np.where(vocabulary[at] == hashes, at, -1)[np.concatenate(parts)]
+    use = place >= 0
+    key = np.repeat(np.arange(len(texts)), [len(x) for x in parts])[use] * len(vocabulary) + place[use]
+    key, n = np.unique(key, return_counts=True)
+    text, place = np.divmod(key, len(vocabulary))
+    edge = np.searchsorted(text, np.arange(1, len(texts)))
+    return list(zip(np.split(place, edge), np.split(n, edge)))
+
+
 def known_terms(vocabulary: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
     """The vectors with places in the vocabulary in place of hashes, without other words."""
     out = []
@@ -110,7 +131,7 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.nd
         n = np.zeros(len(sent.value) + 1, np.int64)  # the last counts documents
         for _, texts in blocks(batches, most=AT_A_TIME):
             n[-1] += len(texts)
-            for at, _ in known_terms(sent.value, word_vectors(texts)):
+            for at, _ in known_words(sent.value, texts):
                 n[at] += 1
         some = np.flatnonzero(n)
         for k in range(0, len(some), 50_000):
@@ -170,6 +191,7 @@ class Index:
         self.block, self.most = block[head], np.maximum.reduceat(self.value, head) if len(head) else self.value
         self.slice = np.append(head, len(t)).astype(np.int32)
         self.start = np.searchsorted(t[head], np.arange(len(weight) + 1)).astype(np.int32)
+        self.list = self.slice[self.start]
 
     def unit(self, terms: np.ndarray, counts: np.ndarray, times: np.ndarray | float = 1.0) -> np.ndarray:
         w = (1 + np.log(counts)) * self.weight[terms] * times
@@ -186,7 +208,7 @@ class Index:
         return [self._best(s, t, q, k) for s, (t, q) in zip(query @ self.matrix.T, rest)]
 
     def _best(self, sums: np.ndarray, t: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        n = self.start[t + 1] - self.start[t]
+        n, whole = self.start[t + 1] - self.start[t], q
         at, q = _spans(self.start[t], n), np.repeat(q, n)
         block = self.block[at]
         upper = sums.reshape(-1, BLOCK).max(axis=1) + np.bincount(block, q * self.most[at], minlength=self.n_blocks)
@@ -211,7 +233,15 @@ class Index:
         open_blocks(opened)
         worst = kth(opened)
         more = ~opened & (upper >= worst - 1e-6) & (upper > 0)
-        if more.any():
+        if 4 * int(more.sum()) > self.n_blocks:
+            # Over a quarter of the blocks are to be opened: the terms' lists are read from end to end, which leaves out the work of taking them apart by block.
+            first = self.list[t]
+            m = self.list[t + 1] - first
+            post = _spans(first, m)
+            cosine = (sums + np.bincount(self.place[post], np.repeat(whole, m) * self.value[post], minlength=cosine.size)).reshape(-1, BLOCK)
+            opened[:] = True
+            worst = kth(opened)
+        elif more.any():
             open_blocks(more)
             opened |= more
             worst = kth(opened)
@@ -316,7 +346,7 @@ class Scorer:
         if len(known) > SCORES_KEPT:
             known.clear()
         new = {k: t for k, t in zip(keys, texts) if k not in known}
-        found = known_terms(self.learned.value.vocabulary, word_vectors(list(new.values())))
+        found = known_words(self.learned.value.vocabulary, list(new.values()))
         names, index = list(new), self.learned.value.index()
         for a in range(0, len(names), QUERIES):
             for k, (at, cosine) in zip(names[a : a + QUERIES], index.nearest(found[a : a + QUERIES])):

@@ -571,3 +571,34 @@ def test_html_comments_templates_and_links():
     assert text(f"<article>{body}<p>Read <a href=x>all about the winter market</a>.</p></article>").endswith("all about the winter market.")
     menu = "<ul>" + "".join(f"<li><a href=/{k}>Winter {k}</a></li>" for k in range(6)) + "</ul>"
     assert "Winter" not in text(f"<body><nav>{menu}</nav><article>{body}</article><div class=menu>{menu}</div><footer>{menu}</footer></body>")
+
+
+def test_toxicity_words_of_a_batch_are_those_of_its_texts():
+    from rackwise.llm import toxicity
+
+    vocabulary = np.unique(np.concatenate([h for h, _ in toxicity.word_vectors([b"a b c", b"c D"])]))
+    for texts in ([], [b""], [b"", b"a a z", b""], [b"zz"], [b"a d B b c", b"", b"B-b"]):
+        for known in (vocabulary, vocabulary[:0]):
+            want, got = toxicity.known_terms(known, toxicity.word_vectors(texts)), toxicity.known_words(known, texts)
+            assert len(want) == len(got)
+            assert all((a == x).all() and (n == m).all() for (a, n), (x, m) in zip(want, got))
+
+
+def test_toxicity_lists_read_whole_give_the_same_neighbours():
+    from rackwise.llm import toxicity
+
+    rng = np.random.default_rng(5)
+    found = [(np.sort(rng.choice(400, 30, replace=False)), rng.integers(1, 4, 30)) for _ in range(4000)]
+    weight = rng.random(400) + 0.5
+    index = toxicity.Index(list(range(4000)), [0] * 4000, found, weight)
+    dense = np.zeros((4000, 400))
+    for row, (t, n) in zip(dense, found):
+        row[t] = (1 + np.log(n)) * weight[t]
+        row /= np.sqrt((row * row).sum())
+    queries = found[:5] + [(t[:n], c[:n]) for (t, c), n in zip(found[5:25], [1, 2, 3, 5] * 5)]
+    for (t, n), (at, cosine) in zip(queries, index.nearest(queries)):
+        q = np.zeros(400)
+        q[t] = (1 + np.log(n)) * weight[t]
+        exact = dense @ (q / np.sqrt((q * q).sum()))
+        assert np.allclose(np.sort(exact)[::-1][: toxicity.K], cosine, atol=2e-6)
+        assert np.allclose(exact[index.ids[at]], cosine, atol=2e-6)
