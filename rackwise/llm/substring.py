@@ -6,7 +6,7 @@ context of at most 62 words. Contexts are first counted by hash: those found twi
 different contexts, one of each goes to the anchor's shard; a compressed FM-index of the shard's contexts then answers backward
 searches from every window end of the contexts that were found once; neighbouring windows that occur twice or more are reported as one
 interval. The contexts of an anchor with more than HOT of them are cut into their windows, which go to shards by their own hash: equal windows
-still meet, and no anchor, however common, fills one shard.
+still meet, and no anchor, however common, fills one shard. The number of shards follows from the words of all contexts that are sent (about SHARD to an index).
 
 Hashes of words, grams and contexts have 64 bits. Documents are dealt into blocks once and stored with their block and place: where Arrow
 batches end depends on the columns sent, so dealing them anew could give other blocks. Nulls: a null text has no words; a null doc_id and repeated rows are kept, one result row for each.
@@ -33,6 +33,8 @@ GRAM = 8
 BLOCK = 2 << 20
 #: Different contexts of an anchor beyond which they are dealt out window by window.
 HOT = 1024
+#: Words in an index: there are as many shards as the contexts that are sent need.
+SHARD = 4 << 20
 #: Hashes of words that a worker remembers; when there are more, it starts anew.
 WORDS_KEPT = 100_000
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -154,7 +156,8 @@ def repeated_runs(texts: DataFrame, window: int = WINDOW) -> DataFrame:
         return pa.table({c: pa.array([r[k] for r in out], t) for k, (c, t) in enumerate(zip(("shard_key", "asks", "block", "at", "words"), kinds))})
 
     sent = texts.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(words_of, "shard_key long, asks boolean, block long, at int, words binary")
-    shards = partitions(texts.sparkSession)
+    words = asked.agg(F.sum(F.when(F.col("hot"), F.col("n").cast("long") * window).otherwise(F.col("n") + (window - 1)).cast("long")).alias("words")).first().words or 0
+    shards = max(partitions(texts.sparkSession), -(-words // SHARD))
 
     def search(t: pa.Table) -> pa.Table:
         parts = [np.frombuffer(w, np.uint64) for w in t.column("words").to_pylist()]

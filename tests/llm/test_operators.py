@@ -158,6 +158,18 @@ def test_substring_of_hot_anchors(spark, monkeypatch, hot):
     assert {x.doc_id: x.n_removed for x in substring.substring_dedup(rows).collect()} == want
 
 
+def test_substring_shards_follow_from_the_words_sent(spark, monkeypatch):
+    """Many small shards find what few large ones find."""
+    r = random.Random(10)
+    shared = [[f"s{r.randrange(10**6)}" for _ in range(45)] for _ in range(6)]
+    texts = [[f"a{r.randrange(10**6)}" for _ in range(30)] + shared[k % 6] + [f"b{r.randrange(10**6)}" for _ in range(30)] for k in range(30)]
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    want = {i: 45 for i in range(30)}
+    assert {x.doc_id: x.n_removed for x in substring.substring_dedup(rows).collect()} == want
+    monkeypatch.setattr(substring, "SHARD", 60)
+    assert {x.doc_id: x.n_removed for x in substring.substring_dedup(rows).collect()} == want
+
+
 @pytest.mark.parametrize("symbols", [3, 5000])
 def test_fm_index_counts(symbols):
     r = np.random.default_rng(symbols)
