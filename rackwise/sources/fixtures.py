@@ -92,12 +92,12 @@ SELECT node_id, captured_at, 'numactl', '', CASE WHEN node_id % 5 = 2 THEN 1 ELS
          CASE WHEN node_id % 7 = 3 THEN '  node 1 cpus: 4,5' WHEN node_id % 7 = 4 THEN 'node 1 cpus:' ELSE 'node 1 cpus: 4 5 6 7' END, chr(10), 'node 2 cpus: '), '' FROM n WHERE tool_numactl
 UNION ALL
 SELECT node_id, captured_at, 'sysfs_cpulist', item, 0,
-  CASE WHEN node_id % 5 = 0 THEN '5-3,x,7' WHEN item = 'node0' THEN '0-3,8,10-11' WHEN node_id % 7 = 2 THEN '' ELSE '4-7, 9 ,-1' END, ''
+  CASE WHEN node_id % 5 = 0 THEN '5-3,x,7' WHEN item = 'node0' THEN '0-2,5,9-12' WHEN node_id % 7 = 2 THEN '' ELSE '4-7, 9 ,-1' END, ''
   FROM n CROSS JOIN (VALUES ('node0'), ('node1')) AS v(item)
 UNION ALL
 SELECT node_id, captured_at, 'nvidia_clocks', item, CASE WHEN node_id % 9 = 0 THEN 9 ELSE 0 END,
-  concat('  Memory  : ', CAST(5000 + 100 * (node_id % 3) AS VARCHAR(9)), ' MHz', chr(10), '    Graphics  : 1980 MHz', chr(10),
-         '    Graphics  : 210 MHz', chr(10), '    Graphics  : 1980 MHz', CASE WHEN node_id % 5 < 2 THEN concat(chr(10), '    Video : N/A') ELSE '' END), ''
+  concat('  Memory  : ', CAST(5000 + 100 * (node_id % 3) AS VARCHAR(9)), ' MHz', chr(10), '    Graphics  : 1755 MHz', chr(10),
+         '    Graphics  : 210 MHz', chr(10), '    Graphics  : 1755 MHz', CASE WHEN node_id % 5 < 2 THEN concat(chr(10), '    Video : N/A') ELSE '' END), ''
   FROM n CROSS JOIN (VALUES ('0'), ('1')) AS v(item) WHERE nvidia_present
 UNION ALL
 SELECT node_id, captured_at, 'nvidia_gpus', '', 0,
