@@ -26,7 +26,8 @@ def interval_joules(samples: DataFrame, intervals: DataFrame, key: list[str], be
     at no cost but their own two rows.
     """
     c = F.col
-    names = samples.select(*COUNTER).distinct()
+    # Intervals and counters grow with the fleet: neither side of these joins may be broadcast.
+    names = samples.select(*COUNTER).distinct().hint("merge")
     ends = intervals.filter(c(begin) <= c(end)).select(*key, F.inline(F.array(F.struct(F.lit("b").alias("side"), c(begin).cast("timestamp_ntz").alias("ts")), F.struct(F.lit("e").alias("side"), c(end).cast("timestamp_ntz").alias("ts"))))).join(names, "node_id")
     readings = samples.filter("ts IS NOT NULL").select(*COUNTER, c("ts").cast("timestamp_ntz").alias("ts"), "sample_id", c("energy_uj").alias("uj"))
     both = readings.unionByName(ends, allowMissingColumns=True).withColumn("kind", F.when(c("side").isNull(), 0).otherwise(1))
@@ -36,7 +37,7 @@ def interval_joules(samples: DataFrame, intervals: DataFrame, key: list[str], be
     so_far = rows.withColumn("total", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).filter("side IS NOT NULL")
     at = lambda side: F.max(F.when(c("side") == side, c("total")))
     found = so_far.groupBy(*key, "domain").agg(((at("e") - at("b")) / 1e6).alias("joules"))
-    return intervals.select(*key).join(names, "node_id").join(found, [*key, "domain"], "left")
+    return intervals.select(*key).join(names, "node_id").join(found.hint("merge"), [*key, "domain"], "left")
 
 
 def within(samples: DataFrame, intervals: DataFrame, on: str, at: str, begin: str, end: str, width: int = DAY) -> DataFrame:
@@ -49,7 +50,8 @@ def within(samples: DataFrame, intervals: DataFrame, on: str, at: str, begin: st
     stretch = lambda t: F.floor(F.unix_seconds(c(t).cast("timestamp")) / width)
     named = intervals.filter(c(begin) <= c(end)).withColumn("stretch", F.explode(F.sequence(stretch(begin), stretch(end))))
     rows = samples.filter(c(at).isNotNull()).withColumn("stretch", stretch(at))
-    return rows.join(named, [on, "stretch"]).filter(c(at).between(c(begin), c(end))).drop("stretch")
+    # Spark takes the exploded intervals for as small as the intervals, and would broadcast them.
+    return rows.join(named.hint("merge"), [on, "stretch"]).filter(c(at).between(c(begin), c(end))).drop("stretch")
 
 
 def run_energy(samples: DataFrame, runs: DataFrame, max_range: int | None = None, width: int = DAY) -> DataFrame:
@@ -66,5 +68,5 @@ def edp(samples: DataFrame, runs: DataFrame, domains: DataFrame, level: str = "p
     domains of one level, as levels overlap; the delay is from the first to the last of their samples. domains: a handful of rows."""
     c = F.col
     kept = domains.filter(c("level") == level).select("domain")
-    rows = run_energy(samples.join(kept, "domain", "left_semi"), runs, max_range, width).groupBy("node_id", "run_no").agg(F.sum("joules").alias("joules"), (F.timestamp_diff("MICROSECOND", F.min("first"), F.max("last")) / 1e6).alias("seconds"))
+    rows = run_energy(samples.join(F.broadcast(kept), "domain", "left_semi"), runs, max_range, width).groupBy("node_id", "run_no").agg(F.sum("joules").alias("joules"), (F.timestamp_diff("MICROSECOND", F.min("first"), F.max("last")) / 1e6).alias("seconds"))
     return rows.withColumn("edp", c("joules") * c("seconds"))

@@ -241,6 +241,19 @@ def test_whole_reports_compared_plainly(spark):
             assert odd == {n for n, v in values.items() if text(v) != best}, path
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nothing_that_grows_with_the_fleet_is_broadcast(spark):
+    """Joins over exploded rows look small to Spark: only a row a path and the handful of domains may be broadcast."""
+    samples, runs = queries._view(spark, DATA, "energy_samples"), queries._view(spark, DATA, "experiments")
+    assert "BroadcastExchange" not in plan_of(energy.run_energy(samples, runs, queries.WRAP))
+    assert "BroadcastExchange" not in plan_of(energy.interval_joules(samples, runs, ["node_id", "run_no"], "begin_at", "end_at", queries.WRAP))
+    dim = spark.createDataFrame([("p", "package")], "domain string, level string")
+    assert plan_of(energy.edp(samples, runs, dim)).count("BroadcastExchange") == 1
+
+
 @pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
 def test_oracle(spark, name):
     con = duckdb.connect()
