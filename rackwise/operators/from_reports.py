@@ -99,5 +99,6 @@ def compare_reports(documents: DataFrame, sections: list[str], node_column: str
         found = F.when(c("section") == s, every[s]).otherwise(found)
     values = variants.select("section", "hash", "n", F.inline(found))
     most = values.groupBy("path", "value").agg(F.sum("n").alias("n")).groupBy("path").agg(F.min(F.struct((-c("n")).alias("n"), "value")).alias("most"))
-    odd = values.join(most, "path").filter(c("value") != c("most.value")).select("section", "hash", "path", "value", c("most.value").alias("majority_value"))
-    return opened.select("of", "section", "hash").join(odd, ["section", "hash"]).select(c("of").alias("node"), "path", "value", "majority_value")
+    # One row a path. The sizes of all else are underestimated by Spark, as inline makes rows: those joins must not become broadcasts.
+    odd = values.join(F.broadcast(most), "path").filter(c("value") != c("most.value")).select("section", "hash", "path", "value", c("most.value").alias("majority_value"))
+    return opened.select("of", "section", "hash").hint("merge").join(odd, ["section", "hash"]).select(c("of").alias("node"), "path", "value", "majority_value")

@@ -252,6 +252,7 @@ def test_nothing_that_grows_with_the_fleet_is_broadcast(spark):
     assert "BroadcastExchange" not in plan_of(energy.interval_joules(samples, runs, ["node_id", "run_no"], "begin_at", "end_at", queries.WRAP))
     dim = spark.createDataFrame([("p", "package")], "domain string, level string")
     assert plan_of(energy.edp(samples, runs, dim)).count("BroadcastExchange") == 1
+    assert plan_of(queries.compare_reports(spark, DATA)).count("BroadcastExchange") == 1
 
 
 @pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
