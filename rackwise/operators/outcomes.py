@@ -33,9 +33,10 @@ def experiment_blockers(results: DataFrame) -> DataFrame:
     return results.filter((F.col("severity") == CRITICAL) & (F.col("status") != A)).withColumn("message", F.col("evidence"))
 
 
-def readiness_flags(results: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    wide = results.groupBy(*keys).pivot("capability", list(FLAGS)).agg(F.max(F.col("status") == A))
-    return wide.select(*keys, *[F.coalesce(c, F.lit(False)).alias(f"{c}_ready") for c in FLAGS])
+def readiness_flags(assessed: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """One row for each run: whether each capability but topology is available in any assessed row of it. Rows move as flags of fixed width."""
+    ready = [F.coalesce(F.col(f"cap_{c}.status") == A, F.lit(False)).alias(f"{c}_ready") for c in FLAGS]
+    return assessed.select(*keys, *ready).groupBy(*keys).agg(*[F.max(f"{c}_ready").alias(f"{c}_ready") for c in FLAGS])
 
 
 def issues(results: DataFrame, keys: tuple[str, ...]) -> DataFrame:

@@ -255,6 +255,12 @@ def test_nothing_that_grows_with_the_fleet_is_broadcast(spark):
     assert plan_of(queries.compare_reports(spark, DATA)).count("BroadcastExchange") == 1
 
 
+@pytest.mark.parametrize("name", ["readiness_flags"])
+def test_a_run_moves_as_one_row_of_fixed_width(spark, name):
+    plan = plan_of(queries.queries()[name](spark, DATA))
+    assert plan.count("HashAggregate") == 2 and plan.count("Exchange") == 1 and all(f"{x}" not in plan for x in ("Window", "Join", "SortAggregate", " Sort "))
+
+
 @pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
 def test_oracle(spark, name):
     con = duckdb.connect()
