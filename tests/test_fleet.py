@@ -255,12 +255,28 @@ def test_nothing_that_grows_with_the_fleet_is_broadcast(spark):
     assert plan_of(queries.compare_reports(spark, DATA)).count("BroadcastExchange") == 1
 
 
-@pytest.mark.parametrize("name", ["readiness_flags"])
+@pytest.mark.parametrize("name", ["permission_gap", "readiness_flags"])
 def test_a_run_moves_as_one_row_of_fixed_width(spark, name):
     plan = plan_of(queries.queries()[name](spark, DATA))
     assert plan.count("HashAggregate") == 2 and plan.count("Exchange") == 1 and all(f"{x}" not in plan for x in ("Window", "Join", "SortAggregate", " Sort "))
 
 
+def test_permission_gap_of_last_runs(spark):
+    runs = queries._view(spark, DATA, "fleet_runs").filter("node_id < 40")
+    want = set()
+    status = {(r.node_id, r.run_no): r.asDict() for r in assess.assess(runs).collect()}
+    for node in {n for n, _ in status}:
+        for c in assess.CAPABILITIES:
+            user, root = status[node, 2][f"cap_{c}"].status, status[node, 3][f"cap_{c}"].status
+            if root == "available" != user:
+                want.add((node, c, user, root))
+    # A run of a user alone, and one without a time, which any other replaces.
+    odd = runs.filter("node_id = 7 AND run_no = 0").withColumn("generated_at", F.lit(None).cast("timestamp"))
+    alone = runs.filter("node_id = 8 AND run_no = 0").withColumn("node_id", F.lit(999).cast("long"))
+    got = fleet.permission_gap(assess.assess(runs.unionByName(odd).unionByName(alone)))
+    assert {tuple(r) for r in got.collect()} == want and want
+
+
 @pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
 def test_oracle(spark, name):
     con = duckdb.connect()
