@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,23 +60,31 @@ def stream_energy(samples: DataFrame, max_range: int | None = None, seconds: int
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames), ignore_index=True).dropna(subset=["ts", "energy_uj"]).sort_values(["ts", "sample_id"], kind="stable")
-        if rows.empty:
+        # Most counters have few samples a batch: plain arrays, as each call of pandas costs more than the work on a small group.
+        parts = [[f[c].to_numpy() for c in ("ts", "sample_id", "energy_uj")] for f in frames]
+        ts, ids, uj = (np.concatenate(p) for p in zip(*parts))
+        known = ~(np.isnat(ts) | pd.isna(uj))
+        ts, ids, uj = ts[known], ids[known].astype("float64") if ids.dtype == object else ids[known], uj[known].astype("int64")
+        if not len(ts):
             return
+        order = np.lexsort((ids, ts))
+        ts, uj = ts[order], uj[order]
+        time = ts.astype("int64")
         at, counter = state.get if state.exists else (None, None)
-        late = rows["ts"].astype("int64") < at if state.exists else pd.Series(False, index=rows.index)
-        start = rows["ts"].dt.floor(f"{seconds}s")
-        fresh = rows[~late]
-        step = fresh["energy_uj"].diff()
-        if len(fresh):
-            step.iloc[0] = fresh["energy_uj"].iloc[0] - counter if state.exists else 0
-            state.update((int(fresh["ts"].astype("int64").iloc[-1]), int(fresh["energy_uj"].iloc[-1])))
+        # Sorted by time, the late ones come first.
+        late = int(np.searchsorted(time, at, "left")) if state.exists else 0
+        step = np.zeros(len(ts), "int64")
+        if late < len(ts):
+            step[late:] = np.diff(uj[late:], prepend=counter if state.exists else uj[late])
+            state.update((int(time[-1]), int(uj[-1])))
         if max_range is not None:
-            step = step.where(step >= 0, step + max_range)
-        out = pd.DataFrame({"start": start, "joules": step.reindex(rows.index).fillna(0.0) / 1e6, "n": (~late).astype("int64"), "late": late.astype("int64")}).groupby("start", as_index=False).sum()
-        out.insert(0, "node_id", key[0])
-        out.insert(1, "domain", key[1])
-        yield out
+            step[step < 0] += max_range
+        window = ts.astype("datetime64[s]").astype("int64") // seconds
+        first = np.flatnonzero(np.diff(window, prepend=window[0] - 1))
+        fresh = np.add.reduceat((np.arange(len(ts)) >= late).astype("int64"), first)
+        n = np.diff(first, append=len(ts))
+        start = (window[first] * seconds).astype("datetime64[s]").astype(ts.dtype)
+        yield pd.DataFrame({"node_id": key[0], "domain": key[1], "start": start, "joules": np.add.reduceat(step, first) / 1e6, "n": fresh, "late": n - fresh})
 
     rows = samples.select("node_id", "domain", F.col("ts").cast("timestamp").alias("ts"), "sample_id", "energy_uj").groupBy("node_id", "domain")
     return rows.applyInPandasWithState(run, ENERGY, "at long, counter long", "append", GroupStateTimeout.NoTimeout)

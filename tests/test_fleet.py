@@ -277,6 +277,25 @@ def test_permission_gap_of_last_runs(spark):
     assert {tuple(r) for r in got.collect()} == want and want
 
 
+def test_energy_stream_is_not_led_through_one_task(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(queries, "_streamed", lambda spark, rows, build, mode: seen.append(plan_of(rows)) or gates.energy_windows(spark.createDataFrame([], gates.ENERGY)))
+    queries.stream_energy(spark, DATA)
+    assert seen and "Coalesce" not in seen[0]
+
+
+def test_energy_stream_of_odd_rows(spark, tmp_path):
+    """Wraps, equal times, rows without time or reading, a counter without any, late rows in a later batch; by hand."""
+    rows = lambda *r: spark.createDataFrame([(n, d, None if t is None else datetime(2026, 1, 1) + timedelta(minutes=t), i, u) for n, d, t, i, u in r], "node_id long, domain string, ts timestamp, sample_id long, energy_uj long").coalesce(1)
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for batch in (rows((1, "p", 70, 3, 50), (1, "p", 0, 2, 900), (1, "p", 0, 1, 100), (1, "p", None, 9, 1), (1, "p", 10, 4, None), (2, "p", None, 1, 7)), rows((1, "p", 20, 5, 5), (1, "p", 130, 6, 60), (2, "p", 5, 2, 3))):
+        batch.write.mode("append").parquet(source)
+        gates.stream_energy(spark.readStream.schema(batch.schema).parquet(source), 1000).writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+    hour = lambda h: datetime(2026, 1, 1, h)
+    got = {(r.node_id, r.start): (r.joules, r.n, r.late) for r in gates.energy_windows(spark.read.parquet(out)).collect()}
+    assert got == {(1, hour(0)): (800 / 1e6, 2, 1), (1, hour(1)): (150 / 1e6, 1, 0), (1, hour(2)): (10 / 1e6, 1, 0), (2, hour(0)): (0.0, 1, 0)}
+
+
 @pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
 def test_oracle(spark, name):
     con = duckdb.connect()
