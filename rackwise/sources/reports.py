@@ -128,5 +128,5 @@ def report_documents(assessed: DataFrame) -> DataFrame:
 
 
 def write_reports(documents: DataFrame, path: str) -> None:
-    """One JSON document a line by report date; nulls are written."""
-    documents.withColumn("report_date", F.to_date("generated_at")).write.partitionBy("report_date").option("ignoreNullFields", False).json(path)
+    """One JSON document a line by report date, compressed; nulls are written."""
+    documents.withColumn("report_date", F.to_date("generated_at")).write.partitionBy("report_date").option("ignoreNullFields", False).option("compression", "gzip").json(path)

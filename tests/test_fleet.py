@@ -296,6 +296,14 @@ def test_energy_stream_of_odd_rows(spark, tmp_path):
     assert got == {(1, hour(0)): (800 / 1e6, 2, 1), (1, hour(1)): (150 / 1e6, 1, 0), (1, hour(2)): (10 / 1e6, 1, 0), (2, hour(0)): (0.0, 1, 0)}
 
 
+def test_reports_are_written_compressed(spark, tmp_path):
+    docs = spark.createDataFrame([(1, datetime(2026, 1, 1), None)], "node_id long, generated_at timestamp, schema_version string")
+    reports.write_reports(docs, f"file://{tmp_path}/r")
+    files = list((tmp_path / "r").rglob("part-*"))
+    assert files and all(f.suffix == ".gz" for f in files)
+    assert [(r.node_id, r.schema_version, r.corrupt) for r in reports.read_reports(spark, f"file://{tmp_path}/r", lines=True).collect()] == [(1, None, None)]
+
+
 @pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
 def test_oracle(spark, name):
     con = duckdb.connect()
