@@ -55,16 +55,33 @@ def _with_file(rows: DataFrame) -> DataFrame:
 LAYOUT = r"(?:node_id=)?([^/]+)/(?:captured_at=)?([^/]+)/(?:source=)?([^/]+)/(?:item=)?([^/]+)[/.](?:kind=)?(out|err|rc)(?:/[^/]*)?$"
 
 
-def read_capture_files(spark: SparkSession, path: str, layout: str = LAYOUT) -> DataFrame:
+def read_capture_files(spark: SparkSession, path: str, layout: str = LAYOUT, packed: str | None = None) -> DataFrame:
     """Captures from a tree of raw files: node_id, captured_at, source, item from each file's path, rc, content and stderr from its kinds.
 
     Names of folders may be percent-encoded; `-` and the name that Spark gives an empty value stand for no item. Bytes that aren't UTF-8 become replacement
     characters; texts lose white space at their ends. Without a file of its kind the content is empty and rc is 0; an rc that is no
     number is -1. Spark passes over empty files and those whose names begin with `_` or a full stop, so a capture without output
     needs its rc. Files elsewhere in the tree are passed over. Several files of one kind count as the newest; received_at is its time.
+
+    A file costs the file system many times what its few bytes cost Spark, so a fleet's files come packed: `packed` is a folder of Parquet with a row
+    a file as binaryFile gives them (path, modificationTime, content; see pack_files). Single and packed files of one capture count together.
     """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(*FILE)
+    return captures_of_files(files.unionByName(spark.read.parquet(packed).select(*FILE)) if packed else files, layout)
+
+
+#: What is known of a raw file, whether it lies in a tree or was packed.
+FILE = ("path", "modificationTime", "content")
+
+
+def pack_files(files: DataFrame, path: str) -> None:
+    """Raw files (path, modificationTime, content), read from a tree by binaryFile or taken from elsewhere, as rows of few large files."""
+    files.select(*FILE).write.parquet(path)
+
+
+def captures_of_files(files: DataFrame, layout: str = LAYOUT) -> DataFrame:
+    """Captures of raw files (path, modificationTime, content), as read_capture_files says."""
     c = F.col
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     # Spark escapes what a folder's name can't hold; a path names that escape as it is.
     part = lambda i: F.try_url_decode(F.replace(F.regexp_extract("path", layout, i), F.lit("+"), F.lit("%2B")))
     body = F.coalesce(strip(F.make_valid_utf8(c("content").cast("string"))), F.lit(""))

@@ -205,6 +205,32 @@ def test_capture_files(spark, tmp_path):
     assert got == {(7, "lscpu", ""): (0, "CPU(s): 4", ""), (7, "powercap_name", "intel-rapl:0"): (0, "package-0\ufffd", ""), (7, "perf_stat", ""): (255, "", "denied"), (7, "numactl", ""): (1, "", ""), (None, "lscpu", ""): (-1, "", "")}
 
 
+def test_packed_capture_files_are_read_as_a_tree_is(spark, tmp_path):
+    tree, packed = tmp_path / "tree", f"file://{tmp_path}/packed"
+    for name, body in {"7/2026-01-01T00%3A00%3A00Z/lscpu/-.out": b" CPU(s): 4\n", "7/2026-01-01T00%3A00%3A00Z/lscpu/-.rc": b"x", "7/2026-01-01T00%3A00%3A00Z/powercap_name/intel-rapl%3A0.out": b"a+b\xff", "notes.txt": b"no capture"}.items():
+        (tree / name).parent.mkdir(parents=True, exist_ok=True)
+        (tree / name).write_bytes(body)
+        os.utime(tree / name, (1000, 1000))
+    reports.pack_files(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"file://{tree}"), packed)
+    want = sorted(map(tuple, reports.read_capture_files(spark, f"file://{tree}").collect()))
+    (tmp_path / "empty").mkdir()
+    assert len(want) == 2 and sorted(map(tuple, reports.read_capture_files(spark, f"file://{tmp_path}/empty", packed=packed).collect())) == want
+    # A single file that is newer than the packed ones of its capture.
+    newer = tmp_path / "late/7/2026-01-01T00%3A00%3A00Z/lscpu"
+    newer.mkdir(parents=True)
+    (newer / "-.rc").write_text("5")
+    got = {r.source: (r.rc, r.content) for r in reports.read_capture_files(spark, f"file://{tmp_path}/late", packed=packed).collect()}
+    assert got == {"lscpu": (5, "CPU(s): 4"), "powercap_name": (0, "a+b\ufffd")}
+
+
+def test_raw_files_of_a_fleet_are_not_files_each(spark, tmp_path, monkeypatch):
+    """A supplier's machine has about six raw files; 100 machines' are packed but for one machine's."""
+    monkeypatch.setattr(queries, "_scratch", lambda spark, n=iter(range(99)): f"file://{tmp_path}/{next(n)}")
+    monkeypatch.setattr(queries, "_WRITTEN", {})
+    got = queries.read_capture_files(spark, "/root/testdata/sf0.01")
+    assert got.select("node_id").distinct().count() == 100 and len(list(tmp_path.rglob("part-*"))) < 100
+
+
 def test_comparison_of_reports(spark):
     rows = [(n, {"x": 1 if n < 4 else 2, "y": {"z": None if n == 5 else "s"}}, [1, 2] if n != 3 else [2, 1]) for n in range(6)]
     docs = spark.createDataFrame(rows, "node long, a struct<x:int,y:struct<z:string>>, b array<int>").withColumn("b", F.struct(F.col("b").alias("l")))
