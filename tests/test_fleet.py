@@ -303,6 +303,16 @@ def test_permission_gap_of_last_runs(spark):
     assert {tuple(r) for r in got.collect()} == want and want
 
 
+@pytest.mark.parametrize("name, view", [("stream_captures", "captures"), ("stream_gate", "fleet_runs")])
+def test_a_stored_view_is_streamed_without_a_second_copy(spark, monkeypatch, name, view):
+    queries._view(spark, DATA, view)
+    given = []
+    scratch = queries._scratch
+    monkeypatch.setattr(queries, "_scratch", lambda spark: given.append(1) or scratch(spark))
+    # Only what the stream writes and its state.
+    assert queries.queries()[name](spark, DATA).count() and len(given) == 2
+
+
 def test_energy_stream_is_not_led_through_one_task(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(queries, "_streamed", lambda spark, rows, build, mode: seen.append(plan_of(rows)) or gates.energy_windows(spark.createDataFrame([], gates.ENERGY)))
