@@ -1,5 +1,6 @@
 import json
 import os
+import re
 from collections import Counter
 from datetime import datetime, timedelta
 
@@ -281,6 +282,56 @@ def test_nothing_that_grows_with_the_fleet_is_broadcast(spark):
     assert plan_of(queries.compare_reports(spark, DATA)).count("BroadcastExchange") == 1
 
 
+def test_a_run_is_not_walked_by_interpreted_code(spark, capsys):
+    """Lambdas are interpreted, and so are generated methods of over 8,000 bytes: no lambda over all captures of a run, and no such method."""
+    seen = queries._view(spark, DATA, "captures")
+    for operator in (parse.node_identity, parse.tool_presence, parse.freq_probe):
+        assert "lambda" not in plan_of(operator(seen)), operator.__name__
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        # Entries are made by a generated projection below the aggregation, which would interpret them.
+        assert "collect_set(entry" in plan_of(parse.by_run(seen).select(*parse.KEY, "every"))
+        capsys.readouterr()
+        queries.queries()["captured_capabilities"](spark, DATA).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert len(sizes) > 2 and max(sizes) < 8000
+
+
+def test_look_ups_of_odd_captures(spark):
+    """Against a walk over the rows: sources and items that begin or end alike, nulls, deliveries of any number and order."""
+    pairs = [("uname", "hostname"), ("unamehostname", ""), ("uname", None), ("unam", "ehostname"), (None, "uname"), (None, None), ("5:uname", "hostname"), ("powercap_name", "intel-rapl:0"), ("powercap_name", "intel-rapl:0:1"), ("powercap_name", "intel-rapl"), ("powercap_namex", "intel-rapl:9"), ("powercap", "_nameintel-rapl:8"), ("powercap_energy", "\u00e9"), ("which", "perf"), ("which", "perf ")]
+    rows = [(node, s, i, (node * 7 + k) % 3 - 1, f"{s}/{i}/{k}" if k % 4 else None, None, None if (node + k + n) % 5 == 0 else (node + k + n) % 4) for node in range(6) for n, (s, i) in enumerate(pairs) for k in range((node * 5 + n) % 4)]
+    seen = spark.createDataFrame(rows + rows[::3], "node_id long, source string, item string, rc int, content string, stderr string, t int").selectExpr("node_id", "TIMESTAMP '2026-01-01' AS captured_at", "source", "item", "rc", "content", "stderr", "timestamp_seconds(t) AS received_at")
+    newest = {}
+    for node, s, i, rc, content, _, t in sorted(rows, key=lambda r: (-1 if r[6] is None else r[6], r[3], r[4] or "")):
+        newest[node, s or "", i or ""] = (rc, content or "")
+    assert {(r.node_id, r.source, r.item): (r.rc, r.content) for r in parse.once(seen).collect()} == newest
+    found = parse.by_run(seen).select("node_id", parse.one("uname", "hostname").alias("host"), parse.done("which", "perf").alias("perf"), parse.has("which").alias("which"), *[parse.every(s).alias(s) for s in parse.LISTED])
+    for r in found.collect():
+        host = newest.get((r.node_id, "uname", "hostname"))
+        assert (r.host and (r.host.rc, r.host.content)) == host and r.perf == (newest.get((r.node_id, "which", "perf"), (1,))[0] == 0) and r.which == any(n == r.node_id and s == "which" for n, s, _ in newest)
+        for s in parse.LISTED:
+            assert [(x.item, x.rc, x.content) for x in r[s]] == sorted((i, *v) for (n, of, i), v in newest.items() if n == r.node_id and of == s)
+
+
+def test_counts_are_those_of_the_lists(spark):
+    shown = ("00:02.0 VGA compatible controller: Intel Corporation UHD\r\n01:00.0 3D controller: NVIDIA X\r02:00.0 Display controller: AMD\n03:00.0 display: intel with nvidia", "")
+    odd = [captures(spark, ("lspci", "", 0, *shown), *more).withColumn("node_id", F.lit(k).cast("long")) for k, more in enumerate([
+        [], [("nvidia_gpus", "", 0, "0,a,b,c,d\r\n1,a,b\n2,a,b,c,", "")], [("nvidia_gpus", "", 1, "0,a,b,c,d", "")], [("numactl", "", 0, "node 1 cpus:", ""), ("sysfs_cpulist", "node0", 0, " 0-1\n", ""), ("sysfs_cpulist", "node1", 0, " ", "")], [("numactl", "", 0, " node 1 cpus: 3\nnode 2 cpus: x", ""), ("sysfs_cpulist", "node0", 0, "0-1", "")],
+    ])]
+    seen = queries._view(spark, DATA, "captures").filter("node_id > 100").select(*odd[0].columns)
+    for df in odd:
+        seen = seen.unionByName(df)
+    got = facts.assemble_facts(seen).select("node_id", "numa", "numa_nodes", "devices", "device_count", "nvidia_count", "intel_count", "nvidia_present", "gpu_present").collect()
+    for r in got:
+        vendors = Counter(d.vendor for d in r.devices)
+        assert r.numa_nodes == len(r.numa) and (r.device_count, r.nvidia_count, r.intel_count) == (len(r.devices), vendors["nvidia"], vendors["intel"]) and r.nvidia_present == (vendors["nvidia"] > 0) and r.gpu_present == (len(r.devices) > 0)
+    assert {r.node_id: (r.nvidia_count, r.intel_count, r.numa_nodes) for r in got if r.node_id < 5} == {0: (2, 1, 0), 1: (2, 2, 0), 2: (2, 1, 0), 3: (2, 1, 1), 4: (2, 1, 2)}
+
+
 @pytest.mark.parametrize("name", ["permission_gap", "readiness_flags"])
 def test_a_run_moves_as_one_row_of_fixed_width(spark, name):
     plan = plan_of(queries.queries()[name](spark, DATA))
